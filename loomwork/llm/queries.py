@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, fingerprint, mixing, topk, warc
+from loomwork.llm import bpe, chat, fingerprint, language, mixing, substrings, topk, warc
 from loomwork.llm.shared import table
 
 
@@ -17,6 +17,13 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    prototypes = language.learn(docs.filter(~language.held_out()))
+    found = language.predict(docs.withColumn("held_out", language.held_out()), prototypes, carried=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding"))).select("vec_id", topk.floored(F.col("embedding")).alias("embedding"))
     found = topk.top_k(rows, F.col("vec_id") % 50 == 0, 5)
@@ -40,6 +47,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup_substrings(table(spark, sf_dir, "documents"), stable=True)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
@@ -71,5 +83,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op4_topk": op4_topk, "op5_warc": op5_warc, "op7_mixing": op7_mixing, "op9_chat": op9_chat}
+QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_language": op3_language, "op4_topk": op4_topk, "op5_warc": op5_warc, "op6_substrings": op6_substrings, "op7_mixing": op7_mixing, "op9_chat": op9_chat}
 ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_chat": OP9_SQL}
