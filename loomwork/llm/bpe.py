@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Parts in a word up to which the ranks are scanned instead of held in a heap.
 SHORT = 256
@@ -194,7 +195,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids"
     """
     shipped = _ship(df.sparkSession, vocabulary)
     base = df.drop(out_col)
-    schema = base.schema.add(out_col, "array<int>", True)
+    schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     if text_col not in base.columns:
         raise ValueError(f"no column {text_col}")
 
@@ -213,7 +214,7 @@ def bpe_decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decode
     """df with the tokens of ``ids_col`` joined by one space in ``out_col``; null lists give ''."""
     shipped = _ship(df.sparkSession, vocabulary)
     base = df.drop(out_col)
-    schema = base.schema.add(out_col, "string", True)
+    schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
         bpe = _loaded(shipped)

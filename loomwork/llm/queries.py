@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, fingerprint, language, minhash, mixing, substrings, topk, warc
+from loomwork.llm import bpe, chat, fingerprint, language, minhash, mixing, secrets, substrings, topk, warc
 from loomwork.llm.shared import table
 
 
@@ -57,6 +57,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "shards")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, id + 1 AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
@@ -87,5 +92,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80, stable=True)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_language": op3_language, "op4_topk": op4_topk, "op5_warc": op5_warc, "op6_substrings": op6_substrings, "op7_mixing": op7_mixing, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
+QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_language": op3_language, "op4_topk": op4_topk, "op5_warc": op5_warc, "op6_substrings": op6_substrings, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_chat": OP9_SQL}
