@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from loomwork.llm.shared import small_batches
+
 #: Parts in a word up to which the ranks are scanned instead of held in a heap.
 SHORT = 256
 #: Words whose parts a worker remembers; bounds its memory, never what it encodes.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 NEVER = 1 << 20
 #: White space as the tokenizer's pattern engine has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -184,6 +186,7 @@ def _loaded(shipped) -> WordBpe:
 
 def _ship(spark: SparkSession, vocabulary: str | None):
     """The vocabulary file is one of a few MB, read by the driver."""
+    small_batches(spark)
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

@@ -15,11 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.shared import small_batches
+
 DIMENSIONS, SEED, GRAM = 1024, 11, 3
 #: Characters and documents of a block that is bundled at once; longer texts go piece by piece.
 CHARS, DOCS = 400_000, 64
 #: Bound n-grams that a worker remembers.
-REMEMBERED = 20_000
+REMEMBERED = 8_000
+#: Texts whose bundles are held at once.
+TEXTS = 512
 GAP = 32
 
 
@@ -127,6 +131,12 @@ def _units(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _slices(frames):
+    for pdf in frames:
+        for at in range(0, len(pdf), TEXTS):
+            yield pdf.iloc[at : at + TEXTS]
+
+
 #: Directions are summed as integers of this scale, so that sums don't hang on their order.
 SCALE = 1 << 24
 
@@ -139,7 +149,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     def run(frames):
         sums: dict[str, np.ndarray] = {}
-        for pdf in frames:
+        for pdf in _slices(frames):
             units = np.rint(_units(_bundler().bundle(pdf["text"].tolist())) * SCALE).astype(np.int64)
             langs = pdf["lang"].to_numpy()
             for lang in set(langs):
@@ -147,6 +157,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         for lang, v in sums.items():
             yield pd.DataFrame({"lang": lang, "place": np.arange(DIMENSIONS, dtype=np.int32), "value": v})
 
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     parts = rows.mapInPandas(run, "lang string, place int, value long")
     summed = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v"))
@@ -160,6 +171,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned;
     equal cosines go to the language first in order.  Repeated rows stay.
     """
+    small_batches(df.sparkSession)
     names = list(prototypes)
     grid = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
     clash = {"lang_pred", "score"} & set(carried)
@@ -168,7 +180,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     kept = df.select(*carried, F.col(text_col).alias("__text"))
 
     def run(frames):
-        for pdf in frames:
+        for pdf in _slices(frames):
             x = _bundler().bundle(pdf["__text"].tolist())
             some = np.any(x, axis=1) & bool(names)
             cos = _units(x) @ grid.T if names else np.zeros((len(x), 1))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components
-from loomwork.llm.shared import shuffle_width, stash
+from loomwork.llm.shared import shuffle_width, small_batches, stash
 from loomwork.llm.wordhash import mixed, pack, unpack, window_hashes, word_hashes, words_of
 
 PERMUTATIONS, BAND = 64, 4
@@ -106,6 +106,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nothing.  Rows that repeat an id are one document in the links.  Null ids are smallest
     and come back as null.  df is read twice (see dedup_substrings for ``stable``).
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     null = -(2**63)
     base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("id"), F.col(text_col).alias("text"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import shuffle_width, stash
+from loomwork.llm.shared import shuffle_width, small_batches, stash
 from loomwork.llm.wordhash import pack, unpack, window_hashes, word_hashes, words_of
 
 #: Rows of a batch, and windows that a bucket should hold.
@@ -115,6 +115,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     df is read twice and must give the same rows both times: it is written to the shared
     folder first unless ``stable`` says that it is a plain scan.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import scratch, shuffle_width, stash
+from loomwork.llm.shared import scratch, shuffle_width, small_batches, stash
 
 #: Bytes after which a writer begins another file, bytes read from a file at once.
 FILE_BYTES, READ_BYTES = 256 << 20, 1 << 18
@@ -107,6 +107,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
     response and the others revisit it; of rows that repeat an id and a payload, one is
     the response.  Null payloads count as empty; rows with null ids are an error.
     """
+    small_batches(df.sparkSession)
     payload = F.coalesce(F.encode("html", "UTF-8") if payload is None else payload, F.lit(b""))
     rows = df.select(F.assert_true(F.col(id_col).isNotNull(), "a record needs an id").alias("_"), F.col(id_col).cast("long").alias("id"), (F.col("url") if uri is None else uri).alias("uri"), payload.alias("data")).drop("_")
     rows = rows.withColumn("sha", F.sha1("data")).withColumn("row", F.monotonically_increasing_id())

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker remembers; bounds its memory only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
