@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomwork.plans import schedule_queries, table_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**schedule_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**schedule_queries.ORACLES, **table_queries.ORACLES}
