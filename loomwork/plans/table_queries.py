@@ -66,7 +66,7 @@ def rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REBASE_SQL = "WITH m AS (" + UNION_SQL.replace("FROM lineitem)", "FROM lineitem WHERE l_linenumber % 2 = 0)") + """)
-SELECT *, CAST(at + 7 - removed AS BIGINT) AS moved FROM (SELECT k.l_orderkey, CAST(k.l_linenumber AS BIGINT) AS item, k.l_partkey % 200 AS at,
+SELECT *, CAST("at" + 7 - removed AS BIGINT) AS moved FROM (SELECT k.l_orderkey, CAST(k.l_linenumber AS BIGINT) AS item, k.l_partkey % 200 AS "at",
  CAST(coalesce((SELECT sum(m.len) FROM m WHERE m.l_orderkey = k.l_orderkey AND m.start < k.l_partkey % 200), 0) AS BIGINT) AS removed FROM lineitem k WHERE k.l_linenumber % 2 = 1)"""
 
 
