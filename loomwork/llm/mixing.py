@@ -58,6 +58,8 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
 
 def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     """For each shard its blocks of each source; sums over shards give ``quotas``, shard totals differ by one at most."""
+    if not quotas:
+        return [[] for _ in range(shards)]
     rng = np.random.Generator(np.random.PCG64(seed))
     out: list[list[int]] = [[] for _ in range(shards)]
 
@@ -136,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Ids that repeat are taken as one document's rows: each row goes as often as the plan says.
     """
-    plan = mix_plan(docs, id_col, **options).select(F.col(id_col).alias("id_"), F.posexplode("shards").alias("copy", "shard"), "seat").distinct()
-    rows = docs.drop("shard", "place", "copy").join(plan, F.col(id_col).eqNullSafe(F.col("id_"))).drop("id_")
-    placed = rows.withColumn("place", _digest(F.lit("place"), F.col("copy"), F.col("seat"))).drop("seat")
+    plan = mix_plan(docs, id_col, **options).select(F.col(id_col).alias("id_"), F.posexplode("shards").alias("copy_", "shard"), F.col("seat").alias("seat_")).distinct()
+    rows = docs.drop("shard", "place").join(plan, F.col(id_col).eqNullSafe(F.col("id_"))).drop("id_")
+    placed = rows.withColumn("place", _digest(F.lit("place"), F.col("copy_"), F.col("seat_"))).drop("seat_", "copy_")
     return placed.repartition("shard", F.substring("place", 1, 1)).sortWithinPartitions("shard", "place")
