@@ -92,32 +92,34 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns: str = "turns", trained: str = "assistant") -> DataFrame:
-    """df with ``formatted`` and ``loss_spans``: start and length, in code points, of each text that is trained on.
+    """df with ``formatted`` and ``loss_spans``: the turn, and in it start and length in code points, of each text that is trained on.
 
     Null turns are formatted as ''.
     """
     pieces = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("head"), escape(t["text"]).alias("body")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["head"])
-        span = F.array(F.struct(begin.alias("start"), F.length(p["body"]).alias("length")))
-        return F.struct((begin + F.length(p["body"]) + len(END)).alias("at"), F.when(p["role"] == trained, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
     held = df.withColumn("__pieces", F.coalesce(pieces, F.array().cast("array<struct<role:string,head:string,body:string>>")))
-    return held.withColumn("formatted", F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")).withColumn("loss_spans", F.aggregate("__pieces", start, step, lambda a: a["spans"])).drop("__pieces")
+    spans = F.transform("__pieces", lambda p, i: F.struct(p["role"].alias("role"), i.alias("turn"), F.length(p["head"]).alias("start"), F.length(p["body"]).alias("length")))
+    mask = F.transform(F.filter(spans, lambda x: x["role"] == trained), lambda x: F.struct(x["turn"].alias("turn"), x["start"].alias("start"), x["length"].alias("length")))
+    return held.withColumn("formatted", F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")).withColumn("loss_spans", mask).drop("__pieces")
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted text, unescaped."""
     cut = F.split(formatted, r"<\|turn\|>|<\|text\|>|<\|end\|>\n", -1)
-    at = F.when(F.size(cut) > 1, F.sequence(F.lit(0), F.floor((F.size(cut) - 4) / 3).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(unescape(F.get(cut, 3 * i + 1)).alias("role"), unescape(F.get(cut, 3 * i + 2)).alias("text")))
+
+    def turns(c: Column) -> Column:
+        at = F.when(F.size(c) > 1, F.sequence(F.lit(0), F.floor((F.size(c) - 4) / 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(unescape(F.get(c, 3 * i + 1)).alias("role"), unescape(F.get(c, 3 * i + 2)).alias("text")))
+
+    # bound to a variable, so that a text is cut once and not once a turn
+    return F.get(F.transform(F.array(cut), turns), F.lit(0))
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    cut = F.split(formatted, r"<\|end\|>\n", -1)
+    read = lambda c: F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(c, s["turn"]), s["start"] + 1, s["length"]))), "")
+    return F.get(F.transform(F.array(cut), read), F.lit(0))
 
 
 def gather(df: DataFrame, id_col: str = "conv_id", order_col: str = "turn") -> DataFrame:
