@@ -47,6 +47,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+OP5_SQL = """
+WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY sha1(b)) AS first_id FROM d
+), t AS (
+  -- five hex digits are four base32 letters
+  SELECT *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([32768, 1024, 32, 1], lambda unit:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(h, CAST(g * 5 + 1 AS INTEGER), 5) AS BIGINT) // unit % 32 + 1 AS INTEGER), 1)), '')), '') AS digest FROM f
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM t
+"""
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.dedup_substrings(table(spark, sf_dir, "documents"), stable=True)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -93,4 +107,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_language": op3_language, "op4_topk": op4_topk, "op5_warc": op5_warc, "op6_substrings": op6_substrings, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
-ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op5_warc": OP5_SQL, "op9_chat": OP9_SQL}
