@@ -1,8 +1,9 @@
-"""Metadata of JPEG, PNG and WebP files: parts, what goes, a preview, and the file without it.
+"""Metadata of JPEG, PNG, WebP and HEIC files: parts, what goes, a preview, and the file without it.
 
 A scanner (Python, Arrow batches) finds the parts of a file and nothing else.  Which parts
 stay, their labels and the rebuilt bytes are SQL expressions over the row's array of
-parts, so a file is never shuffled.
+parts, so a file is never shuffled.  HEIC files, whose items point into the file, are
+rewritten by ``heic``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.binary import latin, starts
+from loomwork.functions.binary import latin, starts, u_be
+from loomwork.operators import heic
 
 # Names of the ancillary PNG chunks that rendering needs, and entries of a directory that are read.
 PNG_KEPT = ("tRNS", "gAMA", "cHRM", "sRGB", "iCCP", "sBIT", "bKGD", "pHYs", "hIST", "sPLT", "acTL", "fcTL", "fdAT")
@@ -24,7 +26,8 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 PART = "struct<start:bigint,stop:bigint,tag:string,data:bigint>"
 PREVIEW = "struct<make:string,model:string,software:string,taken:string,original:string,orientation:int,lat:double,lon:double,fields:int>"
-SCANNED = f"struct<parts:array<{PART}>,tail:bigint,preview:{PREVIEW},orientation:int>"
+STRIP = "struct<label:string,detail:string,size:bigint>"
+SCANNED = f"struct<parts:array<{PART}>,tail:bigint,preview:{PREVIEW},orientation:int,outcome:string,strips:array<{STRIP}>,cleaned:binary>"
 _HEAD = re.compile(rb"\xff+([^\xff])", re.S)
 _ALONE = re.compile(rb"[\x01\xd0-\xd7\xd9]", re.S)
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
@@ -150,24 +153,46 @@ def _previews(kind: str, b: bytes, parts: list[tuple]):
 _SCANNERS = {"jpeg": jpeg_parts, "png": png_parts, "webp": webp_parts}
 
 
+def _heic(b: bytes) -> tuple:
+    try:
+        strips, payload, out = heic.heic_without_metadata(b)
+    except heic.Unsuited:
+        return None, None, None, None, "unsupported_layout", None, None
+    except (ValueError, IndexError):
+        return None, None, None, None, "corrupt", None, None
+    at = heic.tiff_place(payload) if payload else None
+    preview = tiff_preview(payload[at:]) if at is not None else None
+    return None, None, preview, 1, "ok", [{"label": label, "detail": None, "size": size} for label, size in strips], out
+
+
 def _scan(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
     rows = []
     for kind, content in zip(kinds, contents):
+        if kind == "heic":
+            rows.append(_heic(bytes(content)))
+            continue
         found = _SCANNERS[kind](bytes(content)) if kind in _SCANNERS else None
         if found is None:
-            rows.append((None, None, None, None))
+            rows.append((None,) * 7)
             continue
         parts, tail = found
         seen = [x for x in _previews(kind, bytes(content), parts) if x]
         named = [dict(zip(("start", "stop", "tag", "data"), p)) for p in parts]
-        rows.append((named, tail, seen[0] if seen else None, seen[-1]["orientation"] if seen and kind == "jpeg" else 1))
-    return pd.DataFrame(rows, columns=["parts", "tail", "preview", "orientation"]).astype({"tail": "Int64", "orientation": "Int64"})
+        rows.append((named, tail, seen[0] if seen else None, seen[-1]["orientation"] if seen and kind == "jpeg" else 1, None, None, None))
+    return pd.DataFrame(rows, columns=["parts", "tail", "preview", "orientation", "outcome", "strips", "cleaned"]).astype({"tail": "Int64", "orientation": "Int64"})
 
 
 def container_kind(content: Column) -> Column:
-    """jpeg, png or webp by leading bytes and least size; anything else is null."""
-    n = F.octet_length(content)
-    return F.when((n >= 4) & starts(content, "ffd8"), "jpeg").when((n >= 20) & starts(content, "8950"), "png").when((n >= 20) & starts(content, "52494646"), "webp")
+    """jpeg, png, webp or heic by leading bytes and least size; anything else is null.
+
+    A HEIC file lists one of two still-image brands in its ftyp box.
+    """
+    n, size = F.octet_length(content), u_be(content, 0, 4)
+    brand = lambda at: (F.substring(content, at + 1, F.lit(4)) == F.lit(b"heic")) | (F.substring(content, at + 1, F.lit(4)) == F.lit(b"heix"))
+    listed = F.when(size >= 20, F.exists(F.sequence(F.lit(16), (size - 4).cast("int"), F.lit(4)), brand)).otherwise(False)
+    boxed = (n >= 16) & (F.substring(content, 5, 4) == F.lit(b"ftyp"))
+    still = F.when(boxed & size.between(16, n), brand(F.lit(8)) | listed).otherwise(False)
+    return F.when((n >= 4) & starts(content, "ffd8"), "jpeg").when((n >= 20) & starts(content, "8950"), "png").when((n >= 20) & starts(content, "52494646"), "webp").when(still, "heic")
 
 
 def _label(kind: Column, p: Column, content: Column) -> Column:
@@ -217,10 +242,10 @@ def _rebuilt(kind: Column, orientation: Column, kept: Column, content: Column) -
 
 
 def clean(df: DataFrame, content_col: str = "content") -> DataFrame:
-    """df with kind, outcome (ok, corrupt, unsupported), strips (label, detail, size), preview, orientation and cleaned.
+    """df with kind, outcome (ok, corrupt, unsupported, unsupported_layout), strips (label, detail, size), preview, orientation and cleaned.
 
     Null and unknown content is ``unsupported``; broken files are ``corrupt`` and have null
-    strips and cleaned bytes.  Rows repeat as they are; extra columns stay.
+    strips and cleaned bytes, as have HEIC files that can't be rewritten without loss (``unsupported_layout``).  Rows repeat as they are; extra columns stay.
     """
     content = F.coalesce(F.col(content_col), F.lit(b""))
     scan = F.pandas_udf(_scan, SCANNED)
@@ -236,10 +261,10 @@ def clean(df: DataFrame, content_col: str = "content") -> DataFrame:
     tail = F.when(F.col("__s.tail") > 0, F.array(F.struct(F.lit("Data after image end").alias("label"), F.lit(None).cast("string").alias("detail"), F.col("__s.tail").alias("size"))))
     strips = F.concat(going, F.coalesce(tail, F.slice(going, 1, 0)))
     kept = F.filter("__p", lambda p: p["label"].isNull())
-    outcome = F.when(kind.isNull(), "unsupported").when(parts.isNull(), "corrupt").otherwise("ok")
+    outcome = F.when(kind.isNull(), "unsupported").when(kind == "heic", F.col("__s.outcome")).when(parts.isNull(), "corrupt").otherwise("ok")
     return found.withColumns({
-        "outcome": outcome, "strips": strips, "preview": F.col("__s.preview"), "orientation": F.col("__s.orientation"),
-        "cleaned": F.when(parts.isNotNull(), _rebuilt(kind, F.col("__s.orientation"), kept, content)),
+        "outcome": outcome, "strips": F.when(kind == "heic", F.col("__s.strips")).otherwise(strips), "preview": F.col("__s.preview"), "orientation": F.col("__s.orientation"),
+        "cleaned": F.when(kind == "heic", F.col("__s.cleaned")).when(parts.isNotNull(), _rebuilt(kind, F.col("__s.orientation"), kept, content)),
     }).drop("__s", "__p")
 
 
