@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import containers
+from loomwork.operators import containers, guards
 from loomwork.plans.schedule_queries import read
 
 
@@ -72,6 +72,38 @@ SELECT doc_id, 'webp' AS kind, CASE WHEN bad THEN 'corrupt' ELSE 'ok' END AS out
 """
 
 
+def heic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each page: its whole html as an Exif item before the picture; every seventh holds tracks too."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.hex(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("t")).withColumn("n", F.length("t") / 2)
+    items = F.concat(F.lit("0000002C696C6F63" "00000000" "44000002" "000100000001"), _be(F.col("n") + 136, 4), F.lit("00000003" "00020000000100000088"), _be(F.col("n"), 4))
+    entries = F.lit("0000003869696E66" "000000000002" "00000015696E6665" "02000000" "00010000" "6876633100" "00000015696E6665" "02000000" "00020000" "4578696600")
+    whole = F.concat(F.lit("00000010667479706865696300000000" "000000706D65746100000000"), items, entries, _be(F.col("n") + 11, 4), F.lit("6D646174"), F.col("t"), F.lit("AABBCC"))
+    tracks = F.when(F.col("page_id") % 7 == 0, "000000086D6F6F76").otherwise("")
+    return _told(p.select("page_id", F.unhex(F.concat(whole, tracks)).alias("content")), "page_id")
+
+
+HEIC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, page_id % 7 = 0 AS tracks FROM pages)
+SELECT page_id, 'heic' AS kind, CASE WHEN tracks THEN 'unsupported_layout' ELSE 'ok' END AS outcome, CASE WHEN NOT tracks THEN 'EXIF metadata' END AS labels, CASE WHEN NOT tracks THEN CAST(n AS BIGINT) END AS removed,
+ CASE WHEN NOT tracks THEN '00000010667479706865696300000000' || '0000004D6D65746100000000' || '0000001E696C6F63' || '00000000' || '44000001' || '000100000001' || '0000006500000003'
+  || '0000002369696E66' || '000000000001' || '00000015696E6665' || '02000000' || '00010000' || '6876633100' || '0000000B6D646174' || 'AABBCC' END AS cleaned FROM p
+"""
+
+
+def declared_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two planes for each document: its bytes by its id's last three digits, and a small one."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"))
+    plane = lambda w, h: F.concat(F.lit("000000146973706500000000"), _be(w, 4), _be(h, 4))
+    boxed = F.concat(F.lit("00000010667479706865696300000000" "000000446D65746100000000" "0000003869707270" "000000306970636F"), plane(F.col("n"), F.col("doc_id") % 1000 * 100), plane(F.col("doc_id") % 5, F.lit(7)))
+    return guards.declared(d.select("doc_id", F.unhex(boxed).alias("content"))).select("doc_id", "declared_pixels", "allowed")
+
+
+DECLARED_SQL = """
+WITH d AS (SELECT doc_id, greatest(octet_length(encode(coalesce(text, ''))) * (doc_id % 1000 * 100), doc_id % 5 * 7) AS px FROM documents)
+SELECT doc_id, CAST(px AS BIGINT) AS declared_pixels, px BETWEEN 1 AND 64000000 AS allowed FROM d
+"""
+
+
 def tile_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a repeated mark over a rectangle for each part."""
     p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 20.0).alias("w"), F.col("p_retailprice").alias("h"))
@@ -89,5 +121,5 @@ c AS (SELECT *, unnest(range(0, CAST(floor((2 * r + o + sx) / sx) AS BIGINT) + 1
 SELECT p_partkey, font, CAST(tile_row AS INTEGER) AS tile_row, CAST(tile_col AS INTEGER) AS tile_col, round(tile_col * sx - r - o, 4) AS x, round(tile_row * sy - r, 4) AS y FROM c
 """
 
-QUERIES = {"fmt3_jpeg": jpeg, "fmt4_png": png, "fmt5_webp": webp, "mth5_tiles": tile_places}
-ORACLES = {"fmt3_jpeg": JPEG_SQL, "fmt4_png": PNG_SQL, "fmt5_webp": WEBP_SQL, "mth5_tiles": TILES_SQL}
+QUERIES = {"fmt3_jpeg": jpeg, "fmt4_png": png, "fmt5_webp": webp, "fmt14_heic": heic, "agg9_declared": declared_sizes, "mth5_tiles": tile_places}
+ORACLES = {"fmt3_jpeg": JPEG_SQL, "fmt4_png": PNG_SQL, "fmt5_webp": WEBP_SQL, "fmt14_heic": HEIC_SQL, "agg9_declared": DECLARED_SQL, "mth5_tiles": TILES_SQL}
