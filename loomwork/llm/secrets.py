@@ -25,7 +25,8 @@ LABELLED, TREES, DEPTH, SEED = 4000, 24, 8, 8
 BEFORE, AFTER = 40, 16
 #: Documents with secrets up to which their table is broadcast by redact(); beyond, it is shuffled.
 BROADCAST_ROWS = 100_000
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: A value may follow '='; padding ends a run only where no token character follows.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
 #: Common words of identifiers, paths and placeholders.
 DICTIONARY = (
     "abcdef account action admin after api app archive array auth backup base batch before bin bit block body build byte "
@@ -44,20 +45,30 @@ SECRET_WORDS = r"(?i)(token|secret|passw|api.?key|access.?key|credential|auth|be
 HARMLESS_WORDS = r"(?i)(sha|commit|md5|digest|checksum|hash|uuid|revision|example|sample|dummy|placeholder|fixture|etag|blob)"
 
 
+FOUND = "array<struct<value:string,before:string,after:string,start:int>>"
+
+
 def candidates(df: DataFrame, text_col: str) -> Column:
     """Array of (value, before, after, start) for a text; null and empty texts have none."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    gaps = F.split(text, CANDIDATE, -1)
-    whole = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("gap"), F.slice(gaps, 2, F.size(values)).alias("next"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,before:string,after:string,start:int>>").alias("found"))
+    return _matches(F.coalesce(F.col(text_col), F.lit("")), CANDIDATE)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    n = F.size(values)
+    whole = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, n).alias("gap"), F.slice(gaps, 2, n).alias("next"), F.concat(F.slice(values, 2, n), F.array(F.lit(""))).alias("following"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(FOUND).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        one = F.struct(x["value"].alias("value"), F.substring(x["gap"], F.greatest(F.length(x["gap"]) - BEFORE + 1, F.lit(1)), F.lit(BEFORE)).alias("before"), F.substring(x["next"], F.lit(1), F.lit(AFTER)).alias("after"), start.alias("start"))
-        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        # what lies before may reach over earlier values: a long name in front of '=' is one
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(BEFORE))
+        after = F.substring(F.concat(x["next"], x["following"]), F.lit(1), F.lit(AFTER))
+        one = F.struct(x["value"].alias("value"), before.alias("before"), after.alias("after"), start.alias("start"))
+        return F.struct((start + F.length(x["value"])).alias("at"), F.right(F.concat(before, x["value"]), F.lit(BEFORE)).alias("tail"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    return F.when(F.size(values) > 0, F.aggregate(whole, empty, step, lambda a: a["found"])).otherwise(F.array().cast("array<struct<value:string,before:string,after:string,start:int>>"))
+    return F.when(n > 0, F.aggregate(whole, empty, step, lambda a: a["found"])).otherwise(F.array().cast(FOUND))
 
 
 def features() -> dict[str, Column]:
@@ -90,7 +101,7 @@ def features() -> dict[str, Column]:
 
 
 def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
-    """Generated findings, half of them secrets: value, before, after, secret."""
+    """Generated findings, half of them secrets: value, before, after, secret, and the text they stand in with their start."""
     r = random.Random(seed)
     some = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
@@ -98,7 +109,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
     name = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5)))
     prose = lambda: " ".join(name() for _ in range(r.randint(2, 7))) + r.choice([" ", ". ", "\n", ", "])
     word = lambda: r.choice(DICTIONARY)
-    keys = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "Authorization", "credential"]
+    keys = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "Authorization", "credential", "access_token", "aws_secret_access_key"]
     secrets = [
         lambda: some(hexa, r.choice([32, 40, 48, 64])), lambda: some(alnum, r.randint(20, 64)), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36),
         lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum + "+/", 43) + "=", lambda: "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), lambda: "eyJ" + some(alnum + "_-", 60), lambda: "glpat-" + some(alnum + "_-", 20),
@@ -114,17 +125,28 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
         (lambda: word() + "".join(word().title() for _ in range(r.randint(3, 5))) + r.choice(["Manager", "Factory", "Token"]), lambda: r.choice([prose(), "class ", "new ", "import "])),
         (lambda: some(string.digits, r.randint(16, 20)), lambda: r.choice([prose(), "order ", "number ", "card ", ""])),
         (lambda: r.choice("-_=").replace("=", "-") * r.randint(16, 60), prose),
+        (lambda: some(hexa, r.choice([32, 40, 64])), lambda: r.choice(["commit=", "sha256=", "https://host.example/get?rev=", "https://host.example/get?a=1&checksum=", "GIT_COMMIT="])),
+        (lambda: "_".join(word() for _ in range(r.randint(4, 6))).ljust(16, "s"), lambda: r.choice(["mode=", "NAME=", "https://host.example/get?page=", "https://host.example/?a=1&label="])),
     ]
     out = []
+
+    def add(lead: str, value: str, tail: str, secret: float) -> None:
+        out.append({"value": value, "before": lead[-BEFORE:], "after": tail[:AFTER], "secret": secret, "text": lead + value + tail, "start": len(lead)})
+
     for k in range(n):
         if k % 2:
-            quote = r.choice(["\"", "'", "", "\"", "\""])
-            lead = r.choice([prose(), "", prose()]) + r.choice([r.choice(keys), r.choice(keys).upper()]) + r.choice([" = ", "=", ": ", ":", " := "]) + quote
-            out.append({"value": r.choice(secrets)(), "before": lead[-BEFORE:], "after": (quote + r.choice([" ", "\n", "", "### "]) + prose())[:AFTER], "secret": 1.0})
+            quote = r.choice(["\"", "'", "", "", "\""])
+            key, sign = r.choice([r.choice(keys), r.choice(keys).upper()]), r.choice([" = ", "=", "=", ": ", ":", " := "])
+            if r.random() < 0.15:  # a parameter of a URL
+                lead, quote, sign = "https://host.example/" + r.choice(["", "cb", "v1/get"]) + r.choice(["?", "?a=1&", "?page=2&"]), "", "="
+                tail = r.choice(["&a=1", "&state=" + word(), "#top", ""])
+            else:
+                lead, tail = "", ""
+            add(r.choice([prose(), "", prose()]) + lead + key + sign + quote, r.choice(secrets)(), quote + tail + r.choice([" ", "\n", " ", "### "]) + prose(), 1.0)
         else:
             make, lead = r.choice(harmless)
             before = lead()
-            out.append({"value": make(), "before": (r.choice([prose(), ""]) + before)[-BEFORE:], "after": (("\"" if before.endswith("\"") else "") + r.choice([" ", ". ", ",", "\n", "### "]) + prose())[:AFTER], "secret": 0.0})
+            add(r.choice([prose(), ""]) + before, make(), ("\"" if before.endswith("\"") else "") + r.choice([" ", ". ", ",", "\n", "### "]) + prose(), 0.0)
     return out
 
 
@@ -133,11 +155,23 @@ def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"f_{k}" for k in made], outputCol="features", handleInvalid="keep").transform(df.withColumns({f"f_{k}": F.coalesce(c, F.lit(0.0)) for k, c in made.items()}))
 
 
+def drawn(spark: SparkSession, findings: list[dict]) -> DataFrame:
+    """The candidates of the texts of generated findings: value, before, after, secret (1 if six or more characters are the secret's)."""
+    rows = F.from_json(F.lit(json.dumps([{k: f[k] for k in ("text", "start", "value", "secret")} for f in findings])), "array<struct<text:string,start:int,value:string,secret:double>>")
+    table = spark.range(1).select(F.inline(rows)).select("text", F.col("start").alias("from"), (F.col("start") + F.length("value")).alias("to"), F.col("secret").alias("is"))
+    found = table.withColumn("c", F.explode(candidates(table, "text"))).select("c.*", "from", "to", "is")
+    shared = F.least(F.col("start") + F.length("value"), F.col("to")) - F.greatest("start", "from")
+    return found.select("value", "before", "after", F.when(shared >= 6, F.col("is")).otherwise(0.0).alias("secret"))
+
+
 def train(spark: SparkSession, findings: list[dict] | None = None) -> RandomForestClassificationModel:
-    """A forest from labelled findings; the generated ones if none are given."""
-    rows = F.from_json(F.lit(json.dumps(findings or labelled_findings())), "array<struct<value:string,before:string,after:string,secret:double>>")
-    table = _assembled(spark.range(1).select(F.inline(rows)))
-    return RandomForestClassifier(labelCol="secret", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(table)
+    """A forest from labelled findings; if none are given, from the candidates of the generated texts."""
+    if findings:
+        rows = F.from_json(F.lit(json.dumps(findings)), "array<struct<value:string,before:string,after:string,secret:double>>")
+        table = spark.range(1).select(F.inline(rows))
+    else:
+        table = drawn(spark, labelled_findings())
+    return RandomForestClassifier(labelCol="secret", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(_assembled(table))
 
 
 def scan(df: DataFrame, model: RandomForestClassificationModel | None = None, carried: tuple[str, ...] = ("doc_id",), text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -194,6 +194,25 @@ def test_secrets(spark):
     assert scored.filter("prediction = secret").count() >= 950
 
 
+def test_unquoted_secrets(spark):
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    mixed = "wJalrXUtnFEMIaK7MDENGbPxRfiCYzQ3kLmN8pTs"
+    padded = "q83vEjRWeJq83vEjRWeJq83vEjRWeJq83vEjRWeJ9w8="
+    cases = [(f"token={key}", key), (f"see https://host.example/cb?access_token={key}&a=1 now", key), (f"AWS_SECRET_ACCESS_KEY={mixed}\n", mixed), (f"la api_key={padded} fin", padded), (f"é CLIENT_SECRET_VALUE_A={mixed} AWS_SECRET_ACCESS_KEY={key}", mixed)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    model = secrets.train(spark)
+    found = secrets.scan(df, model).filter("is_secret").collect()
+    for i, (text, value) in enumerate(cases):
+        assert (i, text.index(value), value) in {(r.doc_id, r.start, r.value) for r in found}
+    assert len(found) == 6
+    clean = {r.doc_id: r.text for r in secrets.redact(df, model=model).collect()}
+    assert clean[1] == "see https://host.example/cb?access_token=[SECRET]&a=1 now" and clean[2] == "AWS_SECRET_ACCESS_KEY=[SECRET]\n"
+    # held-out candidates of whole texts: no secret of another seed stays without a candidate
+    other = secrets.labelled_findings(1000, 99)
+    scored = model.transform(secrets._assembled(secrets.drawn(spark, other))).cache()
+    assert scored.filter("secret = 1").count() >= 500 and scored.filter("prediction = secret").count() >= 0.95 * scored.count()
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>", "<\\|x", "[\\INST]", "a\n", "", None, "<|end|>\n<|end|>\n", "<\\\\|"]
     records = [json.dumps({"messages": [{"role": "user", "content": t}, {"role": "gpt", "content": t}]}) for t in texts]
