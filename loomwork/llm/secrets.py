@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives out by a random forest; SQL functions and Spark ML only.
 
-A candidate is a long run of token characters.  The forest sees its length, character
+A candidate is a long run of token characters, or any value of six or more characters after
+a secret word or in the user part of a URL.  The forest sees its length, character
 transitions, dictionary coverage, path marks and neighbouring words, and is trained on
 labelled findings that a seeded generator writes (``LABELLED`` of them).
 """
@@ -41,16 +42,37 @@ DICTIONARY = (
     "stream string system table target task temp test text this time title token tool total true type unit update upload url "
     "user util value version view web with word work write xxxx your"
 ).split()
-SECRET_WORDS = r"(?i)(token|secret|passw|api.?key|access.?key|credential|auth|bearer|private)"
+SECRET_WORDS = r"(?i)(token|secret|passw|pass.?phrase|passcode|pwd|api.?key|access.?key|credential|auth|bearer|private)"
 HARMLESS_WORDS = r"(?i)(sha|commit|md5|digest|checksum|hash|uuid|revision|example|sample|dummy|placeholder|fixture|etag|blob)"
 
 
+#: What stands between a value and the secret word before it: the word's end, then a sign or spaces.
+NAMED = SECRET_WORDS.replace("(?i)(", "(?i:").replace(".?", "[_ .-]?") + r"""[\p{L}\p{N}_.\[\]\-]{0,24}(?:["'`]?\]?\s{0,3}(?::=|=>|[=:])\s{0,3}|\s{1,3}(?:(?:is|was)\s{1,2})?)["'`]?"""
+
+
+def _assigned() -> str:
+    """The pattern of values after secret words and in URLs; values that CANDIDATE finds with the same ends are left out."""
+    named = r"""(?<=[\s=:>"'`])(?=\S{6})(?<=""" + NAMED + ")"
+    quoted = [rf"(?<={q})(?!{CANDIDATE}{q})(?:[^\s{q}\\]|\\\S){{6,}}(?={q})" for q in "\"'`"]
+    url = r"(?<=[?&][\w.\[\]\-]{1,40}=)"
+    pair = r"(?<=;\s?[\w.\[\]\-]{1,40}=)"
+    in_url = url + rf"""(?!{CANDIDATE}(?:[&#\s"'`<>]|$))[^\s&#"'`<>]{{6,}}"""
+    in_list = pair + rf"""(?!{CANDIDATE}(?:[;\s"'`<>]|$))[^\s;"'`<>]{{6,}}"""
+    end = r""",;.)\]}>"'`"""
+    bare = url.replace("?<=", "?<!") + pair.replace("?<=", "?<!") + rf"""(?:(?<!["'`])|(?!\S*["'`]))(?!{CANDIDATE}[{end}]*(?:\s|$))[^\s"'`]\S{{4,}}[^\s{end}]"""
+    password = rf"(?<=:)(?<=[A-Za-z0-9+.\-]{{2,12}}://[^\s/@:]{{0,128}}:)(?!{CANDIDATE}@)"
+    user = r"(?<=://)(?=[^\s/@:]{6,}@)"
+    return named + "(?:" + "|".join([*quoted, in_url, in_list, bare]) + ")|(?:" + password + "|" + user + r""")[^\s"'`<>]{6,}(?=@[\w\[])"""
+
+
+ASSIGNED = _assigned()
 FOUND = "array<struct<value:string,before:string,after:string,start:int>>"
 
 
 def candidates(df: DataFrame, text_col: str) -> Column:
     """Array of (value, before, after, start) for a text; null and empty texts have none."""
-    return _matches(F.coalesce(F.col(text_col), F.lit("")), CANDIDATE)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.concat(_matches(text, CANDIDATE), F.when(text.rlike(SECRET_WORDS + "|://"), _matches(text, ASSIGNED)).otherwise(F.array().cast(FOUND)))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -96,6 +118,9 @@ def features() -> dict[str, Column]:
         "secret_word": flag(F.concat(F.col("before"), v).rlike(SECRET_WORDS)),
         "harmless_word": flag(F.concat(F.col("before"), v).rlike(HARMLESS_WORDS)),
         "assigned": flag(F.col("before").rlike(r"""[=:]\s*["']?$""")),
+        "code_marks": count(v, r"[(){}<>$\[\]]") / n,
+        "named": flag(F.col("before").rlike("(?:" + NAMED + ")$")),
+        "user_part": flag(F.col("before").rlike(r"://[^\s/@]*$") & F.col("after").rlike("^@")),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
     }
 
@@ -109,7 +134,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
     name = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5)))
     prose = lambda: " ".join(name() for _ in range(r.randint(2, 7))) + r.choice([" ", ". ", "\n", ", "])
     word = lambda: r.choice(DICTIONARY)
-    keys = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "Authorization", "credential", "access_token", "aws_secret_access_key"]
+    keys = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "Authorization", "credential", "access_token", "aws_secret_access_key", "passwd", "db_password", "passphrase", "pwd"]
     secrets = [
         lambda: some(hexa, r.choice([32, 40, 48, 64])), lambda: some(alnum, r.randint(20, 64)), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36),
         lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum + "+/", 43) + "=", lambda: "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), lambda: "eyJ" + some(alnum + "_-", 60), lambda: "glpat-" + some(alnum + "_-", 20),
@@ -128,13 +153,38 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
         (lambda: some(hexa, r.choice([32, 40, 64])), lambda: r.choice(["commit=", "sha256=", "https://host.example/get?rev=", "https://host.example/get?a=1&checksum=", "GIT_COMMIT="])),
         (lambda: "_".join(word() for _ in range(r.randint(4, 6))).ljust(16, "s"), lambda: r.choice(["mode=", "NAME=", "https://host.example/get?page=", "https://host.example/?a=1&label="])),
     ]
+    marks = "!@#$%^*?.,+~"
+    passwords = [
+        lambda: word() + some(string.digits, r.randint(1, 4)) + r.choice(marks) + some(string.ascii_lowercase, r.randint(0, 3)), lambda: word().title() + some(string.digits, r.randint(2, 4)), lambda: some(alnum + marks, r.randint(7, 15)) + r.choice(string.ascii_lowercase),
+        lambda: some(alnum, r.randint(7, 15)), lambda: r.choice("STPM") + some("34015", 1) + name() + some(string.digits, 2), lambda: name() + some(string.digits, r.randint(1, 3)) + some(marks, 1) + name(), lambda: some(string.ascii_letters + "0123456789", 5) + r.choice(marks) + some(alnum, r.randint(2, 30)),
+    ]
+    plain = [
+        (lambda: name().ljust(6, "e"), lambda: r.choice(keys) + r.choice([" ", " ", " is ", ": ", " of "])), (lambda: word().ljust(6, "s"), lambda: r.choice(keys) + r.choice([" ", ": ", " = "])),
+        (lambda: r.choice(["${", "$(", "<", "{{"]) + r.choice(keys).upper() + r.choice(["}", ")", ">", "}}"]), lambda: r.choice(keys) + r.choice(["=", ": ", " = \""])),
+        (lambda: r.choice(["get", "read", "load"]) + word().title() + r.choice(["()", "(name)", "(self)"]), lambda: r.choice(keys) + r.choice([" = ", "="])), (lambda: word() + "." + word() + r.choice(["", "[0]", "()"]), lambda: r.choice(keys) + r.choice([" = ", "="])),
+        (lambda: r.choice(["********", "xxxxxxxx", "changeme", "required", "optional", "string", "undefined", "<hidden>"]), lambda: r.choice(keys) + r.choice([": ", "=", " = \""])), (lambda: some(string.digits, r.randint(2, 5)) + "/" + word() + "?" + word() + "=", lambda: "http://host.example:"),
+    ]
     out = []
 
     def add(lead: str, value: str, tail: str, secret: float) -> None:
         out.append({"value": value, "before": lead[-BEFORE:], "after": tail[:AFTER], "secret": secret, "text": lead + value + tail, "start": len(lead)})
 
     for k in range(n):
-        if k % 2:
+        if k % 6 == 1:  # short values, with any characters
+            if r.random() < 0.3:
+                lead, tail = r.choice(["postgres", "https", "mysql", "ftp", "redis"]) + "://" + r.choice([word(), name(), ""]) + ":", "@" + r.choice(["db", "host.example", "localhost:5432", "10.0.0.1"]) + r.choice(["", "/", "/" + word()])
+            else:
+                quote = r.choice(["\"", "'", "", "\""])
+                key, sign = r.choice([r.choice(keys), r.choice(keys).upper()]), r.choice([" = ", "=", "=", ": ", ":", " := ", " ", " is "])
+                if quote and r.random() < 0.3:
+                    key, sign = quote + key + quote, ": "
+                lead, tail = r.choice(["", "", "--"]) + key + sign + quote, quote
+            add(r.choice([prose(), "", prose()]) + lead, r.choice(passwords)().ljust(6, "7"), tail + r.choice([" ", "\n", " "]) + prose(), 1.0)
+        elif k % 6 == 2:
+            make, lead = r.choice(plain)
+            before = lead()
+            add(r.choice([prose(), ""]) + before, make(), ("\"" if before.endswith("\"") else "@" if "://" in before else "") + " " + prose(), 0.0)
+        elif k % 2:
             quote = r.choice(["\"", "'", "", "", "\""])
             key, sign = r.choice([r.choice(keys), r.choice(keys).upper()]), r.choice([" = ", "=", "=", ": ", ":", " := "])
             if r.random() < 0.15:  # a parameter of a URL

@@ -213,6 +213,29 @@ def test_unquoted_secrets(spark):
     assert scored.filter("secret = 1").count() >= 500 and scored.filter("prediction = secret").count() >= 0.95 * scored.count()
 
 
+def test_short_secrets(spark):
+    cases = [
+        ('password = "hunter2!xyz"', "hunter2!xyz"), ("la postgres://user:S3cretPw99@db fin", "S3cretPw99"), ("DB_PASSWORD=Tr0ub4dor&3\n", "Tr0ub4dor&3"), ('{"passwd": "b7#kQ9,wz"}', "b7#kQ9,wz"),
+        ("https://host.example/in?user=a&password=q8!Rt2zW&next=home", "q8!Rt2zW"), ("redis://:x9Kp4mQ2@localhost:6379/0", "x9Kp4mQ2"), ("Server=db;Password=k3y!Zebra7;Timeout=5", "k3y!Zebra7"), (f"token={'aB3' * 6},rest9!", "aB3" * 6),
+    ]
+    harmless = ["la secret garden of the authors was private property", "password = getPassword()", "password: required", "see http://host.example:8080/index"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in cases] + harmless)], "doc_id long, text string")
+    model = secrets.train(spark)
+    rows = secrets.scan(df, model).collect()
+    assert len({(r.doc_id, r.start, r.value) for r in rows}) == len(rows)
+    found = {(r.doc_id, r.start, r.value): r.is_secret for r in rows}
+    missing = [(t, v) for i, (t, v) in enumerate(cases) if (i, t.index(v), v) not in found]
+    wrong = [(t, v) for i, (t, v) in enumerate(cases) if not found.get((i, t.index(v), v))]
+    assert not missing and not wrong
+    assert not [k for k, v in found.items() if v and k[0] >= len(cases)]
+    clean = {r.doc_id: r.text for r in secrets.redact(df, model=model).collect()}
+    assert clean[0] == 'password = "[SECRET]"' and clean[1] == "la postgres://user:[SECRET]@db fin"
+    # every secret of whole texts of another seed gets a candidate, short ones as well
+    other = [dict(f, text=f["text"], secret=float(i)) for i, f in enumerate(secrets.labelled_findings(1000, 99)) if f["secret"]]
+    reached = {r.secret for r in secrets.drawn(spark, other).filter("secret > 0").select("secret").distinct().collect()}
+    assert not [f["text"] for f in other if f["secret"] not in reached]
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>", "<\\|x", "[\\INST]", "a\n", "", None, "<|end|>\n<|end|>\n", "<\\\\|"]
     records = [json.dumps({"messages": [{"role": "user", "content": t}, {"role": "gpt", "content": t}]}) for t in texts]
