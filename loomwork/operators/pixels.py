@@ -55,7 +55,7 @@ def segment_histograms(images: DataFrame, id_col: str, data: Column, segments: i
                 if n < segments:
                     continue
                 rgb = flat[: 4 * n].reshape(-1, 4)[:, :3]
-                seg = np.minimum(np.arange(n) // (n // segments), segments - 1)
+                seg = np.arange(n) * segments // n
                 cnt = np.bincount((seg[:, None] * 256 + rgb).ravel(), minlength=256 * segments)
                 at = np.flatnonzero(cnt)
                 yield pd.DataFrame({"id": i, "seg": at // 256, "value": at % 256, "cnt": cnt[at]})

@@ -163,7 +163,8 @@ HIST_SQL = BYTES + " SELECT doc_id, CAST(channel AS INTEGER) AS channel, count(*
 
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = pixels.segment_histograms(_images(spark, sf_dir), "doc_id", F.col("data"))
-    return h.groupBy("doc_id", "seg").agg(F.sum("cnt").alias("n"), F.count("*").alias("bins"))
+    sizes = h.groupBy("doc_id", "seg").agg(F.sum("cnt").alias("n"), F.count("*").alias("bins"))
+    return sizes.join(pixels.pair_chi_square(h, ["doc_id", "seg"]), ["doc_id", "seg"]).select("doc_id", "seg", "n", "bins", F.round("chi2", 6).alias("chi2"), "df", F.round("p", 7).alias("p"))
 
 
 SEG_SQL = BYTES + " SELECT doc_id, CAST(least(px // (n // 64), 63) AS INTEGER) AS seg, count(*) AS n, count(DISTINCT value) AS bins FROM v WHERE n >= 64 AND channel < 3 GROUP BY 1, 2"
