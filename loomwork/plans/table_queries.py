@@ -171,7 +171,7 @@ SEG_SQL = BYTES + " SELECT doc_id, CAST(least(px // (n // 64), 63) AS INTEGER) A
 
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pixels.extract_bits(_images(spark, sf_dir), "doc_id", F.col("data"), F.lit(8), "rgb", 0, True, False, 16)
+    got = pixels.extract_bits(_images(spark, sf_dir), "doc_id", F.col("data"), F.lit(8), "rgb", 0, True, False)
     return got.select("doc_id", F.hex("bytes").alias("bits"), "total")
 
 

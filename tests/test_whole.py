@@ -41,3 +41,13 @@ def test_segments(spark, tmp_path):
                 assert abs(r.p - np.exp(-chi2 / 2)) < 1e-6
             want += 1
     assert len(got) == want and max(r.n for (k, _), r in got.items() if k == 5) == 6
+
+
+def test_bits(spark, tmp_path):
+    got = {r.doc_id: r for r in Q.bits(spark, tables(spark, tmp_path)).collect()}
+    for k, text in enumerate(TEXTS):
+        data = (text or "").encode()
+        n = len(data) // 32 * 8
+        bits = "".join(str(data[4 * i + c] & 1) for i in range(n) for c in range(3))
+        whole = bytes(int(bits[j : j + 8], 2) for j in range(0, len(bits) // 8 * 8, 8))
+        assert got[k].bits == whole[:4096].hex().upper() and got[k].total == len(whole)
