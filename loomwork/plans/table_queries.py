@@ -126,8 +126,7 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("b"))
-    head = F.substring(F.col("b"), 1, 40)
-    return d.select("page_id", B.payload_kind(F.col("b")).alias("kind"), B.text_run(F.col("b")).cast("long").alias("run"), B.image_kind(F.col("b")).alias("image"), F.md5(B.printable(F.col("b"))).alias("shown"), B.hex_dump(head).alias("dump"), B.u_be(F.col("b"), 0, 4).alias("be"), B.u_le(F.col("b"), 0, 4).alias("le"))
+    return d.select("page_id", B.payload_kind(F.col("b")).alias("kind"), B.text_run(F.col("b")).cast("long").alias("run"), B.image_kind(F.col("b")).alias("image"), F.md5(B.printable(F.col("b"))).alias("shown"), B.hex_dump(F.col("b")).alias("dump"), B.u_be(F.col("b"), 0, 4).alias("be"), B.u_le(F.col("b"), 0, 4).alias("le"))
 
 
 SNIFF_SQL = r"""

@@ -51,3 +51,14 @@ def test_bits(spark, tmp_path):
         bits = "".join(str(data[4 * i + c] & 1) for i in range(n) for c in range(3))
         whole = bytes(int(bits[j : j + 8], 2) for j in range(0, len(bits) // 8 * 8, 8))
         assert got[k].bits == whole[:4096].hex().upper() and got[k].total == len(whole)
+
+
+def test_dump(spark, tmp_path):
+    got = {r.page_id: r.dump for r in Q.sniff(spark, tables(spark, tmp_path)).collect()}
+    for k, text in enumerate(TEXTS):
+        data, lines = (text or "").encode(), []
+        for at in range(0, len(data), 16):
+            part = data[at : at + 16]
+            half = lambda b: "".join(f"{v:02x} " for v in b).ljust(24)
+            lines.append(f"{at:08x}  {half(part[:8])} {half(part[8:])} " + "".join(chr(v) if 32 <= v <= 126 else "." for v in part))
+        assert (got[k] or "") == "\n".join(lines)
