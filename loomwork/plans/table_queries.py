@@ -141,7 +141,10 @@ SELECT page_id, CASE WHEN html LIKE 'BM%' THEN 'bmp' WHEN run >= 6 THEN 'text' E
 
 
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "region").select("r_name", F.crc32(F.encode("r_name", "UTF-8")).alias("crc"))
+    """CRC-32 of the whole text of every document and page."""
+    d = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("b"))
+    p = read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("b"))
+    return d.unionByName(p).select("kind", "id", F.crc32("b").alias("crc"))
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:

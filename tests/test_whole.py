@@ -62,3 +62,8 @@ def test_dump(spark, tmp_path):
             half = lambda b: "".join(f"{v:02x} " for v in b).ljust(24)
             lines.append(f"{at:08x}  {half(part[:8])} {half(part[8:])} " + "".join(chr(v) if 32 <= v <= 126 else "." for v in part))
         assert (got[k] or "") == "\n".join(lines)
+
+
+def test_checksums(spark, tmp_path):
+    got = {(r.kind, r.id): r.crc for r in Q.checksums(spark, tables(spark, tmp_path)).collect()}
+    assert got == {(kind, k): None if t is None else zlib.crc32(t.encode()) for kind in ("document", "page") for k, t in enumerate(TEXTS)}
