@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from loomwork.llm.shared import small_batches
-
 #: Parts in a word up to which the ranks are scanned instead of held in a heap.
 SHORT = 256
 #: Words whose parts a worker remembers; bounds its memory, never what it encodes.
 REMEMBERED = 200_000
+#: Texts that are encoded at once.
+ROWS = 1_000
 NEVER = 1 << 20
 #: White space as the tokenizer's pattern engine has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,6 +74,8 @@ class WordBpe:
         end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
+        if max(self.tokens, default=0) >= 1 << 17:
+            raise ValueError("pairs are packed in 17 bits an id: the vocabulary may have 131,072 ids")
         #: left << 17 | right -> rank; the id of a union is in joined[rank]
         self.pairs: dict[int, int] = {}
         self.joined: list[int] = []
@@ -184,9 +186,15 @@ def _loaded(shipped) -> WordBpe:
     return _LOADED[hash(source)]
 
 
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: ROWS texts and their ids are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _ship(spark: SparkSession, vocabulary: str | None):
     """The vocabulary file is one of a few MB, read by the driver."""
-    small_batches(spark)
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -204,7 +212,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids"
 
     def run(batches):
         bpe = _loaded(shipped)
-        for b in batches:
+        for b in _parts(batches):
             found = [bpe.encode(t) for t in b.column(text_col).to_pylist()]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
@@ -221,7 +229,7 @@ def bpe_decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decode
 
     def run(batches):
         bpe = _loaded(shipped)
-        for b in batches:
+        for b in _parts(batches):
             texts = pa.array([bpe.decode(x or []) for x in b.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
@@ -235,7 +243,7 @@ def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
 
     def run(batches):
         bpe = _loaded(shipped)
-        for b in batches:
+        for b in _parts(batches):
             rows = [bpe.digests(t) for t in b.column(text_col).to_pylist()]
             n, a, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

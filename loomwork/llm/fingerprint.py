@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import shuffle_width, stash
+from loomwork.llm.shared import discard, free_name, let, stash
 
 #: Distinct lanes up to which the table of repeated lanes is broadcast (24 MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of carried text that a range of keys should hold, and the most ranges (one long each in the plan's array).
+RANGE_BYTES, RANGES = 16 << 20, 32_768
 
 
 def _nfkc(text: Column) -> Column:
@@ -67,9 +69,11 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerpr
     canon = base.select(canonical(F.col(text_col)).alias("canon")).select("canon", *[c.alias(n) for c, n in zip(lanes(F.col("canon")), ("l1", "l2"))])
     clash = stash(collided(canon, canon.select("l1", "l2")), "clash")
     hard = [(r.l1, r.l2) for r in clash.limit(10_000).collect()]
-    whole = base.withColumn("__canon", canonical(F.col(text_col))).withColumn("__l1", lanes(F.col("__canon"))[0]).withColumn("__l2", lanes(F.col("__canon"))[1])
-    mark = clash_test(F.col("__l1"), F.col("__l2"), hard)
-    return whole.withColumn(out_col, fingerprint_of(F.col("__l1"), F.col("__l2"), F.sha2("__canon", 256), mark)).drop("__canon", "__l1", "__l2")
+    discard(clash)
+    text, l1, l2 = (free_name(n, *base.columns, out_col) for n in ("__canon", "__l1", "__l2"))
+    whole = base.withColumn(text, canonical(F.col(text_col))).withColumns(dict(zip((l1, l2), lanes(F.col(text)))))
+    mark = clash_test(F.col(l1), F.col(l2), hard)
+    return whole.withColumn(out_col, fingerprint_of(F.col(l1), F.col(l2), F.sha2(text, 256), mark)).drop(text, l1, l2)
 
 
 def clash_test(l1: Column, l2: Column, hard: list[tuple[int, int]]) -> Column:
@@ -82,40 +86,59 @@ def clash_test(l1: Column, l2: Column, hard: list[tuple[int, int]]) -> Column:
     return F.struct(l1, l2).isin([F.struct(F.lit(a), F.lit(b)) for a, b in hard]) if hard else F.lit(False)
 
 
-def _locate(key: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Number of bounds up to key, by bisection."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(bounds[mid]), _locate(key, bounds, lo, mid)).otherwise(_locate(key, bounds, mid + 1, hi))
+def _locate(key: Column, bounds: list) -> Column:
+    """Number of bounds up to key, by bisection over one array; null keys come before all bounds."""
+    if not bounds:
+        return F.lit(0)
+    whole = all(isinstance(b, int) for b in bounds)
+    held = F.from_json(F.lit(str(bounds)), "array<bigint>") if whole else F.array(*[F.lit(b) for b in bounds])
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
 
+    def search(sorted_: Column) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            mid = F.shiftright(at["lo"] + at["hi"], 1)
+            up = F.get(sorted_, mid) <= key
+            # lo counts bounds known to be up to key, hi those that may be
+            return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(F.when(up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(up, at["hi"]).otherwise(mid).alias("hi")))
 
-def with_next(df: DataFrame, key: str, carried: list[str]) -> DataFrame:
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda at: at["lo"])
+
+    return F.when(key.isNull(), F.lit(0)).otherwise(let(held, search))
+
+
+def with_next(df: DataFrame, key: str, carried: list[str], weight: Column | None = None) -> DataFrame:
     """df with ``next_<c>`` for each carried column: the row next in descending key, after the last the first.
 
     Rows are dealt to ranges of the key by its quantiles; the greatest row of a range is
     also sent to the range above it, where it follows the last.  So each range is a
-    window of its own and the rows are shuffled once.  Null keys count as smallest; ties
-    go by the carried columns.
+    window of its own and the rows are shuffled once.  The number of ranges follows the
+    sum of ``weight`` (bytes; by default of the carried columns' text), not the cluster,
+    and the plan's size does not depend on it.  Null keys count as smallest; ties go by
+    the carried columns, and the rows of one key stay in one range (a window streams over
+    them and spills).  Columns named ``next_<c>`` are replaced.
     """
-    spark_width = 2 * shuffle_width(df.sparkSession)
-    probs = [i / spark_width for i in range(1, spark_width)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, probs, 10_000)).first()[0] or []))
-    part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(_locate(F.col(key), bounds, 0, len(bounds)))
-    dealt = df.withColumn("__part", part)
-    # one row for each range: bounded by the number of ranges
-    heads = sorted((r["__part"], r["head"]) for r in dealt.groupBy("__part").agg(F.max(key).alias("head")).collect())
-    after, is_head = F.lit(None).cast("int"), F.lit(False)
-    for k, (p, head) in enumerate(heads):
-        up = heads[(k + 1) % len(heads)][0]
-        mine = F.col("__part") == p
-        is_head = is_head | (mine & F.col(key).eqNullSafe(F.lit(head)))
-        after = F.when(mine, F.lit(up)).otherwise(after)
-    seats = F.when(is_head, F.array(F.struct(F.col("__part").alias("p"), F.lit(False).alias("ghost")), F.struct(after.alias("p"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("__part").alias("p"), F.lit(False).alias("ghost"))))
-    seated = dealt.withColumn("__seat", F.explode(seats))
-    w = Window.partitionBy("__seat.p").orderBy(F.col("__seat.ghost"), F.col(key).desc_nulls_last(), *[F.col(c) for c in carried])
+    base = df.drop(*[f"next_{c}" for c in carried])
+    part, ghost, seat = (free_name(n, *base.columns, *[f"next_{c}" for c in carried]) for n in ("__part", "__ghost", "__seat"))
+    size = weight if weight is not None else sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in carried), F.lit(0))
+    total = base.agg(F.sum(size.cast("long"))).first()[0] or 0
+    n = min(RANGES, -(-total // RANGE_BYTES))
+    found = base.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else []
+    dealt = base.withColumn(part, _locate(F.col(key), sorted(set(found or []))))
+    # one row for each range, so at most RANGES
+    heads = dealt.groupBy(part).agg(F.max(key).alias("head")).orderBy(part).collect()
+    if not heads:
+        heads = [(0, None)]
+    above = [heads[(k + 1) % len(heads)][0] for k in range(len(heads))]
+    kind = base.schema[key].dataType
+    table = df.sparkSession.createDataFrame([(h[0], h[1], up) for h, up in zip(heads, above)], f"p_ int, head_ {kind.simpleString()}, up_ int")
+    marked = dealt.join(F.broadcast(table), F.col(part) == F.col("p_"), "left")
+    own = F.struct(F.col(part).alias("p"), F.lit(False).alias("g"))
+    seats = F.when(F.col(key).eqNullSafe(F.col("head_")), F.array(own, F.struct(F.col("up_").alias("p"), F.lit(True).alias("g")))).otherwise(F.array(own))
+    seated = marked.select(*[F.col(f"`{c}`") for c in base.columns], F.explode(seats).alias(seat))
+    seated = seated.withColumn(part, F.col(f"{seat}.p")).withColumn(ghost, F.col(f"{seat}.g")).drop(seat)
+    w = Window.partitionBy(part).orderBy(F.col(ghost), F.col(key).desc_nulls_last(), *[F.col(c) for c in carried])
     led = seated.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
-    return led.filter(~F.col("__seat.ghost")).drop("__seat", "__part")
+    return led.filter(~F.col(ghost)).drop(ghost, part)
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +151,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
     keyed = base.withColumn("canon", canonical(F.col("text"))).select(id_col, "text", *[c.alias(n) for c, n in zip(lanes(F.col("canon")), ("t1", "t2"))], F.sha2("canon", 256).alias("ts"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    paired = with_next(keyed, id_col, ["text", "t1", "t2", "ts"]).select(
+    paired = with_next(keyed, id_col, ["text", "t1", "t2", "ts"], F.octet_length("text")).select(
         id_col, n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"),
         "t1", "t2", "ts", "next_t1", "next_t2", "next_ts",
     )

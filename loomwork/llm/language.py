@@ -15,15 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import small_batches
+from loomwork.llm.shared import arrow_batches, free_name
 
 DIMENSIONS, SEED, GRAM = 1024, 11, 3
 #: Characters and documents of a block that is bundled at once; longer texts go piece by piece.
 CHARS, DOCS = 400_000, 64
-#: Bound n-grams that a worker remembers.
-REMEMBERED = 8_000
-#: Texts whose bundles are held at once.
-TEXTS = 512
+#: Bound n-grams that a worker remembers, and n-grams whose counts are a matrix at once.
+REMEMBERED, SLICE = 8_000, 4_000
+#: Texts whose bundles are held at once, and of letters that are remembered.
+TEXTS, LETTERS = 512, 20_000
 GAP = 32
 
 
@@ -32,46 +32,46 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=LETTERS)
 def letter_vector(code: int) -> np.ndarray:
     bits = np.random.Generator(np.random.PCG64([SEED, code])).integers(0, 2, DIMENSIONS, dtype=np.int8)
     return (2 * bits - 1).astype(np.int8)
 
 
+def bind(grams: np.ndarray) -> np.ndarray:
+    """A row for each n-gram: the product of its letters' vectors, each rotated by its place."""
+    out = np.ones((len(grams), DIMENSIONS), np.int8)
+    for place in range(GRAM):
+        codes, at = np.unique(grams >> 21 * place & 0x1FFFFF, return_inverse=True)
+        out *= np.roll(np.stack([letter_vector(c) for c in codes.tolist()]), place, axis=1)[at]
+    return out
+
+
 class Bundler:
-    """Bundles of texts; keeps the bound n-grams it has met, in one matrix."""
+    """Bundles of texts; keeps bound n-grams that it has met, in one matrix."""
 
     def __init__(self):
         self.where: dict[int, int] = {}
         self.table = np.zeros((REMEMBERED, DIMENSIONS), np.float32)
 
     def _bound(self, grams: np.ndarray) -> np.ndarray:
-        if len(grams) > REMEMBERED // 2:
-            return np.stack([self._bind(int(g)) for g in grams]).astype(np.float32)
+        """Rows of up to SLICE n-grams; new ones are remembered, all are forgotten when there is no room."""
         new = [g for g in grams.tolist() if g not in self.where]
         if len(self.where) + len(new) > REMEMBERED:
             self.where, new = {}, grams.tolist()
-        for g in new:
-            self.table[len(self.where)] = self._bind(g)
-            self.where[g] = len(self.where)
+        if new:
+            at = len(self.where)
+            self.table[at : at + len(new)] = bind(np.array(new, dtype=np.int64))
+            self.where.update(zip(new, range(at, at + len(new))))
         return self.table[[self.where[g] for g in grams.tolist()]]
 
-    @staticmethod
-    def _bind(gram: int) -> np.ndarray:
-        out = np.ones(DIMENSIONS, np.int8)
-        for place in range(GRAM):
-            out = out * np.roll(letter_vector(gram >> 21 * place & 0x1FFFFF), place)
-        return out
-
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text; zeros if it has no letter."""
         out = np.zeros((len(texts), DIMENSIONS))
         block: list[tuple[int, np.ndarray]] = []
         size = 0
         for i, text in enumerate(texts):
-            codes = self._codes(text)
-            for at in range(0, max(len(codes) - GRAM + 1, 0), CHARS):
-                piece = codes[at : at + CHARS + GRAM - 1]
+            for piece in self._codes(text or ""):
                 block.append((i, piece))
                 size += len(piece)
                 if size >= CHARS or len(block) >= DOCS:
@@ -81,12 +81,19 @@ class Bundler:
         return out
 
     @staticmethod
-    def _codes(text: str | None) -> np.ndarray:
-        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.concatenate([[GAP], np.where(_letters()[codes], codes, GAP), [GAP]]).astype(np.int64)
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
-        return codes[keep]
+    def _codes(text: str):
+        """Letters in pieces of about CHARS, other runs as one gap; each piece begins with the last two codes before it."""
+        held = np.array([GAP], dtype=np.int64)
+        for at in range(0, len(text) + 1, CHARS):
+            codes = np.frombuffer(text[at : at + CHARS].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            last = [GAP] if at + CHARS > len(text) else []
+            codes = np.concatenate([held, np.where(_letters()[codes], codes, GAP).astype(np.int64), last]).astype(np.int64)
+            keep = np.ones(len(codes), bool)
+            keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
+            codes = codes[keep]
+            if len(codes) >= GRAM:
+                yield codes
+            held = codes[1 - GRAM :]
 
     def _add(self, out: np.ndarray, block: list[tuple[int, np.ndarray]]) -> None:
         if not block:
@@ -111,9 +118,17 @@ class Bundler:
             col = index[gram]
         else:
             met, col = np.unique(gram, return_inverse=True)
-        counts = np.bincount(doc * len(met) + col, minlength=len(block) * len(met)).reshape(len(block), len(met)).astype(np.float32)
         ids = alphabet[met // (k * k)] | alphabet[met // k % k] << 21 | alphabet[met % k] << 42
-        sums = counts @ self._bound(ids)
+        cuts = [0, len(col)]
+        if len(met) > SLICE:  # n-grams in order, so that a slice of them is a run
+            by = np.argsort(col, kind="stable")
+            doc, col = doc[by], col[by]
+            cuts = [*np.searchsorted(col, np.arange(0, len(met), SLICE)).tolist(), len(col)]
+        sums = np.zeros((len(block), DIMENSIONS))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            part = ids[k * SLICE : (k + 1) * SLICE]
+            counts = np.bincount(doc[a:b] * len(part) + (col[a:b] - k * SLICE), minlength=len(block) * len(part)).reshape(len(block), len(part))
+            sums += counts.astype(np.float32) @ self._bound(part)
         np.add.at(out, [i for i, _ in block], sums)
 
 
@@ -157,11 +172,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         for lang, v in sums.items():
             yield pd.DataFrame({"lang": lang, "place": np.arange(DIMENSIONS, dtype=np.int32), "value": v})
 
-    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     parts = rows.mapInPandas(run, "lang string, place int, value long")
     summed = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v"))
-    found = {r.lang: np.array([x.value for x in r.v], dtype=np.float64) for r in summed.collect()}
+    with arrow_batches(labelled.sparkSession):
+        found = {r.lang: np.array([x.value for x in r.v], dtype=np.float64) for r in summed.collect()}
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if np.any(v)}
 
 
@@ -171,17 +186,18 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned;
     equal cosines go to the language first in order.  Repeated rows stay.
     """
-    small_batches(df.sparkSession)
     names = list(prototypes)
     grid = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS))
     clash = {"lang_pred", "score"} & set(carried)
     if clash:
         raise ValueError(f"columns {clash} are of the result")
-    kept = df.select(*carried, F.col(text_col).alias("__text"))
+    # the text goes to Python once, under the caller's name if it is carried
+    text = text_col if text_col in carried else free_name("__text", *carried)
+    kept = df.select(*carried) if text in carried else df.select(*carried, F.col(text_col).alias(text))
 
     def run(frames):
         for pdf in _slices(frames):
-            x = _bundler().bundle(pdf["__text"].tolist())
+            x = _bundler().bundle(pdf[text].tolist())
             some = np.any(x, axis=1) & bool(names)
             cos = _units(x) @ grid.T if names else np.zeros((len(x), 1))
             best = cos.argmax(1)

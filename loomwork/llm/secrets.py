@@ -18,12 +18,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import stash
+from loomwork.llm.shared import free_name, let, stash
 
 #: Labelled findings that the forest is fitted on (a documented bound), trees and depth.
 LABELLED, TREES, DEPTH, SEED = 4000, 24, 8, 8
 #: Code points of context that count as neighbours.
 BEFORE, AFTER = 40, 16
+#: Gaps and values that BEFORE can reach over (a value has six characters or more), and numbers of a run of sums.
+REACH, RUN = 14, 32
+#: Code points of a piece of text that is masked at once.
+PIECE = 4096
 #: Documents with secrets up to which their table is broadcast by redact(); beyond, it is shuffled.
 BROADCAST_ROWS = 100_000
 #: A value may follow '='; padding ends a run only where no token character follows.
@@ -75,22 +79,50 @@ def candidates(df: DataFrame, text_col: str) -> Column:
     return F.concat(_matches(text, CANDIDATE), F.when(text.rlike(SECRET_WORDS + "|://"), _matches(text, ASSIGNED)).otherwise(F.array().cast(FOUND)))
 
 
+def running_sums(numbers: Column, depth: int = 4) -> Column:
+    """Sums of an array of integers up to each place, in time that grows with its length.
+
+    Runs of RUN numbers are summed one by one; the sums of the runs are added up in the
+    same way, ``depth`` times over (RUN ** depth numbers).
+    """
+    run = lambda part: F.transform(F.sequence(F.lit(1), F.size(part)), lambda n: F.aggregate(F.slice(part, F.lit(1), n), F.lit(0), lambda x, y: x + y))
+    if not depth:
+        return run(numbers)
+
+    def cut(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(held), F.lit(RUN))
+        return let(F.transform(starts, lambda at: run(F.slice(held, at, F.lit(RUN)))), join)
+
+    def join(runs: Column) -> Column:
+        ends = F.transform(runs, lambda r: F.element_at(r, -1))
+        later = lambda sums: F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: x + F.when(i > 0, F.get(sums, i - 1)).otherwise(0))))
+        return F.when(F.size(runs) > 1, let(running_sums(ends, depth - 1), later)).otherwise(F.flatten(runs))
+
+    return let(numbers, cut)
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    n = F.size(values)
-    whole = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, n).alias("gap"), F.slice(gaps, 2, n).alias("next"), F.concat(F.slice(values, 2, n), F.array(F.lit(""))).alias("following"))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(FOUND).alias("found"))
+    """Every match with what stands before and after it; linear in their number."""
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(c: Column) -> Column:
+        values, gaps = c["values"], c["gaps"]
+        pairs = F.transform(values, lambda v, i: F.struct(v.alias("value"), F.get(gaps, i).alias("gap")))
+        ends = running_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"])))
+        # ends of gaps and values in turn: what lies before may reach over earlier values
+        tails = F.flatten(F.transform(pairs, lambda p: F.array(F.right(p["gap"], F.lit(BEFORE)), F.right(p["value"], F.lit(BEFORE)))))
+        return let(F.struct(values.alias("values"), gaps.alias("gaps"), ends.alias("ends"), tails.alias("tails")), told)
+
+    def told(c: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            least = F.greatest(2 * i - REACH, F.lit(0))
+            before = F.right(F.array_join(F.slice(c["tails"], least + 1, 2 * i + 1 - least), ""), F.lit(BEFORE))
+            after = F.substring(F.concat(F.get(c["gaps"], i + 1), F.coalesce(F.get(c["values"], i + 1), F.lit(""))), F.lit(1), F.lit(AFTER))
+            return F.struct(v.alias("value"), before.alias("before"), after.alias("after"), (F.get(c["ends"], i) - F.length(v)).alias("start"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        # what lies before may reach over earlier values: a long name in front of '=' is one
-        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(BEFORE))
-        after = F.substring(F.concat(x["next"], x["following"]), F.lit(1), F.lit(AFTER))
-        one = F.struct(x["value"].alias("value"), before.alias("before"), after.alias("after"), start.alias("start"))
-        return F.struct((start + F.length(x["value"])).alias("at"), F.right(F.concat(before, x["value"]), F.lit(BEFORE)).alias("tail"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return F.transform(c["values"], one)
 
-    return F.when(n > 0, F.aggregate(whole, empty, step, lambda a: a["found"])).otherwise(F.array().cast(FOUND))
+    return let(cut, lambda c: F.when(F.size(c["values"]) > 0, placed(c)).otherwise(F.array().cast(FOUND)))
 
 
 def features() -> dict[str, Column]:
@@ -237,12 +269,45 @@ def scan(df: DataFrame, model: RandomForestClassificationModel | None = None, ca
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """df with every value that the scan takes for a secret replaced by ``mask``; all rows and columns stay."""
-    named = df.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    secrets = scan(named, model, ("__key",), text_col).filter("is_secret").select("__key", "value").distinct()
-    # longer values first: one may hold another
-    by_text = stash(secrets.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.length("value").alias("n"), F.col("value").alias("value"))), asc=False).alias("__values")), "secrets")
+    """df with the places that the scan takes for secrets replaced by ``mask``; all rows and columns stay.
+
+    Only those places change: the same value elsewhere stays if the scan lets it pass.
+    Places that overlap or touch one that began before become one mask.  Rows that repeat
+    an id and a text have the same places; null and empty texts stay.  Names never clash.
+    """
+    h1, h2, spans, c1, c2 = (free_name(n, *df.columns) for n in ("__h1", "__h2", "__spans", "__c1", "__c2"))
+    # a text is known by its id and 128 bits
+    named = df.withColumns({h1: F.xxhash64(F.col(id_col), F.lit(1), F.col(text_col)), h2: F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col))})
+    found = scan(named.select(h1, h2, text_col), model, (h1, h2), text_col).filter("is_secret").select(F.col(h1).alias(c1), F.col(h2).alias(c2), "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
+    # a place that crosses a border of pieces goes on in the next one, without another mask
+    piece = F.explode(F.sequence(F.floor(F.col("start") / PIECE), F.floor((F.col("stop") - 1) / PIECE)))
+    cut = found.select(c1, c2, "start", "stop", piece.alias("piece"))
+    inner = F.struct(
+        F.greatest(F.col("start") - F.col("piece") * PIECE, F.lit(0)).cast("int").alias("from"), F.least(F.col("stop") - F.col("piece") * PIECE, F.lit(PIECE)).cast("int").alias("to"),
+        (F.col("start") >= F.col("piece") * PIECE).alias("begins"),
+    )
+    by_piece = cut.groupBy(c1, c2, "piece").agg(F.sort_array(F.collect_list(inner)).alias("inner"))
+    by_text = stash(by_piece.groupBy(c1, c2).agg(F.sort_array(F.collect_list(F.struct(F.col("piece").cast("int").alias("piece"), "inner"))).alias(spans)), "secrets")
     side = F.broadcast(by_text) if by_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else by_text
-    joined = named.join(side, "__key", "left")
-    clean = F.when(F.col("__values").isNull(), F.col(text_col)).otherwise(F.aggregate("__values", F.col(text_col), lambda acc, x: F.replace(acc, x["value"], F.lit(mask))))
-    return joined.withColumn(text_col, clean).select(*df.columns)
+    joined = named.join(side, (F.col(h1) == F.col(c1)) & (F.col(h2) == F.col(c2)), "left")
+    clean = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col(spans), mask))
+    return joined.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """text, cut in pieces, with the places of each piece (see redact) replaced."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def fill(piece: Column, inner: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            fresh = (x["from"] > acc["at"]) | ((x["from"] == 0) & (acc["at"] == 0))
+            gap = F.substring(piece, acc["at"] + 1, F.greatest(x["from"] - acc["at"], F.lit(0)))
+            return F.struct(F.greatest(acc["at"], x["to"]).alias("at"), F.concat(acc["out"], gap, F.when(fresh & x["begins"], F.lit(mask)).otherwise("")).alias("out"))
+
+        return F.aggregate(inner, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(piece, acc["at"] + 1, F.length(piece))))
+
+    def each(piece: Column, i: Column) -> Column:
+        mine = F.get(F.filter(spans, lambda s: s["piece"] == i), F.lit(0))["inner"]
+        return let(mine, lambda inner: F.when(inner.isNull(), piece).otherwise(fill(piece, inner)))
+
+    return F.array_join(F.transform(pieces, each), "")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -48,21 +51,54 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays until discard() or the end of the driver's Python.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with arrow_batches(spark):
+        df.write.option("compression", codec).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stashed_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more: what was made of them is itself written."""
+    for df in frames:
+        _remove(df.sparkSession, df.stashed_at)
+
+
+#: Rows and bytes of an Arrow batch, so that whole texts of a batch stay small beside a worker's memory.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches while a table is written; the session's own settings come back."""
+    before = {k: spark.conf.get(k) for k in ARROW}
+    for k, most in ARROW.items():
+        if not 0 < int(before[k].rstrip("b")) <= most:
+            spark.conf.set(k, str(most))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-#: Rows of an Arrow batch, so that whole texts of a batch stay small beside a worker's memory.
-ARROW_ROWS = 2000
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def free_name(name: str, *taken: str) -> str:
+    """``name``, with underscores in front until no column is called so (case does not count)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,7 +7,8 @@ import xxhash
 
 #: Words whose hashes a worker remembers; bounds its memory only.
 REMEMBERED = 200_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of the two polynomials.
+BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
@@ -44,6 +45,19 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def window_checks(hashes: np.ndarray, width: int) -> np.ndarray:
+    """32 more bits of each window: a polynomial in another base over re-mixed word hashes."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint32)
+    words = mixed(hashes + BASE)
+    out = words[:n].copy()
+    for j in range(1, width):
+        out *= OTHER
+        out += words[j : n + j]
+    return (mixed(out) >> np.uint64(32)).astype(np.uint32)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -53,14 +67,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(values: np.ndarray, deltas: bool) -> bytes:
-    """64-bit values byte plane by byte plane, so that Spark's own compression finds the empty planes."""
-    values = values.astype(np.uint64, copy=False)
-    if deltas:
-        values = np.diff(values, prepend=np.uint64(0))
-    return values.view(np.uint8).reshape(len(values), 8).T.tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane, so that Spark's own compression finds the empty planes."""
+    width = values.dtype.itemsize
+    return values.view(np.uint8).reshape(len(values), width).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as planes of their differences."""
+    return planes(np.diff(values.astype(np.uint64, copy=False), prepend=np.uint64(0)))
 
 
-def unpack(data: bytes, deltas: bool) -> np.ndarray:
-    values = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(values, dtype=np.uint64) if deltas else values
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
