@@ -1,13 +1,15 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length window of words.
 
-Rows are read in batches.  A batch hashes every window of its texts, keeps the first of
-each hash (by id, then start) and sends those, sorted and packed, to buckets of the hash
-range.  A bucket finds for each hash the batch whose document comes first and answers
-every other batch with one bit a window.  Removed windows then merge into maximal
-intervals of words.  A hash that a third of all documents hold is one entry a batch.
-
-Windows are equal if their 64-bit hashes are; among n windows about n * n / 2 ** 65 pairs
-agree by chance.
+Rows are read in batches of about ``BATCH_BYTES`` of text.  A batch hashes every window of
+its texts, keeps the first of each hash (by id, then start) and sends those, sorted and
+packed, to buckets of the hash range.  A bucket finds for each hash the batch whose
+document comes first and answers every other batch with one bit a window.  Removed windows
+then merge into maximal intervals of words.  A hash that a third of all documents hold is
+one entry a batch.
+
+A window is known by 96 bits: a 64-bit hash that orders the buckets and 32 bits of an
+independent polynomial beside it.  Among n windows about n * n / 2 ** 97 pairs agree by
+chance: below 2e-3 pairs in all for the 2e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import shuffle_width, small_batches, stash
-from loomwork.llm.wordhash import pack, unpack, window_hashes, word_hashes, words_of
+from loomwork.llm.shared import shuffle_width, stash
+from loomwork.llm.wordhash import from_planes, pack, planes, unpack, window_checks, window_hashes, word_hashes, words_of
 
-#: Rows of a batch, and windows that a bucket should hold.
-BATCH_ROWS, BUCKET_WINDOWS = 2048, 2_000_000
+#: Rows of a batch of short texts, bytes of text of any batch (a longer text is a batch of its own), and windows that a bucket should hold.
+BATCH_ROWS, BATCH_BYTES, BUCKET_WINDOWS = 2048, 4 << 20, 2_000_000
+
+
+def _finer(by: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """An order by h made one by h, then c, then place: only where equal h have unequal c."""
+    s, t = h[by], c[by]
+    return np.lexsort((c, h)) if bool(((s[1:] == s[:-1]) & (t[1:] != t[:-1])).any()) else by
 
 
 class _Batch:
@@ -34,19 +42,24 @@ class _Batch:
         self.ids, self.rows = ids[order], rows[order]
         self.words = [words_of(texts[i]) for i in order]
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        hashed = [window_hashes(word_hashes(w), width) for w in self.words]
+        by_word = [word_hashes(w) for w in self.words]
+        hashed = [window_hashes(h, width) for h in by_word]
+        checked = [window_checks(h, width) for h in by_word]
         counts = np.array([len(h) for h in hashed], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype(np.int64)
         #: place of each window's first word among all words of the batch, and its document
         self.doc = np.repeat(np.arange(len(counts)), counts)
         first = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
         self.place = np.arange(len(self.doc)) - np.repeat(first, counts) + np.repeat(begin, counts)
-        h = np.concatenate(hashed) if hashed else np.empty(0, np.uint64)
+        h = np.concatenate([np.empty(0, np.uint64), *hashed])
+        c = np.concatenate([np.empty(0, np.uint32), *checked])
         by = np.argsort(h, kind="stable")
-        s = h[by]
+        if len(by):
+            by = _finer(by, h, c)
+        s, t = h[by], c[by]
         new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        self.hashes, self.firsts = s[new], by[new]
+        new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+        self.hashes, self.checks, self.firsts = s[new], t[new], by[new]
         self.again = by[~new]
         self.width = width
 
@@ -71,28 +84,44 @@ class _Batch:
 
 
 def _batches(frames, width: int):
-    """Batches in order; rows of one batch may come in several frames."""
-    held: list[pd.DataFrame] = []
+    """Batches, each when its class of lengths goes on to the next; rows of one batch may come in several frames."""
+    held: dict[int, tuple[int, list[pd.DataFrame]]] = {}
+    made = lambda parts: _Batch(*(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("id", "row")), [t for p in parts for t in p["text"]], width)
     for pdf in frames:
-        held.append(pdf)
-        got = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
-        last = got["batch"].iloc[-1] if len(got) else None
-        for b, part in got[got["batch"] != last].groupby("batch", sort=False):
-            yield b, _Batch(part["id"].to_numpy(), part["row"].to_numpy(), part["text"].tolist(), width)
-        held = [got[got["batch"] == last]]
-    for b, part in held[0].groupby("batch", sort=False) if held and len(held[0]) else ():
-        yield b, _Batch(part["id"].to_numpy(), part["row"].to_numpy(), part["text"].tolist(), width)
+        for b, part in pdf.groupby("batch", sort=True):
+            kind = b % CLASSES
+            if kind in held and held[kind][0] != b:
+                last, parts = held.pop(kind)
+                yield last, made(parts)
+            held.setdefault(kind, (b, []))[1].append(part)
+    for last, parts in held.values():
+        yield last, made(parts)
+
+
+#: Classes of text length, each twice the one before; a batch holds texts of one class.
+CLASSES = 16
+
+
+def batch_of(row: Column, text: Column) -> Column:
+    """The batch of a row: half as many rows for each doubling of their length, one if a text is longer than a batch."""
+    least = BATCH_BYTES // BATCH_ROWS
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    kind = F.least(F.greatest(F.ceil(F.log2(size / least)), F.lit(0)), F.lit(BATCH_ROWS.bit_length() - 1)).cast("int")
+    kind = F.when(size <= least, F.lit(0)).otherwise(kind)
+    most = F.element_at(F.array(*[F.lit(BATCH_ROWS >> k) for k in range(CLASSES)]), kind + 1)
+    return F.call_function("div", row, most) * CLASSES + kind
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each message of a bucket one bit a hash: whether an earlier document has it."""
     pdf = pdf.sort_values("batch", ignore_index=True)
-    hashes = [unpack(x, True) for x in pdf["hashes"]]
-    h, d = np.concatenate(hashes), np.concatenate([unpack(x, False).view(np.int64) for x in pdf["ids"]])
-    by = np.argsort(h, kind="stable")
-    s, d = h[by], d[by]
+    hashes = [unpack(x) for x in pdf["hashes"]]
+    h, c = np.concatenate(hashes), np.concatenate([from_planes(x, np.uint32) for x in pdf["checks"]])
+    d = np.concatenate([unpack(x).view(np.int64)[from_planes(y, np.uint16)] for x, y in zip(pdf["ids"], pdf["places"])])
+    by = _finer(np.argsort(h, kind="stable"), h, c)
+    s, t, d = h[by], c[by], d[by]
     new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
+    new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     starts = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     least = d == np.minimum.reduceat(d, starts)[group]
@@ -115,12 +144,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     df is read twice and must give the same rows both times: it is written to the shared
     folder first unless ``stable`` says that it is a plain scan.
     """
-    small_batches(df.sparkSession)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base if stable else stash(base, "texts")
-    rows = base.withColumn("row", F.monotonically_increasing_id()).withColumn("batch", F.floor(F.col("row") / BATCH_ROWS)).withColumn("id", F.coalesce("id", F.lit(-(2**63))))
+    rows = base.withColumn("row", F.monotonically_increasing_id()).withColumn("batch", batch_of(F.col("row"), F.col("text"))).withColumn("id", F.coalesce("id", F.lit(-(2**63))))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(2 * shuffle_width(spark), -(-chars // (5 * BUCKET_WINDOWS)))
 
@@ -128,13 +156,19 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b, batch in _batches(frames, width):
             bucket = (batch.hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            ids = batch.ids[batch.doc[batch.firsts]]
-            at = np.flatnonzero(np.diff(cuts))
+            doc = batch.doc[batch.firsts]
             stamp = batch.stamp()
-            if len(at):
-                yield pd.DataFrame({"bucket": at.astype(np.int32), "batch": b, "stamp": stamp, "hashes": [pack(batch.hashes[cuts[i] : cuts[i + 1]], True) for i in at], "ids": [pack(ids[cuts[i] : cuts[i + 1]].view(np.uint64), False) for i in at]})
-
-    sent = rows.mapInPandas(send, "bucket int, batch long, stamp long, hashes binary, ids binary")
+            sent: dict[str, list] = {k: [] for k in ("bucket", "hashes", "checks", "ids", "places")}
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = slice(cuts[i], cuts[i + 1])
+                # a batch is in the order of its ids, so a message's distinct documents are too
+                held, place = np.unique(doc[mine], return_inverse=True)
+                for k, v in zip(sent, (i, pack(batch.hashes[mine]), planes(batch.checks[mine]), pack(batch.ids[held].view(np.uint64)), planes(place.astype(np.uint16)))):
+                    sent[k].append(v)
+            if sent["bucket"]:
+                yield pd.DataFrame({**sent, "batch": b, "stamp": stamp}).astype({"bucket": np.int32})[["bucket", "batch", "stamp", "hashes", "checks", "ids", "places"]]
+
+    sent = rows.mapInPandas(send, "bucket int, batch long, stamp long, hashes binary, checks binary, ids binary, places binary")
     answers = stash(sent.groupBy("bucket").applyInPandas(_answers, "batch long, bucket int, stamp long, n long, bits binary"), "answers")
 
     def apply(docs: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
