@@ -2,11 +2,12 @@
 
 A document is a set of word shingles.  Under each permutation both the minimum and the
 maximum are kept, so 64 permutations give 128 values, banded four by four.  Documents
-with equal sets become one.  Sets that share a band form candidate groups; in a group
-every link is confirmed on whole sets.  Groups of up to ``CELL`` sets are checked in one
-place.  Larger ones first link what they can to one hub; only what stays unlinked is
-compared with the rest of its group, in blocks.  Tasks return spanning links, never all
-pairs, and no group or bucket has a cap.
+with equal sets become one.  Sets that share a band are a bucket, and sets are compared
+within their buckets only.  First each set is compared with the hub of its buckets, on
+whole sets, and confirmed links are closed into classes.  In a bucket whose other members
+are then of more than one class, members outside its largest class are compared with all
+members, in blocks of ``CELL``; buckets with the same members are compared once.  Tasks
+return links between classes, never all pairs, and no bucket has a cap.
 
 A pair of the threshold's likeness misses every band with a chance of about 5e-8.
 """
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components
-from loomwork.llm.shared import shuffle_width, small_batches, stash
-from loomwork.llm.wordhash import mixed, pack, unpack, window_hashes, word_hashes, words_of
+from loomwork.llm.shared import discard, stash
+from loomwork.llm.wordhash import pack, unpack, window_hashes, word_hashes, words_of
 
 PERMUTATIONS, BAND = 64, 4
-#: Sets of a group that one task compares, and sets of a block of a larger group.
+#: Sets of a bucket that are compared in one place, and sets of a block of a larger bucket.
 CELL = 256
 #: Candidates up to which their ids are broadcast (16 MB); beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -61,7 +62,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _links(ids: list, sets: list[np.ndarray], fresh: list[bool], joined: list, percent: int) -> list[tuple]:
-    """Spanning links among sets: between each fresh one and any other. Sets with equal ``joined`` are linked already."""
+    """Spanning links among sets: between each fresh one and any other, as pairs of ``joined``. Sets with equal ``joined`` are linked already."""
     order = sorted(range(len(ids)), key=lambda i: (fresh[i], ids[i]))
     sizes = np.array([len(sets[i]) for i in order], dtype=np.int64)
     if not len(order) or not sizes.all():
@@ -78,8 +79,7 @@ def _links(ids: list, sets: list[np.ndarray], fresh: list[bool], joined: list, p
 
     first: dict = {}
     for k, i in enumerate(order):
-        if joined[i] is not None:
-            root[top(k)] = top(first.setdefault(joined[i], k))
+        root[top(k)] = top(first.setdefault(joined[i], k))
     out, mark = [], np.zeros(len(flat), bool)
     for k in range(len(order)):
         if not fresh[order[k]]:
@@ -93,111 +93,138 @@ def _links(ids: list, sets: list[np.ndarray], fresh: list[bool], joined: list, p
             for j in np.flatnonzero(100 * both >= percent * (sizes[:k] + sizes[k] - both)).tolist():
                 if top(j) != top(k):
                     root[top(j)] = top(k)
-                    out.append((ids[order[k]], ids[order[j]]))
+                    out.append((joined[order[k]], joined[order[j]]))
         mark[mine] = False
     return out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, stable: bool = False) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, stable: bool = False, row_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row.
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle
     sets; component_id is the smallest id reachable.  Texts without words are linked with
-    nothing.  Rows that repeat an id are one document in the links.  Null ids are smallest
-    and come back as null.  df is read twice (see dedup_substrings for ``stable``).
+    nothing.  Rows with equal ids and different texts are documents of their own.  Null
+    ids are smallest and come back as null.  kept: id = component_id, so that of repeated
+    rows all are kept or none; with ``row_col``, a column that numbers the rows and is
+    returned too, exactly one row of each class is kept (least id, then number), and each
+    row without words.  df is read twice (see dedup_substrings for ``stable``).
     """
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
     kind = df.schema[id_col].dataType
     null = -(2**63)
-    base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("id"), F.col(text_col).alias("text"))
+    number = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("id"), F.col(text_col).alias("text"), number.alias("row"))
     base = base if stable else stash(base, "texts")
 
     def sign(frames):
         for pdf in frames:
             out = []
-            for i, text in zip(pdf["id"], pdf["text"]):
+            for i, row, text in zip(pdf["id"], pdf["row"], pdf["text"]):
                 s = shingles(text, words)
-                data = xxhash.xxh3_128(s.tobytes())
-                a, b = data.intdigest() >> 64, data.intdigest() & (2**64 - 1)
-                out.append((i, len(s), a - 2**63, b - 2**63, _bands(signature(s)) if len(s) else None))
-            yield pd.DataFrame(out, columns=["id", "n", "d1", "d2", "bands"])
-
-    signed = stash(base.mapInPandas(sign, "id long, n long, d1 long, d2 long, bands array<long>"), "signed")
-    # equal sets are one, under their smallest id
-    least = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    least = stash(least, "sets")
-    firsts = signed.filter("n > 0").join(least, ["d1", "d2"]).filter("id = rep").select("rep", "d1", "d2", F.explode("bands").alias("key"))
-    bands = stash(firsts, "bands")
-    shared = stash(bands.groupBy("key").agg(F.min(F.struct("rep", "d1", "d2")).alias("hub"), F.count("*").alias("weight")).filter("weight > 1"), "buckets")
-    met = bands.join(shared, "key").groupBy("rep", "d1", "d2", "hub").agg(F.sum("weight").alias("weight"))
-    met = stash(met, "met")
-    # a set is known by its digest: ids may repeat with different texts
-    node = lambda c: F.xxhash64(f"{c}.d1", f"{c}.d2") if c else F.xxhash64("d1", "d2")
-    groups = components(met.select(node("").alias("a"), node("hub").alias("b")))
-    member = met.groupBy("rep", "d1", "d2").agg(F.sum("weight").alias("weight")).withColumn("node", node(""))
-    members = stash(member.join(groups, "node").select("rep", "d1", "d2", "node", "weight", F.col("component").alias("g")), "members")
-    sizes = stash(members.groupBy("g").agg(F.count("*").alias("size"), F.max(F.struct("weight", "node")).alias("hub")).select("g", "size", F.col("hub.node").alias("hub")), "groups")
-    placed = stash(members.join(sizes, "g").select("rep", "d1", "d2", "node", "g", "size", "hub"), "placed")
-
-    # whole sets of the candidates, one row each
-    def sets(frames):
-        for pdf in frames:
-            found = [shingles(t, words) for t in pdf["text"]]
-            data = [xxhash.xxh3_128(s.tobytes()).intdigest() for s in found]
-            yield pd.DataFrame({"rep": pdf["id"], "d1": [(x >> 64) - 2**63 for x in data], "d2": [(x & (2**64 - 1)) - 2**63 for x in data], "items": [pack(s, True) for s in found]})
-
-    wanted = placed.select(F.col("rep").alias("id")).distinct()
-    wanted = F.broadcast(wanted) if placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    held = base.join(wanted, "id", "left_semi").mapInPandas(sets, "rep long, d1 long, d2 long, items binary")
-    held = held.join(placed, ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
-    held = stash(held, "items")
-
-    # large groups: link to the hub what can be
-    large = held.filter(F.col("size") > CELL)
-    hubs = stash(large.filter("node = hub").select("g", F.col("items").alias("hub_items")), "hubs")
+                out.append((i, row, len(s), digest(s), _bands(signature(s)) if len(s) else None))
+            yield pd.DataFrame(out, columns=["id", "row", "n", "d", "bands"]).astype({"row": "Int64"})
+
+    signed = stash(base.mapInPandas(sign, "id long, row long, n long, d binary, bands array<long>"), "signed")
+    # equal sets are one, known by 128 bits; copies meet within a task first
+    sets = stash(signed.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
+    bands = sets.select("d", F.explode("bands").alias("key"))
+    shared = stash(bands.groupBy("key").agg(F.min("d").alias("hub"), F.count("*").alias("weight")).filter("weight > 1"), "buckets")
+    met = stash(bands.join(shared, "key").select("key", "d", "hub", "weight"), "met")
+    pairs = stash(met.filter("d <> hub").select("d", "hub").distinct(), "pairs")
+    items = _items(base, sets.join(met.select("d").distinct(), "d", "left_semi").select("d", "rep"), words)
 
     def star(frames):
         for pdf in frames:
             good = []
             for a, b in zip(pdf["items"], pdf["hub_items"]):
-                x, y = unpack(a, True), unpack(b, True)
+                x, y = unpack(a), unpack(b)
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * n >= percent * (len(x) + len(y) - n))
-            yield pdf[["node", "hub", "g"]].assign(linked=good)
+            yield pdf.loc[good, ["a", "b"]]
+
+    both = pairs.join(items, "d").join(items.select(F.col("d").alias("hub"), F.col("items").alias("hub_items")), "hub")
+    stars = stash(both.select(F.col("d").alias("a"), F.col("hub").alias("b"), "items", "hub_items").mapInPandas(star, "a binary, b binary"), "stars")
+    near = stash(components(stars), "near")
+    further = _open_links(met, near, items, percent)
+    far = stash(components(further), "far")
+    discard(stars, shared, met, pairs, items, further)
+
+    # class of each set; sets without a link are their own
+    named = sets.select("d", "rep").join(near.select(F.col("node").alias("d"), F.col("component").alias("c1")), "d", "left").withColumn("c1", F.coalesce("c1", "d"))
+    named = named.join(far.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left").select("d", "rep", F.coalesce("c2", "c1").alias("class"))
+    named = stash(named, "named")
+    least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
+    classes = stash(named.join(least, "class").select("d", "class", "component_id"), "classes")
+    discard(named, near, far, sets)
+    full = signed.filter("n > 0").select("id", "row", "n", "d").join(classes, "d")
+    alone = signed.filter("n = 0").select("id", "row", "n", F.col("id").alias("component_id"))
+    back = lambda c: F.nullif(c, F.lit(null)).cast(kind)
+    told = [back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component_id").alias("component_id")]
+    if not row_col:
+        every = full.select("id", "n", "component_id").unionAll(alone.select("id", "n", "component_id"))
+        return every.select(*told, (F.col("id") == F.col("component_id")).alias("kept"))
+    first = stash(full.groupBy("class").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("first_row")), "first")
+    every = full.select("id", "row", "n", "component_id").unionAll(alone.select("id", "row", "n", "component_id")).join(first, F.col("row") == F.col("first_row"), "left")
+    return every.select(*told, ((F.col("n") == 0) | F.col("first_row").isNotNull()).alias("kept"), F.col("row").alias(row_col))
+
+
+def digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128(s.tobytes()).digest()
+
+
+def _items(base: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(d, items): the whole set of each wanted (d, rep), from the texts of their ids."""
+    wanted = stash(wanted, "wanted")
+    ids = wanted.select(F.col("rep").alias("id")).distinct()
+    ids = F.broadcast(ids) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
-    stars = stash(large.join(hubs, "g").select("node", "hub", "g", "items", "hub_items").mapInPandas(star, "node long, hub long, g long, linked boolean"), "stars")
-    # the rest of each large group against the whole group, in blocks
-    width = shuffle_width(df.sparkSession)
-    left = stash(stars.groupBy("g").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("all")), "left").filter("open > 0")
-    known = large.select("node", "g", "items").join(stars.select("node", "linked"), "node").join(left, "g")
+    def whole(frames):
+        for pdf in frames:
+            found = [shingles(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"d": [digest(s) for s in found], "items": [pack(s) for s in found]})
+
+    # an id may repeat with other texts: the digest decides
+    read = base.join(ids, "id", "left_semi").select("text").mapInPandas(whole, "d binary, items binary")
+    items = stash(read.join(wanted.select("d"), "d", "left_semi").dropDuplicates(["d"]), "items")
+    discard(wanted)
+    return items
+
+
+def _open_links(met: DataFrame, near: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of sets that share a bucket and are not its hub.
+
+    near: (node, component) of sets linked so far.
+    """
+    label = F.coalesce("component", "d")
+    members = met.filter("weight > 2 AND d <> hub").select("key", "d").join(near, F.col("d") == F.col("node"), "left").select("key", "d", label.alias("label"))
+    members = stash(members, "members")
+    tell = [F.bit_xor(F.xxhash64(F.lit(k), F.col("d"))).alias(f"x{k}") for k in (1, 2)]
+    by_class = members.groupBy("key", "label").agg(F.count("*").alias("n"), *tell)
+    buckets = by_class.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("classes"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).filter("classes > 1")
+    # buckets of equal members count once
+    once = buckets.groupBy("x1", "x2", "n").agg(F.min(F.struct("key", "main")).alias("b")).select("b.key", F.col("b.main.label").alias("main"), "n", (F.col("n") - F.col("b.main.n")).alias("open"))
+    once = stash(once, "open")
+    known = stash(members.join(once, "key").withColumn("fresh", F.col("label") != F.col("main")).join(items, "d").select("key", "d", "label", "fresh", "n", "open", "items"), "known")
     parts = lambda n: F.ceil(F.col(n) / CELL).cast("int")
-    seat = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("node")), parts(n)).cast("int")
-    columns = ["cell", "g", "node", "items", "fresh", "joined"]
-    cell = F.xxhash64("g", "u", "v")
-    fresh = known.filter(~F.col("linked")).withColumn("u", seat("open", "u")).withColumn("v", F.explode(F.sequence(F.lit(0), parts("all") - 1)))
-    rest = known.withColumn("v", seat("all", "v")).withColumn("u", F.explode(F.sequence(F.lit(0), parts("open") - 1)))
-    blocks = fresh.withColumn("cell", cell).withColumn("fresh", F.lit(True)).unionByName(rest.withColumn("cell", cell).withColumn("fresh", F.lit(False)))
-    blocks = blocks.withColumn("joined", F.when(F.col("linked"), F.col("g"))).select(columns)
-    # small groups share cells, many to each
-    small = held.filter(F.col("size") <= CELL).withColumn("cell", F.pmod(F.xxhash64("g"), F.lit(16 * width)).cast("long")).select("cell", "g", "node", "items", F.lit(True).alias("fresh"), F.lit(None).cast("long").alias("joined"))
+    seat = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("d")), parts(n)).cast("int")
+    cell = F.xxhash64("key", "u", "v")
+    columns = ["cell", "key", "d", "label", "fresh", "items"]
+    large = known.filter(F.col("n") > CELL)
+    asking = large.filter("fresh").withColumn("u", seat("open", "u")).withColumn("v", F.explode(F.sequence(F.lit(0), parts("n") - 1)))
+    asked = large.withColumn("v", seat("n", "v")).withColumn("u", F.explode(F.sequence(F.lit(0), parts("open") - 1))).withColumn("fresh", F.lit(False))
+    blocks = asking.unionByName(asked).withColumn("cell", cell).select(columns)
+    # small buckets share cells of about CELL sets
+    cells = max(1, (known.filter(F.col("n") <= CELL).count()) // CELL)
+    small = known.filter(F.col("n") <= CELL).withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells))).select(columns)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in pdf.groupby("g", sort=False):
+        out: set[tuple] = set()
+        for _, part in pdf.groupby("key", sort=False):
             # a fresh set can also stand among the rest of its block
-            part = part.sort_values("fresh", ascending=False).drop_duplicates("node")
-            joined = [None if pd.isna(x) else int(x) for x in part["joined"]]
-            out += _links(part["node"].tolist(), [unpack(x, True) for x in part["items"]], part["fresh"].tolist(), joined, percent)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    found = small.unionByName(blocks).groupBy("cell").applyInPandas(compare, "a long, b long")
-    links = stash(found.unionAll(stars.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "links")
-    linked = components(links)
-    # back to ids: the smallest of all sets of a component
-    named = stash(linked.join(placed.select("node", "rep", "d1", "d2"), "node"), "named")
-    smallest = stash(named.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
-    reach = named.join(smallest, "component").select("d1", "d2", "component_id")
-    classes = stash(least.join(reach, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id")), "classes")
-    full = signed.filter("n > 0").join(classes, ["d1", "d2"]).select("id", "n", "component_id").unionAll(signed.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    back = lambda c: F.nullif(c, F.lit(null)).cast(kind)
-    return full.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+            part = part.sort_values("fresh", ascending=False).drop_duplicates("d")
+            out.update(_links(part["d"].tolist(), [unpack(x) for x in part["items"]], part["fresh"].tolist(), part["label"].tolist(), percent))
+        return pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    found = stash(small.unionByName(blocks).groupBy("cell").applyInPandas(compare, "a binary, b binary").distinct(), "links")
+    discard(members, once, known)
+    return found

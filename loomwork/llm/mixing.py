@@ -16,10 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import WORD_PATTERN, stash
+from loomwork.llm.shared import WORD_PATTERN, free_name, stash
 
 #: Blocks of a source; only one of them is ordered as a whole, so it bounds what a task sorts.
 BLOCKS = 4096
+#: Sources up to which their small tables are broadcast (some 20 MB); beyond, they are shuffled.
+BROADCAST_SOURCES = 100_000
 #: Weights by place of the source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -86,26 +88,30 @@ def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """For each document (id, size, source, source_size, target, copies, shards of its copies).
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, blocks: int = BLOCKS, row_col: str | None = None) -> DataFrame:
+    """For each row (id, size, source, source_size, target, copies, shards of its copies, seat).
 
     Null texts have size 0; a null source is a source.  Repeated rows count each and, with
-    equal ids, share a block.  No document is taken more than twice.
+    equal ids, share a block.  No row is taken more than twice.  ``row_col`` names a
+    column that numbers the rows; the plan carries it, so that rows of one id can be told
+    apart.  The driver sees one row for each source, and no document.
     """
     spark = docs.sparkSession
+    number = [F.col(row_col).alias("row_")] if row_col else []
     sized = stash(
-        docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _digest(F.lit(f"mix-{seed}"), F.col(id_col)).alias("seat"))
+        docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _digest(F.lit(f"mix-{seed}"), F.col(id_col)).alias("seat"), *number)
         .withColumn("block", (F.conv(F.substring("seat", 1, 8), 16, 10).cast("long") % blocks).cast("int")), "sizes",
     )
     by_block = stash(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "blocks")
     # one row for each source
     plans = targets([(r.source, int(r.size)) for r in by_block.groupBy("source").agg(F.sum("block_size").alias("size")).collect()])
+    near = F.broadcast if len(plans) <= BROADCAST_SOURCES else (lambda df: df)
     schema = "source string, source_size long, target double, passes int, rest double"
     by_source = spark.createDataFrame([(p.source, p.size, p.target, p.passes, p.rest) for p in plans], schema)
     # permuted order within each pass; at most `blocks` rows a source
     turn = lambda k: _digest(F.lit(f"turn-{seed}"), F.lit(k), F.col("source"), F.col("block"))
     w = Window.partitionBy("source").orderBy(turn("rest"), "block")
-    known = by_block.withColumn("source_key", F.struct("source")).join(F.broadcast(by_source.select(F.struct("source").alias("source_key"), "source_size", "target", "passes", "rest")), "source_key").drop("source_key")
+    known = by_block.withColumn("source_key", F.struct("source")).join(near(by_source.select(F.struct("source").alias("source_key"), "source_size", "target", "passes", "rest")), "source_key").drop("source_key")
     run = known.withColumn("upto", F.sum("block_size").over(w)).withColumn("before", F.col("upto") - F.col("block_size"))
     run = run.withColumn("whole", F.col("upto") <= F.col("rest")).withColumn("cut", ~F.col("whole") & (F.col("before") < F.col("rest")))
     run = run.withColumn("uses", F.expr("transform(filter(sequence(0, 2), p -> p < passes or (p = passes and (whole or cut))), p -> p)"))
@@ -118,27 +124,35 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     flat = run.select("source", "block", F.explode("uses").alias("pass"))
     order = Window.partitionBy("source").orderBy("pass", _digest(F.lit(f"turn-{seed}"), F.col("pass"), F.col("source"), F.col("block")), "block")
     placed = flat.withColumn("nth", F.row_number().over(order)).withColumn("source_key", F.struct("source"))
-    placed = placed.join(F.broadcast(seats.select(F.struct("source").alias("source_key"), F.col("upto").alias("ends"))), "source_key").withColumn("shard", F.expr("size(filter(ends, e -> e < nth))"))
+    placed = placed.join(near(seats.select(F.struct("source").alias("source_key"), F.col("upto").alias("ends"))), "source_key").withColumn("shard", F.expr("size(filter(ends, e -> e < nth))"))
     placed = placed.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("placed"))
     key = lambda df, n: df.withColumn(n, F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("block")))
     info = key(run.join(placed.withColumnsRenamed({"source": "s_", "block": "b_"}), F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")), "left"), "k").select("k", F.col("source").alias("s_"), F.col("block").alias("b_"), "source_size", "target", "passes", "rest", "before", "whole", "cut", "placed")
     joined = key(sized, "k").join(info, "k").filter(F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")))
     # the one block of a source that is cut: documents in hash order as long as they come nearer to the target
-    inside = Window.partitionBy("source").orderBy("seat", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source").orderBy("seat", id_col, "size", *(["row_"] if row_col else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = joined.filter(~F.col("cut")).withColumn("last", F.col("whole"))
     cut = joined.filter("cut").withColumn("sum_", F.sum("size").over(inside)).withColumn("last", F.col("before") + F.col("sum_") - F.col("size") / 2 <= F.col("rest")).drop("sum_")
     every = plain.unionByName(cut)
     copies = F.least(F.col("passes") + F.col("last").cast("int"), F.lit(2))
     held = F.transform(F.filter("placed", lambda p: p["pass"] < copies), lambda p: p["shard"])
-    return every.select(id_col, "size", "source", "source_size", "target", copies.alias("copies"), F.coalesce(held, F.array().cast("array<int>")).alias("shards"), "seat")
+    numbered = [F.col("row_").alias(row_col)] if row_col else []
+    return every.select(id_col, "size", "source", "source_size", "target", copies.alias("copies"), F.coalesce(held, F.array().cast("array<int>")).alias("shards"), "seat", *numbered)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", stable: bool = False, **options) -> DataFrame:
     """The mixed rows: docs' columns for each copy, with ``shard`` and ``place``, dealt to shards and ordered in them.
 
-    Ids that repeat are taken as one document's rows: each row goes as often as the plan says.
+    Each row goes as often as the plan says for that row, whether or not its id repeats.
+    Columns ``shard`` and ``place`` of docs are replaced; other names never clash.  docs is
+    read twice and must number its rows alike both times: it is written to the shared
+    folder first unless ``stable`` says that it is a plain scan.
     """
-    plan = mix_plan(docs, id_col, **options).select(F.col(id_col).alias("id_"), F.posexplode("shards").alias("copy_", "shard"), F.col("seat").alias("seat_")).distinct()
-    rows = docs.drop("shard", "place").join(plan, F.col(id_col).eqNullSafe(F.col("id_"))).drop("id_")
-    placed = rows.withColumn("place", _digest(F.lit("place"), F.col("copy_"), F.col("seat_"))).drop("seat_", "copy_")
-    return placed.repartition("shard", F.substring("place", 1, 1)).sortWithinPartitions("shard", "place")
+    base = docs.drop("shard", "place")
+    base = base if stable else stash(base, "mixed")
+    row, same, copy, seat = (free_name(n, *base.columns, "shard", "place") for n in ("__row", "__same", "__copy", "__seat"))
+    numbered = base.withColumn(row, F.monotonically_increasing_id())
+    plan = mix_plan(numbered, id_col, row_col=row, **options).select(F.col(row).alias(same), F.posexplode("shards").alias(copy, "shard"), F.col("seat").alias(seat))
+    rows = numbered.join(plan, F.col(row) == F.col(same))
+    placed = rows.withColumn("place", _digest(F.lit("place"), F.col(copy), F.col(seat))).select(*base.columns, "shard", "place", seat, row)
+    return placed.repartition("shard", F.substring("place", 1, 1)).sortWithinPartitions("shard", "place", row).drop(seat, row)
