@@ -1,9 +1,10 @@
-"""Exact top-k search by inner product with vector-approximation blocks.
+"""Exact top-k search by inner product with a vector-approximation file.
 
-Rows are dealt to a grid of (candidate block, query block) cells of bounded size, whatever
-the table's size.  In a cell each candidate component is known by its quantised slice
-only; the slices give a lower and an upper bound of every score.  Exact vectors are read
-in the order of their upper bounds until no bound reaches the k-th exact score.
+The file holds one byte a component: each block of vectors has its own grid of up to 256
+slices a dimension.  It is scanned first, block against block of queries; one matrix
+product over the codes gives a lower and an upper bound of every score.  The k-th lower
+bound over all blocks is the bar of a query.  Exact vectors are read only of candidates
+whose upper bound reaches it, and decide.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm.shared import discard, stash
+
 #: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 8_192, 2_048
+CANDIDATES, QUERIES = 32_768, 4_096
 #: Slices of each dimension (one byte each).
-SLICES = 32
-#: Queries whose bounds are computed at once, and exact vectors read at once for one query.
-STEP, READ = 256, 64
-RESULT = "query_id long, vec_id long, score long, n_read long"
+SLICES = 256
+#: Scores whose bounds are held at once.
+HELD = 2_000_000
+LONG = 2**63 - 1
+CODES = "dim int, block long, most long, ids binary, rows binary, codes binary, low binary, width binary"
+ASKED = "dim int, block long, most long, ids binary, rows binary, vectors binary"
 
 
 def floored(vec: Column, scale: int = 256) -> Column:
@@ -32,77 +37,129 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & ~bad, F.lit(False))
 
 
-def _cell(k: int, cand_ids: np.ndarray, cand: np.ndarray, q_ids: np.ndarray, qs: np.ndarray):
-    """(query_id, vec_id, score, exact vectors read) of the k best candidates for each query of a cell."""
-    n, d = cand.shape
-    small = d == 0 or float(np.abs(cand).max(initial=0)) * float(np.abs(qs).max(initial=0)) * d < 2**53
-    kind = np.float64 if small else object  # exact either way
-    lo_all, hi_all = (cand.min(0), cand.max(0)) if n else (np.zeros(d), np.zeros(d))
-    width = np.maximum((hi_all - lo_all) // SLICES + 1, 1)
-    cells = ((cand - lo_all) // width).astype(np.uint8)
-    low = lo_all + cells.astype(np.int64) * width
-    high = np.minimum(low + width - 1, hi_all)
-    low, high, exact = low.astype(kind), high.astype(kind), cand.astype(kind)
-    order_id = np.argsort(cand_ids, kind="stable")
-    out = []
-    for at in range(0, len(qs), STEP):
-        q = qs[at : at + STEP].astype(kind)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        upper = up @ high.T + down @ low.T
-        lower = up @ low.T + down @ high.T
-        for j, row in enumerate(q):
-            qid = q_ids[at + j]
-            own = cand_ids == qid
-            room = n - int(own.sum())
-            need = min(k, room)
-            if not need:
+def _blocks(frames, size: int):
+    """(ids, rows, vectors) of up to ``size`` rows of one length."""
+    held: dict[int, list[tuple]] = {}
+    for pdf in frames:
+        for dim, part in pdf.groupby("dim", sort=False):
+            vectors = np.array(part["v"].tolist(), dtype=np.int64).reshape(len(part), dim)
+            held.setdefault(dim, []).append((part["id"].to_numpy(np.int64), part["row"].to_numpy(np.int64), vectors))
+            while sum(len(x[0]) for x in held[dim]) >= size:
+                ids, rows, vectors = (np.concatenate(x) for x in zip(*held[dim]))
+                yield ids[:size], rows[:size], vectors[:size]
+                held[dim] = [(ids[size:], rows[size:], vectors[size:])]
+    for parts in held.values():
+        ids, rows, vectors = (np.concatenate(x) for x in zip(*parts))
+        if len(ids):
+            yield ids, rows, vectors
+
+
+def _reachable(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a block that can be among k results: of equal vectors those of the k + 1 smallest ids, k rows of each.
+
+    Equal vectors have equal scores, so later ids never come before them; one id more makes
+    up for the query's own.
+    """
+    if not vectors.shape[1]:
+        same = np.zeros(len(ids), np.int64)
+    else:
+        flat = np.ascontiguousarray(vectors).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel()
+        same = np.unique(flat, return_inverse=True)[1]
+    order = np.lexsort((rows, ids, same))
+    g, i = same[order], ids[order]
+    at = np.arange(len(order))
+    new_group = np.concatenate([[True], g[1:] != g[:-1]])
+    new_id = new_group | np.concatenate([[True], i[1:] != i[:-1]])
+    nth_id = np.cumsum(new_id) - 1
+    nth_id = nth_id - np.maximum.accumulate(np.where(new_group, nth_id, 0))
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return np.sort(order[(nth_id <= k) & (nth_row < k)])
+
+
+def _bounds(c, q, k: int):
+    """(query row, query id, candidate row, id, lower, upper) of the candidates of a cell that may be among the k best."""
+    d, ids, rows = c.dim, np.frombuffer(c.ids, np.int64), np.frombuffer(c.rows, np.int64)
+    q_ids, q_rows = np.frombuffer(q.q_ids, np.int64), np.frombuffer(q.q_rows, np.int64)
+    # exact either way: whole numbers in doubles, or Python's own
+    kind = np.float64 if 4 * max(d, 1) * max(c.most, 1) * max(q.q_most, 1) < 2**53 else object
+    codes = np.frombuffer(c.codes, np.uint8).reshape(len(ids), d).astype(kind)
+    low, width = (np.frombuffer(x, np.int64).astype(kind) for x in (c.low, c.width))
+    asked = np.frombuffer(q.vectors, np.int64).reshape(len(q_ids), d).astype(kind)
+    step = max(1, HELD // len(ids))
+    for at in range(0, len(asked), step):
+        a = asked[at : at + step]
+        # twice the score at the middle of a cell, and how far a vector's may be from it
+        middle = (2 * a * width) @ codes.T + (a @ (2 * low + width - 1))[:, None]
+        reach = np.abs(a) @ (width - 1)
+        own = ids[None, :] == q_ids[at : at + step, None]
+        for j in range(len(a)):
+            others = np.flatnonzero(~own[j])
+            if not len(others):
                 continue
-            reach = upper[j].copy()
-            floor_ = lower[j].copy()
-            least = -np.inf
-            floor_[own] = reach[own] = least
-            kth = np.partition(floor_.astype(np.float64), n - need)[n - need] if small else sorted(floor_)[n - need]
-            near = np.flatnonzero((reach >= kth) & ~own)
-            near = near[np.lexsort((cand_ids[near], -reach[near]))] if small else np.array(sorted(near, key=lambda i: (-reach[i], cand_ids[i])), dtype=int)
-            best: list[tuple] = []
-            read = 0
-            while read < len(near):
-                if len(best) == need and reach[near[read]] < -best[-1][0]:
-                    break  # no bound that is left reaches the k-th score
-                part = near[read : read + READ]
-                read += len(part)
-                scores = exact[part] @ row
-                best = sorted([*best, *((-s, i) for s, i in zip(scores.tolist(), cand_ids[part].tolist()))])[:need]
-            out += [(qid, i, int(-s), read) for s, i in best]
-    del order_id
-    return out
+            mine = middle[j, others]
+            need = min(k, len(others))
+            bar = (np.partition(mine, len(mine) - need) if kind is np.float64 else np.sort(mine))[len(mine) - need]
+            near = mine >= bar - 2 * reach[j]
+            for x, score in zip(others[near].tolist(), mine[near].tolist()):
+                lower, upper = int(score - reach[j]) // 2, -(-int(score + reach[j]) // 2)
+                yield q_rows[at + j], q_ids[at + j], rows[x], ids[x], max(lower, -LONG), min(upper, LONG)
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each row that ``queries`` selects its k best other rows by inner product of integer vectors.
 
     ``vec_col`` holds arrays of integers (see floored()).  Returns query_id, rank, vec_id,
-    score; ties go to the smaller id; fewer rows if there are fewer candidates.  Only
-    vectors of equal length are compared; rows with the query's id are its own; a row
-    repeated among the candidates can appear as often.  Null ids take no part.
+    score, and n_read, the exact vectors that were read for the query; ties go to the
+    smaller id; fewer rows if there are fewer candidates.  Only vectors of equal length are
+    compared; rows with the query's id are its own; a row repeated among the candidates can
+    appear as often, up to k times; rows that repeat a query's id ask together.  Null ids and
+    vectors take no part; other columns of df, whatever their names, are not read.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v")).filter("id is not null and v is not null").withColumn("dim", F.size("v"))
-    ask = df.filter(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v")).filter("id is not null and v is not null").withColumn("dim", F.size("v"))
-    counted = rows.agg(F.count("*").alias("n")).first()["n"], ask.count()
-    c_blocks, q_blocks = (max(1, -(-n // size)) for n, size in zip(counted, (CANDIDATES, QUERIES)))
-    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("cb", block(c_blocks)).withColumn("qb", spread(q_blocks))
-    right = ask.withColumn("qb", block(q_blocks)).withColumn("cb", spread(c_blocks))
-
-    def cell(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({x: pd.Series(dtype="int64") for x in ("query_id", "vec_id", "score", "n_read")})
-        grid = lambda x: np.array(x["v"].tolist(), dtype=np.int64).reshape(len(x), -1)
-        found = _cell(k, c["id"].to_numpy(), grid(c), q["id"].to_numpy(), grid(q))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "n_read"])
-
-    keys = ["dim", "cb", "qb"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, RESULT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    take = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<long>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).filter("id is not null and v is not null")
+    exact = stash(take.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+    def encode(frames):
+        for n, (ids, rows, v) in enumerate(_blocks(frames, CANDIDATES)):
+            keep = _reachable(ids, rows, v, k)
+            ids, rows, v = ids[keep], rows[keep], v[keep]
+            low, high = (v.min(0), v.max(0)) if v.size else (v[0], v[0])
+            width = np.maximum(-(-(high - low + 1) // SLICES), 1)
+            codes = ((v - low) // width).astype(np.uint8)
+            yield _frame(v, int(rows.min()), ids=ids, rows=rows, codes=codes, low=low, width=width)
+
+    def ask(frames):
+        for ids, rows, v in _blocks(frames, QUERIES):
+            yield _frame(v, int(rows.min()), ids=ids, rows=rows, vectors=v)
+
+    file = stash(exact.select("id", "row", "dim", "v").mapInPandas(encode, CODES), "codes")
+    asked = stash(exact.filter("asks").select("id", "row", "dim", "v").mapInPandas(ask, ASKED), "asked")
+    # every block of codes meets every block of queries of its length; one entry a block
+    names = lambda t, other: t.groupBy("dim").agg(F.collect_list("block").alias(other))
+    left = file.join(names(asked, "others"), "dim").withColumn("q_block", F.explode("others")).drop("others")
+    right = asked.join(names(file, "others"), "dim").select("dim", F.col("block").alias("q_block"), F.explode("others").alias("block"), F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "vectors")
+    names_ = ["q_row", "query_id", "row", "vec_id", "lower", "upper"]
+
+    def scan(frames):
+        for pdf in frames:
+            for cell in pdf.itertuples(index=False):
+                yield pd.DataFrame(_bounds(cell, cell, k), columns=names_)
+
+    near = stash(left.join(right, ["dim", "block", "q_block"]).mapInPandas(scan, ", ".join(f"{n} long" for n in names_)), "near")
+    kth = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row", "q_row")
+    bar = near.withColumn("nth", F.row_number().over(kth)).filter(F.col("nth") <= k).groupBy("query_id").agg(F.min("lower").alias("bar"), F.count("*").alias("n"))
+    bar = bar.select(F.col("query_id").alias("asker"), F.when(F.col("n") == k, F.col("bar")).alias("bar"))
+    survivors = near.join(bar, F.col("query_id") == F.col("asker")).filter("bar is null or upper >= bar").select("q_row", "query_id", "row", "vec_id")
+    pairs = survivors.join(exact.select("row", F.col("v").alias("c")), "row").join(exact.filter("asks").select(F.col("row").alias("q_row"), F.col("v").alias("q")), "q_row")
+    score = F.aggregate(F.zip_with("c", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda x, y: x + y)
+    scored = stash(pairs.select("query_id", "vec_id", "row", score.alias("score")), "scored")
+    discard(exact, file, asked, near)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
+    read = scored.groupBy("query_id").agg(F.count("*").alias("n_read"))
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.join(read, "query_id").select("query_id", "rank", "vec_id", "score", "n_read")
+
+
+def _frame(v: np.ndarray, block: int, **parts: np.ndarray) -> pd.DataFrame:
+    """A row for a block, named by its least row."""
+    most = int(np.abs(v).max(initial=0))
+    return pd.DataFrame({"dim": [v.shape[1]], "block": [block], "most": [most], **{n: [np.ascontiguousarray(x).tobytes()] for n, x in parts.items()}})
