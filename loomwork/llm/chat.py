@@ -1,18 +1,23 @@
 """Chat formatting: layouts are told apart by a hash of their nested field paths.
 
-A record's shape (field paths without types) is hashed; the hash selects a declarative
-mapping, which turns prompt, instruction and message layouts into one list of
-(role, text) turns.  The template marks turns with control strings and makes any
+The hashes of a record's nested field paths (without types) are its fingerprint.  Each
+declarative mapping has the hashes of the paths it needs; of the mappings whose paths a
+record has, with whatever beside them, that which needs most is taken, and turns prompt,
+instruction and message layouts into one list of (role, text) turns.  Records without a
+mapping are set apart and counted (rejects, reject_counts), never formatted.  The template marks turns with control strings and makes any
 control string inside a text harmless, reversibly.  Everything is SQL functions.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.shared import free_name, let
+
 #: Control strings of the template.
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: What opens a control string, of this template or of others in use, and how it goes on; between the
@@ -22,7 +27,7 @@ OPENING, TAIL = r"([<\[])(\\*)", r"(\||/?s>|/?INST\])"
 
 @dataclass(frozen=True)
 class Layout:
-    """A sample record gives the field paths; ``turns`` lists (role, path); or ``array`` with role and text fields in it."""
+    """A sample record gives the field paths that are needed; ``turns`` lists (role, path); or ``array`` with role and text fields in it."""
 
     name: str
     sample: str
@@ -39,6 +44,9 @@ LAYOUTS = (
     Layout("instruction", '{"instruction": "", "output": ""}', turns=(("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("instruction_input", '{"instruction": "", "input": "", "output": ""}', turns=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout("system_instruction", '{"system": "", "instruction": "", "output": ""}', turns=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
+    Layout("system_instruction_input", '{"system": "", "instruction": "", "input": "", "output": ""}', turns=(("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
+    Layout("no_messages", '{"messages": []}', array="$.messages"),
+    Layout("no_shared", '{"conversations": []}', array="$.conversations"),
     Layout("prompt", '{"prompt": "", "completion": ""}', turns=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Layout("prompt_response", '{"prompt": "", "response": ""}', turns=(("user", "$.prompt"), ("assistant", "$.response"))),
     Layout("question", '{"question": "", "answer": ""}', turns=(("user", "$.question"), ("assistant", "$.answer"))),
@@ -47,13 +55,37 @@ LAYOUTS = (
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Parts of a variant's schema text: a field's name, an opening, a closing, an array of nothing.
+TOKEN = r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<|ARRAY<|>|VOID"
+
+
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a variant as text, types left out, names in order."""
-    return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]+\))?", "")
+    """The nested field paths of a variant: a.b, a[].b, and a[]! for an array that is empty."""
+    start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, token: Column) -> Column:
+        named = F.concat(F.element_at(acc["open"], -1), F.regexp_replace(token, ": $", ""))
+        here = F.when(token == "ARRAY<", F.concat(acc["at"], F.lit("[]"))).otherwise(acc["at"])
+        moved = lambda opened, at, found: F.struct(opened.alias("open"), at.alias("at"), found.alias("found"))
+        empty = (token == "VOID") & acc["at"].endswith("[]")
+        return (
+            F.when(token.endswith(": "), moved(acc["open"], named, F.concat(acc["found"], F.array(named))))
+            .when(token == ">", moved(F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1), acc["at"], acc["found"]))
+            .when(token == "VOID", moved(acc["open"], acc["at"], F.when(empty, F.concat(acc["found"], F.array(F.concat(acc["at"], F.lit("!"))))).otherwise(acc["found"])))
+            .otherwise(moved(F.concat(acc["open"], F.array(F.when(here == "", "").otherwise(F.concat(here, F.lit("."))))), here, acc["found"]))
+        )
+
+    return F.aggregate(F.regexp_extract_all(F.schema_of_variant(record), F.lit(TOKEN), F.lit(0)), start, step, lambda acc: acc["found"])
+
+
+def fingerprint(record: Column) -> Column:
+    """Hashes of a record's field paths, in order."""
+    return F.array_sort(F.transform(field_paths(record), lambda path: F.xxhash64(path)))
 
 
 def shape(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+    """One hash of a record's schema without types, so that records of a known shape need no list of paths."""
+    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]+\))?", ""))
 
 
 def _pick(layout: Layout, record: Column) -> Column:
@@ -67,20 +99,66 @@ def _pick(layout: Layout, record: Column) -> Column:
     return F.array(*[turn(F.lit(r), get(record, p)) for r, p in layout.turns])
 
 
-def canonical_turns(df: DataFrame, record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+def needed_paths(sample, at: str = "") -> list[str]:
+    """The field paths of a parsed sample record, written as field_paths() writes them."""
+    if isinstance(sample, dict):
+        return [p for k, v in sample.items() for p in (at + k, *needed_paths(v, at + k + "."))]
+    if isinstance(sample, list):
+        here = at.removesuffix(".") + "[]"
+        return needed_paths(sample[0], here + ".") if sample else [here + "!"]
+    return []
+
+
+def layout_number(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The place of the layout that a record has, null without one: by its whole shape, else by the paths it has."""
+    needs = [needed_paths(json.loads(x.sample)) for x in layouts]
+    # those that need most first
+    order = sorted(range(len(layouts)), key=lambda i: (-len(needs[i]), i))
+
+    def by_shape(own: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for i in reversed(order):
+            found = F.when(own == shape(F.parse_json(F.lit(layouts[i].sample))), F.lit(i)).otherwise(found)
+        return found
+
+    def by_paths(have: Column) -> Column:
+        found = F.lit(None).cast("int")
+        for i in reversed(order):
+            found = F.when(F.size(F.array_except(F.array(*[F.xxhash64(F.lit(p)) for p in needs[i]]), have)) == 0, F.lit(i)).otherwise(found)
+        return found
+
+    return F.coalesce(let(shape(record), by_shape), let(fingerprint(record), by_paths))
+
+
+def canonical_turns(df: DataFrame, record: Column, layouts: tuple[Layout, ...] = LAYOUTS, roles: dict[str, str] | None = None) -> DataFrame:
     """df with ``layout`` and ``turns`` (array of role, text), in place of columns of those names.
 
-    ``record`` is a variant (parse_json, to_variant_object).  A shape that no layout has
-    gives null for both and the row stays.  Null roles and texts become ''.
+    ``record`` is a variant (parse_json, to_variant_object).  A record needs a layout's
+    fields and may have others beside them, which are not formatted; without a layout both
+    are null and the row stays (see rejects).  Null roles and texts become '', texts that
+    are no strings their JSON text; an empty list of messages has no turns.  ``roles``
+    gives other names of roles (ROLES by default).
     """
-    own = shape(record)
+    at = free_name("__layout", *df.columns)
+    numbered = df.withColumn(at, layout_number(record, layouts))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for layout in layouts:
-        same = own == shape(F.parse_json(F.lit(layout.sample)))
-        name, turns = F.when(same, F.lit(layout.name)).otherwise(name), F.when(same, _pick(layout, record)).otherwise(turns)
-    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    clean = F.transform(turns, lambda t: F.struct(F.coalesce(known[t["role"]], t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return df.withColumns({"layout": name, "turns": clean})
+    for i, layout in enumerate(layouts):
+        mine = F.col(at) == i
+        name, turns = F.when(mine, F.lit(layout.name)).otherwise(name), F.when(mine, _pick(layout, record)).otherwise(turns)
+    pairs = [F.lit(x) for pair in (ROLES if roles is None else roles).items() for x in pair]
+    known = lambda r: F.coalesce(F.create_map(*pairs)[r], r, F.lit("")) if pairs else F.coalesce(r, F.lit(""))
+    clean = F.transform(turns, lambda t: F.struct(known(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    return numbered.withColumns({"layout": name, "turns": clean}).drop(at)
+
+
+def rejects(turned: DataFrame) -> DataFrame:
+    """The rows of canonical_turns() that no layout fits, whole."""
+    return turned.filter(F.col("layout").isNull())
+
+
+def reject_counts(turned: DataFrame, record: Column) -> DataFrame:
+    """(paths, n): how many rejected records have which field paths."""
+    return rejects(turned).groupBy(F.array_join(F.array_sort(field_paths(record)), " ").alias("paths")).agg(F.count("*").alias("n"))
 
 
 def escape(text: Column) -> Column:
@@ -94,13 +172,14 @@ def unescape(text: Column) -> Column:
 def format_turns(df: DataFrame, turns: str = "turns", trained: str = "assistant") -> DataFrame:
     """df with ``formatted`` and ``loss_spans``: the turn, and in it start and length in code points, of each text that is trained on.
 
-    Null turns are formatted as ''.
+    Rejected rows (null turns) have null in both.  Columns of those names are replaced.
     """
+    name = free_name("__pieces", *df.columns)
     pieces = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)).alias("head"), escape(t["text"]).alias("body")))
-    held = df.withColumn("__pieces", F.coalesce(pieces, F.array().cast("array<struct<role:string,head:string,body:string>>")))
-    spans = F.transform("__pieces", lambda p, i: F.struct(p["role"].alias("role"), i.alias("turn"), F.length(p["head"]).alias("start"), F.length(p["body"]).alias("length")))
+    held = df.withColumn(name, pieces)
+    spans = F.transform(name, lambda p, i: F.struct(p["role"].alias("role"), i.alias("turn"), F.length(p["head"]).alias("start"), F.length(p["body"]).alias("length")))
     mask = F.transform(F.filter(spans, lambda x: x["role"] == trained), lambda x: F.struct(x["turn"].alias("turn"), x["start"].alias("start"), x["length"].alias("length")))
-    return held.withColumn("formatted", F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")).withColumn("loss_spans", mask).drop("__pieces")
+    return held.withColumn("formatted", F.array_join(F.transform(name, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")).withColumn("loss_spans", mask).drop(name)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -111,19 +190,18 @@ def read_turns(formatted: Column) -> Column:
         at = F.when(F.size(c) > 1, F.sequence(F.lit(0), F.floor((F.size(c) - 4) / 3).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(unescape(F.get(c, 3 * i + 1)).alias("role"), unescape(F.get(c, 3 * i + 2)).alias("text")))
 
-    # bound to a variable, so that a text is cut once and not once a turn
-    return F.get(F.transform(F.array(cut), turns), F.lit(0))
+    return let(cut, turns)
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
     cut = F.split(formatted, r"<\|end\|>\n", -1)
     read = lambda c: F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(c, s["turn"]), s["start"] + 1, s["length"]))), "")
-    return F.get(F.transform(F.array(cut), read), F.lit(0))
+    return let(cut, read)
 
 
 def gather(df: DataFrame, id_col: str = "conv_id", order_col: str = "turn") -> DataFrame:
-    """One row of (id, turns) for each id, from rows that each hold a part in ``turns``; ties in order go by content.
+    """One row of (id, turns) for each id, from rows that each hold a part in ``turns``; ties in order go by content, a null order comes first.
 
     The turns of one conversation become one value, as its formatted text is one value.
     """

@@ -44,7 +44,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), stable=True)
 
 
 OP5_SQL = """
@@ -80,7 +80,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, id + 1 AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     records = rows.unionByName(extra).withColumn("text", F.coalesce("text", F.lit("")))
-    turned = chat.canonical_turns(records, F.to_variant_object(F.struct("role", "text")))
+    # conversations come in three layouts, which the fingerprint has to tell apart; roles stay as they are
+    one, two = F.struct("role", F.col("text").alias("content")), F.struct(F.col("role").alias("from"), F.col("text").alias("value"))
+    layout = F.pmod("conv_id", F.lit(3))
+    record = F.when(layout == 0, F.to_variant_object(F.struct(F.array(one).alias("messages"), F.col("turn").alias("id")))).when(layout == 1, F.to_variant_object(F.struct(F.array(two).alias("conversations")))).otherwise(F.to_variant_object(F.struct("role", "text")))
+    turned = chat.canonical_turns(records, record, roles={})
     made = chat.format_turns(chat.gather(turned)).select("conv_id", "formatted", "loss_spans")
     back = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import scratch, shuffle_width, small_batches, stash
+from loomwork.llm.shared import scratch, shuffle_width, stash
 
 #: Bytes after which a writer begins another file, bytes read from a file at once.
 FILE_BYTES, READ_BYTES = 256 << 20, 1 << 18
@@ -32,16 +32,22 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _uri(page_id: int) -> str:
-    return f"<urn:loomwork:page:{page_id}>"
+def _uri(page_id: int | None, row: int = 0) -> str:
+    return f"<urn:loomwork:row:{row}>" if page_id is None else f"<urn:loomwork:page:{page_id}>"
 
 
-def record(page_id: int, uri: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
+def _page(uri: str) -> int | None:
+    """The id that _uri() wrote, null for a row without one."""
+    kind, _, number = uri.strip("<>").removeprefix("urn:loomwork:").partition(":")
+    return int(number) if kind == "page" else None
+
+
+def record(page_id: int | None, uri: str | None, payload: bytes, payload_digest: str, refers_to: int | None, row: int = 0) -> bytes:
     """One record: header, block, two line ends.  A revisit has no block; its digest and length are of the full payload."""
     block = payload if refers_to is None else b""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", _uri(page_id)),
+        ("WARC-Record-ID", _uri(page_id, row)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", " ".join((uri or "").split())),
         ("WARC-Payload-Digest", f"sha1:{payload_digest}"),
@@ -95,34 +101,36 @@ def read_file(uri: str) -> Iterator[tuple]:
             good = f["warc-block-digest"].removeprefix("sha1:") == digest(block)
             if f["warc-type"] == "response":
                 good = good and stated == digest(block) and int(f["x-payload-length"]) == len(block)
-            number = lambda x: int(x.strip("<>").rpartition(":")[2])
             refers = f.get("warc-refers-to")
-            yield number(f["warc-record-id"]), f["warc-type"], number(refers) if refers else None, f["warc-target-uri"], int(f["x-payload-length"]), stated, good
+            yield _page(f["warc-record-id"]), f["warc-type"], _page(refers) if refers else None, f["warc-target-uri"], int(f["x-payload-length"]), stated, good
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Column | None = None, uri: Column | None = None, min_bytes: int = 0) -> DataFrame:
+def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Column | None = None, uri: Column | None = None, min_bytes: int = 0, stable: bool = False) -> DataFrame:
     """Write a record for each row below ``path`` and return the manifest (uri, records, bytes).
 
-    Of rows with equal payloads of at least ``min_bytes``, that with the smallest id is the
-    response and the others revisit it; of rows that repeat an id and a payload, one is
-    the response.  Null payloads count as empty; rows with null ids are an error.
+    Of rows with equal payloads (SHA-256) of at least ``min_bytes``, that with the smallest
+    id is the response and the others revisit it; of rows that repeat an id and a payload,
+    one is the response.  Null payloads count as empty.  Rows with null ids are responses,
+    which nothing revisits.  Other columns of df are not read, whatever their names.  df
+    must number its rows alike each time it is read: it is written to the shared folder
+    first unless ``stable`` says that it is a plain scan.
     """
-    small_batches(df.sparkSession)
     payload = F.coalesce(F.encode("html", "UTF-8") if payload is None else payload, F.lit(b""))
-    rows = df.select(F.assert_true(F.col(id_col).isNotNull(), "a record needs an id").alias("_"), F.col(id_col).cast("long").alias("id"), (F.col("url") if uri is None else uri).alias("uri"), payload.alias("data")).drop("_")
-    rows = rows.withColumn("sha", F.sha1("data")).withColumn("row", F.monotonically_increasing_id())
+    taken = df.select(F.col(id_col).cast("long").alias("id"), (F.col("url") if uri is None else uri).alias("uri"), payload.alias("data"))
+    taken = taken if stable else stash(taken, "payloads")
+    rows = taken.withColumn("sha", F.sha2("data", 256)).withColumn("row", F.monotonically_increasing_id())
     # where the first row of each repeated payload is: the payloads themselves stay
-    first = rows.filter(F.octet_length("data") >= min_bytes).groupBy("sha").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = rows.filter((F.octet_length("data") >= min_bytes) & F.col("id").isNotNull()).groupBy("sha").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.col("sha").alias("sha_"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(first, (F.col("sha") == F.col("sha_")) & (F.col("salt") == F.col("salt_")) & (F.octet_length("data") >= min_bytes), "left")
+    joined = salted.join(first, (F.col("sha") == F.col("sha_")) & (F.col("salt") == F.col("salt_")) & (F.octet_length("data") >= min_bytes) & F.col("id").isNotNull(), "left")
     refers = F.when(F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row")), F.col("first_id"))
-    ready = joined.select("id", "uri", "data", refers.alias("refers"))
+    ready = joined.select("id", "row", "uri", "data", refers.alias("refers"))
 
     def run(frames):
         out, where, size, count, uri_ = None, None, 0, 0, ""
         for pdf in frames:
-            for i, u, data, ref in zip(pdf["id"], pdf["uri"], pdf["data"], pdf["refers"]):
+            for i, row, u, data, ref in zip(pdf["id"].astype("Int64"), pdf["row"], pdf["uri"], pdf["data"], pdf["refers"].astype("Int64")):
                 if out is None:
                     uri_ = f"{path}/{uuid.uuid4().hex}.warc.gz"
                     where, local = fs.FileSystem.from_uri(uri_)
@@ -130,7 +138,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
                     out = where.open_output_stream(local, compression=None)
                 data = bytes(data)
                 pack = zlib.compressobj(wbits=31)
-                raw = record(int(i), u, data, digest(data), None if pd.isna(ref) else int(ref))
+                raw = record(None if pd.isna(i) else int(i), u, data, digest(data), None if pd.isna(ref) else int(ref), int(row))
                 member = pack.compress(raw) + pack.flush()
                 out.write(member)
                 size, count = size + len(member), count + 1
@@ -146,7 +154,11 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """Records of the archives in ``manifest.uri``: (record_id, record_type, refers_to, target_uri, payload_bytes, payload_digest, verified)."""
+    """Records of the archives in ``manifest.uri``: (record_id, record_type, refers_to, target_uri, payload_bytes, payload_digest, verified).
+
+    Null uris name no archive; an archive that is missing, cut off or badly framed is an
+    error; one named twice is read twice.
+    """
     names = [x.partition(" ")[0] for x in RECORD.split(", ")]
 
     def run(frames):
@@ -162,17 +174,16 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                     yield _frame(held, names)
 
     spark = manifest.sparkSession
-    return manifest.select("uri").repartition(4 * shuffle_width(spark)).mapInPandas(run, RECORD)
+    return manifest.select("uri").filter("uri is not null").repartition(4 * shuffle_width(spark)).mapInPandas(run, RECORD)
 
 
 def _frame(held: list[tuple], names: list[str]) -> pd.DataFrame:
     pdf = pd.DataFrame(held, columns=names)
-    pdf["refers_to"] = pdf["refers_to"].astype("Int64")
-    return pdf
+    return pdf.astype({"record_id": "Int64", "refers_to": "Int64"})
 
 
-def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def archive_round_trip(pages: DataFrame, min_bytes: int = 0, stable: bool = False) -> DataFrame:
     """Write pages to archives in the shared folder and read them back; a digest that fails is an error."""
-    manifest = write_warc(pages, scratch(pages.sparkSession, "warc"), min_bytes=min_bytes)
+    manifest = write_warc(pages, scratch(pages.sparkSession, "warc"), min_bytes=min_bytes, stable=stable)
     back = read_warc(manifest).filter(F.assert_true("verified", "a digest does not fit its record").isNull())
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
