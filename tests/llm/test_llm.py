@@ -1,12 +1,18 @@
 """Each operator against brute force on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
-from collections import defaultdict
+import subprocess
+import sys
+import unicodedata
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, chat, fingerprint, language, minhash, mixing, secrets, substrings, topk, warc
@@ -57,6 +63,11 @@ def test_bpe(docs, rows, empty):
         assert one.encode(t).tolist() == ids and one.decode(ids) == own.decode(ids, skip_special_tokens=False)
     got = bpe.bpe_decode(bpe.bpe_encode(docs)).collect()
     assert len(got) == len(rows) and all(r.decoded == one.decode(one.encode(r.text)) for r in got)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    told = {r.doc_id: r for r in bpe.bpe_digests(docs).collect()}
+    for i, t, *_ in rows:
+        ids = own.encode(t or "", add_special_tokens=False).ids
+        assert (told[i].n_tokens, told[i].ids_sha256, told[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids, skip_special_tokens=False)))
     assert bpe.bpe_digests(empty).count() == 0
 
 
@@ -77,6 +88,72 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
+def lanes(text):
+    """The fingerprint by its definition, with Python's own Unicode tables and xxhash64 as Spark chains it."""
+    canon = re.sub(r"[\s\x85\x1c-\x1f\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())).strip(" ")
+    lane = lambda name: xxhash.xxh64(canon.encode(), seed=xxhash.xxh64(name, seed=42).intdigest()).intdigest()
+    return f"{lane(b'lane one'):016x}{lane(b'lane two'):016x}"
+
+
+def test_fingerprint_values(spark):
+    texts = ["", None, "Plain  ASCII\ttext", "ÀÉÎ õü ﬁ Straße", "İstanbul ΟΔΟΣ", "日本語　テキスト", "e\u0301 \u00e9", "x" * 100_000, "\u2003a\u00a0"]
+    df = spark.createDataFrame([(t, "mine", 7) for t in texts], "text string, __canon string, fingerprint int")
+    got = fingerprint.fingerprints(df).collect()
+    assert sorted((r.text or "", r.fingerprint) for r in got) == sorted((t or "", lanes(t)) for t in texts) and got[0]["__canon"] == "mine"
+
+
+@pytest.mark.parametrize("width", [200, 2000])
+def test_next_row_at_any_width(spark, monkeypatch, width):
+    """Hundreds of ranges, repeated and null keys, columns that clash; the plan does not grow with the cluster's width."""
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 200)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        rows = [(k * 7 % 2000 if k % 10 else 1234, f"t{k}" * (k % 4), k) for k in range(2000)] + [(None, "n1", -1), (None, "n2", -2)]
+        df = spark.createDataFrame(rows, "k long, t string, __part int").repartition(5)
+        got = [(r.k, r.t, r.next_t) for r in fingerprint.with_next(df, "k", ["t"]).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert sorted(got, key=str) == sorted(((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1])), key=str)
+
+
+def bundled(text):
+    """A text's bundle by its definition."""
+    out = np.zeros(language.DIMENSIONS)
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        word = f" {word} "
+        for i in range(len(word) - 2):
+            out += np.prod([np.roll(language.letter_vector(ord(c)), p) for p, c in enumerate(word[i : i + 3])], axis=0)
+    return out
+
+
+@pytest.mark.parametrize("chars, part, kept", [(400_000, 4_000, 8_000), (7, 5, 12)])
+def test_bundles(monkeypatch, chars, part, kept):
+    for name, value in (("CHARS", chars), ("SLICE", part), ("REMEMBERED", kept)):
+        monkeypatch.setattr(language, name, value)
+    texts = ["Hello wörld, été 12 x", "", None, "a", "the quick brown fox " * 3, "ab1cd", "语言识别 测试", "!!"]
+    for got, text in zip(language.Bundler().bundle(texts), texts):
+        assert (got == bundled(text)).all()
+
+
+def test_bundle_of_a_large_alphabet_stays_small():
+    """400,000 random characters of a large alphabet; the peak of a process of its own."""
+    code = "import random, resource; from loomwork.llm.language import Bundler; r = random.Random(1); Bundler().bundle([''.join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(400_000))]); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500
+
+
+def test_language_edges(spark):
+    """A carried text, a clash of names, repeated rows and a very long text."""
+    proto = {"aa": bundled("kala mina"), "bb": bundled("strengst wurz")}
+    rows = [(1, "kala kala", 5), (1, "kala kala", 5), (None, "wurz " * 60_000, 6), (2, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text int")
+    got = language.predict(df, proto, carried=("doc_id", "text", "__text")).collect()
+    assert sorted((str(r.doc_id), r.lang_pred, r["__text"]) for r in got) == [("1", "aa", 5), ("1", "aa", 5), ("2", "und", 7), ("None", "bb", 6)]
+    with pytest.raises(ValueError):
+        language.predict(df.withColumn("score", F.lit(1)), proto, carried=("score",))
+
+
 def test_language(spark):
     say = {"aa": "kala mina toro", "bb": "strengst flicht wurz"}
     r = random.Random(2)
@@ -102,6 +179,33 @@ def test_top_k(spark):
     assert not spark.createDataFrame([([1.0, None],), (None,), ([float("nan")],)], "e array<float>").filter(topk.usable(F.col("e"))).count()
 
 
+@pytest.mark.parametrize("sizes", [(32_768, 4_096, 256), (60, 7, 5)])
+def test_top_k_hot_and_large(spark, monkeypatch, sizes):
+    """Many copies of one vector, repeated ids, values beyond doubles, small blocks; and that few exact vectors are read."""
+    for name, value in zip(("CANDIDATES", "QUERIES", "SLICES"), sizes):
+        monkeypatch.setattr(topk, name, value)
+    r = random.Random(5)
+    data = [(i, [r.randint(-(2**28), 2**28) for _ in range(4)]) for i in range(120)] + [(i % 3 * 50, [3, -3, 2**20, 7]) for i in range(100)] + [(1000 + i, [3, -3, 2**20, 7]) for i in range(50)]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in data], "vec_id long, embedding array<long>, row int, score string")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    want = set()
+    asked = defaultdict(list)
+    for q, v in data:
+        if q % 50 == 0:
+            asked[q] += [(-sum(a * b for a, b in zip(v, w)), i) for i, w in data if i != q]
+    for q, found in asked.items():
+        want |= {(q, n + 1, i, -x) for n, (x, i) in enumerate(sorted(found)[:5])}
+    assert {(x.query_id, x["rank"], x.vec_id, x.score) for x in got} == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_warc_null_ids(spark):
+    rows = [(None, "u", "a", 1), (None, "u", "a", 2), (3, None, "a", 3), (2, "u", "a", 4), (5, "u", None, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, row int")
+    got = warc.archive_round_trip(df).collect()
+    assert sorted((str(x.page_id), x.record_type, x.refers_to) for x in got) == [("2", "response", None), ("3", "revisit", 2), ("5", "response", None), ("None", "response", None), ("None", "response", None)]
+
+
 def test_warc(spark):
     pages = [(i, f"http://h/{i}", t) for i, t in enumerate(["a", "b", "a", None, "", "é\r\n\r\n", "a"])] + [(2, "u", "a")]
     got = warc.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
@@ -136,6 +240,30 @@ def test_substrings(docs, rows, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_windows_need_all_their_bits(docs, rows, empty, monkeypatch):
+    """With a 64-bit hash that says next to nothing, the 32 bits beside it still tell windows apart."""
+    whole = substrings.window_hashes
+    monkeypatch.setattr(substrings, "window_hashes", lambda h, w: whole(h, w) & np.uint64(0xF000000000000000) if w == 6 else whole(h, w))
+    batch = substrings._Batch(np.arange(len(rows)), np.arange(len(rows)), [r[1] for r in rows], 6)
+    known = {tuple(words(t)[k : k + 6]) for _, t, *_ in rows for k in range(len(words(t)) - 5)}
+    assert len(batch.hashes) == len(known) and len(set(batch.hashes.tolist())) <= 16
+
+
+def test_batches_by_bytes(spark, docs, rows, empty, monkeypatch):
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 16 * substrings.BATCH_ROWS)
+    test_substrings(docs, rows, empty)
+
+
+def test_near_duplicates_by_row(spark):
+    """Of repeated rows one is kept; a text that only shares its id with a copy is kept."""
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[40:80])
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (9, " ".join(WORDS[80:120]), 3), (9, " ".join(WORDS[80:120]), 4), (None, a + " x", 5), (None, None, 6), (None, "", 7), (5, b, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = {r.n: r for r in minhash.near_duplicates(df, row_col="n").collect()}
+    assert len(got) == 9 and {n for n, r in got.items() if r.kept} in ({5, 2, 3, 6, 7}, {5, 8, 3, 6, 7}, {5, 2, 4, 6, 7})
+    assert [got[n].component_id for n in (0, 1, 5)] == [None] * 3 and got[2].component_id == got[8].component_id == 5
+
+
 @pytest.mark.parametrize("cell", [256, 3])
 def test_minhash(docs, rows, empty, monkeypatch, cell):
     monkeypatch.setattr(minhash, "CELL", cell)
@@ -179,6 +307,75 @@ def test_mixing(docs, rows, empty):
     assert [sum(x) for x in zip(*tree)] == [100, 7, 0] and max(map(sum, tree)) - min(map(sum, tree)) <= 1
 
 
+def test_mix_follows_its_plan(spark):
+    """Repeated ids, clashing names: each row comes as often as the plan says for that row."""
+    rows = [(k % 40 if k % 3 else 1, "w " * (k % 7 + 1), "abc"[k % 3] if k % 11 else None, k, 5) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag int, shard int")
+    mixed = mixing.mix(df).collect()
+    plan = mixing.mix_plan(df, row_col="tag").collect()
+    assert len(mixed) == sum(r.copies for r in plan) and max(Counter(r.tag for r in mixed).values()) <= 2
+    for source in ("a", "b", "c", None):
+        held = [r for r in plan if r.source == source]
+        assert sum(len(r.text.split()) for r in mixed if r.source == source) == sum(r["size"] * r.copies for r in held)
+    # water filling, by its definition: sources at their cap stop, the rest share by weight
+    sizes = {s: sum(len(t.split()) for _, t, x, *_ in rows if x == s) for s in ("a", "b", "c", None)}
+    weight = dict(zip(sizes, (5, 2, 1, 5)))
+    want, open_ = {}, set(sizes)
+    while open_:
+        left = 1.5 * sum(sizes.values()) - sum(want.values())
+        over = {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * sizes[s]}
+        want |= {s: 2.0 * sizes[s] for s in over} if over else {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        open_ = open_ - over if over else set()
+    assert all(abs(next(r.target for r in plan if r.source == s) - want[s]) < 1e-6 for s in sizes)
+
+
+def test_secrets_by_place(spark):
+    """Only the place that the scan means is masked; names never clash; many places, pieces and empty tables."""
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    r = random.Random(3)
+    many = " ".join(f'token = "{"".join(r.choice("abcdef0123456789") for _ in range(40))}"' for _ in range(600))
+    texts = [f'token = "{key}" but commit {key} was merged', None, "", "x " * 2044 + f' token = "{key}" ' + "y " * 50_000, many]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)] + [(0, texts[0], "c", "d")], "doc_id long, text string, __h1 string, __spans string")
+    model = secrets.train(spark)
+    got = secrets.redact(df, model=model).collect()
+    first = sorted((x["__h1"], x["__spans"], x.text) for x in got if x.doc_id == 0)
+    assert first == [(a, b, f'token = "[SECRET]" but commit {key} was merged') for a, b in (("a", "b"), ("c", "d"))]
+    clean = {x.doc_id: x.text for x in got}
+    assert (clean[1], clean[2], clean[3]) == (None, "", texts[3].replace(key, "[SECRET]")) and clean[4] == " ".join(['token = "[SECRET]"'] * 600)
+    assert secrets.scan(df.limit(0), model).count() == 0 and secrets.redact(df.limit(0), model=model).count() == 0
+
+
+def test_running_sums(spark):
+    r = random.Random(4)
+    for n in (1, 2, 31, 32, 33, 1024, 1025, 40_000):
+        numbers = [r.randint(0, 9) for _ in range(n)]
+        got = spark.createDataFrame([(numbers,)], "a array<int>").select(secrets.running_sums(F.col("a")).alias("x")).first().x
+        assert got == list(itertools.accumulate(numbers))
+
+
+def test_planted_secrets(spark):
+    """Precision and recall of whole scans: planted findings of another seed, three to a document, between words of documents."""
+    found = secrets.labelled_findings(1500, 123)
+    prose = [r.text[:400] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) > 400 and not text like '%token%'").limit(50).collect()]
+    docs, planted = [], set()
+    for k in range(0, len(found), 3):
+        text = ""
+        for n, f in enumerate(found[k : k + 3]):
+            text += prose[(k + n) % len(prose)] + "\n"
+            if f["secret"]:
+                planted.add((k, len(text) + f["start"], len(text) + f["start"] + len(f["value"])))
+            text += f["text"] + "\n"
+        docs.append((k, text))
+    got = {(r.doc_id, r.start, r.start + r.length) for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string"), secrets.train(spark)).filter("is_secret").collect()}
+    by = defaultdict(list)
+    for d, a, b in planted:
+        by[d].append((a, b))
+    caught = {(d, a, b) for d, a, b in planted if any(x == d and s < b and a < e for x, s, e in got)}
+    right = [g for g in got if any(g[1] < b and a < g[2] for a, b in by[g[0]])]
+    print(f"recall {len(caught) / len(planted):.3f} of {len(planted)}, precision {len(right) / len(got):.3f} of {len(got)}")
+    assert len(caught) >= 0.9 * len(planted) and len(right) >= 0.9 * len(got)
+
+
 def test_secrets(spark):
     key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
     df = spark.createDataFrame([(1, f'la token = "{key}" fin', 0), (2, f"commit {key} was merged", 0), (3, None, 0), (4, "", 0), (5, "erungsteacherheitpfchen donaudampf", 0)], "doc_id long, text string, value int")
@@ -236,6 +433,32 @@ def test_short_secrets(spark):
     assert not [f["text"] for f in other if f["secret"] not in reached]
 
 
+def test_chat_layouts(spark):
+    """Fields beside the needed ones, nested and empty lists, texts that are no strings; rejects are counted, never formatted."""
+    records = [
+        '{"id": 3, "messages": [{"role": "human", "content": "hi", "name": "n"}, {"role": "tool", "content": null, "x": {"content": [1]}}, {"role": "assistant", "content": [{"type": "text"}]}]}',
+        '{"messages": []}', '{"id": 1, "system": "s", "instruction": "i", "input": "n", "output": "o"}', '{"meta": {"messages": [{"role": "a", "content": "b"}]}}', '{"prompt": "p", "completion": "c", "extra": [1]}', "[1]", "3",
+        '{"`a: b`": {"role": 1}, "c d": [[{"e": []}]]}',
+    ]
+    df = spark.createDataFrame([(i, r, "x", 1) for i, r in enumerate(records)], "k int, record string, layout string, __pieces int")
+    record = F.parse_json("record")
+    turned = chat.canonical_turns(df, record)
+    got = {r.k: r for r in chat.format_turns(turned).collect()}
+    assert [got[k].layout for k in range(8)] == ["messages", "no_messages", "system_instruction_input", None, "prompt", None, None, None]
+    assert [(t.role, t.text) for t in got[0].turns] == [("user", "hi"), ("tool", ""), ("assistant", '[{"type":"text"}]')] and got[1].formatted == "" and got[3].formatted is None and got[0]["__pieces"] == 1
+    assert [(t.role, t.text) for t in got[2].turns] == [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")]
+    counts = {r.paths: r.n for r in chat.reject_counts(turned, record).collect()}
+    assert counts == {"": 2, "meta meta.messages meta.messages[].content meta.messages[].role": 1, "```a: b``` ```a: b```.role `c d` `c d`[][].e `c d`[][].e[]!": 1} and chat.rejects(turned).count() == 4
+    assert chat.format_turns(chat.canonical_turns(df.limit(0), record)).count() == 0
+    long = "</s>[INST] é " * 20_000
+    one = chat.format_turns(spark.createDataFrame([([("assistant", long)],)], "turns array<struct<role:string,text:string>>"))
+    back = one.select(chat.read_turns(F.col("formatted"))[0]["text"].alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert back.t == back.l == long
+    for layout in chat.LAYOUTS:
+        paths = spark.range(1).select(chat.field_paths(F.parse_json(F.lit(layout.sample))).alias("p")).first().p
+        assert layout.name == "row" or sorted(paths) == sorted(chat.needed_paths(json.loads(layout.sample)))
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>", "<\\|x", "[\\INST]", "a\n", "", None, "<|end|>\n<|end|>\n", "<\\\\|"]
     records = [json.dumps({"messages": [{"role": "user", "content": t}, {"role": "gpt", "content": t}]}) for t in texts]
@@ -245,4 +468,4 @@ def test_chat(spark):
     got = {r.k: r for r in made.withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans"))).collect()}
     for i, t in enumerate(texts):
         assert [(x.role, x.text) for x in got[i].back] == [("user", t or ""), ("assistant", t or "")] and got[i].loss == (t or "")
-    assert (got[9].layout, got[9].loss, got[10].layout, got[10].loss, got[11].layout, got[11].formatted) == ("prompt", "c", "instruction_input", "o", None, "")
+    assert (got[9].layout, got[9].loss, got[10].layout, got[10].loss, got[11].layout, got[11].formatted) == ("prompt", "c", "instruction_input", "o", None, None)

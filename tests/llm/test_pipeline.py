@@ -90,6 +90,19 @@ def test_stages(spark, corpus):
         assert r.token_ids == ids and r.n_tokens == len(ids)
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows are told apart by number: a text that shares its id with a copy stays, repeated rows come once, every stage takes null ids and empty tables."""
+    a, b, c = (" ".join(f"{x}{k}e" for k in range(40)) for x in ("wa", "wb", "wc"))
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", None, 1), (9, c, None, "s", 1), (9, c, None, "s", 1), (None, c + " x", "en", "t", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, docs, DIR).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("5", b), ("None", c + " x"), ("None", "")])
+    for table in (docs, docs.limit(0)):
+        for name, stage in P.STAGES:
+            out = stage(spark, table, DIR)
+            assert set(docs.columns) <= set(out.columns) and (out.count() > 0) == (table is docs), name
+
+
 def test_run_is_the_stages(spark, corpus):
     where, _ = corpus
     first, again = (Counter((r.doc_id, tuple(r.token_ids)) for r in P.run(spark, where).collect()) for _ in range(2))
