@@ -19,9 +19,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, likeness 0.8 or more): that with the smallest id."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80, stable=True).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(COLUMNS)
+    """One document of each group of near duplicates (five-word shingles, likeness 0.8 or more): that with the smallest id.
+
+    Rows are told apart by number, not by id: of rows that repeat an id and a text one
+    stays, and a text that only shares its id with a copy stays.  Texts without words stay.
+    """
+    numbered = docs.withColumn("row_number", F.monotonically_increasing_id())
+    gone = minhash.near_duplicates(numbered, words=5, percent=80, stable=True, row_col="row_number").filter("NOT kept").select("row_number")
+    return numbered.join(gone, "row_number", "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources at their target weights, in shards; documents come as often as they are taken."""
-    return mixing.mix(docs).select(COLUMNS)
+    return mixing.mix(docs, stable=True).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
