@@ -25,7 +25,7 @@ from loomwork.llm.shared import shuffle_width, stash
 from loomwork.llm.wordhash import from_planes, pack, planes, unpack, window_checks, window_hashes, word_hashes, words_of
 
 #: Rows of a batch of short texts, bytes of text of any batch (a longer text is a batch of its own), and windows that a bucket should hold.
-BATCH_ROWS, BATCH_BYTES, BUCKET_WINDOWS = 2048, 4 << 20, 2_000_000
+BATCH_ROWS, BATCH_BYTES, BUCKET_WINDOWS = 2048, 8 << 20, 2_000_000
 
 
 def _finer(by: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -98,18 +98,18 @@ def _batches(frames, width: int):
         yield last, made(parts)
 
 
-#: Classes of text length, each twice the one before; a batch holds texts of one class.
-CLASSES = 16
+#: Classes of text length, each up to eight times the one before; a batch holds texts of one class.
+CLASSES = 8
 
 
 def batch_of(row: Column, text: Column) -> Column:
-    """The batch of a row: half as many rows for each doubling of their length, one if a text is longer than a batch."""
-    least = BATCH_BYTES // BATCH_ROWS
-    size = F.coalesce(F.octet_length(text), F.lit(0))
-    kind = F.least(F.greatest(F.ceil(F.log2(size / least)), F.lit(0)), F.lit(BATCH_ROWS.bit_length() - 1)).cast("int")
-    kind = F.when(size <= least, F.lit(0)).otherwise(kind)
-    most = F.element_at(F.array(*[F.lit(BATCH_ROWS >> k) for k in range(CLASSES)]), kind + 1)
-    return F.call_function("div", row, most) * CLASSES + kind
+    """The batch of a row: texts of one class from a run of rows that is an eighth as long for each class, one row for the longest."""
+    least, size = BATCH_BYTES // BATCH_ROWS, F.coalesce(F.octet_length(text), F.lit(0))
+    found = F.lit(BATCH_ROWS), F.lit(0)
+    for kind in range(1, CLASSES):
+        longer = size > least << 3 * (kind - 1)
+        found = F.when(longer, F.lit(max(1, BATCH_ROWS >> 3 * kind))).otherwise(found[0]), F.when(longer, F.lit(kind)).otherwise(found[1])
+    return F.call_function("div", row, found[0]) * CLASSES + found[1]
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
