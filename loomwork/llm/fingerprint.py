@@ -17,7 +17,7 @@ from loomwork.llm.shared import discard, free_name, let, stash
 #: Distinct lanes up to which the table of repeated lanes is broadcast (24 MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of carried text that a range of keys should hold, and the most ranges (one long each in the plan's array).
-RANGE_BYTES, RANGES = 16 << 20, 32_768
+RANGE_BYTES, RANGES = 2 << 20, 32_768
 
 
 def _nfkc(text: Column) -> Column:
