@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +43,46 @@ def gamma_p(s: Column, x: Column, log_gamma: Column) -> Column:
 
 
 def chi_square_tail(chi2: Column, df: Column) -> Column:
-    """Chance of a greater value; 0 without degrees of freedom."""
-    p = 1 - gamma_p(df / 2, chi2 / 2, half_integer_log_gamma(df))
-    return F.when(df <= 0, 0.0).when(chi2 <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    """Chance of a greater value; 0 without degrees of freedom.  Both arguments are computed once."""
+    half = F.struct((df / 2).alias("s"), (chi2 / 2).alias("x"), half_integer_log_gamma(df).alias("log"))
+
+    def tail(t: Column) -> Column:
+        p = 1 - gamma_p(t["s"], t["x"], t["log"])
+        return F.when(t["s"] <= 0, 0.0).when(t["x"] <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+
+    return F.get(F.transform(F.array(half), tail), F.lit(0))
+
+
+def chi_square_tails(chi2: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """chi_square_tail of arrays, for statistics that are already in numpy; df goes up to 255."""
+    s, x = df / 2, chi2 / 2
+    out = np.where(x <= 0, 1.0, 0.0)
+    for below in (True, False):
+        mine = (df > 0) & (x > 0) & ((x < s + 1) == below)
+        if mine.any():
+            a, b = s[mine], x[mine]
+            scale = np.exp(a * np.log(b) - b - _LOG_GAMMA[df[mine]])
+            out[mine] = np.clip(1 - _series(a, b) * scale if below else _fraction(a, b) * scale, 0, 1)
+    return np.where(df <= 0, 0.0, out)
+
+
+_LOG_GAMMA = np.array([0.0, *(math.lgamma(k / 2) for k in range(1, 256))])
+
+
+def _series(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    term = 1 / s
+    total = term.copy()
+    for k in range(1, ITERATIONS):
+        term *= x / (s + k)
+        total += term
+        if (term < total * 1e-17).all():
+            break
+    return total
+
+
+def _fraction(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction from its end: ITERATIONS levels are past convergence from s + 1 on."""
+    below = np.zeros_like(x)
+    for k in range(ITERATIONS, 0, -1):
+        below = k * (k - s) / (x + 2 * k + 1 - s - below)
+    return 1 / (x + 1 - s - below)

@@ -109,16 +109,66 @@ def instant(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm[:ss][.SSS][XXX]")), text.try_cast("timestamp"))
 
 
-def day_key(kick: Column, raw: Column, zone: str) -> Column:
-    """Calendar day in a zone as text; an unknown zone falls back to the text's first ten characters."""
+def known_zone(zone: str | None) -> bool:
     import zoneinfo
 
     try:
-        zoneinfo.ZoneInfo(zone)
+        return zone is None or bool(zoneinfo.ZoneInfo(zone))
     except (zoneinfo.ZoneInfoNotFoundError, ValueError):
+        return False
+
+
+def in_zone(kick: Column, zone: str | None) -> Column:
+    """A UTC instant on the clock of a zone (UTC if none is given)."""
+    at = kick.cast("timestamp_ntz")
+    return at if zone is None else F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
+
+
+def day_key(kick: Column, raw: Column, zone: str | None) -> Column:
+    """Calendar day in a zone as text; an unknown zone falls back to the text's first ten characters."""
+    if not known_zone(zone):
         return F.when(filled(raw).isNotNull(), F.substring(raw, 1, 10))
-    shown = F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), kick.cast("timestamp_ntz")), "yyyy-MM-dd")
-    return F.when(filled(raw).isNotNull(), F.coalesce(shown, F.lit("Invalid Date")))
+    return F.when(filled(raw).isNotNull(), F.coalesce(F.date_format(in_zone(kick, zone), "yyyy-MM-dd"), F.lit("Invalid Date")))
+
+
+def date_label(kick: Column, raw: Column, zone: str | None = None) -> Column:
+    """Short weekday, month and day in a zone; an unknown zone gives the text's first ten characters or ''."""
+    if not known_zone(zone):
+        return F.coalesce(F.substring(raw, 1, 10), F.lit(""))
+    return F.coalesce(F.date_format(in_zone(kick, zone), "E, MMM d"), F.lit("Invalid Date"))
+
+
+def time_label(kick: Column, zone: str | None = None) -> Column:
+    """Two-digit hour and minute in a zone; '' for an unknown zone."""
+    if not known_zone(zone):
+        return F.lit("")
+    return F.coalesce(F.date_format(in_zone(kick, zone), "hh:mm a"), F.lit("Invalid Date"))
+
+
+def in_days(raw: Column, days: Column) -> Column:
+    """Whether the text's first ten characters are among an array of days; false without a text."""
+    return F.coalesce(F.array_contains(days, F.substring(filled(raw), 1, 10)), F.lit(False))
+
+
+def utc_window(now: Column) -> Column:
+    """(days, fetch_range): the day before, of and after an instant in UTC, and the range to fetch, which starts a day earlier."""
+    day = lambda k, form: F.date_format(F.date_add(F.to_date(now), k), form)
+    days = F.array(*[day(k, "yyyy-MM-dd") for k in (-1, 0, 1)])
+    return F.struct(days.alias("days"), F.concat(day(-2, "yyyyMMdd"), F.lit("-"), day(1, "yyyyMMdd")).alias("fetch_range"))
+
+
+def days_from(kick: Column, raw: Column, now: Column, zone: str | None = None) -> Column:
+    """Whole days of a match from today in a zone: 0 today, 1 tomorrow, -1 yesterday; null if it has no day there.
+
+    With an unknown zone both sides are the text's prefix and the instant's UTC day.
+    """
+    today = F.to_date(in_zone(now, zone if known_zone(zone) else None))
+    return F.datediff(day_key(kick, raw, zone).try_cast("date"), today)
+
+
+def near_today(kick: Column, raw: Column, now: Column, zone: str | None = None) -> Column:
+    """Whether a match is yesterday, today or tomorrow in a zone."""
+    return F.coalesce(days_from(kick, raw, now, zone).between(-1, 1), F.lit(False))
 
 
 def unicode_trim(c: Column) -> Column:

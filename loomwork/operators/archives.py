@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,13 +36,27 @@ def zip_bytes(entries: list[tuple[str, bytes]], dos_date: int = 0x5C21, dos_time
     return bytes(body + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), len(central), len(body), 0))
 
 
-def make_zips(entries: DataFrame) -> DataFrame:
-    """(archive_id, content) from (archive_id, ord, name, content); an archive is one value and so one task's work."""
+def make_zips(entries: DataFrame, made_at: datetime | None = None, utf8: bool = True) -> DataFrame:
+    """(archive_id, content, error_code) from (archive_id, ord, name, content).
+
+    The limits are checked on sizes first: an archive that passes one has error_code
+    'zipbig' and null content, and its bytes go nowhere.  The others have 4 GiB at most and
+    are one value and so one task's work each.  ``made_at`` is the local time in every
+    header, 2026-01-01 if none is given, so that bytes do not vary.  Null content is empty.
+    """
+    at = made_at or datetime(2026, 1, 1)
+    date, time = (at.year - 1980 & 0x7F) << 9 | at.month << 5 | at.day, at.hour << 11 | at.minute << 5 | at.second >> 1
+    size = sizes(entries.select("archive_id", "name", "content"), "archive_id", F.octet_length("name"), F.coalesce(F.octet_length("content"), F.lit(0)))
+    large = size.filter("too_big").select("archive_id")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        return pd.DataFrame({"archive_id": [pdf["archive_id"].iloc[0]], "content": [zip_bytes([(n, bytes(c)) for n, c in zip(pdf["name"], pdf["content"])])]})
+        made = zip_bytes([(n, bytes(c or b"")) for n, c in zip(pdf["name"], pdf["content"])], date, time, utf8)
+        return pd.DataFrame({"archive_id": [pdf["archive_id"].iloc[0]], "content": [made]})
 
-    return entries.groupBy("archive_id").applyInPandas(run, "archive_id string, content binary")
+    kind = entries.schema["archive_id"].dataType.simpleString()
+    made = entries.join(large, "archive_id", "left_anti").groupBy("archive_id").applyInPandas(run, f"archive_id {kind}, content binary")
+    return made.withColumn("error_code", F.lit(None).cast("string")).unionByName(large.select("archive_id", F.lit(None).cast("binary").alias("content"), F.lit("zipbig").alias("error_code")))
 
 
 def distinct_names(names: list[str]) -> list[str]:
@@ -61,12 +76,17 @@ def distinct_names(names: list[str]) -> list[str]:
     return out
 
 
-def dedupe_names(entries: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """entries with ``unique_name``. Names depend on all before them, so a key's entries are one group."""
+def dedupe_names(entries: DataFrame, key: str, order: str, name: str, most: int = MAX_ENTRIES) -> DataFrame:
+    """entries with ``unique_name``. Names depend on all before them, so a key's entries are one group.
+
+    A key with more entries than an archive can have gets null names and is not gathered.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         return pdf.assign(unique_name=distinct_names(pdf[name].fillna("").tolist()))
 
     slim = entries.select(key, order, name)
+    large = slim.groupBy(key).count().filter(F.col("count") > most).select(F.col(key).alias("large_"))
+    fits, beyond = (slim.join(large, F.col(key).eqNullSafe(F.col("large_")), how) for how in ("left_anti", "left_semi"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    return slim.groupBy(key).applyInPandas(run, fields + ", unique_name string")
+    return fits.groupBy(key).applyInPandas(run, fields + ", unique_name string").unionByName(beyond.withColumn("unique_name", F.lit(None).cast("string")))

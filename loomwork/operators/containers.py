@@ -268,6 +268,51 @@ def clean(df: DataFrame, content_col: str = "content") -> DataFrame:
     }).drop("__s", "__p")
 
 
+def jpeg_turn(b: bytes) -> int:
+    """The orientation that a viewer takes: of the first Exif segment before the picture; 1 for anything malformed or missing."""
+    at = 2
+    while at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] not in (0xDA, 0xD9):
+        if b[at + 1] == 0xFF:  # a fill byte
+            at += 1
+            continue
+        size = int.from_bytes(b[at + 2 : at + 4], "big")
+        segment = b[at + 4 : at + 2 + size]
+        if size < 2 or at + 2 + size > len(b):
+            break
+        if b[at + 1] == 0xE1 and size >= 16 and segment[:6] == b"Exif\0\0":
+            return _turn(segment[6:])
+        at += 2 + size
+    return 1
+
+
+def _turn(t: bytes) -> int:
+    """Tag 0x0112 of a TIFF's first directory."""
+    order = {b"II": "little", b"MM": "big"}.get(t[:2])
+    if order is None or len(t) < 8:
+        return 1
+    number = lambda at, n: int.from_bytes(t[at : at + n], order)
+    start = number(4, 4)
+    if number(2, 2) != 42 or start + 2 > len(t):
+        return 1
+    for k in range(number(start, 2)):
+        entry = start + 2 + 12 * k
+        if entry + 12 > len(t):
+            return 1
+        if number(entry, 2) == 0x0112:
+            return number(entry + 8, 2) if 1 <= number(entry + 8, 2) <= 8 else 1
+    return 1
+
+
+def upright(df: DataFrame, content_col: str = "content") -> DataFrame:
+    """df with ``upright``: the orientation of JPEG content, 1 for other content and for null."""
+
+    @F.pandas_udf("int")
+    def turn(contents: pd.Series) -> pd.Series:
+        return pd.Series([jpeg_turn(bytes(c)) if c is not None and bytes(c[:2]) == b"\xff\xd8" else 1 for c in contents], dtype="int32")
+
+    return df.withColumn("upright", turn(F.col(content_col)))
+
+
 def tiles(df: DataFrame, w: Column, h: Column, text_width: Column, percent: Column, gap: Column) -> DataFrame:
     """A row (tile_row, tile_col, x, y, font) for each place of a repeated mark, about the centre before it is turned by -30 degrees.
 

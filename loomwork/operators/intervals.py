@@ -23,8 +23,13 @@ def removed_before(points: DataFrame, gone: DataFrame, key: str, at: str = "at")
     return marks.unionByName(cuts).withColumn("removed", F.sum("len").over(w)).filter("kind = 0").select("row.*", "removed")
 
 
-def rebased(points: DataFrame, gone: DataFrame, key: str, delta: int, at: str = "at") -> DataFrame:
-    return removed_before(points, gone, key, at).withColumn("moved", F.col(at) + delta - F.col("removed"))
+def rebased(points: DataFrame, gone: DataFrame, key: str, delta: int, at: str = "at", cut: int | None = None) -> DataFrame:
+    """points with ``removed``, ``moved``, and, if ``cut`` is given, ``error_code`` 'offset' for points before it, which have no new place."""
+    out = removed_before(points, gone, key, at)
+    if cut is None:
+        return out.withColumn("moved", F.col(at) + delta - F.col("removed"))
+    early = F.col(at) < cut
+    return out.withColumn("moved", F.when(~early, F.col(at) + delta - F.col("removed"))).withColumn("error_code", F.when(early, "offset"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -9,59 +9,111 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.gamma import chi_square_tail
+from loomwork.functions.gamma import chi_square_tails
+
+
+#: Images whose counts are held at once.
+IMAGES = 512
+
+
+def _counted(frames: Iterator[pd.DataFrame], cells: int, place) -> Iterator[pd.DataFrame]:
+    """(id, cell, value, cnt) of the bytes that ``place`` gives a cell to: one count over IMAGES images, one frame out for them."""
+    for pdf in frames:
+        for at in range(0, len(pdf), IMAGES):
+            part = pdf.iloc[at : at + IMAGES]
+            keys = [np.empty(0, np.int64)]
+            for row, raw in enumerate(part["data"]):
+                cell, value = place(np.frombuffer(raw or b"", np.uint8))
+                keys.append((row * cells + cell).astype(np.int64) * 256 + value)
+            cnt = np.bincount(np.concatenate(keys), minlength=1)
+            met = np.flatnonzero(cnt)
+            row = met // 256 // cells
+            yield pd.DataFrame({"id": part["id"].to_numpy()[row], "cell": met // 256 % cells, "value": met % 256, "cnt": cnt[met]})
 
 
 def histograms(images: DataFrame, id_col: str, data: Column, channels: int = 4) -> DataFrame:
     """(id, channel, value, cnt) of interleaved bytes: one pass in numpy, one row for each value that occurs."""
     rows = images.select(F.col(id_col).alias("id"), data.alias("data"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for i, raw in zip(pdf["id"], pdf["data"]):
-                flat = np.frombuffer(raw or b"", np.uint8)
-                flat = flat[: len(flat) // channels * channels].reshape(-1, channels)
-                for c in range(channels):
-                    cnt = np.bincount(flat[:, c], minlength=256)
-                    v = np.flatnonzero(cnt)
-                    if len(v):
-                        yield pd.DataFrame({"id": i, "channel": c, "value": v, "cnt": cnt[v]})
+    def place(flat: np.ndarray):
+        n = len(flat) // channels * channels
+        return np.arange(n) % channels, flat[:n]
 
     kind = images.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, channel int, value int, cnt long").withColumnRenamed("id", id_col)
+    found = rows.mapInPandas(lambda frames: _counted(frames, channels, place), f"id {kind}, cell int, value int, cnt long")
+    return found.select(F.col("id").alias(id_col), F.col("cell").alias("channel"), "value", "cnt")
 
 
-def pair_chi_square(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Chi-square over value pairs of a histogram: (keys, chi2, df, p, constant)."""
-    pairs = hist.groupBy(*keys, F.shiftright("value", 1).alias("pair")).agg(F.sum("cnt").alias("n"), F.sum(F.when(F.col("value") % 2 == 0, F.col("cnt")).otherwise(0)).alias("even"), F.count("*").alias("bins"))
-    e = F.col("n") / 2
-    got = pairs.groupBy(*keys).agg(F.coalesce(F.sum(F.when(e >= 1, (F.col("even") - e) * (F.col("even") - e) / e)), F.lit(0.0)).alias("chi2"), (F.count_if(e >= 1) - 1).alias("df"), (F.sum("bins") <= 1).alias("constant"))
-    return got.withColumn("p", chi_square_tail(F.col("chi2"), F.col("df")))
+TESTED = "n long, bins int, odd long, full long, chi2 double, df int, p double, constant boolean"
 
 
-def verdict(p: Column) -> Column:
-    return F.when(p >= 0.9, "likely").when(p >= 0.3, "possible").otherwise("unlikely")
+def _tested(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Statistics of rows of 256 counts: size, occupied values, odd values, values 255, and chi-square over value pairs; p is 0 for a constant row."""
+    even, both = counts[:, 0::2], counts[:, 0::2] + counts[:, 1::2]
+    used = both >= 2
+    half = np.where(used, both, 2) / 2
+    chi2, df, bins = np.where(used, (even - half) ** 2 / half, 0.0).sum(1), used.sum(1) - 1, (counts > 0).sum(1)
+    p = np.where(bins <= 1, 0.0, chi_square_tails(chi2, df))
+    return {"n": counts.sum(1), "bins": bins, "odd": counts[:, 1::2].sum(1), "full": counts[:, 255], "chi2": chi2, "df": df, "p": p, "constant": bins <= 1}
 
 
-def segment_histograms(images: DataFrame, id_col: str, data: Column, segments: int = 64) -> DataFrame:
-    """(id, seg, value, cnt), red, green and blue pooled; images with fewer pixels than segments give nothing."""
+def _tests(images: DataFrame, id_col: str, data: Column, name: str, parts: int, count) -> DataFrame:
+    """(id, name, statistics) of the ``parts`` rows of counts that ``count`` makes of each image, in one pass and without a shuffle."""
     rows = images.select(F.col(id_col).alias("id"), data.alias("data"))
 
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for i, raw in zip(pdf["id"], pdf["data"]):
-                flat = np.frombuffer(raw or b"", np.uint8)
-                n = len(flat) // 4
-                if n < segments:
-                    continue
-                rgb = flat[: 4 * n].reshape(-1, 4)[:, :3]
-                seg = np.arange(n) * segments // n
-                cnt = np.bincount((seg[:, None] * 256 + rgb).ravel(), minlength=256 * segments)
-                at = np.flatnonzero(cnt)
-                yield pd.DataFrame({"id": i, "seg": at // 256, "value": at % 256, "cnt": cnt[at]})
+            for at in range(0, len(pdf), IMAGES):
+                held = pdf.iloc[at : at + IMAGES]
+                made = [count(np.frombuffer(raw or b"", np.uint8)) for raw in held["data"]]
+                some = [k for k, c in enumerate(made) if c is not None]
+                if some:
+                    counts = np.concatenate([made[k] for k in some])
+                    yield pd.DataFrame({"id": held["id"].iloc[np.repeat(some, parts)].to_numpy(), name: np.tile(np.arange(parts, dtype=np.int32), len(some)), **_tested(counts)})
 
     kind = images.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, seg int, value int, cnt long").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(run, f"id {kind}, {name} int, {TESTED}").withColumnRenamed("id", id_col)
+
+
+def channel_tests(images: DataFrame, id_col: str, data: Column, channels: int = 4) -> DataFrame:
+    """(id, channel, n, bins, odd, full, chi2, df, p, constant) of each channel; images without a pixel give nothing."""
+
+    def count(flat: np.ndarray):
+        n = len(flat) // channels
+        return np.stack([np.bincount(flat[c : n * channels : channels], minlength=256) for c in range(channels)]) if n else None
+
+    return _tests(images, id_col, data, "channel", channels, count)
+
+
+def segment_tests(images: DataFrame, id_col: str, data: Column, segments: int = 64) -> DataFrame:
+    """(id, seg, statistics), red, green and blue pooled; images with fewer pixels than segments give nothing."""
+
+    def count(flat: np.ndarray):
+        n = len(flat) // 4
+        if n < segments:
+            return None
+        seg = np.arange(n) * segments // n
+        return np.bincount((seg[:, None] * 256 + flat[: 4 * n].reshape(-1, 4)[:, :3]).ravel(), minlength=256 * segments).reshape(segments, 256)
+
+    return _tests(images, id_col, data, "seg", segments, count)
+
+
+def channel_verdicts(images: DataFrame, id_col: str, data: Column) -> DataFrame:
+    """(id, has_alpha, max_p, verdict, ratios): the greatest p of an image's channels, and each channel's share of odd values.
+
+    Red, green and blue count, and alpha if one of its values is not 255; constant
+    channels have p 0.  Images without a pixel have no row.
+    """
+    seen = channel_tests(images, id_col, data).filter("channel < 3 or full < n")
+    told = seen.groupBy(id_col).agg(
+        F.bool_or(F.col("channel") == 3).alias("has_alpha"), F.max("p").alias("max_p"),
+        F.transform(F.sort_array(F.collect_list(F.struct("channel", (F.col("odd") / F.col("n")).alias("ratio")))), lambda x: x["ratio"]).alias("ratios"),
+    )
+    return told.select(id_col, "has_alpha", "max_p", verdict(F.col("max_p")).alias("verdict"), "ratios")
+
+
+def verdict(p: Column) -> Column:
+    return F.when(p >= 0.9, "likely").when(p >= 0.3, "possible").otherwise("unlikely")
 
 
 def extract_bits(images: DataFrame, id_col: str, data: Column, width: Column, channels: str = "rgb", bit: int = 0, msb: bool = True, columns: bool = False, preview: int = 4096) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import binary as B
 from loomwork.functions import names as N
-from loomwork.operators import archives, intervals, pixels, sealing
+from loomwork.operators import archives, intervals, pages, pixels, sealing
 from loomwork.plans.schedule_queries import read
 
 
@@ -124,19 +124,39 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.dedupe_names(p, "p_brand", "p_partkey", "name")
 
 
+#: No name here has a number in brackets, so the n-th of a name is the one that gets n.
+UNIQUE_SQL = """SELECT p_brand, p_partkey, name, CASE WHEN nth = 1 THEN name ELSE regexp_replace(name, '\\.x$', '(' || nth || ').x') END AS unique_name
+ FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, name ORDER BY p_partkey) AS nth FROM (SELECT p_brand, p_partkey, split_part(p_name, ' ', 1) || '.x' AS name FROM part))"""
+
+
+#: What the pages of a remainder begin with, and the kinds that follow: every signature, the image kinds, and the page itself.
+LEADS = (
+    ("89504e470d0a1a0a", "png", "png"), ("ffd8ff", "jpeg", "jpeg"), ("47494638", "gif", "gif"), ("424d", "bmp", None), ("25504446", "pdf", None), ("504b0304", "zip", None), ("52617221", "rar", None),
+    ("377abcaf271c", "sevenz", None), ("1f8b", "gzip", None), ("425a68", "bzip2", None), ("7f454c46", "elf", None), ("4f676753", "ogg", None), ("52494646", "riff", None), ("664c6143", "flac", None),
+    ("1a45dfa3", "mkv", None), ("efbbbf", "bom", None), ("524946460000000057454250", "riff", "webp"), ("00000018667479706d69663100000000", None, "heif"), ("0000001866747970787878780000000068656963", None, "heif"), ("", "text", None),
+)
+
+
 def sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("b"))
-    return d.select("page_id", B.payload_kind(F.col("b")).alias("kind"), B.text_run(F.col("b")).cast("long").alias("run"), B.image_kind(F.col("b")).alias("image"), F.md5(B.printable(F.col("b"))).alias("shown"), B.hex_dump(F.col("b")).alias("dump"), B.u_be(F.col("b"), 0, 4).alias("be"), B.u_le(F.col("b"), 0, 4).alias("le"))
-
-
-SNIFF_SQL = r"""
-WITH p AS (SELECT page_id, html, encode(html) AS b, regexp_extract_all(hex(encode(html)), '..') AS h FROM pages),
-q AS (SELECT *, length(regexp_extract(html, '^[\t\n\r -~]*')) AS run, array_to_string(list_transform(h, lambda x: CASE WHEN x IN ('09', '0A', '0D') OR (x >= '20' AND x <= '7E') THEN chr(CAST('0x' || x AS INTEGER)) ELSE '·' END), '') AS shown,
- list_transform(range(0, least(40, len(h)), 16), lambda o: [o, least(o + 16, least(40, len(h)))]) AS cuts FROM p)
-SELECT page_id, CASE WHEN html LIKE 'BM%' THEN 'bmp' WHEN run >= 6 THEN 'text' END AS kind, run, NULL AS image, md5(shown) AS shown,
- array_to_string(list_transform(cuts, lambda c: lpad(lower(hex(c[1])), 8, '0') || '  ' || rpad(array_to_string(list_transform(h[c[1] + 1:least(c[1] + 8, c[2])], lambda x: lower(x) || ' '), ''), 24, ' ') || ' ' ||
-  rpad(array_to_string(list_transform(h[c[1] + 9:c[2]], lambda x: lower(x) || ' '), ''), 24, ' ') || ' ' || array_to_string(list_transform(h[c[1] + 1:c[2]], lambda x: CASE WHEN x >= '20' AND x <= '7E' THEN chr(CAST('0x' || x AS INTEGER)) ELSE '.' END), '')), chr(10)) AS dump,
- CAST('0x' || h[1] || h[2] || h[3] || h[4] AS BIGINT) AS be, CAST('0x' || h[4] || h[3] || h[2] || h[1] AS BIGINT) AS le FROM q
+    """Kinds, first printable run, numbers and the whole dump of pages that begin with each signature in turn."""
+    lead = F.element_at(F.array(*[F.lit(x[0]) for x in LEADS]), (F.col("page_id") % len(LEADS)).cast("int") + 1)
+    d = read(spark, sf_dir, "pages").select("page_id", F.concat(F.unhex(lead), F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("b"))
+    b = F.col("b")
+    return d.select("page_id", B.payload_kind(b).alias("kind"), B.text_run(b).cast("long").alias("run"), B.image_kind(b).alias("image"), F.md5(B.printable(b)).alias("shown"), F.md5(B.hex_dump(b)).alias("dump"), B.u_be(b, 0, 4).alias("be"), B.u_le(b, 0, 4).alias("le"))
+
+
+_LISTED = lambda k: "[" + ", ".join("NULL" if x[k] is None else f"'{x[k]}'" for x in LEADS) + "]"
+SNIFF_SQL = rf"""
+WITH p AS (SELECT page_id, CAST(page_id % {len(LEADS)} + 1 AS INTEGER) AS k, html FROM pages),
+q AS (SELECT page_id, k, regexp_extract_all(upper({_LISTED(0)}[k]) || hex(encode(coalesce(html, ''))), '..') AS h FROM p),
+r AS (SELECT *, coalesce(list_position(list_transform(h, lambda x: x IN ('09', '0A', '0D') OR (x >= '20' AND x <= '7E')), false) - 1, len(h)) AS run FROM q),
+s AS (SELECT *, array_to_string(list_transform(h, lambda x: CASE WHEN x IN ('09', '0A', '0D') OR (x >= '20' AND x <= '7E') THEN chr(CAST('0x' || x AS INTEGER)) ELSE '·' END), '') AS shown FROM r),
+t AS (SELECT *, lower(array_to_string(h, '')) AS x, array_to_string(list_transform(h, lambda x: CASE WHEN x >= '20' AND x <= '7E' THEN chr(CAST('0x' || x AS INTEGER)) ELSE '.' END), '') AS g FROM s)
+SELECT page_id, CASE WHEN k < {len(LEADS)} THEN coalesce({_LISTED(1)}[k], CASE WHEN run >= 6 THEN 'text' END) WHEN h[1] = '42' AND h[2] = '4D' THEN 'bmp' WHEN run >= 6 THEN 'text' END AS kind,
+ CAST(run AS BIGINT) AS run, {_LISTED(2)}[k] AS image, md5(shown) AS shown,
+ md5(array_to_string(list_transform(range(0, (len(h) + 15) // 16), lambda o: lpad(lower(hex(o * 16)), 8, '0') || '  ' || rpad(regexp_replace(substr(x, o * 32 + 1, 16), '(..)', '\1 ', 'g'), 24, ' ') || ' ' ||
+  rpad(regexp_replace(substr(x, o * 32 + 17, 16), '(..)', '\1 ', 'g'), 24, ' ') || ' ' || substr(g, o * 16 + 1, 16)), chr(10))) AS dump,
+ CAST('0x' || h[1] || h[2] || h[3] || h[4] AS BIGINT) AS be, CAST('0x' || h[4] || h[3] || h[2] || h[1] AS BIGINT) AS le FROM t
 """
 
 
@@ -147,6 +167,13 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(p).select("kind", "id", F.crc32("b").alias("crc"))
 
 
+#: The checksum byte by byte, over a table of 256 remainders made by its rule.
+CRC_SQL = """WITH t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT 'document' AS kind, doc_id AS id, text AS s FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
+b AS (SELECT kind, id, s, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM d)
+SELECT kind, id, CASE WHEN s IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256)), 4294967295) END AS crc FROM b, t"""
+
+
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
@@ -164,12 +191,21 @@ HIST_SQL = BYTES + " SELECT doc_id, CAST(channel AS INTEGER) AS channel, count(*
 
 
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = pixels.segment_histograms(_images(spark, sf_dir), "doc_id", F.col("data"))
-    sizes = h.groupBy("doc_id", "seg").agg(F.sum("cnt").alias("n"), F.count("*").alias("bins"))
-    return sizes.join(pixels.pair_chi_square(h, ["doc_id", "seg"]), ["doc_id", "seg"]).select("doc_id", "seg", "n", "bins", F.round("chi2", 6).alias("chi2"), "df", F.round("p", 7).alias("p"))
+    """Size, occupied values and chi-square probability of each of 64 segments of each text's bytes."""
+    h = pixels.segment_tests(_images(spark, sf_dir), "doc_id", F.col("data"))
+    return h.select("doc_id", "seg", "n", F.col("bins").cast("long").alias("bins"), F.round("chi2", 9).alias("chi2"), F.col("df").cast("long").alias("df"), F.round("p", 7).alias("p"))
 
 
-SEG_SQL = BYTES + " SELECT doc_id, CAST(least(px // (n // 64), 63) AS INTEGER) AS seg, count(*) AS n, count(DISTINCT value) AS bins FROM v WHERE n >= 64 AND channel < 3 GROUP BY 1, 2"
+#: The chance of a greater chi-square, as one minus a sum over whole steps of the Poisson-like terms.
+TAIL = """CASE WHEN df <= 0 THEN 0.0 WHEN chi2 <= 0 THEN 1.0 WHEN x > s + 12 * sqrt(s) + 200 THEN 0.0
+ ELSE greatest(0.0, least(1.0, 1 - list_sum(list_transform(range(0, {steps}), lambda k: exp((s + k) * ln(x) - x - lgamma(s + k + 1)))))) END"""
+SEG_SQL = BYTES + """,
+g AS (SELECT doc_id, px * 64 // n AS seg, value, count(*) AS cnt FROM v WHERE n >= 64 AND channel < 3 GROUP BY 1, 2, 3),
+p AS (SELECT doc_id, seg, value // 2 AS pair, sum(cnt) AS n, sum(CASE WHEN value % 2 = 0 THEN cnt ELSE 0 END) AS even, count(*) AS bins FROM g GROUP BY 1, 2, 3),
+c2 AS (SELECT doc_id, seg, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bins) AS BIGINT) AS bins, count(*) FILTER (n >= 2) - 1 AS df,
+  coalesce(sum(CASE WHEN n >= 2 THEN (even - n / 2.0) * (even - n / 2.0) / (n / 2.0) END), 0.0)::DOUBLE AS chi2 FROM p GROUP BY 1, 2),
+t AS (SELECT *, df / 2.0 AS s, chi2 / 2.0 AS x FROM c2)
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, n, bins, round(chi2, 9) AS chi2, df, round(""" + TAIL.format(steps=600) + ", 7) AS p FROM t"
 
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,49 +213,74 @@ def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.hex("bytes").alias("bits"), "total")
 
 
-BITS_SQL = """WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents), n AS (SELECT doc_id, h, 8 * (len(h) // 32) AS px FROM b),
-c AS (SELECT doc_id, px * 3 // 8 AS total, list_transform(range(0, 8 * least(16, px * 3 // 8)), lambda k: CAST('0x' || h[(k // 3) * 4 + k % 3 + 1] AS INTEGER) % 2) AS bits FROM n)
-SELECT doc_id, total, array_to_string(list_transform(range(0, len(bits) // 8), lambda j: upper(lpad(hex(list_sum(list_transform(range(0, 8), lambda k: bits[j * 8 + k + 1] * CAST(2 ** (7 - k) AS INTEGER)))::BIGINT), 2, '0'))), '') AS bits FROM c"""
+#: Whole bytes of the low bits of red, green and blue, row after row: a hex digit's low bit, then eight of them a byte.
+BITS_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, 8 * (length(h) // 64) AS px, h FROM b),
+c AS (SELECT doc_id, px * 3 // 8 AS total, translate(regexp_replace(substr(h, 1, CAST(px * 8 AS INTEGER)), '.(.).(.).(.)..', '\\1\\2\\3', 'g'), '0123456789ABCDEF', '0101010101010101') AS bits FROM n)
+SELECT doc_id, total, array_to_string(list_transform(range(0, least(4096, total)), lambda j: lpad(upper(to_hex(CAST('0b' || substr(bits, CAST(j * 8 + 1 AS INTEGER), 8) AS INTEGER))), 2, '0')), '') AS bits FROM c"""
 
 
 def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = pixels.histograms(_images(spark, sf_dir), "doc_id", F.col("data"), 1)
-    got = pixels.pair_chi_square(h, ["doc_id"])
-    return got.select("doc_id", F.round("chi2", 6).alias("chi2"), F.col("df").alias("df"), F.round("p", 7).alias("p"), "constant", pixels.verdict(F.round("p", 7)).alias("verdict"))
+    got = pixels.channel_tests(_images(spark, sf_dir), "doc_id", F.col("data"), 1)
+    return got.select("doc_id", F.round("chi2", 6).alias("chi2"), F.col("df").cast("long").alias("df"), F.round("p", 7).alias("p"), "constant", pixels.verdict(F.round("p", 7)).alias("verdict"))
 
 
 CHI_SQL = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), c AS (SELECT doc_id, CAST('0x' || x AS INTEGER) AS value, count(*) AS cnt FROM b GROUP BY 1, 2),
 p AS (SELECT doc_id, value // 2 AS pair, sum(cnt) AS n, sum(CASE WHEN value % 2 = 0 THEN cnt ELSE 0 END) AS even, count(*) AS bins FROM c GROUP BY 1, 2),
 s AS (SELECT doc_id, coalesce(sum(CASE WHEN n / 2.0 >= 1 THEN (even - n / 2.0) * (even - n / 2.0) / (n / 2.0) END), 0.0)::DOUBLE AS chi2, count(*) FILTER (n / 2.0 >= 1) - 1 AS df, sum(bins) <= 1 AS constant FROM p GROUP BY doc_id),
 t AS (SELECT *, df / 2.0 AS s, chi2 / 2.0 AS x FROM s),
-u AS (SELECT *, CASE WHEN df <= 0 THEN 0.0 WHEN chi2 <= 0 THEN 1.0 WHEN x > s + 12 * sqrt(s) + 200 THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - list_sum(list_transform(range(0, 1500), lambda k: exp((s + k) * ln(x) - x - lgamma(s + k + 1)))))) END AS p FROM t)
+u AS (SELECT *, """ + TAIL.format(steps=1500) + """ AS p FROM t)
 SELECT doc_id, round(chi2, 6) AS chi2, df, round(p, 7) AS p, constant, CASE WHEN round(p, 7) >= 0.9 THEN 'likely' WHEN round(p, 7) >= 0.3 THEN 'possible' ELSE 'unlikely' END AS verdict FROM u"""
 
 
+def channel_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest p over the channels of each text's bytes; every third text is made opaque."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    h = F.hex("raw")
+    opaque = F.unhex(F.regexp_replace(F.substring(h, F.lit(1), F.floor(F.length(h) / 8).cast("int") * 8), "(.{6})..", "$1FF"))
+    made = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, opaque).otherwise(F.col("raw")).alias("data"))
+    got = pixels.channel_verdicts(made, "doc_id", F.col("data"))
+    shown = F.array_join(F.transform("ratios", lambda r: F.round(r * 1000).cast("long").cast("string")), ",")
+    return got.select("doc_id", "has_alpha", F.round("max_p", 7).alias("max_p"), pixels.verdict(F.round("max_p", 7)).alias("verdict"), shown.alias("odd_per_mille"))
+
+
+VERDICTS_SQL = BYTES + """,
+w AS (SELECT doc_id, channel, CASE WHEN doc_id % 3 = 0 AND channel = 3 THEN 255 ELSE value END AS value FROM v),
+g AS (SELECT doc_id, channel, value, count(*) AS cnt FROM w GROUP BY 1, 2, 3),
+p AS (SELECT doc_id, channel, value // 2 AS pair, sum(cnt) AS n, sum(CASE WHEN value % 2 = 0 THEN cnt ELSE 0 END) AS even, count(*) AS bins, max(CASE WHEN value = 255 THEN cnt ELSE 0 END) AS full_ FROM g GROUP BY 1, 2, 3),
+c2 AS (SELECT doc_id, channel, sum(n) AS n, sum(bins) AS bins, sum(even) AS even, max(full_) AS full_, count(*) FILTER (n >= 2) - 1 AS df,
+  coalesce(sum(CASE WHEN n >= 2 THEN (even - n / 2.0) * (even - n / 2.0) / (n / 2.0) END), 0.0)::DOUBLE AS chi2 FROM p GROUP BY 1, 2),
+t AS (SELECT *, df / 2.0 AS s, chi2 / 2.0 AS x FROM c2 WHERE channel < 3 OR full_ < n),
+u AS (SELECT *, CASE WHEN bins <= 1 THEN 0.0 ELSE """ + TAIL.format(steps=1500) + """ END AS p FROM t),
+m AS (SELECT doc_id, bool_or(channel = 3) AS has_alpha, round(max(p), 7) AS max_p, string_agg(CAST(CAST(round((n - even) * 1000.0::DOUBLE / n) AS BIGINT) AS VARCHAR), ',' ORDER BY channel) AS odd_per_mille FROM u GROUP BY 1)
+SELECT doc_id, has_alpha, max_p, CASE WHEN max_p >= 0.9 THEN 'likely' WHEN max_p >= 0.3 THEN 'possible' ELSE 'unlikely' END AS verdict, odd_per_mille FROM m"""
+
+
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page fit, tile steps, DMS to degrees, DOS time and colour fractions."""
-    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("w"), F.col("p_retailprice").alias("h"))
-    w, h = F.col("w") * 30, F.col("h")
-    fit = F.least(F.lit((595.28 - 72)) / w, F.lit((841.89 - 72)) / h, F.lit(1.0))
-    font = F.greatest(F.lit(8.0), F.round(F.least(w, h) * 5 / 100))
-    degrees = F.when((F.col("w") == 0) & (h == 0), F.lit(None)).otherwise(-(F.col("w") + F.try_divide(h % 60, F.lit(60.0)) + F.lit(30.0) / 3600))
-    return p.select("p_partkey", F.round(w * fit, 6).alias("fit_w"), F.round(F.least(w * 0.75, F.lit(14400.0)), 6).alias("points"), font.alias("font"), F.round(F.sqrt(w * w + h * h) / 2, 6).alias("radius"), F.round(degrees, 9).alias("lat"), F.round(N.rgb_fractions(F.lit("#ff8000"))[1], 9).alias("green"), B.dos_date(F.lit("2026-01-01").cast("timestamp")).cast("long").alias("dos"))
+    """A picture on a page of its own size and on A4, a rendered place, colour fractions and packed times, from part sizes and prices."""
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 900.0).alias("w"), F.col("p_retailprice").alias("h"))
+    fit, page, at = pages.fit_a4(F.col("w"), F.col("h")), pages.page_of(F.col("w"), F.col("h")), pages.to_points(F.col("w"), F.col("h"), F.lit(1.5), F.lit(841.89))
+    colour = F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0")))
+    made = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("p_partkey") * 86_407)
+    r = lambda c: F.round(c, 6)
+    return p.select(
+        "p_partkey", r(fit["x"]).alias("fit_x"), r(fit["y"]).alias("fit_y"), r(fit["w"]).alias("fit_w"), r(page["w"]).alias("page_w"), r(page["h"]).alias("page_h"), r(at["x"]).alias("x"), r(at["y"]).alias("y"),
+        F.round(N.rgb_fractions(colour)[1], 9).alias("green"), B.dos_date(made).cast("long").alias("dos_date"), B.dos_time(made).cast("long").alias("dos_time"),
+    )
 
 
-GEOMETRY_SQL = """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS k, p_size * 30.0::DOUBLE AS w, p_retailprice AS h FROM part)
-SELECT p_partkey, round(w * least(523.28 / w, 769.89 / h, 1.0), 6) AS fit_w, round(least(w * 0.75, 14400.0), 6) AS points, greatest(8.0, round(least(w, h) * 5 / 100)) AS font, round(sqrt(w * w + h * h) / 2, 6) AS radius,
- round(-(k + (h % 60) / 60.0::DOUBLE + 30.0::DOUBLE / 3600), 9) AS lat, round(128 / 255.0::DOUBLE, 9) AS green, CAST(23585 AS BIGINT) AS dos FROM p"""
+GEOMETRY_SQL = """WITH p AS (SELECT p_partkey, p_size * 900.0::DOUBLE AS w, p_retailprice AS h, epoch_ms((1767225600 + p_partkey * 86407) * 1000) AS t FROM part),
+s AS (SELECT *, least(523.28::DOUBLE / w, 769.89::DOUBLE / h) AS f, least(1.0::DOUBLE, 14400 / greatest(w * 0.75::DOUBLE, h * 0.75::DOUBLE)) AS k FROM p)
+SELECT p_partkey, round((595.28::DOUBLE - w * f) / 2, 6) AS fit_x, round((841.89::DOUBLE - h * f) / 2, 6) AS fit_y, round(w * f, 6) AS fit_w, round(w * 0.75::DOUBLE * k, 6) AS page_w, round(h * 0.75::DOUBLE * k, 6) AS page_h,
+ round(w / 1.5::DOUBLE, 6) AS x, round(841.89::DOUBLE - h / 1.5::DOUBLE, 6) AS y, round((p_partkey * 7919 % 16777216 // 256 % 256) / 255.0::DOUBLE, 9) AS green,
+ CAST((year(t) - 1980) * 512 + month(t) * 32 + day(t) AS BIGINT) AS dos_date, CAST(hour(t) * 2048 + minute(t) * 32 + second(t) // 2 AS BIGINT) AS dos_time FROM s"""
 
 
 def unions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag union with re-based order, and a running page total with its cap."""
-    from pyspark.sql import Window
-
-    c = read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.lit(0).alias("src"))
-    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("id"), F.lit(1).alias("src"))
-    w = Window.partitionBy("c_nationkey").orderBy("src", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = c.unionByName(s).withColumn("ord", F.count("*").over(w)).withColumn("pages", F.sum(F.col("id") % 90).over(w))
-    return both.select("c_nationkey", "src", "id", "ord", "pages", (F.col("pages") > 2000).alias("many"))
+    """Two lists of each nation one after another, and the running page total with its cap."""
+    c = read(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("id"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("id"))
+    both = pages.appended(c, s, key="c_nationkey", order="id")
+    return pages.running_pages(both, "c_nationkey", F.col("id") % 90).select("c_nationkey", "src", "id", "ord", "pages", "many")
 
 
 UNIONS_SQL = """WITH b AS (SELECT c_nationkey, c_custkey AS id, 0 AS src FROM customer UNION ALL SELECT s_nationkey, s_suppkey, 1 FROM supplier), w AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY src, id) AS ord,
@@ -241,10 +302,10 @@ SEALED_SQL = """SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name |
 QUERIES = {
     "str1_ranges": ranges, "str2_names": names, "win1_union": union_of_extents, "win3_rebase": rebase, "join7_overlap": overlaps, "join6_containment": containment, "join5_survivors": survivors,
     "win2_zip_layout": zip_layout, "agg13_zip_sizes": zip_sizes, "win6_unique_names": unique_names, "bin1_sniff": sniff, "bin7_checksums": checksums, "agg4_histograms": channel_histograms,
-    "agg5_segments": segment_stats, "bin9_bits": bits, "agg6_chi_square": chi_square, "mth4_geometry": geometry, "set1_unions": unions, "enc3_sealed": sealed,
+    "agg5_segments": segment_stats, "bin9_bits": bits, "agg6_chi_square": chi_square, "agg7_channels": channel_verdicts, "mth4_geometry": geometry, "set1_unions": unions, "enc3_sealed": sealed,
 }
 ORACLES = {
     "str1_ranges": RANGES_SQL, "str2_names": NAMES_SQL, "win1_union": UNION_SQL, "win3_rebase": REBASE_SQL, "join7_overlap": OVERLAP_SQL, "join6_containment": CONTAIN_SQL, "join5_survivors": SURVIVORS_SQL,
     "win2_zip_layout": LAYOUT_SQL, "agg13_zip_sizes": SIZES_SQL, "bin1_sniff": SNIFF_SQL, "agg4_histograms": HIST_SQL,
-    "agg5_segments": SEG_SQL, "bin9_bits": BITS_SQL, "agg6_chi_square": CHI_SQL, "mth4_geometry": GEOMETRY_SQL, "set1_unions": UNIONS_SQL, "enc3_sealed": SEALED_SQL,
+    "agg5_segments": SEG_SQL, "bin9_bits": BITS_SQL, "agg6_chi_square": CHI_SQL, "agg7_channels": VERDICTS_SQL, "win6_unique_names": UNIQUE_SQL, "bin7_checksums": CRC_SQL, "mth4_geometry": GEOMETRY_SQL, "set1_unions": UNIONS_SQL, "enc3_sealed": SEALED_SQL,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,15 +79,38 @@ def pivot_stats(rows: DataFrame, keys: list[str], name: str = "name", value: str
 
 
 def standings(payloads: DataFrame) -> DataFrame:
-    """Table rows of standings payloads: group, team and the nine statistics."""
+    """Table rows of standings payloads: places of group and entry, group, team and the nine statistics; see nested() and group_index()."""
     groups = payloads.withColumn("p", F.from_json("payload", STANDINGS)).select(F.posexplode("p.children").alias("g_ord", "child"))
-    entries = groups.select("g_ord", F.coalesce(M.filled(F.col("child.name")), F.lit("Group")).alias("group"), F.posexplode("child.standings.entries").alias("e_ord", "e"))
+    entries = groups.select("g_ord", F.coalesce(M.filled(F.col("child.name")), F.lit("Group")).alias("group"), M.filled(F.col("child.name")).isNotNull().alias("named"), F.posexplode("child.standings.entries").alias("e_ord", "e"))
     last = lambda k: F.element_at(F.filter(F.coalesce("e.stats", F.array().cast("array<struct<name:string,value:double>>")), lambda s: s["name"] == k), -1)
     stat = lambda k: F.coalesce(F.when(F.exists(F.coalesce("e.stats", F.array().cast("array<struct<name:string,value:double>>")), lambda s: s["name"] == k), last(k)["value"]), F.lit(0.0)).cast("int")
     t = F.col("e.team")
-    return entries.select("g_ord", "e_ord", "group", t["id"].alias("team_id"), F.coalesce(M.filled(t["displayName"]), M.filled(t["name"]), F.lit("?")).alias("team"), F.coalesce(t["abbreviation"], F.lit("")).alias("code"), *[stat(k).alias(c) for k, c in STATS.items()])
+    return entries.select("g_ord", "e_ord", "group", "named", t["id"].alias("team_id"), F.coalesce(M.filled(t["displayName"]), M.filled(t["name"]), F.lit("?")).alias("team"), F.coalesce(t["abbreviation"], F.lit("")).alias("code"), *[stat(k).alias(c) for k, c in STATS.items()])
+
+
+def nested(table: DataFrame) -> DataFrame:
+    """(group, table) in the order of group names as people sort them; each table in the order of pos, ties as they came.
+
+    One row for each group of a payload; groups of equal name stay apart.
+    """
+    fields = [c for c in table.columns if c not in ("g_ord", "e_ord", "group", "named")]
+    row = F.struct(F.col("pos").alias("p_"), F.col("e_ord").alias("e_"), F.struct(*fields).alias("row"))
+    groups = table.groupBy("g_ord", "group").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["row"]).alias("table"))
+    return groups.orderBy(F.expr("`group` COLLATE UNICODE"), "g_ord").select("group", "table")
+
+
+def group_index(table: DataFrame) -> DataFrame:
+    """(team_id, label): the group of each team that has an id; of a team in two groups the later one; an unnamed group is ''."""
+    seen = table.filter(M.filled(F.col("team_id")).isNotNull())
+    return seen.groupBy("team_id").agg(F.max_by(F.when(F.col("named"), F.col("group")).otherwise(""), F.struct("g_ord", "e_ord")).alias("label"))
+
 
+def first_available(*sources: tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
+    """Rows of the first source that is available: one of its payloads has the array, possibly empty.
 
-def choose(first: DataFrame | None, second: DataFrame | None) -> DataFrame | None:
-    """The second source only if the first is unavailable (None), not if it is empty."""
-    return first if first is not None else second
+    A source is (payloads, schema, parser).  Null if none is available.
+    """
+    for payloads, schema, parse in sources:
+        if not payloads.filter(available(payloads, schema)).isEmpty():
+            return parse(payloads)
+    return None

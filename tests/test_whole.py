@@ -1,5 +1,6 @@
 """Registered queries do the whole job: their rows against brute force, without limits of their own."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -54,14 +55,16 @@ def test_bits(spark, tmp_path):
 
 
 def test_dump(spark, tmp_path):
-    got = {r.page_id: r.dump for r in Q.sniff(spark, tables(spark, tmp_path)).collect()}
+    """Whole pages that begin with each signature in turn, by the md5 of the whole dump."""
+    got = {r.page_id: r for r in Q.sniff(spark, tables(spark, tmp_path)).collect()}
     for k, text in enumerate(TEXTS):
-        data, lines = (text or "").encode(), []
+        lead, kind, image = Q.LEADS[k % len(Q.LEADS)]
+        data, lines = bytes.fromhex(lead) + (text or "").encode(), []
         for at in range(0, len(data), 16):
             part = data[at : at + 16]
             half = lambda b: "".join(f"{v:02x} " for v in b).ljust(24)
             lines.append(f"{at:08x}  {half(part[:8])} {half(part[8:])} " + "".join(chr(v) if 32 <= v <= 126 else "." for v in part))
-        assert (got[k] or "") == "\n".join(lines)
+        assert (got[k].kind, got[k].image, got[k].dump) == (kind, image, hashlib.md5("\n".join(lines).encode()).hexdigest())
 
 
 def test_checksums(spark, tmp_path):
