@@ -7,9 +7,9 @@ document comes first and answers every other batch with one bit a window.  Remov
 then merge into maximal intervals of words.  A hash that a third of all documents hold is
 one entry a batch.
 
-A window is known by 96 bits: a 64-bit hash that orders the buckets and 32 bits of an
-independent polynomial beside it.  Among n windows about n * n / 2 ** 97 pairs agree by
-chance: below 2e-3 pairs in all for the 2e13 windows of 100 TB.
+A window is known by 88 bits: a 64-bit hash that orders the buckets and 24 bits of an
+independent polynomial beside it.  Among n windows about n * n / 2 ** 89 pairs agree by
+chance: about one pair in all for the 2.5e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from loomwork.llm.shared import shuffle_width, stash
 from loomwork.llm.wordhash import from_planes, pack, planes, unpack, window_checks, window_hashes, word_hashes, words_of
 
 #: Rows of a batch of short texts, bytes of text of any batch (a longer text is a batch of its own), and windows that a bucket should hold.
-BATCH_ROWS, BATCH_BYTES, BUCKET_WINDOWS = 2048, 8 << 20, 2_000_000
+BATCH_ROWS, BATCH_BYTES, BUCKET_WINDOWS = 4096, 16 << 20, 2_000_000
 
 
 def _finer(by: np.ndarray, h: np.ndarray, c: np.ndarray) -> np.ndarray:

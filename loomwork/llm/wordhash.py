@@ -46,7 +46,7 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_checks(hashes: np.ndarray, width: int) -> np.ndarray:
-    """32 more bits of each window: a polynomial in another base over re-mixed word hashes."""
+    """24 more bits of each window: a polynomial in another base over re-mixed word hashes."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint32)
@@ -55,7 +55,7 @@ def window_checks(hashes: np.ndarray, width: int) -> np.ndarray:
     for j in range(1, width):
         out *= OTHER
         out += words[j : n + j]
-    return (mixed(out) >> np.uint64(32)).astype(np.uint32)
+    return (mixed(out) >> np.uint64(40)).astype(np.uint32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

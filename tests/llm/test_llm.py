@@ -241,7 +241,7 @@ def test_substrings(docs, rows, empty):
 
 
 def test_windows_need_all_their_bits(docs, rows, empty, monkeypatch):
-    """With a 64-bit hash that says next to nothing, the 32 bits beside it still tell windows apart."""
+    """With a 64-bit hash that says next to nothing, the 24 bits beside it still tell windows apart."""
     whole = substrings.window_hashes
     monkeypatch.setattr(substrings, "window_hashes", lambda h, w: whole(h, w) & np.uint64(0xF000000000000000) if w == 6 else whole(h, w))
     batch = substrings._Batch(np.arange(len(rows)), np.arange(len(rows)), [r[1] for r in rows], 6)
