@@ -105,26 +105,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets; component_id is the smallest id reachable.  Texts without words are linked with
     nothing.  Rows with equal ids and different texts are documents of their own.  Null
     ids are smallest and come back as null.  kept: id = component_id, so that of repeated
-    rows all are kept or none; with ``row_col``, a column that numbers the rows and is
-    returned too, exactly one row of each class is kept (least id, then number), and each
-    row without words.  df is read twice (see dedup_substrings for ``stable``).
+    rows all are kept or none; with ``row_col``, a column that tells the rows apart and
+    is returned too, exactly one row of each class is kept (least id, then digest of its
+    set, then row), and each row without words.  Texts are read twice, so df is written to
+    the shared folder first unless ``stable`` says that it is a plain scan; ``row_col`` is
+    read once and must say the same to the caller, as with_row_key() does.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     null = -(2**63)
-    number = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    number = F.col(row_col) if row_col else F.lit(None).cast("long")
+    row_kind = df.schema[row_col].dataType.simpleString() if row_col else "long"
     base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("id"), F.col(text_col).alias("text"), number.alias("row"))
     base = base if stable else stash(base, "texts")
 
     def sign(frames):
         for pdf in frames:
-            out = []
-            for i, row, text in zip(pdf["id"], pdf["row"], pdf["text"]):
-                s = shingles(text, words)
-                out.append((i, row, len(s), digest(s), _bands(signature(s)) if len(s) else None))
-            yield pd.DataFrame(out, columns=["id", "row", "n", "d", "bands"]).astype({"row": "Int64"})
+            sets = [shingles(t, words) for t in pdf["text"]]
+            bands = [_bands(signature(s)) if len(s) else None for s in sets]
+            yield pdf[["id", "row"]].assign(n=[len(s) for s in sets], d=[digest(s) for s in sets], bands=bands)
 
-    signed = stash(base.mapInPandas(sign, "id long, row long, n long, d binary, bands array<long>"), "signed")
+    signed = stash(base.mapInPandas(sign, f"id long, row {row_kind}, n long, d binary, bands array<long>"), "signed")
     # equal sets are one, known by 128 bits; copies meet within a task first
     sets = stash(signed.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
     bands = sets.select("d", F.explode("bands").alias("key"))
@@ -163,7 +164,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not row_col:
         every = full.select("id", "n", "component_id").unionAll(alone.select("id", "n", "component_id"))
         return every.select(*told, (F.col("id") == F.col("component_id")).alias("kept"))
-    first = stash(full.groupBy("class").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("first_row")), "first")
+    first = stash(full.groupBy("class").agg(F.min(F.struct("id", "d", "row")).alias("first")).select(F.col("first.row").alias("first_row")), "first")
     every = full.select("id", "row", "n", "component_id").unionAll(alone.select("id", "row", "n", "component_id")).join(first, F.col("row") == F.col("first_row"), "left")
     return every.select(*told, ((F.col("n") == 0) | F.col("first_row").isNotNull()).alias("kept"), F.col("row").alias(row_col))
 

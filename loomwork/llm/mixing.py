@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import WORD_PATTERN, free_name, stash
+from loomwork.llm.shared import WORD_PATTERN, free_name, stash, with_row_key
 
 #: Blocks of a source; only one of them is ordered as a whole, so it bounds what a task sorts.
 BLOCKS = 4096
@@ -93,11 +93,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts have size 0; a null source is a source.  Repeated rows count each and, with
     equal ids, share a block.  No row is taken more than twice.  ``row_col`` names a
-    column that numbers the rows; the plan carries it, so that rows of one id can be told
-    apart.  The driver sees one row for each source, and no document.
+    column that tells the rows apart; the plan carries it.  Where rows of one id and size
+    are cut, their texts decide, then that column.  The driver sees one row for each source, and no document.
     """
     spark = docs.sparkSession
-    number = [F.col(row_col).alias("row_")] if row_col else []
+    number = [F.xxhash64(text_col).alias("text_"), F.col(row_col).alias("row_")] if row_col else []
     sized = stash(
         docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _digest(F.lit(f"mix-{seed}"), F.col(id_col)).alias("seat"), *number)
         .withColumn("block", (F.conv(F.substring("seat", 1, 8), 16, 10).cast("long") % blocks).cast("int")), "sizes",
@@ -130,7 +130,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     info = key(run.join(placed.withColumnsRenamed({"source": "s_", "block": "b_"}), F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")), "left"), "k").select("k", F.col("source").alias("s_"), F.col("block").alias("b_"), "source_size", "target", "passes", "rest", "before", "whole", "cut", "placed")
     joined = key(sized, "k").join(info, "k").filter(F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")))
     # the one block of a source that is cut: documents in hash order as long as they come nearer to the target
-    inside = Window.partitionBy("source").orderBy("seat", id_col, "size", *(["row_"] if row_col else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source").orderBy("seat", id_col, "size", *(["text_", "row_"] if row_col else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = joined.filter(~F.col("cut")).withColumn("last", F.col("whole"))
     cut = joined.filter("cut").withColumn("sum_", F.sum("size").over(inside)).withColumn("last", F.col("before") + F.col("sum_") - F.col("size") / 2 <= F.col("rest")).drop("sum_")
     every = plain.unionByName(cut)
@@ -145,13 +145,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", stable: bool = False, **options
 
     Each row goes as often as the plan says for that row, whether or not its id repeats.
     Columns ``shard`` and ``place`` of docs are replaced; other names never clash.  docs is
-    read twice and must number its rows alike both times: it is written to the shared
-    folder first unless ``stable`` says that it is a plain scan.
+    read twice, so it is written to the shared folder first unless ``stable`` says that it
+    is a plain scan of Parquet files.
     """
     base = docs.drop("shard", "place")
-    base = base if stable else stash(base, "mixed")
     row, same, copy, seat = (free_name(n, *base.columns, "shard", "place") for n in ("__row", "__same", "__copy", "__seat"))
-    numbered = base.withColumn(row, F.monotonically_increasing_id())
+    numbered = with_row_key(base, row, stable)
     plan = mix_plan(numbered, id_col, row_col=row, **options).select(F.col(row).alias(same), F.posexplode("shards").alias(copy, "shard"), F.col("seat").alias(seat))
     rows = numbered.join(plan, F.col(row) == F.col(same))
     placed = rows.withColumn("place", _digest(F.lit("place"), F.col(copy), F.col(seat))).select(*base.columns, "shard", "place", seat, row)

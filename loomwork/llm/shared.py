@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,27 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return back
 
 
+def with_row_key(df: DataFrame, name: str, stable: bool = False) -> DataFrame:
+    """df with a column ``name`` of 16 bytes that tells its rows apart, alike at every reading.
+
+    It comes from the file and the place in that file of a Parquet scan.  Partition numbers
+    would not do: how a scan is split follows the cores that are there when it is planned,
+    so a lost executor could renumber the rows between two readings.  ``stable`` says that
+    df is a plain scan (columns chosen or rows filtered, at most); what isn't is written to
+    the shared folder first.  A column ``name`` of df is replaced.
+    """
+    df = df.drop(name)
+    try:
+        place = df.metadataColumn("_metadata") if stable else None
+    except AnalysisException:  # rows that come from no file
+        place = None
+    if place is None:
+        df = stash(df, "rows")
+        place = df.metadataColumn("_metadata")
+    where = F.concat_ws(":", place.getField("file_path"), place.getField("row_index").cast("string"))
+    return df.withColumn(name, F.unhex(F.md5(where)))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more: what was made of them is itself written."""
     for df in frames:

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import scratch, shuffle_width, stash
+from loomwork.llm.shared import scratch, shuffle_width, stash, with_row_key
 
 #: Bytes after which a writer begins another file, bytes read from a file at once.
 FILE_BYTES, READ_BYTES = 256 << 20, 1 << 18
@@ -32,7 +32,7 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _uri(page_id: int | None, row: int = 0) -> str:
+def _uri(page_id: int | None, row: str = "") -> str:
     return f"<urn:loomwork:row:{row}>" if page_id is None else f"<urn:loomwork:page:{page_id}>"
 
 
@@ -42,7 +42,7 @@ def _page(uri: str) -> int | None:
     return int(number) if kind == "page" else None
 
 
-def record(page_id: int | None, uri: str | None, payload: bytes, payload_digest: str, refers_to: int | None, row: int = 0) -> bytes:
+def record(page_id: int | None, uri: str | None, payload: bytes, payload_digest: str, refers_to: int | None, row: str = "") -> bytes:
     """One record: header, block, two line ends.  A revisit has no block; its digest and length are of the full payload."""
     block = payload if refers_to is None else b""
     head = [
@@ -112,13 +112,12 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
     id is the response and the others revisit it; of rows that repeat an id and a payload,
     one is the response.  Null payloads count as empty.  Rows with null ids are responses,
     which nothing revisits.  Other columns of df are not read, whatever their names.  df
-    must number its rows alike each time it is read: it is written to the shared folder
-    first unless ``stable`` says that it is a plain scan.
+    is read twice, so what is read of it is written to the shared folder first unless
+    ``stable`` says that it is a plain scan of Parquet files.
     """
     payload = F.coalesce(F.encode("html", "UTF-8") if payload is None else payload, F.lit(b""))
     taken = df.select(F.col(id_col).cast("long").alias("id"), (F.col("url") if uri is None else uri).alias("uri"), payload.alias("data"))
-    taken = taken if stable else stash(taken, "payloads")
-    rows = taken.withColumn("sha", F.sha2("data", 256)).withColumn("row", F.monotonically_increasing_id())
+    rows = with_row_key(taken, "row", stable).withColumn("sha", F.sha2("data", 256))
     # where the first row of each repeated payload is: the payloads themselves stay
     first = rows.filter((F.octet_length("data") >= min_bytes) & F.col("id").isNotNull()).groupBy("sha").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.col("sha").alias("sha_"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
@@ -138,7 +137,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
                     out = where.open_output_stream(local, compression=None)
                 data = bytes(data)
                 pack = zlib.compressobj(wbits=31)
-                raw = record(None if pd.isna(i) else int(i), u, data, digest(data), None if pd.isna(ref) else int(ref), int(row))
+                raw = record(None if pd.isna(i) else int(i), u, data, digest(data), None if pd.isna(ref) else int(ref), bytes(row).hex())
                 member = pack.compress(raw) + pack.flush()
                 out.write(member)
                 size, count = size + len(member), count + 1

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, chat, fingerprint, language, minhash, mixing, secrets, substrings, topk, warc
-from loomwork.llm.shared import scratch
+from loomwork.llm.shared import scratch, with_row_key
 
 R = random.Random(1)
 WORDS = ["".join(R.choice("abcdeé") for _ in range(R.randint(2, 7))) for _ in range(300)]
@@ -254,6 +254,24 @@ def test_batches_by_bytes(spark, docs, rows, empty, monkeypatch):
     test_substrings(docs, rows, empty)
 
 
+@pytest.mark.parametrize("stable", [True, False])
+def test_rows_are_told_apart_however_a_scan_is_split(spark, tmp_path, stable):
+    """A lost executor leaves fewer cores, and a later scan of the same files is split otherwise."""
+    rows = [(i % 7, "w " * (i % 5 + 1), "abc"[i % 3], i, 1) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, tag int, _metadata int").repartition(9).write.parquet(f"{tmp_path}/t")
+    keyed = with_row_key(spark.read.parquet(f"{tmp_path}/t"), "KEY", stable)
+    seen = []
+    for cores in ("1", "13"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        try:
+            again = keyed.select("tag", "KEY")  # planned anew
+            seen.append({r.tag: bytes(r.KEY) for r in again.collect()})
+            parts = again.rdd.getNumPartitions()
+        finally:
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert parts > 1 and seen[0] == seen[1] and len(set(seen[0].values())) == 400
+
+
 def test_near_duplicates_by_row(spark):
     """Of repeated rows one is kept; a text that only shares its id with a copy is kept."""
     a, b = " ".join(WORDS[:40]), " ".join(WORDS[40:80])
