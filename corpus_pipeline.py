@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, language, minhash, mixing, secrets
-from loomwork.llm.shared import scratch
+from loomwork.llm.shared import scratch, with_row_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,12 +21,12 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, likeness 0.8 or more): that with the smallest id.
 
-    Rows are told apart by number, not by id: of rows that repeat an id and a text one
+    Rows are told apart by their place, not by id: of rows that repeat an id and a text one
     stays, and a text that only shares its id with a copy stays.  Texts without words stay.
     """
-    numbered = docs.withColumn("row_number", F.monotonically_increasing_id())
-    gone = minhash.near_duplicates(numbered, words=5, percent=80, stable=True, row_col="row_number").filter("NOT kept").select("row_number")
-    return numbered.join(gone, "row_number", "left_anti").select(COLUMNS)
+    keyed = with_row_key(docs, "row_key", stable=True)
+    gone = minhash.near_duplicates(keyed, words=5, percent=80, stable=True, row_col="row_key").filter("NOT kept").select("row_key")
+    return keyed.join(gone, "row_key", "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
