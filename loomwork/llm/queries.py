@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, chat, fingerprint, language, minhash, mixing, secrets, substrings, topk, warc
+from loomwork.llm import bpe, chat, fingerprint, importance, katz, language, minhash, mixing, secrets, substrings, topk, trie, warc
 from loomwork.llm.shared import table
 
 
@@ -110,5 +110,72 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80, stable=True)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_language": op3_language, "op4_topk": op4_topk, "op5_warc": op5_warc, "op6_substrings": op6_substrings, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
-ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op5_warc": OP5_SQL, "op9_chat": OP9_SQL}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    turns, lengths = trie.with_shared_heads(turns, conv - conv % 20, (F.crc32(conv.cast("string")) % 4).cast("int"), 3)
+    return trie.prefix_trie(turns, lengths)
+
+
+#: CRC-32 of bytes, over a table of 256 remainders made by its rule: a table t(t) and the value of a hex string.
+CRC_TABLE = "SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t"
+CRC_OF = "xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256)), 4294967295)"
+
+OP11_SQL = f"""
+WITH t AS ({CRC_TABLE}),
+o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (SELECT c, CAST({CRC_OF.format("CAST(c AS VARCHAR)")} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM o), t),
+r AS (
+  SELECT h.c, o.pos, o.role, o.text FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.pos <= h.h
+  UNION ALL
+  SELECT h.c, o.pos - h.h + (SELECT count(*) FROM o b WHERE b.c = h.c - h.c % 20 AND b.pos <= h.h), o.role, o.text FROM h JOIN o ON o.c = h.c AND o.pos > h.h
+), s AS (
+  SELECT c, pos, length(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
+    string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY pos) AS id,
+    string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up
+  FROM r UNION ALL SELECT c, 0, 0, '', NULL FROM h
+), p AS (SELECT c, pos, words, sha256(id) AS id, CASE WHEN pos > 0 THEN sha256(coalesce(up, '')) END AS up, pos = max(pos) OVER (PARTITION BY c) AS ends FROM s),
+n AS (
+  SELECT id, any_value(up) AS up, any_value(pos) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saves,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY id
+), k AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.up = n.id) AS n_children FROM n LEFT JOIN n u ON u.id = n.up),
+below AS (SELECT DISTINCT a.id, b.id AS low FROM p a JOIN p b ON a.c = b.c AND b.pos >= a.pos),
+sums AS (SELECT below.id, count(*) FILTER (k.n_children = 0) AS n_leaves, CAST(sum(k.saves) AS BIGINT) AS saved_tokens FROM below JOIN k ON k.id = below.low GROUP BY below.id)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM k JOIN sums USING (id)
+"""
+
+
+def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = katz.score(table(spark, sf_dir, "documents"), fifth != 1)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH t AS ({CRC_TABLE}),
+a AS (SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+r AS (SELECT row_number() OVER () AS row, doc_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM a),
+u AS (SELECT row, doc_id, item_id, unnest(w) AS w FROM r),
+b AS (SELECT w, CAST({CRC_OF.format("w")} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT w FROM u), t),
+f AS (SELECT row, item_id, bucket FROM u JOIN b USING (w)),
+c AS (SELECT bucket, count(*) FILTER (item_id IS NULL) AS s, count(item_id) AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM c),
+w AS (SELECT row, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN g USING (bucket) GROUP BY row),
+d AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM r LEFT JOIN w USING (row) WHERE item_id IS NULL
+), k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM k
+"""
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_fingerprint": op2_fingerprint, "op3_language": op3_language, "op4_topk": op4_topk, "op5_warc": op5_warc, "op6_substrings": op6_substrings, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_minhash": op10_minhash, "op11_trie": op11_trie, "op12_katz": op12_katz, "op13_importance": op13_importance}
+ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op5_warc": OP5_SQL, "op9_chat": OP9_SQL, "op11_trie": OP11_SQL, "op13_importance": OP13_SQL}
