@@ -7,16 +7,17 @@ import zlib
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.prefix import running_totals
+
 MAX_BYTES, MAX_ENTRIES, MAX_NAME = 0xFFFF0000, 0xFFFF, 0xFFFF
 
 
 def layout(entries: DataFrame, key: str, order: str, name_len: Column, data_len: Column) -> DataFrame:
-    """entries with ``header_at``: the offset of each local header."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("header_at", F.coalesce(F.sum(30 + name_len + data_len).over(w), F.lit(0)).cast("long"))
+    """entries with ``header_at``: the offset of each local header. Many tasks share an archive."""
+    return running_totals(entries, [key], [order], {"header_at": (30 + name_len + data_len).cast("long")}, before=True)
 
 
 def sizes(entries: DataFrame, key: str, name_len: Column, data_len: Column) -> DataFrame:

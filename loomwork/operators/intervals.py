@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.prefix import running_totals
+
 
 def merged(extents: DataFrame, key: str) -> DataFrame:
     """Union of touching or overlapping extents (start, len) of each key."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    seen = extents.withColumn("end", F.col("start") + F.col("len")).withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    island = seen.withColumn("island", F.sum(F.coalesce((F.col("start") > F.col("reach")).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = extents.select(key, "start", (F.col("start") + F.col("len")).alias("end"))
+    seen = running_totals(ends, [key], ["start", "end"], {}, before=True, maxima={"reach": F.col("end")})
+    new = (F.col("start") > F.col("reach")).cast("int")
+    island = running_totals(seen, [key], ["start", "end"], {"island": F.coalesce(new, F.lit(0))})
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(key, "start", (F.col("end") - F.col("start")).alias("len"))
 
 
 def removed_before(points: DataFrame, gone: DataFrame, key: str, at: str = "at") -> DataFrame:
-    """points with ``removed``: total length of disjoint removed extents that start before each point. One sort, no range join."""
+    """points with ``removed``: total length of disjoint removed extents that start before each point. No range join."""
     marks = points.select(key, F.col(at).alias("o"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("kind"), F.struct(*points.columns).alias("row"))
     cuts = gone.select(key, F.col("start").alias("o"), F.col("len").cast("long").alias("len"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["row"].dataType).alias("row"))
     # a point comes before an extent that starts at it
-    w = Window.partitionBy(key).orderBy("o", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.unionByName(cuts).withColumn("removed", F.sum("len").over(w)).filter("kind = 0").select("row.*", "removed")
+    told = running_totals(marks.unionByName(cuts), [key], ["o", "kind"], {"removed": F.col("len")})
+    return told.filter("kind = 0").select("row.*", "removed")
 
 
 def rebased(points: DataFrame, gone: DataFrame, key: str, delta: int, at: str = "at", cut: int | None = None) -> DataFrame:
@@ -32,20 +35,34 @@ def rebased(points: DataFrame, gone: DataFrame, key: str, delta: int, at: str =
     return out.withColumn("moved", F.when(~early, F.col(at) + delta - F.col("removed"))).withColumn("error_code", F.when(early, "offset"))
 
 
+def _sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, mine, row): extents of both sides, ``mine`` those of left, which carry their row."""
+    ends = lambda df: df.select(key, "start", (F.col("start") + F.col("len")).alias("end"), F.struct(*df.columns).alias("row"))
+    a = ends(left).withColumn("mine", F.lit(True))
+    b = ends(right.select(key, "start", "len")).withColumn("mine", F.lit(False)).withColumn("row", F.lit(None).cast(a.schema["row"].dataType))
+    return a.unionByName(b)
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of left that share a byte with an extent of right under the same key: from running ends, not a range join."""
-    a = left.select(key, "start", (F.col("start") + F.col("len")).alias("end"), F.lit(0).alias("side"), F.struct(*left.columns).alias("row"))
-    b = right.select(key, "start", (F.col("start") + F.col("len")).alias("end"), F.lit(1).alias("side"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
-    every = a.unionByName(b).filter("end > start")
-    before = Window.partitionBy(key).orderBy("start", F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(key).orderBy("start", F.desc("side")).rowsBetween(1, Window.unboundedFollowing)
-    mine = F.col("side") == 1
-    seen = every.withColumn("reach", F.max(F.when(mine, F.col("end"))).over(before)).withColumn("next", F.min(F.when(mine, F.col("start"))).over(after))
-    hit = (F.col("reach") > F.col("start")) | (F.col("next") < F.col("end"))
-    return seen.filter(~mine & hit).select("row.*")
+    """Rows of left that share a byte with an extent of right under the same key.
+
+    The greatest end of right's extents that start no later, and the least start of those
+    that start later, tell; no range join, and many tasks share a key.
+    """
+    every = _sides(left, right, key).filter("end > start")
+    theirs = lambda c: F.when(~F.col("mine"), c)
+    reach = running_totals(every, [key], ["start", "mine"], {}, maxima={"reach": theirs(F.col("end"))})
+    # in the opposite order the greatest negative start is the least start
+    seen = running_totals(reach, [key], [F.desc("start"), F.desc("mine")], {}, before=True, maxima={"later": theirs(-F.col("start"))})
+    hit = (F.col("reach") > F.col("start")) | (-F.col("later") < F.col("end"))
+    return seen.filter(F.col("mine") & hit).select("row.*")
 
 
 def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
-    """Rows of inner that lie inside one extent of outer; outer's extents of a key must not nest."""
-    out = outer.select(F.col(key).alias("k_"), F.col("start").alias("d0"), (F.col("start") + F.col("len")).alias("d1"))
-    return inner.join(out, (F.col(key) == F.col("k_")) & (F.col("start") >= F.col("d0")) & (F.col("start") + F.col("len") <= F.col("d1")), "left_semi")
+    """Rows of inner that lie inside one extent of outer under the same key; outer's may overlap or nest.
+
+    Of outer's extents that start no later, that with the greatest end holds the row if any
+    does, so one running maximum tells; no range join, and many tasks share a key.
+    """
+    seen = running_totals(_sides(inner, outer, key), [key], ["start", "mine"], {}, maxima={"reach": F.when(~F.col("mine"), F.col("end"))})
+    return seen.filter(F.col("mine") & (F.col("reach") >= F.col("end"))).select("row.*")

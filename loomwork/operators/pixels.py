@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +16,29 @@ from loomwork.functions.gamma import chi_square_tails
 IMAGES = 512
 
 
-def _counted(frames: Iterator[pd.DataFrame], cells: int, place) -> Iterator[pd.DataFrame]:
-    """(id, cell, value, cnt) of the bytes that ``place`` gives a cell to: one count over IMAGES images, one frame out for them."""
-    for pdf in frames:
-        for at in range(0, len(pdf), IMAGES):
-            part = pdf.iloc[at : at + IMAGES]
-            keys = [np.empty(0, np.int64)]
-            for row, raw in enumerate(part["data"]):
-                cell, value = place(np.frombuffer(raw or b"", np.uint8))
-                keys.append((row * cells + cell).astype(np.int64) * 256 + value)
-            cnt = np.bincount(np.concatenate(keys), minlength=1)
-            met = np.flatnonzero(cnt)
-            row = met // 256 // cells
-            yield pd.DataFrame({"id": part["id"].to_numpy()[row], "cell": met // 256 % cells, "value": met % 256, "cnt": cnt[met]})
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and bytes of IMAGES images at a time. Ids stay in Arrow: a pandas column of ids with a null would be of doubles."""
+    for b in batches:
+        for at in range(0, b.num_rows, IMAGES):
+            part = b.slice(at, IMAGES)
+            yield part.column(0), [x or b"" for x in part.column(1).to_pylist()]
+
+
+def _batch(ids: pa.Array, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(c) for c in columns.values()]], names=["id", *columns])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], cells: int, place) -> Iterator[pa.RecordBatch]:
+    """(id, cell, value, cnt) of the bytes that ``place`` gives a cell to: one count over IMAGES images, one batch out for them."""
+    for ids, images in _parts(batches):
+        keys = [np.empty(0, np.int64)]
+        for row, raw in enumerate(images):
+            cell, value = place(np.frombuffer(raw, np.uint8))
+            keys.append((row * cells + cell).astype(np.int64) * 256 + value)
+        cnt = np.bincount(np.concatenate(keys), minlength=1)
+        met = np.flatnonzero(cnt)
+        row = met // 256 // cells
+        yield _batch(ids.take(pa.array(row)), cell=(met // 256 % cells).astype(np.int32), value=(met % 256).astype(np.int32), cnt=cnt[met])
 
 
 def histograms(images: DataFrame, id_col: str, data: Column, channels: int = 4) -> DataFrame:
@@ -40,7 +50,7 @@ def histograms(images: DataFrame, id_col: str, data: Column, channels: int = 4)
         return np.arange(n) % channels, flat[:n]
 
     kind = images.schema[id_col].dataType.simpleString()
-    found = rows.mapInPandas(lambda frames: _counted(frames, channels, place), f"id {kind}, cell int, value int, cnt long")
+    found = rows.mapInArrow(lambda batches: _counted(batches, channels, place), f"id {kind}, cell int, value int, cnt long")
     return found.select(F.col("id").alias(id_col), F.col("cell").alias("channel"), "value", "cnt")
 
 
@@ -61,18 +71,17 @@ def _tests(images: DataFrame, id_col: str, data: Column, name: str, parts: int,
     """(id, name, statistics) of the ``parts`` rows of counts that ``count`` makes of each image, in one pass and without a shuffle."""
     rows = images.select(F.col(id_col).alias("id"), data.alias("data"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), IMAGES):
-                held = pdf.iloc[at : at + IMAGES]
-                made = [count(np.frombuffer(raw or b"", np.uint8)) for raw in held["data"]]
-                some = [k for k, c in enumerate(made) if c is not None]
-                if some:
-                    counts = np.concatenate([made[k] for k in some])
-                    yield pd.DataFrame({"id": held["id"].iloc[np.repeat(some, parts)].to_numpy(), name: np.tile(np.arange(parts, dtype=np.int32), len(some)), **_tested(counts)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, held in _parts(batches):
+            made = [count(np.frombuffer(raw, np.uint8)) for raw in held]
+            some = [k for k, c in enumerate(made) if c is not None]
+            if some:
+                told = _tested(np.concatenate([made[k] for k in some]))
+                told = {k: v.astype(np.int32) if k in ("bins", "df") else v for k, v in told.items()}
+                yield _batch(ids.take(pa.array(np.repeat(some, parts))), **{name: np.tile(np.arange(parts, dtype=np.int32), len(some))}, **told)
 
     kind = images.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, {name} int, {TESTED}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, {name} int, {TESTED}").withColumnRenamed("id", id_col)
 
 
 def channel_tests(images: DataFrame, id_col: str, data: Column, channels: int = 4) -> DataFrame:
@@ -121,22 +130,22 @@ def extract_bits(images: DataFrame, id_col: str, data: Column, width: Column, ch
     at = ["rgba".index(c) for c in channels]
     rows = images.select(F.col(id_col).alias("id"), data.alias("data"), width.cast("int").alias("w"))
 
-    def run(frames):
-        for pdf in frames:
+    def run(batches):
+        for b in batches:
             out = []
-            for raw, w in zip(pdf["data"], pdf["w"]):
+            for raw, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 flat = np.frombuffer(raw or b"", np.uint8)
-                h = len(flat) // 4 // w if w > 0 else 0
+                h = len(flat) // 4 // w if w and w > 0 else 0
                 px = flat[: 4 * w * h].reshape(h, w, 4) if h else np.zeros((0, 1, 4), np.uint8)
                 px = px.transpose(1, 0, 2) if columns else px
                 bits = (px[:, :, at] >> bit & 1).ravel()
                 total = len(bits) // 8
                 bits = bits[: 8 * min(total, preview)]
                 out.append((np.packbits(bits, bitorder="big" if msb else "little").tobytes(), total if preview else 0))
-            yield pd.DataFrame({"id": pdf["id"], "bytes": [b for b, _ in out], "total": [t for _, t in out]})
+            yield _batch(b.column(0), bytes=pa.array([x for x, _ in out], pa.binary()), total=pa.array([t for _, t in out], pa.int64()))
 
     kind = images.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, bytes binary, total long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, bytes binary, total long").withColumnRenamed("id", id_col)
 
 
 def bit_plane(value: Column, bit: int) -> Column:

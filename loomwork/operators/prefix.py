@@ -14,34 +14,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.shared import free_name, shuffle_width, stash
+from loomwork.shared import shuffle_width, stash
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, Column], slices: int | None = None, before: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], sums: dict[str, Column], slices: int | None = None, before: bool = False, maxima: dict[str, Column] | None = None) -> DataFrame:
     """df with, for each name in ``sums``, that number added up over its key's rows in order up to this row.
 
-    Totals include the row itself, or only the rows ``before`` it (0 for the first).  Null
-    keys are a key of their own; without ``keys`` all rows are one key.  Null numbers
-    count as 0.  Rows that tie in ``order`` follow each other in any order.  Columns of df
-    called as a name in ``sums`` are replaced.  ``slices`` defaults to the session's
-    number of shuffle partitions.
+    Names in ``maxima`` get the greatest value instead.  Both include the row itself, or
+    only the rows ``before`` it (for the first 0, or a null maximum).  Null keys are a key
+    of their own; without ``keys`` all rows are one key.  Null numbers count as 0 in sums
+    and not at all in maxima.  Rows that tie in ``order`` follow each other in any order.
+    Columns of df called as one of the names are replaced; the values, and ``order`` where
+    it gives a plain name, see those of df.  ``slices`` defaults to the session's number of shuffle partitions.
     """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    base = df.drop(*sums)
-    taken = [*base.columns, *sums]
-    at = free_name("__slice", *taken)
-    own = {n: free_name(f"__own_{i}", *taken) for i, n in enumerate(sums)}
-    # the numbers are worked out before columns of their names are dropped
-    numbered = df.withColumns({own[n]: F.coalesce(c, F.lit(0)) for n, c in sums.items()}).select(*base.columns, *own.values())
-    dealt = numbered.repartitionByRange(slices or shuffle_width(df.sparkSession), *keys, *order).withColumn(at, F.spark_partition_id())
+    maxima = maxima or {}
+    names = [*sums, *maxima]
+    base = [c for c in df.columns if c not in names]
+    at = "__slice"
+    while any(c.lower().startswith(at) for c in [*df.columns, *names]):
+        at = "_" + at
+    own = {n: f"{at}_v{i}" for i, n in enumerate(names)}
+    # columns of the names go on under others, so that they can order
+    moved = {c: f"{at}_r{i}" for i, c in enumerate(c for c in df.columns if c in names)}
+    sorts = [F.col(moved.get(c, c)) if isinstance(c, str) else c for c in order]
+    values = [F.coalesce(c, F.lit(0)).alias(own[n]) for n, c in sums.items()] + [c.alias(own[n]) for n, c in maxima.items()]
+    numbered = df.select(*base, *[F.col(c).alias(m) for c, m in moved.items()], *values)
+    dealt = numbered.repartitionByRange(slices or shuffle_width(df.sparkSession), *keys, *sorts).withColumn(at, F.spark_partition_id())
     dealt = stash(dealt, "slices")
-    local = Window.partitionBy(at, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(at, *keys).orderBy(*sorts).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*keys, at).agg(*[F.sum(c).alias(c) for c in own.values()])
-    first = next(iter(own.values()))
+    total = {n: F.sum if n in sums else F.max for n in names}
+    totals = dealt.groupBy(*keys, at).agg(*[total[n](c).alias(c) for n, c in own.items()])
     renamed = [F.col(k).alias(f"{at}_k{i}") for i, k in enumerate(keys)]
-    carried = totals.select(*renamed, F.col(at).alias(f"{at}_s"), *[F.sum(c).over(earlier).alias(f"{c}_c") for c in own.values()]).filter(F.col(f"{first}_c").isNotNull())
+    place = Window.partitionBy(*keys).orderBy(at)
+    carried = totals.select(*renamed, F.col(at).alias(f"{at}_s"), F.row_number().over(place).alias(f"{at}_nth"), *[total[n](c).over(earlier).alias(f"{c}_c") for n, c in own.items()]).filter(F.col(f"{at}_nth") > 1).drop(f"{at}_nth")
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{at}_k{i}")) for i, k in enumerate(keys)], F.col(at) == F.col(f"{at}_s"))
-    summed = dealt.withColumns({n: F.sum(c).over(local) - (F.col(c) if before else F.lit(0)) for n, c in own.items()})
+    # held apart from the columns that they are made of
+    summed = dealt.withColumns({f"{c}_u": total[n](c).over(upto) for n, c in own.items()})
     joined = summed.join(F.broadcast(carried), same, "left")
-    return joined.select(*base.columns, *[(F.col(n) + F.coalesce(F.col(f"{c}_c"), F.lit(0))).alias(n) for n, c in own.items()])
+    none = F.lit(0)
+    done = {n: F.coalesce(F.col(f"{c}_u"), none) + F.coalesce(F.col(f"{c}_c"), none) if n in sums else F.greatest(f"{c}_u", f"{c}_c") for n, c in own.items()}
+    return joined.select(*base, *[c.alias(n) for n, c in done.items()])

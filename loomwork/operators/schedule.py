@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.matches import is_live, is_upcoming
-
+from loomwork.operators.prefix import running_totals
 
 
 def by_kickoff() -> list[Column]:
@@ -45,4 +45,5 @@ def first_and_last(rows: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    """rows with ``place``: the place of each in its key's order, from 1. Many tasks share a key."""
+    return running_totals(rows, [key], order, {"place": F.lit(1)})

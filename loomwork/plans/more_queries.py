@@ -10,7 +10,7 @@ from loomwork.operators import archives, containers, guards, pages
 from loomwork.plans.container_queries import _be
 from loomwork.plans.schedule_queries import read, season_payloads
 from loomwork.sources import feeds, files
-from loomwork.streaming import feed
+from loomwork.streaming import recorder
 
 
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +115,21 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as those of a recorder."""
     kinds = F.create_map(*[F.lit(x) for p in {"view": "start", "click": "granted", "purchase": "chunk", "signup": "pause", "error": "stop"}.items() for x in p])
     ev = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("at"), kinds[F.col("event_type")].alias("kind"), F.floor("value").cast("long").alias("size"))
-    return feed.recordings(ev)
+    return recorder.recordings(ev)
+
+
+_NOW = "CASE " + " ".join(f"WHEN a.s = '{s}' AND e.k = '{k}' THEN '{b}'" for s, to in recorder.TURNS.items() for k, b in to.items()) + " ELSE a.s END"
+RECORDINGS_SQL = f"""
+WITH m AS (SELECT user_id AS session, epoch_us(ts) AS t, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'granted' WHEN 'purchase' THEN 'chunk' WHEN 'signup' THEN 'pause' WHEN 'error' THEN 'stop' END AS k, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n FROM events),
+l AS (SELECT session, list({{'s': '', 'us': CAST(0 AS BIGINT), 'since': CAST(0 AS BIGINT), 'size': CAST(0 AS BIGINT), 'bad': false, 't': t, 'k': k, 'n': n}} ORDER BY t, k, n) AS es FROM m GROUP BY session),
+f AS (SELECT session, list_reduce(list_prepend({{'s': 'idle', 'us': CAST(0 AS BIGINT), 'since': CAST(0 AS BIGINT), 'size': CAST(0 AS BIGINT), 'bad': false, 't': CAST(0 AS BIGINT), 'k': '', 'n': CAST(0 AS BIGINT)}}, es), lambda a, e: {{
+  's': {_NOW}, 'us': a.us + CASE WHEN a.s = 'rec' AND {_NOW} <> 'rec' THEN e.t - a.since ELSE 0 END, 'since': CASE WHEN a.s <> 'rec' AND {_NOW} = 'rec' THEN e.t ELSE a.since END,
+  'size': a.size + CASE WHEN e.k = 'chunk' AND a.s IN ('rec', 'paused', 'stopping') THEN e.n ELSE 0 END, 'bad': a.bad OR (e.k = 'error' AND a.s IN ('rec', 'paused')), 't': e.t, 'k': e.k, 'n': e.n}}) AS r FROM l)
+SELECT session, r.s AS state, r.us / 1000000 AS seconds, r.size AS bytes, CASE WHEN r.s = 'done' THEN CASE WHEN r.bad OR r.size = 0 THEN 'failed' ELSE 'ok' END END AS outcome FROM f
+"""
 
 
 QUERIES = {
     "src4_fallback": fallback, "agg2_groups": groups, "src5_files": whole_files, "prd16_caps": caps, "snk2_zips": zips, "fmt16_routes": routes, "agg15_recordings": recordings,
 }
-ORACLES = {"src4_fallback": FALLBACK_SQL, "agg2_groups": GROUPS_SQL, "prd16_caps": CAPS_SQL, "snk2_zips": ZIPS_SQL, "fmt16_routes": ROUTES_SQL}
+ORACLES = {"src4_fallback": FALLBACK_SQL, "agg2_groups": GROUPS_SQL, "prd16_caps": CAPS_SQL, "snk2_zips": ZIPS_SQL, "fmt16_routes": ROUTES_SQL, "agg15_recordings": RECORDINGS_SQL}

@@ -25,14 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         own = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        atexit.register(_remove, spark, own)
+        atexit.register(remove, spark, own)
         spark.conf.set("spark.checkpoint.dir", own)
         spark.sparkContext.setCheckpointDir(own)
         return own
     raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at path, if it is there."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +45,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -86,7 +87,7 @@ def with_row_key(df: DataFrame, name: str, stable: bool = False) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete stashed tables that nothing reads any more: what was made of them is itself written."""
     for df in frames:
-        _remove(df.sparkSession, df.stashed_at)
+        remove(df.sparkSession, df.stashed_at)
 
 
 #: Rows and bytes of an Arrow batch, so that whole texts of a batch stay small beside a worker's memory.
@@ -107,6 +108,23 @@ def arrow_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+#: How many partitions a scan of files has at least; by default as many as there are cores when it is planned.
+SPLITS = "spark.sql.files.minPartitionNum"
+
+
+@contextmanager
+def alike_scans(spark: SparkSession) -> Iterator[None]:
+    """Scans planned inside split their files alike, though executors come and go between them."""
+    before = spark.conf.get(SPLITS, None)
+    if before is None:
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SPLITS)
+
+
 def free_name(name: str, *taken: str) -> str:
     """``name``, with underscores in front until no column is called so (case does not count)."""
     low = {t.lower() for t in taken}

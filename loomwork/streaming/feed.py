@@ -26,37 +26,3 @@ def clock(events: DataFrame, key: str = "session", at: str = "at", kind: str = "
     spans = turns.filter(F.col(kind).isin("start", "resume")).groupBy(key).agg(F.sum(F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))).alias("us"))
     parts = events.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col(kind) == "chunk", F.col(size))), F.lit(0)).alias("bytes"))
     return parts.join(spans, key, "left").select(key, "bytes", (F.coalesce("us", F.lit(0)) / 1_000_000).alias("seconds"))
-
-
-#: Where an event leads from each state; an event that a state does not list changes nothing.
-TURNS = {
-    "idle": {"start": "asking"}, "asking": {"granted": "rec", "denied": "idle", "abort": "idle"}, "rec": {"pause": "paused", "stop": "stopping", "abort": "stopping", "ended": "stopping", "error": "stopping"},
-    "paused": {"resume": "rec", "stop": "stopping", "abort": "stopping", "ended": "stopping", "error": "stopping"}, "stopping": {"flushed": "done"}, "done": {},
-}
-
-
-def recordings(events: DataFrame, key: str = "session", at: str = "at", kind: str = "kind", size: str = "size") -> DataFrame:
-    """(key, state, seconds, bytes, outcome) of each session, folded over its events in order of time.
-
-    Time runs in state rec only, and stands still from the first stop on: later stops,
-    ends and errors change nothing.  Chunks count until the session is done; an abort
-    while permission is asked for leaves it idle.  outcome is null before ``done``, then
-    ``failed`` after an error or without a byte, else ``ok``.  Ties go by kind and size.
-    A session's events are one value, as one recording's are.
-    """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    held = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(micros.alias("t"), F.col(kind).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")))).alias("held"))
-    turns = F.create_map(*[F.lit(x) for a, to in TURNS.items() for e, b in to.items() for x in (f"{a} {e}", b)])
-    start = F.struct(F.lit("idle").alias("state"), F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("since"), F.lit(0).cast("long").alias("bytes"), F.lit(False).alias("bad"))
-
-    def step(acc: Column, e: Column) -> Column:
-        now = F.coalesce(turns[F.concat_ws(" ", acc["state"], e["k"])], acc["state"])
-        leaves = (acc["state"] == "rec") & (now != "rec")
-        return F.struct(
-            now.alias("state"), (acc["us"] + F.when(leaves, e["t"] - acc["since"]).otherwise(0)).alias("us"), F.when((now == "rec") & (acc["state"] != "rec"), e["t"]).otherwise(acc["since"]).alias("since"),
-            (acc["bytes"] + F.when((e["k"] == "chunk") & acc["state"].isin("rec", "paused", "stopping"), e["n"]).otherwise(0)).alias("bytes"), (acc["bad"] | ((e["k"] == "error") & acc["state"].isin("rec", "paused"))).alias("bad"),
-        )
-
-    done = held.select(key, F.aggregate("held", start, step).alias("s"))
-    outcome = F.when(F.col("s.state") == "done", F.when(F.col("s.bad") | (F.col("s.bytes") == 0), "failed").otherwise("ok"))
-    return done.select(key, "s.state", (F.col("s.us") / 1_000_000).alias("seconds"), "s.bytes", outcome.alias("outcome"))

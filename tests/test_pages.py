@@ -13,7 +13,7 @@ from loomwork.functions import gamma
 from loomwork.functions import matches as M
 from loomwork.operators import archives, containers, guards, intervals, pages, pixels
 from loomwork.sources import feeds, files
-from loomwork.streaming import feed
+from loomwork.streaming import recorder
 from tests.test_guards import png
 
 
@@ -120,11 +120,11 @@ def test_recordings(spark):
     }
     rows = [(s, t, k, 10) for s, kinds in lives.items() for t, k in enumerate(kinds)]
     df = spark.createDataFrame(rows, "session string, t int, kind string, size long").selectExpr("session", "timestamp_seconds(t) AS at", "kind", "size")
-    got = {r.session: (r.state, r.seconds, r.bytes, r.outcome) for r in feed.recordings(df).collect()}
+    got = {r.session: (r.state, r.seconds, r.bytes, r.outcome) for r in recorder.recordings(df).collect()}
     assert got == {
         "twice": ("done", 4.0, 30, "ok"), "voided": ("idle", 0.0, 0, None), "denied": ("idle", 0.0, 0, None), "broken": ("done", 2.0, 10, "failed"), "empty": ("done", 1.0, 0, "failed"), "frozen": ("done", 1.0, 0, "failed"), "open": ("rec", 0.0, 10, None),
     }
-    assert feed.recordings(df.limit(0)).count() == 0
+    assert recorder.recordings(df.limit(0)).count() == 0
 
 
 def test_tails_in_numpy(spark):

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from loomwork.operators import intervals
 from loomwork.operators.prefix import running_totals
 
 R = random.Random(3)
@@ -40,3 +41,17 @@ def test_hot_key_is_shared_and_ties_count(spark):
     used = got.withColumn("task", F.spark_partition_id()).groupBy("k").agg(F.max("n").alias("n")).collect()
     assert used[0].n == 4000
     assert running_totals(df.limit(0), ["k"], ["i"], {"n": F.lit(1)}).count() == 0
+
+
+def test_extents_of_one_key(spark):
+    """A million extents under one key: contained, overlapping and merged by running maxima."""
+    n = 1_000_000
+    outer = spark.range(n // 10).select(F.lit(1).alias("f"), (F.col("id") * 100).alias("start"), F.lit(60).alias("len"))
+    nested = spark.createDataFrame([(1, 10, 5), (1, 0, 10**9)], "f int, start long, len int").filter("len < 10")
+    inner = spark.range(n).select(F.lit(1).alias("f"), F.col("id").alias("item"), (F.col("id") * 10).alias("start"), F.lit(15).alias("len"))
+    held = intervals.contained(inner, outer.unionByName(nested), "f")
+    # of ten starts a hundred bytes, those at 0 to 40 leave 15 bytes inside 60
+    assert held.agg(F.count("*"), F.countDistinct("item"), F.max((F.col("start") % 100))).first()[:] == (n // 2, n // 2, 40)
+    touched = intervals.overlapping(inner, outer, "f")
+    assert touched.count() == n // 10 * 7 - 1
+    assert intervals.merged(inner, "f").collect()[0][:] == (1, 0, 10 * (n - 1) + 15)
