@@ -57,7 +57,8 @@ NAMED = SECRET_WORDS.replace("(?i)(", "(?i:").replace(".?", "[_ .-]?") + r"""[\p
 def _assigned() -> str:
     """The pattern of values after secret words and in URLs; values that CANDIDATE finds with the same ends are left out."""
     named = r"""(?<=[\s=:>"'`])(?=\S{6})(?<=""" + NAMED + ")"
-    quoted = [rf"(?<={q})(?!{CANDIDATE}{q})(?:[^\s{q}\\]|\\\S){{6,}}(?={q})" for q in "\"'`"]
+    # six characters at least, then possessive runs: a repeated alternation recurses once a character in Java's matcher
+    quoted = [rf"(?<={q})(?!{CANDIDATE}{q})(?=(?:[^\s{q}\\]|\\\S){{6}})[^\s{q}\\]*+(?:\\\S[^\s{q}\\]*+)*+(?={q})" for q in "\"'`"]
     url = r"(?<=[?&][\w.\[\]\-]{1,40}=)"
     pair = r"(?<=;\s?[\w.\[\]\-]{1,40}=)"
     in_url = url + rf"""(?!{CANDIDATE}(?:[&#\s"'`<>]|$))[^\s&#"'`<>]{{6,}}"""
