@@ -14,7 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,30 +126,31 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
     refers = F.when(F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row")), F.col("first_id"))
     ready = joined.select("id", "row", "uri", "data", refers.alias("refers"))
 
-    def run(frames):
+    told = lambda *row: pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["uri", "records", "bytes"])
+
+    def run(batches):
         out, where, size, count, uri_ = None, None, 0, 0, ""
-        for pdf in frames:
-            for i, row, u, data, ref in zip(pdf["id"].astype("Int64"), pdf["row"], pdf["uri"], pdf["data"], pdf["refers"].astype("Int64")):
+        for b in batches:
+            for i, row, u, data, ref in ([c[k].as_py() for c in b.columns] for k in range(b.num_rows)):
                 if out is None:
                     uri_ = f"{path}/{uuid.uuid4().hex}.warc.gz"
                     where, local = fs.FileSystem.from_uri(uri_)
                     where.create_dir(local.rpartition("/")[0], recursive=True)
                     out = where.open_output_stream(local, compression=None)
-                data = bytes(data)
                 pack = zlib.compressobj(wbits=31)
-                raw = record(None if pd.isna(i) else int(i), u, data, digest(data), None if pd.isna(ref) else int(ref), bytes(row).hex())
+                raw = record(i, u, data, digest(data), ref, row.hex())
                 member = pack.compress(raw) + pack.flush()
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= FILE_BYTES:
                     out.close()
-                    yield pd.DataFrame({"uri": [uri_], "records": [count], "bytes": [size]})
+                    yield told(uri_, count, size)
                     out, size, count = None, 0, 0
         if out is not None:
             out.close()
-            yield pd.DataFrame({"uri": [uri_], "records": [count], "bytes": [size]})
+            yield told(uri_, count, size)
 
-    return stash(ready.mapInPandas(run, "uri string, records long, bytes long"), "manifest")
+    return stash(ready.mapInArrow(run, "uri string, records long, bytes long"), "manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -158,27 +159,25 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     Null uris name no archive; an archive that is missing, cut off or badly framed is an
     error; one named twice is read twice.
     """
-    names = [x.partition(" ")[0] for x in RECORD.split(", ")]
-
-    def run(frames):
-        for pdf in frames:
-            for uri in pdf["uri"]:
-                held = []
-                for r in read_file(uri):
-                    held.append(r)
-                    if len(held) == 5_000:
-                        yield _frame(held, names)
-                        held = []
-                if held:
-                    yield _frame(held, names)
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*(x.split(" ") for x in RECORD.split(", ")))
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*held), types)], names=names)
+
+    def run(batches):
+        for uri in (u for b in batches for u in b.column(0).to_pylist()):
+            held = []
+            for r in read_file(uri):
+                held.append(r)
+                if len(held) == 5_000:
+                    yield batch(held)
+                    held = []
+            if held:
+                yield batch(held)
 
     spark = manifest.sparkSession
-    return manifest.select("uri").filter("uri is not null").repartition(4 * shuffle_width(spark)).mapInPandas(run, RECORD)
-
-
-def _frame(held: list[tuple], names: list[str]) -> pd.DataFrame:
-    pdf = pd.DataFrame(held, columns=names)
-    return pdf.astype({"record_id": "Int64", "refers_to": "Int64"})
+    return manifest.select("uri").filter("uri is not null").repartition(4 * shuffle_width(spark)).mapInArrow(run, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0, stable: bool = False) -> DataFrame:
