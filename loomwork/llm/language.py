@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,19 +196,19 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     text = text_col if text_col in carried else free_name("__text", *carried)
     kept = df.select(*carried) if text in carried else df.select(*carried, F.col(text_col).alias(text))
 
-    def run(frames):
-        for pdf in _slices(frames):
-            x = _bundler().bundle(pdf[text].tolist())
+    def run(batches):
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            x = _bundler().bundle(b.column(b.schema.get_field_index(text)).to_pylist())
             some = np.any(x, axis=1) & bool(names)
             cos = _units(x) @ grid.T if names else np.zeros((len(x), 1))
             best = cos.argmax(1)
-            out = pdf[list(carried)].copy()
-            out["lang_pred"] = [names[b] if s else "und" for b, s in zip(best, some)]
-            out["score"] = np.where(some, np.clip(cos.max(1), 0, 1), 0.0)
-            yield out
+            lang = pa.array([names[i] if s else "und" for i, s in zip(best, some)], pa.string())
+            score = pa.array(np.where(some, np.clip(cos.max(1), 0, 1), 0.0))
+            # columns that are carried never leave Arrow: a pandas column of ids with a null would be of doubles
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], lang, score], names=[*carried, "lang_pred", "score"])
 
     schema = df.select(*carried).schema.add("lang_pred", "string").add("score", "double")
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
