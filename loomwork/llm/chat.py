@@ -27,28 +27,32 @@ OPENING, TAIL = r"([<\[])(\\*)", r"(\||/?s>|/?INST\])"
 
 @dataclass(frozen=True)
 class Layout:
-    """A sample record gives the field paths that are needed; ``turns`` lists (role, path); or ``array`` with role and text fields in it."""
+    """A sample record gives the field paths that are needed; ``turns`` lists (role, path), then come the items of ``arrays`` with role and text fields in them."""
 
     name: str
     sample: str
     turns: tuple[tuple[str, str], ...] = ()
-    array: str = ""
+    arrays: tuple[str, ...] = ()
     role: str = "$.role"
     text: str = "$.content"
 
 
 LAYOUTS = (
-    Layout("row", '{"role": "", "text": ""}', array="row", text="$.text"),
-    Layout("messages", '{"messages": [{"role": "", "content": ""}]}', array="$.messages"),
-    Layout("shared", '{"conversations": [{"from": "", "value": ""}]}', array="$.conversations", role="$.from", text="$.value"),
+    Layout("row", '{"role": "", "text": ""}', arrays=("row",), text="$.text"),
+    Layout("messages", '{"messages": [{"role": "", "content": ""}]}', arrays=("$.messages",)),
+    Layout("system_messages", '{"system": "", "messages": [{"role": "", "content": ""}]}', turns=(("system", "$.system"),), arrays=("$.messages",)),
+    Layout("shared", '{"conversations": [{"from": "", "value": ""}]}', arrays=("$.conversations",), role="$.from", text="$.value"),
+    Layout("system_shared", '{"system": "", "conversations": [{"from": "", "value": ""}]}', turns=(("system", "$.system"),), arrays=("$.conversations",), role="$.from", text="$.value"),
+    Layout("prompt_turns", '{"prompt": [{"role": "", "content": ""}], "completion": [{"role": "", "content": ""}]}', arrays=("$.prompt", "$.completion")),
     Layout("instruction", '{"instruction": "", "output": ""}', turns=(("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("instruction_input", '{"instruction": "", "input": "", "output": ""}', turns=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout("system_instruction", '{"system": "", "instruction": "", "output": ""}', turns=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("system_instruction_input", '{"system": "", "instruction": "", "input": "", "output": ""}', turns=(("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("no_messages", '{"messages": []}', array="$.messages"),
-    Layout("no_shared", '{"conversations": []}', array="$.conversations"),
+    Layout("no_messages", '{"messages": []}', arrays=("$.messages",)),
+    Layout("no_shared", '{"conversations": []}', arrays=("$.conversations",)),
     Layout("prompt", '{"prompt": "", "completion": ""}', turns=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Layout("prompt_response", '{"prompt": "", "response": ""}', turns=(("user", "$.prompt"), ("assistant", "$.response"))),
+    Layout("context_question", '{"context": "", "question": "", "answer": ""}', turns=(("user", "$.context"), ("user", "$.question"), ("assistant", "$.answer"))),
     Layout("question", '{"question": "", "answer": ""}', turns=(("user", "$.question"), ("assistant", "$.answer"))),
 )
 #: Roles that layouts in use name otherwise.
@@ -56,11 +60,11 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 
 #: Parts of a variant's schema text: a field's name, an opening, a closing, an array of nothing.
-TOKEN = r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<|ARRAY<|>|VOID"
+TOKEN = r"(?:`(?:[^`]|``)*`|\w+): |OBJECT<|ARRAY<|>|VOID|STRING"
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field paths of a variant: a.b, a[].b, and a[]! for an array that is empty."""
+def field_paths(record: Column, strings: bool = False) -> Column:
+    """The nested field paths of a variant: a.b, a[].b, and a[]! for an array that is empty; or those of its ``strings``."""
     start = F.struct(F.array(F.lit("")).alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, token: Column) -> Column:
@@ -68,8 +72,17 @@ def field_paths(record: Column) -> Column:
         here = F.when(token == "ARRAY<", F.concat(acc["at"], F.lit("[]"))).otherwise(acc["at"])
         moved = lambda opened, at, found: F.struct(opened.alias("open"), at.alias("at"), found.alias("found"))
         empty = (token == "VOID") & acc["at"].endswith("[]")
+        if strings:
+            return (
+                F.when(token.endswith(": "), moved(acc["open"], named, acc["found"]))
+                .when(token == ">", moved(F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1), acc["at"], acc["found"]))
+                .when(token == "VOID", acc)
+                .when(token == "STRING", moved(acc["open"], acc["at"], F.concat(acc["found"], F.array(acc["at"]))))
+                .otherwise(moved(F.concat(acc["open"], F.array(F.when(here == "", "").otherwise(F.concat(here, F.lit("."))))), here, acc["found"]))
+            )
         return (
-            F.when(token.endswith(": "), moved(acc["open"], named, F.concat(acc["found"], F.array(named))))
+            F.when(token == "STRING", acc)
+            .when(token.endswith(": "), moved(acc["open"], named, F.concat(acc["found"], F.array(named))))
             .when(token == ">", moved(F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1), acc["at"], acc["found"]))
             .when(token == "VOID", moved(acc["open"], acc["at"], F.when(empty, F.concat(acc["found"], F.array(F.concat(acc["at"], F.lit("!"))))).otherwise(acc["found"])))
             .otherwise(moved(F.concat(acc["open"], F.array(F.when(here == "", "").otherwise(F.concat(here, F.lit("."))))), here, acc["found"]))
@@ -91,12 +104,12 @@ def shape(record: Column) -> Column:
 def _pick(layout: Layout, record: Column) -> Column:
     turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
     get = lambda v, path: F.try_variant_get(v, path, "string")
-    if layout.array == "row":
+    if layout.arrays == ("row",):
         return F.array(turn(get(record, layout.role), get(record, layout.text)))
-    if layout.array:
-        items = F.try_variant_get(record, layout.array, "array<variant>")
-        return F.transform(items, lambda v: turn(get(v, layout.role), get(v, layout.text)))
-    return F.array(*[turn(F.lit(r), get(record, p)) for r, p in layout.turns])
+    items = lambda path: F.transform(F.try_variant_get(record, path, "array<variant>"), lambda v: turn(get(v, layout.role), get(v, layout.text)))
+    parts = [F.array(*[turn(F.lit(r), get(record, p)) for r, p in layout.turns])] if layout.turns else []
+    parts += [items(path) for path in layout.arrays]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def needed_paths(sample, at: str = "") -> list[str]:
@@ -112,8 +125,8 @@ def needed_paths(sample, at: str = "") -> list[str]:
 def layout_number(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """The place of the layout that a record has, null without one: by its whole shape, else by the paths it has."""
     needs = [needed_paths(json.loads(x.sample)) for x in layouts]
-    # those that need most first
-    order = sorted(range(len(layouts)), key=lambda i: (-len(needs[i]), i))
+    # those that need most first, but an empty list never before a layout with text
+    order = sorted(range(len(layouts)), key=lambda i: (any(p.endswith("!") for p in needs[i]), -len(needs[i]), i))
 
     def by_shape(own: Column) -> Column:
         found = F.lit(None).cast("int")
@@ -131,10 +144,11 @@ def layout_number(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Colu
 
 
 def canonical_turns(df: DataFrame, record: Column, layouts: tuple[Layout, ...] = LAYOUTS, roles: dict[str, str] | None = None) -> DataFrame:
-    """df with ``layout`` and ``turns`` (array of role, text), in place of columns of those names.
+    """df with ``layout``, ``turns`` (array of role, text) and ``unformatted``, in place of columns of those names.
 
     ``record`` is a variant (parse_json, to_variant_object).  A record needs a layout's
-    fields and may have others beside them, which are not formatted; without a layout both
+    fields and may have others beside them; ``unformatted`` lists the paths of its strings
+    that the layout does not format (see unformatted_counts).  Without a layout all three
     are null and the row stays (see rejects).  Null roles and texts become '', texts that
     are no strings their JSON text; an empty list of messages has no turns.  ``roles``
     gives other names of roles (ROLES by default).
@@ -148,7 +162,12 @@ def canonical_turns(df: DataFrame, record: Column, layouts: tuple[Layout, ...] =
     pairs = [F.lit(x) for pair in (ROLES if roles is None else roles).items() for x in pair]
     known = lambda r: F.coalesce(F.create_map(*pairs)[r], r, F.lit("")) if pairs else F.coalesce(r, F.lit(""))
     clean = F.transform(turns, lambda t: F.struct(known(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return numbered.withColumns({"layout": name, "turns": clean}).drop(at)
+    told = [sorted(set(needed_paths(json.loads(x.sample)))) for x in layouts]
+    listed = F.array(*[F.array(*map(F.lit, t)) for t in told])
+    known_shape = F.array_contains(F.array(*[shape(F.parse_json(F.lit(x.sample))) for x in layouts]), shape(record))
+    left = F.array_distinct(F.array_except(field_paths(record, strings=True), F.get(listed, F.col(at))))
+    left = F.when(F.col(at).isNotNull(), F.when(known_shape, F.array().cast("array<string>")).otherwise(left))
+    return numbered.withColumns({"layout": name, "turns": clean, "unformatted": left}).drop(at)
 
 
 def rejects(turned: DataFrame) -> DataFrame:
@@ -156,6 +175,11 @@ def rejects(turned: DataFrame) -> DataFrame:
     return turned.filter(F.col("layout").isNull())
 
 
+def unformatted_counts(turned: DataFrame) -> DataFrame:
+    """(layout, path, n): how many records of a layout have a string at a path that is not formatted."""
+    return turned.select("layout", F.explode("unformatted").alias("path")).groupBy("layout", "path").agg(F.count("*").alias("n"))
+
+
 def reject_counts(turned: DataFrame, record: Column) -> DataFrame:
     """(paths, n): how many rejected records have which field paths."""
     return rejects(turned).groupBy(F.array_join(F.array_sort(field_paths(record)), " ").alias("paths")).agg(F.count("*").alias("n"))
