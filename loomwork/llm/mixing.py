@@ -16,10 +16,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import WORD_PATTERN, free_name, stash, with_row_key
+from loomwork.llm.shared import WORD_PATTERN, free_name, shuffle_width, stash, with_row_key
 
 #: Blocks of a source; only one of them is ordered as a whole, so it bounds what a task sorts.
 BLOCKS = 4096
+#: Output shards.
+SHARDS = 16
 #: Sources up to which their small tables are broadcast (some 20 MB); beyond, they are shuffled.
 BROADCAST_SOURCES = 100_000
 #: Weights by place of the source in code-point order, repeating.
@@ -88,7 +90,7 @@ def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = 7, blocks: int = BLOCKS, row_col: str | None = None) -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 7, blocks: int = BLOCKS, row_col: str | None = None) -> DataFrame:
     """For each row (id, size, source, source_size, target, copies, shards of its copies, seat).
 
     Null texts have size 0; a null source is a source.  Repeated rows count each and, with
@@ -154,4 +156,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", stable: bool = False, **options
     plan = mix_plan(numbered, id_col, row_col=row, **options).select(F.col(row).alias(same), F.posexplode("shards").alias(copy, "shard"), F.col("seat").alias(seat))
     rows = numbered.join(plan, F.col(row) == F.col(same))
     placed = rows.withColumn("place", _digest(F.lit("place"), F.col(copy), F.col(seat))).select(*base.columns, "shard", "place", seat, row)
-    return placed.repartition("shard", F.substring("place", 1, 1)).sortWithinPartitions("shard", "place", row).drop(seat, row)
+    # as many pieces of each shard as leave no partition of the session's width without some
+    digits = 1
+    while options.get("shards", SHARDS) * 16**digits < 8 * shuffle_width(docs.sparkSession):
+        digits += 1
+    return placed.repartition("shard", F.substring("place", 1, digits)).sortWithinPartitions("shard", "place", row).drop(seat, row)
