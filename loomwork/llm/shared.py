@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomwork.shared import arrow_batches, discard, free_name, scratch, shared_dir, shuffle_width, stash, table, with_row_key
+from loomwork.shared import alike_scans, arrow_batches, discard, free_name, scratch, shared_dir, shuffle_width, stash, table, with_row_key
 
-__all__ = ["WORD_PATTERN", "arrow_batches", "discard", "free_name", "let", "scratch", "shared_dir", "shuffle_width", "stash", "table", "with_row_key"]
+__all__ = ["WORD_PATTERN", "alike_scans", "arrow_batches", "discard", "free_name", "let", "scratch", "shared_dir", "shuffle_width", "stash", "table", "with_row_key"]
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

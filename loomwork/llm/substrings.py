@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import shuffle_width, stash
+from loomwork.llm.shared import alike_scans, shuffle_width, stash
 from loomwork.llm.wordhash import from_planes, pack, planes, unpack, window_checks, window_hashes, word_hashes, words_of
 
 #: Rows of a batch of short texts, bytes of text of any batch (a longer text is a batch of its own), and windows that a bucket should hold.
@@ -142,7 +142,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are returned as null; texts under ``width`` words stay whole.
 
     df is read twice and must give the same rows both times: it is written to the shared
-    folder first unless ``stable`` says that it is a plain scan.
+    folder first unless ``stable`` says that it is a plain scan.  Both readings split the
+    files alike, whatever executors there are, and the result is written.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
@@ -169,7 +170,6 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pd.DataFrame({**sent, "batch": b, "stamp": stamp}).astype({"bucket": np.int32})[["bucket", "batch", "stamp", "hashes", "checks", "ids", "places"]]
 
     sent = rows.mapInPandas(send, "bucket int, batch long, stamp long, hashes binary, checks binary, ids binary, places binary")
-    answers = stash(sent.groupBy("bucket").applyInPandas(_answers, "batch long, bucket int, stamp long, n long, bits binary"), "answers")
 
     def apply(docs: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
@@ -181,5 +181,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lost = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(bits["bits"], bits["n"])]
         return pd.DataFrame(batch.kept(np.concatenate([np.empty(0, bool), *lost])), columns=["id", "row", "n_words", "n_removed", "kept"])
 
-    done = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(apply, "id long, row long, n_words long, n_removed long, kept string")
+    with alike_scans(spark):
+        answers = stash(sent.groupBy("bucket").applyInPandas(_answers, "batch long, bucket int, stamp long, n long, bits binary"), "answers")
+        applied = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(apply, "id long, row long, n_words long, n_removed long, kept string")
+        done = stash(applied, "kept")
     return done.select(F.nullif("id", F.lit(-(2**63))).cast(kind).alias(id_col), "n_words", "n_removed", "kept")
