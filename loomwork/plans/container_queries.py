@@ -23,13 +23,17 @@ def _told(df: DataFrame, key: str) -> DataFrame:
     return containers.clean(df).select(key, "kind", "outcome", F.array_join(F.transform("strips", lambda s: s["label"]), "; ").alias("labels"), removed.alias("removed"), F.hex("cleaned").alias("cleaned"))
 
 
-def jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jpeg_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each page: its address as a comment, an orientation, every seventh cut off."""
     p = read(spark, sf_dir, "pages").select("page_id", F.hex(F.encode("url", "UTF-8")).alias("u"))
     exif = F.concat(F.lit("FFE1002245786966000049492A00080000000100" "1201030001000000"), F.lpad(F.hex(F.col("page_id") % 10), 2, "0"), F.lit("00000000000000"))
     whole = F.concat(F.lit("FFD8FFE000044A46"), exif, F.lit("FFFE"), _be(F.length("u") / 2 + 2, 2), F.col("u"), F.lit("FFDA000211FF0022FFD9"), F.when(F.col("page_id") % 3 == 0, "AABB").otherwise(""))
     cut = F.when(F.col("page_id") % 7 == 0, F.substring(whole, 1, 94)).otherwise(whole)
-    return _told(p.select("page_id", F.unhex(cut).alias("content")), "page_id")
+    return p.select("page_id", F.unhex(cut).alias("content"))
+
+
+def jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(jpeg_files(spark, sf_dir), "page_id")
 
 
 JPEG_SQL = """
@@ -41,13 +45,21 @@ FROM p JOIN pages USING (page_id)
 """
 
 
-def png(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each document: its whole text in a text chunk, without an end for every seventh."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("t"))
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def png_files(texts: DataFrame) -> DataFrame:
+    """A file for each text: the whole text in a text chunk, without an end for every seventh."""
+    d = texts.select("doc_id", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("t"))
     chunk = F.concat(_be(F.length("t") / 2, 4), F.lit("74455874"), F.col("t"), F.lit("00000000"))
     end = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("0000000049454E44AE426082"), F.when(F.col("doc_id") % 2 == 1, "0102030405").otherwise("")))
     whole = F.concat(F.lit("89504E470D0A1A0A" "0000000D49484452"), F.repeat(F.lit("00"), 17), chunk, F.lit("0000000073524742" "00000000"), end)
-    return _told(d.select("doc_id", F.unhex(whole).alias("content")), "doc_id")
+    return d.select("doc_id", F.unhex(whole).alias("content"))
+
+
+def png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(png_files(_texts(spark, sf_dir)), "doc_id")
 
 
 PNG_SQL = """
@@ -57,12 +69,16 @@ SELECT doc_id, 'png' AS kind, CASE WHEN doc_id % 7 = 0 THEN 'corrupt' ELSE 'ok'
 """
 
 
-def webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each document: its whole text as Exif data, flags set; the declared size wrong for every seventh."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("t")).withColumn("n", F.length("t") / 2)
+def webp_files(texts: DataFrame) -> DataFrame:
+    """A file for each text: the whole text as Exif data, flags set; the declared size wrong for every seventh."""
+    d = texts.select("doc_id", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("t")).withColumn("n", F.length("t") / 2)
     body = F.concat(F.lit("57454250" "565038580A000000" "2C000000000000000000" "5650382003000000AABBCC00" "45584946"), _le(F.col("n")), F.col("t"), F.when(F.col("n") % 2 == 1, "00").otherwise(""))
     size = F.length(body) / 2 + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
-    return _told(d.withColumn("body", body).select("doc_id", F.unhex(F.concat(F.lit("52494646"), _le(size), F.col("body"))).alias("content")), "doc_id")
+    return d.withColumn("body", body).select("doc_id", F.unhex(F.concat(F.lit("52494646"), _le(size), F.col("body"))).alias("content"))
+
+
+def webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(webp_files(_texts(spark, sf_dir)), "doc_id")
 
 
 WEBP_SQL = """
@@ -72,14 +88,18 @@ SELECT doc_id, 'webp' AS kind, CASE WHEN bad THEN 'corrupt' ELSE 'ok' END AS out
 """
 
 
-def heic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each page: its whole html as an Exif item before the picture; every seventh holds tracks too."""
     p = read(spark, sf_dir, "pages").select("page_id", F.hex(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("t")).withColumn("n", F.length("t") / 2)
     items = F.concat(F.lit("0000002C696C6F63" "00000000" "44000002" "000100000001"), _be(F.col("n") + 136, 4), F.lit("00000003" "00020000000100000088"), _be(F.col("n"), 4))
     entries = F.lit("0000003869696E66" "000000000002" "00000015696E6665" "02000000" "00010000" "6876633100" "00000015696E6665" "02000000" "00020000" "4578696600")
     whole = F.concat(F.lit("00000010667479706865696300000000" "000000706D65746100000000"), items, entries, _be(F.col("n") + 11, 4), F.lit("6D646174"), F.col("t"), F.lit("AABBCC"))
     tracks = F.when(F.col("page_id") % 7 == 0, "000000086D6F6F76").otherwise("")
-    return _told(p.select("page_id", F.unhex(F.concat(whole, tracks)).alias("content")), "page_id")
+    return p.select("page_id", F.unhex(F.concat(whole, tracks)).alias("content"))
+
+
+def heic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(heic_files(spark, sf_dir), "page_id")
 
 
 HEIC_SQL = """

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import binary as B
-from loomwork.operators import archives, containers, guards, pages
+from loomwork.operators import archives, containers, pages
+from loomwork.plans import container_queries as C
 from loomwork.plans.container_queries import _be
 from loomwork.plans.schedule_queries import read, season_payloads
-from loomwork.sources import feeds, files
+from loomwork.shared import scratch
+from loomwork.sources import feeds, files, headers
 from loomwork.streaming import recorder
 
 
@@ -58,10 +60,34 @@ SELECT dense_rank() OVER (ORDER BY lower(g)) - 1 AS group_place, g AS "group", r
 
 
 def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' own files, read whole: what each holds and whether it is cleaned."""
-    found = files.scan(spark, sf_dir, "*.parquet")
-    told = guards.declared(containers.clean(found))
-    return told.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", "kind", "outcome", "declared_pixels", "error_code")
+    """Image files that are written from all pages, a kind a page, then scanned whole and cleaned, and read by header ranges alone."""
+    texts = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    made = [C.jpeg_files(spark, sf_dir), C.png_files(texts).withColumnRenamed("doc_id", "page_id"), C.webp_files(texts).withColumnRenamed("doc_id", "page_id"), C.heic_files(spark, sf_dir)]
+    every = None
+    for k, (ending, one) in enumerate(zip(("jpg", "png", "webp", "heic"), made)):
+        named = one.filter(F.pmod("page_id", F.lit(4)) == k).select(F.concat(F.col("page_id").cast("string"), F.lit(f".{ending}")).alias("name"), "content")
+        every = named if every is None else every.unionByName(named)
+    where = scratch(spark, "images")
+    files.write(every, where)
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    cleaned = containers.clean(files.scan(spark, where)).select(name.alias("name"), "length", "outcome", F.aggregate("strips", F.lit(0).cast("long"), lambda a, s: a + s["size"]).alias("removed"), F.octet_length("cleaned").cast("long").alias("left"))
+    told = headers.image_headers(spark, where).select(name.alias("name"), F.col("length").alias("listed"), "kind", "declared_pixels", "allowed", "bytes_read")
+    return cleaned.join(told, "name")
+
+
+FILES_SQL = """
+WITH p AS (SELECT page_id, page_id % 4 AS k, page_id % 7 = 0 AS off, page_id % 3 = 0 AS third, page_id % 10 BETWEEN 2 AND 8 AS turned, octet_length(encode(url)) AS u, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+s AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN off THEN 47 ELSE 8 + 36 + 4 + u + 10 + CASE WHEN third THEN 2 ELSE 0 END END WHEN 1 THEN 33 + 12 + n + 12 + CASE WHEN off THEN 0 ELSE 12 + CASE WHEN page_id % 2 = 1 THEN 5 ELSE 0 END END
+ WHEN 2 THEN 12 + 18 + 12 + 8 + n + n % 2 ELSE 16 + 112 + 8 + n + 3 + CASE WHEN off THEN 8 ELSE 0 END END AS length FROM p),
+r AS (SELECT *, CASE WHEN k = 3 AND off THEN 'unsupported_layout' WHEN off THEN 'corrupt' ELSE 'ok' END AS outcome,
+ CASE WHEN NOT off THEN CASE k WHEN 0 THEN 36 + 4 + u + CASE WHEN third THEN 2 ELSE 0 END WHEN 1 THEN 12 + n + CASE WHEN page_id % 2 = 1 THEN 5 ELSE 0 END WHEN 2 THEN 8 + n + n % 2 ELSE n END END AS removed FROM s)
+SELECT page_id || '.' || ['jpg', 'png', 'webp', 'heic'][CAST(k + 1 AS INTEGER)] AS name, length, length AS listed, ['jpeg', 'png', 'webp', 'heif'][CAST(k + 1 AS INTEGER)] AS kind, outcome, CAST(removed AS BIGINT) AS removed,
+ CAST(CASE WHEN NOT off THEN CASE k WHEN 0 THEN 18 + CASE WHEN turned THEN 36 ELSE 0 END WHEN 1 THEN 33 + 12 + 12 WHEN 2 THEN 12 + 18 + 12 ELSE 16 + 112 - 14 - 21 + 8 + 3 END END AS BIGINT) AS "left",
+ CASE WHEN k IN (1, 3) THEN CAST(0 AS BIGINT) END AS declared_pixels, CASE WHEN k IN (1, 3) THEN false END AS allowed,
+ -- the head, then four bytes of size and four of kind for each chunk or box behind it
+ CAST(least(length, 512) + CASE k WHEN 1 THEN 0 WHEN 3 THEN CASE WHEN off AND 139 + n + 4 > 512 THEN 4 ELSE 0 END + CASE WHEN off AND 139 + n + 8 > 512 THEN 4 ELSE 0 END ELSE 0 END AS BIGINT) AS bytes_read
+FROM r
+"""
 
 
 def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,4 +158,4 @@ SELECT session, r.s AS state, r.us / 1000000 AS seconds, r.size AS bytes, CASE W
 QUERIES = {
     "src4_fallback": fallback, "agg2_groups": groups, "src5_files": whole_files, "prd16_caps": caps, "snk2_zips": zips, "fmt16_routes": routes, "agg15_recordings": recordings,
 }
-ORACLES = {"src4_fallback": FALLBACK_SQL, "agg2_groups": GROUPS_SQL, "prd16_caps": CAPS_SQL, "snk2_zips": ZIPS_SQL, "fmt16_routes": ROUTES_SQL, "agg15_recordings": RECORDINGS_SQL}
+ORACLES = {"src4_fallback": FALLBACK_SQL, "agg2_groups": GROUPS_SQL, "prd16_caps": CAPS_SQL, "snk2_zips": ZIPS_SQL, "src5_files": FILES_SQL, "fmt16_routes": ROUTES_SQL, "agg15_recordings": RECORDINGS_SQL}
