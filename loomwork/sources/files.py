@@ -16,7 +16,7 @@ MAX_BYTES = 256 << 20
 
 
 def scan(spark: SparkSession, path: str | list[str], glob: str | None = None, most: int = MAX_BYTES) -> DataFrame:
-    """(path, length, error_code, content) of every file below path, whole.
+    """(path, length, error_code, content) of every file below path that is not empty, whole.
 
     A file over ``most`` bytes has error_code 'big' and null content; its bytes are not
     read, since the length comes from the listing.  Directories are searched in depth.

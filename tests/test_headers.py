@@ -24,7 +24,8 @@ def test_headers_of_written_files(spark, tmp_path):
     whole = guards.declared(files.scan(spark, where)).withColumn("kind", image_kind(F.col("content")))
     told = lambda df: {r.path.rpartition("/")[2]: (r.length, r.kind, r.declared_pixels, r.allowed) for r in df.collect()}
     got = headers.image_headers(spark, where)
-    assert told(got) == told(whole)
+    # a scan for contents passes over empty files
+    assert told(got) == {**told(whole), "g.bin": (0, None, None, None)}
     cost = {r.path.rpartition("/")[2]: r.bytes_read for r in got.collect()}
     assert max(cost.values()) < 600 and cost["a.png"] > 512 and cost["d.jpg"] == 512 and cost["f.txt"] == 7
     assert headers.image_headers(spark, where, ending=".png").count() == 2
