@@ -54,10 +54,6 @@ def u_le(data: Column, at: int, n: int) -> Column:
     return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(data, at + 1, n)), F.lit(".."), F.lit(0))), ""), 16, 10).cast("long")
 
 
-def byte_values(data: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
-
-
 def printable(data: Column) -> Column:
     return F.regexp_replace(latin(data), r"[^\t\n\r -~]", "·")
 

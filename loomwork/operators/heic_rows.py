@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators import intervals, parts
+from loomwork.operators import intervals, items, parts
 from loomwork.operators.parts import _be
 from loomwork.shared import stash
 
@@ -46,7 +46,7 @@ def gates(t: Tables) -> DataFrame:
     found.append(flag(t.boxes.filter("depth = 1 and kind = 'grpl'"), "groups"))
     for table in (t.extents, t.references, t.associations):
         found.append(flag(table.filter("error is not null"), "layout"))
-    found.append(flag(t.gone.join(t.places, ["f", "item"], "left_anti"), "no_place"))
+    found.append(flag(items.without_place(t.gone, t.places, ["f", "item"]), "no_place"))
     found.append(flag(t.gone.filter("is_primary"), "primary"))
     kept = t.places.filter("not goes")
     found.append(flag(t.gone.select("f").distinct().join(kept, "f", "left_anti"), "nothing_left"))

@@ -23,6 +23,18 @@ def by_day(matches: DataFrame, day: Column) -> DataFrame:
     return keyed.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(F.struct("kickoff", "ord", "id"))), lambda x: x["id"]).alias("ids"))
 
 
+def days_in_order(matches: DataFrame, day: Column) -> DataFrame:
+    """(day, day_place, place, id): matches as a list of days by code unit, '?' after digits, each in kickoff order; places from 0.
+
+    A row for each match, so neither a full day nor all days are one value.
+    """
+    kick, ord_ = by_kickoff()
+    keyed = matches.select(F.coalesce(day, F.lit("?")).alias("day"), kick.alias("k"), ord_.alias("o"), "id")
+    placed = running_totals(keyed, ["day"], ["k", "o", "id"], {"place": F.lit(1).cast("long")}, before=True)
+    days = running_totals(keyed.select("day").distinct(), [], ["day"], {"day_place": F.lit(1).cast("long")}, before=True)
+    return placed.join(days, "day").select("day", "day_place", "place", "id")
+
+
 def featured(matches: DataFrame, in_window: Column) -> DataFrame:
     """The featured match: earliest live in the window, earliest upcoming in it, latest in it, earliest upcoming, latest.
 

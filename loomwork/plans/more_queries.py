@@ -45,9 +45,7 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     child = F.struct(F.col("r_regionkey").alias("k"), F.struct(named.alias("name"), F.struct("entries").alias("standings")).alias("c"))
     payload = region.join(entries, F.col("r_regionkey") == F.col("n_regionkey")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["c"]).alias("children"))).alias("payload"))
     table = feeds.standings(payload)
-    # one payload's groups: some dozens
-    ranked = feeds.nested(table).agg(F.collect_list(F.struct("group", "table")).alias("all")).select(F.posexplode("all").alias("group_place", "g"))
-    flat = ranked.select(F.col("group_place").cast("long").alias("group_place"), F.col("g.group").alias("group"), F.posexplode("g.table").alias("place", "t"))
+    flat = feeds.placed_groups(table).select("group_place", "group", F.posexplode("table").alias("place", "t"))
     flat = flat.select("group_place", "group", F.col("place").cast("long").alias("place"), "t.team_id", "t.team", F.col("t.pos").cast("long").alias("pos"), F.col("t.pts").cast("long").alias("pts"), F.col("t.draw").cast("long").alias("draw"))
     return flat.join(feeds.group_index(table), "team_id")
 

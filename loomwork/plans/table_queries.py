@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import binary as B
 from loomwork.functions import names as N
-from loomwork.operators import archives, intervals, pages, pixels, sealing
+from loomwork.operators import archives, intervals, items, pages, pixels
 from loomwork.plans.schedule_queries import read
 
 
@@ -91,10 +91,12 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS item, l_partkey % 200 AS star
 def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items left after an anti-join, primary item removed, removed item without a place, block totals."""
     x = _extents(spark, sf_dir)
-    flags = x.groupBy("l_orderkey").agg(F.bool_or((F.col("item") == 2) & F.col("gone")).alias("primary_gone"), F.sum(F.when(F.col("gone"), F.col("len")).otherwise(0)).alias("stripped"))
     gone = x.filter("gone").select("l_orderkey", "item")
-    left = x.join(gone, ["l_orderkey", "item"], "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("left"))
-    return flags.join(left, "l_orderkey", "left").select("l_orderkey", "primary_gone", "stripped", F.coalesce("left", F.lit(0)).alias("left"))
+    stripped = x.groupBy("l_orderkey").agg(F.sum(F.when(F.col("gone"), F.col("len")).otherwise(0)).alias("stripped"))
+    primary = x.select("l_orderkey").distinct().withColumn("item", F.lit(2).cast("long"))
+    flags = items.primary_gone(primary, gone, ["l_orderkey"], "item")
+    left = items.without(x, gone, ["l_orderkey", "item"]).groupBy("l_orderkey").agg(F.count("*").alias("left"))
+    return flags.join(stripped, "l_orderkey").join(left, "l_orderkey", "left").select("l_orderkey", "primary_gone", "stripped", F.coalesce("left", F.lit(0)).alias("left"))
 
 
 SURVIVORS_SQL = EXT + " SELECT l_orderkey, bool_or(item = 2 AND gone) AS primary_gone, CAST(sum(CASE WHEN gone THEN len ELSE 0 END) AS BIGINT) AS stripped, count(*) FILTER (NOT gone) AS \"left\" FROM x GROUP BY l_orderkey"
@@ -287,25 +289,13 @@ UNIONS_SQL = """WITH b AS (SELECT c_nationkey, c_custkey AS id, 0 AS src FROM cu
  CAST(sum(id % 90) OVER (PARTITION BY c_nationkey ORDER BY src, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pages FROM b) SELECT c_nationkey, src, id, ord, pages, pages > 2000 AS many FROM w"""
 
 
-def sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation's name sealed and opened again, once with a wrong passphrase."""
-    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    salt, nonce = F.substring(F.unhex(F.sha2(F.col("n_name"), 256)), 1, 16), F.substring(F.unhex(F.sha2(F.reverse("n_name"), 256)), 1, 12)
-    s = sealing.seal(n, F.encode("n_name", "UTF-8"), F.concat("n_name", F.lit(".txt")), F.lit("text/plain"), F.lit("a passphrase"), salt, nonce, iterations=1000)
-    word = F.when(F.col("n_nationkey") % 5 == 0, "wrong").otherwise("a passphrase")
-    return sealing.unseal(s.drop("error_code"), F.col("container"), word, iterations=1000).select("n_nationkey", "name", "type", F.decode("bytes", "UTF-8").alias("text"), "error_code")
-
-
-SEALED_SQL = """SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name || '.txt' END AS name, CASE WHEN n_nationkey % 5 <> 0 THEN 'text/plain' END AS type, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS text,
- CASE WHEN n_nationkey % 5 = 0 THEN 'pass' END AS error_code FROM nation"""
-
 QUERIES = {
     "str1_ranges": ranges, "str2_names": names, "win1_union": union_of_extents, "win3_rebase": rebase, "join7_overlap": overlaps, "join6_containment": containment, "join5_survivors": survivors,
     "win2_zip_layout": zip_layout, "agg13_zip_sizes": zip_sizes, "win6_unique_names": unique_names, "bin1_sniff": sniff, "bin7_checksums": checksums, "agg4_histograms": channel_histograms,
-    "agg5_segments": segment_stats, "bin9_bits": bits, "agg6_chi_square": chi_square, "agg7_channels": channel_verdicts, "mth4_geometry": geometry, "set1_unions": unions, "enc3_sealed": sealed,
+    "agg5_segments": segment_stats, "bin9_bits": bits, "agg6_chi_square": chi_square, "agg7_channels": channel_verdicts, "mth4_geometry": geometry, "set1_unions": unions,
 }
 ORACLES = {
     "str1_ranges": RANGES_SQL, "str2_names": NAMES_SQL, "win1_union": UNION_SQL, "win3_rebase": REBASE_SQL, "join7_overlap": OVERLAP_SQL, "join6_containment": CONTAIN_SQL, "join5_survivors": SURVIVORS_SQL,
     "win2_zip_layout": LAYOUT_SQL, "agg13_zip_sizes": SIZES_SQL, "bin1_sniff": SNIFF_SQL, "agg4_histograms": HIST_SQL,
-    "agg5_segments": SEG_SQL, "bin9_bits": BITS_SQL, "agg6_chi_square": CHI_SQL, "agg7_channels": VERDICTS_SQL, "win6_unique_names": UNIQUE_SQL, "bin7_checksums": CRC_SQL, "mth4_geometry": GEOMETRY_SQL, "set1_unions": UNIONS_SQL, "enc3_sealed": SEALED_SQL,
+    "agg5_segments": SEG_SQL, "bin9_bits": BITS_SQL, "agg6_chi_square": CHI_SQL, "agg7_channels": VERDICTS_SQL, "win6_unique_names": UNIQUE_SQL, "bin7_checksums": CRC_SQL, "mth4_geometry": GEOMETRY_SQL, "set1_unions": UNIONS_SQL,
 }

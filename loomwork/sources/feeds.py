@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import matches as M
+from loomwork.operators.prefix import running_totals
 
 TEAM = "team struct<id:string,displayName:string,name:string,abbreviation:string>"
 SCOREBOARD = f"""events array<struct<id:string,date:string,season:struct<slug:string>,status:struct<type:struct<name:string,state:string>>,
@@ -99,6 +100,14 @@ def nested(table: DataFrame) -> DataFrame:
     return groups.orderBy(F.expr("`group` COLLATE UNICODE"), "g_ord").select("group", "table")
 
 
+def placed_groups(table: DataFrame) -> DataFrame:
+    """(group_place, group, table): nested() with each group's place from 0, whatever order rows come in."""
+    groups = nested(table.withColumn("g_", F.col("g_ord")))
+    first = F.get("table", F.lit(0))["g_"]
+    ranked = running_totals(groups.withColumn("g_ord", first), [], [F.expr("`group` COLLATE UNICODE"), F.col("g_ord")], {"group_place": F.lit(1).cast("long")}, before=True)
+    return ranked.select("group_place", "group", "table")
+
+
 def group_index(table: DataFrame) -> DataFrame:
     """(team_id, label): the group of each team that has an id; of a team in two groups the later one; an unnamed group is ''."""
     seen = table.filter(M.filled(F.col("team_id")).isNotNull())
