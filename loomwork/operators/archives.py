@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from loomwork.operators.prefix import running_totals
 
 MAX_BYTES, MAX_ENTRIES, MAX_NAME = 0xFFFF0000, 0xFFFF, 0xFFFF
+#: Bytes that a value of the engine holds at most; larger archives are files (sources/zips.py).
+VALUE_BYTES = (1 << 31) - (1 << 16)
 
 
 def layout(entries: DataFrame, key: str, order: str, name_len: Column, data_len: Column) -> DataFrame:
@@ -37,18 +39,23 @@ def zip_bytes(entries: list[tuple[str, bytes]], dos_date: int = 0x5C21, dos_time
     return bytes(body + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), len(central), len(body), 0))
 
 
+def dos_stamp(made_at: datetime | None = None) -> tuple[int, int]:
+    """Date and time of headers: local time, 2026-01-01 if none is given, so that bytes do not vary."""
+    at = made_at or datetime(2026, 1, 1)
+    return (at.year - 1980 & 0x7F) << 9 | at.month << 5 | at.day, at.hour << 11 | at.minute << 5 | at.second >> 1
+
+
 def make_zips(entries: DataFrame, made_at: datetime | None = None, utf8: bool = True) -> DataFrame:
     """(archive_id, content, error_code) from (archive_id, ord, name, content).
 
     The limits are checked on sizes first: an archive that passes one has error_code
-    'zipbig' and null content, and its bytes go nowhere.  The others have 4 GiB at most and
-    are one value and so one task's work each.  ``made_at`` is the local time in every
-    header, 2026-01-01 if none is given, so that bytes do not vary.  Null content is empty.
+    'zipbig' and null content, and its bytes go nowhere.  So has one of 2 GiB or more, which
+    no value holds (write_zips() writes those).  The others are one value and so one task's
+    work each.  Null content is empty.
     """
-    at = made_at or datetime(2026, 1, 1)
-    date, time = (at.year - 1980 & 0x7F) << 9 | at.month << 5 | at.day, at.hour << 11 | at.minute << 5 | at.second >> 1
+    date, time = dos_stamp(made_at)
     size = sizes(entries.select("archive_id", "name", "content"), "archive_id", F.octet_length("name"), F.coalesce(F.octet_length("content"), F.lit(0)))
-    large = size.filter("too_big").select("archive_id")
+    large = size.filter(F.col("too_big") | (F.col("bytes") > VALUE_BYTES)).select("archive_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")

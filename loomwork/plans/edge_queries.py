@@ -10,7 +10,7 @@ from loomwork.operators import archives, intervals, pixels, schedule, sealing
 from loomwork.plans import schedule_queries, table_queries
 from loomwork.plans.schedule_queries import SQL_STATUS, matches, read, season_payloads
 from loomwork.shared import scratch, stash
-from loomwork.sources import feeds
+from loomwork.sources import feeds, zips
 from loomwork.streaming.refresh import ATTEMPT, LatestTable, Source, refresh
 
 
@@ -68,6 +68,8 @@ e AS (SELECT doc_id, total, 'lsb rows' AS packing, rows AS bits, true AS turned
 f AS (SELECT *, list_transform(range(0, least(4096, total)), lambda j: substr(bits, CAST(j * 8 + 1 AS INTEGER), 8)) AS eights FROM e)
 SELECT doc_id, packing, total, md5(array_to_string(list_transform(eights, lambda x: lpad(upper(to_hex(CAST('0b' || CASE WHEN turned THEN reverse(x) ELSE x END AS INTEGER))), 2, '0')), '')) AS bits FROM f"""
 
+#: Bytes of a chunk of an archive's entry.
+ZIP_CHUNK = 4_000
 #: Bytes that a sealed text may have here, and what is put behind some containers so that they pass the cap.
 SEAL_CAP, FILLING = 20_000, 100_000
 
@@ -103,6 +105,19 @@ SELECT doc_id, CASE WHEN octet_length(b) > {SEAL_CAP} THEN 'big' END AS seal_cod
  CASE WHEN code IS NULL THEN CASE WHEN k = 3 THEN 'application/octet-stream' ELSE 'text/plain' END END AS type, CASE WHEN code IS NULL THEN md5(b) END AS bytes, code AS error_code FROM c"""
 
 
+def written_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each source, an entry for each document in chunks of 4,000 bytes; written side by side and read back."""
+    d = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("archive_id"), F.col("doc_id").alias("ord"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    places = F.sequence(F.lit(0), F.greatest(F.octet_length("data") - 1, F.lit(0)), F.lit(ZIP_CHUNK))
+    chunks = d.select("archive_id", "ord", "data", F.posexplode(places).alias("chunk", "from")).select("archive_id", "ord", "chunk", F.concat(F.lit("d"), F.col("ord").cast("string")).alias("name"), F.substring("data", F.col("from") + 1, F.lit(ZIP_CHUNK)).alias("content"))
+    where = scratch(spark, "zips")
+    return zips.read_zips(zips.write_zips(chunks, where), where)
+
+
+WRITTEN_SQL = """SELECT coalesce(source, 'none') AS archive_id, CAST(22 + sum(76 + 2 * length('d' || doc_id) + octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, count(*) AS entries, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS content_bytes,
+ true AS sound, 'd' || min(doc_id) AS first_name, 'd' || max(doc_id) AS last_name FROM documents GROUP BY 1"""
+
+
 def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table that a stream of refreshes leaves: a stand-in, one that is too early, a failure, a retry too soon, and one with a third of the matches."""
     ev = read(spark, sf_dir, "events")
@@ -123,5 +138,5 @@ def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFRESHED_SQL = f"""SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 3 = 0 THEN 'one' ELSE 'two' END AS source, CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 0 THEN 'POSTPONED' ELSE {SQL_STATUS} END AS status,
  CAST(CASE WHEN event_id % 3 = 0 THEN 120 ELSE 0 END AS BIGINT) AS fetched FROM events"""
 
-QUERIES = {"srt5_days": days, "win3_cut": rebase_with_cut, "win6_rechecked": rechecked_names, "bin9_orders": bit_orders, "enc3_sealed": sealed, "feed1_refreshed": refreshed}
-ORACLES = {"srt5_days": DAYS_SQL, "win3_cut": CUT_SQL, "win6_rechecked": RECHECKED_SQL, "bin9_orders": ORDERS_SQL, "enc3_sealed": SEALED_SQL, "feed1_refreshed": REFRESHED_SQL}
+QUERIES = {"srt5_days": days, "win3_cut": rebase_with_cut, "win6_rechecked": rechecked_names, "bin9_orders": bit_orders, "enc3_sealed": sealed, "snk3_written": written_zips, "feed1_refreshed": refreshed}
+ORACLES = {"srt5_days": DAYS_SQL, "win3_cut": CUT_SQL, "win6_rechecked": RECHECKED_SQL, "bin9_orders": ORDERS_SQL, "enc3_sealed": SEALED_SQL, "snk3_written": WRITTEN_SQL, "feed1_refreshed": REFRESHED_SQL}

@@ -108,6 +108,19 @@ def arrow_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """These settings of the session inside, its own afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: How many partitions a scan of files has at least; by default as many as there are cores when it is planned.
 SPLITS = "spark.sql.files.minPartitionNum"
 
