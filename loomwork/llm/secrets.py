@@ -46,12 +46,17 @@ DICTIONARY = (
     "stream string system table target task temp test text this time title token tool total true type unit update upload url "
     "user util value version view web with word work write xxxx your"
 ).split()
-SECRET_WORDS = r"(?i)(token|secret|passw|pass.?phrase|passcode|pwd|api.?key|access.?key|credential|auth|bearer|private)"
-HARMLESS_WORDS = r"(?i)(sha|commit|md5|digest|checksum|hash|uuid|revision|example|sample|dummy|placeholder|fixture|etag|blob)"
+SECRET_WORDS = (
+    r"(?iu)(token|secret|passw|pass.?phrase|passcode|pwd|api.?key|access.?key|credential|auth|bearer|private"
+    r"|kennwort|geheimnis|zugangsschlüssel|zugangsdaten|contraseña|contrasena|clave.?(?:secreta|privada|de.?acceso)|mot.?de.?passe|mdp\b|jeton|clé.?(?:secrète|privée|d.?accès))"
+)
+HARMLESS_WORDS = r"(?i)(sha|commit|md5|digest|checksum|hash|uuid|revision|example|sample|dummy|placeholder|fixture|etag|blob|integrity|font|base64|image)"
+#: Programs that take a password behind -p.
+CLIENTS = "mysql|mysqldump|mysqladmin|mariadb|sshpass|mongo|mongosh"
 
 
 #: What stands between a value and the secret word before it: the word's end, then a sign or spaces.
-NAMED = SECRET_WORDS.replace("(?i)(", "(?i:").replace(".?", "[_ .-]?") + r"""[\p{L}\p{N}_.\[\]\-]{0,24}(?:["'`]?\]?\s{0,3}(?::=|=>|[=:])\s{0,3}|\s{1,3}(?:(?:is|was)\s{1,2})?)["'`]?"""
+NAMED = SECRET_WORDS.replace("(?iu)(", "(?iu:").replace(".?", "[_ .-]?") + r"""[\p{L}\p{N}_.\[\]\-]{0,24}(?:["'`]?\]?\s{0,3}(?::=|=>|[=:])\s{0,3}|\s{1,3}(?:(?:is|was|ist|war|lautet|es|era|est)\s{1,2})?)["'`]?"""
 
 
 def _assigned() -> str:
@@ -67,7 +72,8 @@ def _assigned() -> str:
     bare = url.replace("?<=", "?<!") + pair.replace("?<=", "?<!") + rf"""(?:(?<!["'`])|(?!\S*["'`]))(?!{CANDIDATE}[{end}]*(?:\s|$))[^\s"'`]\S{{4,}}[^\s{end}]"""
     password = rf"(?<=:)(?<=[A-Za-z0-9+.\-]{{2,12}}://[^\s/@:]{{0,128}}:)(?!{CANDIDATE}@)"
     user = r"(?<=://)(?=[^\s/@:]{6,}@)"
-    return named + "(?:" + "|".join([*quoted, in_url, in_list, bare]) + ")|(?:" + password + "|" + user + r""")[^\s"'`<>]{6,}(?=@[\w\[])"""
+    shell = rf"""(?:(?<=\s-p)(?<=\b(?:{CLIENTS})\b[^\n]{{0,60}}\s-p)|(?<=\s(?:-u|--user)[ =]["']?[^\s:"']{{1,40}}:))(?!{CANDIDATE}["']?(?:\s|$))[^\s"'`]{{6,}}"""
+    return shell + "|" + named + "(?:" + "|".join([*quoted, in_url, in_list, bare]) + ")|(?:" + password + "|" + user + r""")[^\s"'`<>]{6,}(?=@[\w\[])"""
 
 
 ASSIGNED = _assigned()
@@ -77,7 +83,7 @@ FOUND = "array<struct<value:string,before:string,after:string,start:int>>"
 def candidates(df: DataFrame, text_col: str) -> Column:
     """Array of (value, before, after, start) for a text; null and empty texts have none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.concat(_matches(text, CANDIDATE), F.when(text.rlike(SECRET_WORDS + "|://"), _matches(text, ASSIGNED)).otherwise(F.array().cast(FOUND)))
+    return F.concat(_matches(text, CANDIDATE), F.when(text.rlike(SECRET_WORDS + r"|://|\s-p\S|\s(?:-u|--user)[ =]"), _matches(text, ASSIGNED)).otherwise(F.array().cast(FOUND)))
 
 
 def running_sums(numbers: Column, depth: int = 4) -> Column:
@@ -153,6 +159,9 @@ def features() -> dict[str, Column]:
         "assigned": flag(F.col("before").rlike(r"""[=:]\s*["']?$""")),
         "code_marks": count(v, r"[(){}<>$\[\]]") / n,
         "named": flag(F.col("before").rlike("(?:" + NAMED + ")$")),
+        "shell": flag(F.col("before").rlike(rf"""\b(?:{CLIENTS})\b.*\s-p$|\s(?:-u|--user)[ =]["']?[^\s:"']+:$""")),
+        "link": flag(F.col("before").rlike(r"https?://\S*/$") & F.col("after").rlike(r"^(?:[/?#.,)\s]|$)")),
+        "encoded": flag(F.col("before").rlike(r"(?i)base64,\s*$|integrity[\"' :=]*$") | v.rlike("^sha(1|256|384|512)-")),
         "user_part": flag(F.col("before").rlike(r"://[^\s/@]*$") & F.col("after").rlike("^@")),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
     }
@@ -167,7 +176,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
     name = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 5)))
     prose = lambda: " ".join(name() for _ in range(r.randint(2, 7))) + r.choice([" ", ". ", "\n", ", "])
     word = lambda: r.choice(DICTIONARY)
-    keys = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "Authorization", "credential", "access_token", "aws_secret_access_key", "passwd", "db_password", "passphrase", "pwd"]
+    keys = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "client_secret", "private_key", "Authorization", "credential", "access_token", "aws_secret_access_key", "passwd", "db_password", "passphrase", "pwd", "Passwort", "Kennwort", "contraseña", "clave secreta", "mot de passe", "jeton"]
     secrets = [
         lambda: some(hexa, r.choice([32, 40, 48, 64])), lambda: some(alnum, r.randint(20, 64)), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36),
         lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum + "+/", 43) + "=", lambda: "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), lambda: "eyJ" + some(alnum + "_-", 60), lambda: "glpat-" + some(alnum + "_-", 20),
@@ -184,6 +193,9 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
         (lambda: some(string.digits, r.randint(16, 20)), lambda: r.choice([prose(), "order ", "number ", "card ", ""])),
         (lambda: r.choice("-_=").replace("=", "-") * r.randint(16, 60), prose),
         (lambda: some(hexa, r.choice([32, 40, 64])), lambda: r.choice(["commit=", "sha256=", "https://host.example/get?rev=", "https://host.example/get?a=1&checksum=", "GIT_COMMIT="])),
+        (lambda: "sha" + r.choice(["256", "384", "512"]) + "-" + some(alnum + "+/", r.choice([43, 64, 86])) + r.choice(["=", "==", ""]), lambda: r.choice(["integrity: ", "\"integrity\": \"", "integrity=\"", "resolution ", "  "])),
+        (lambda: some(alnum + "+/", r.randint(40, 90)), lambda: r.choice(["data:image/png;base64,", "url(data:font/woff2;base64,", "data:application/font;base64,", "src=data:image/gif;base64,"])),
+        (lambda: some(alnum + "_-", r.choice([11, 22, 33, 44])).ljust(16, "e"), lambda: r.choice(["https://docs.host.example/document/d/", "https://host.example/watch/", "https://host.example/file/", "https://host.example/a/b/"])),
         (lambda: "_".join(word() for _ in range(r.randint(4, 6))).ljust(16, "s"), lambda: r.choice(["mode=", "NAME=", "https://host.example/get?page=", "https://host.example/?a=1&label="])),
     ]
     marks = "!@#$%^*?.,+~"
@@ -204,11 +216,13 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[dict]:
 
     for k in range(n):
         if k % 6 == 1:  # short values, with any characters
-            if r.random() < 0.3:
+            if r.random() < 0.15:  # on a command line
+                lead, tail = r.choice(["mysql -h db -u root -p", "mysqldump -p", "sshpass -p", "curl -u admin:", "curl --user ci:", "wget --user=me:"]), ""
+            elif r.random() < 0.3:
                 lead, tail = r.choice(["postgres", "https", "mysql", "ftp", "redis"]) + "://" + r.choice([word(), name(), ""]) + ":", "@" + r.choice(["db", "host.example", "localhost:5432", "10.0.0.1"]) + r.choice(["", "/", "/" + word()])
             else:
                 quote = r.choice(["\"", "'", "", "\""])
-                key, sign = r.choice([r.choice(keys), r.choice(keys).upper()]), r.choice([" = ", "=", "=", ": ", ":", " := ", " ", " is "])
+                key, sign = r.choice([r.choice(keys), r.choice(keys).upper()]), r.choice([" = ", "=", "=", ": ", ":", " := ", " ", " is ", " lautet ", " es ", " est "])
                 if quote and r.random() < 0.3:
                     key, sign = quote + key + quote, ": "
                 lead, tail = r.choice(["", "", "--"]) + key + sign + quote, quote
