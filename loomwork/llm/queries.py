@@ -62,8 +62,8 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substrings.dedup_substrings(table(spark, sf_dir, "documents"), stable=True)
-    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    digests = lambda done: done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), stable=True, finish=digests)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ chance: about one pair in all for the 2.5e13 windows of 100 TB.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
@@ -133,7 +134,7 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "stamp": pdf["stamp"], "n": [len(x) for x in hashes], "bits": [np.packbits(x).tobytes() for x in np.split(lost, ends)]})
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, stable: bool = False) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, stable: bool = False, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept) for each row: its text without words of windows that also start earlier.
 
     Earlier means a smaller id or, in the same document, an earlier start; of rows that
@@ -143,7 +144,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     df is read twice and must give the same rows both times: it is written to the shared
     folder first unless ``stable`` says that it is a plain scan.  Both readings split the
-    files alike, whatever executors there are, and the result is written.
+    files alike, whatever executors there are, and the result is written.  ``finish`` is
+    applied to the result before that, for callers that need less than the texts.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
@@ -184,5 +186,5 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with alike_scans(spark):
         answers = stash(sent.groupBy("bucket").applyInPandas(_answers, "batch long, bucket int, stamp long, n long, bits binary"), "answers")
         applied = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(apply, "id long, row long, n_words long, n_removed long, kept string")
-        done = stash(applied, "kept")
-    return done.select(F.nullif("id", F.lit(-(2**63))).cast(kind).alias(id_col), "n_words", "n_removed", "kept")
+        done = applied.select(F.nullif("id", F.lit(-(2**63))).cast(kind).alias(id_col), "n_words", "n_removed", "kept")
+        return stash(finish(done) if finish else done, "kept")
