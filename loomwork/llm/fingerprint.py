@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import discard, free_name, let, stash
+from loomwork.llm.shared import discard, free_name, integer_ids, let, stash
 
 #: Distinct lanes up to which the table of repeated lanes is broadcast (24 MB); beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -146,8 +146,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has its last half replaced by as many code points from the start of
     the next document in descending id.  An exact digest has no degrees: any edit that
-    survives canonical form makes the likeness 0.
+    survives canonical form makes the likeness 0.  Ids are integers.
     """
+    integer_ids(docs, id_col)
     base = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
     keyed = base.withColumn("canon", canonical(F.col("text"))).select(id_col, "text", *[c.alias(n) for c, n in zip(lanes(F.col("canon")), ("t1", "t2"))], F.sha2("canon", 256).alias("ts"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")

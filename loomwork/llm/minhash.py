@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components
-from loomwork.llm.shared import discard, stash
+from loomwork.llm.shared import discard, integer_ids, stash
 from loomwork.llm.wordhash import pack, unpack, window_hashes, word_hashes, words_of
 
 PERMUTATIONS, BAND = 64, 4
@@ -104,13 +104,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if 100 * intersection >= percent * union of their shingle
     sets; component_id is the smallest id reachable.  Texts without words are linked with
     nothing.  Rows with equal ids and different texts are documents of their own.  Null
-    ids are smallest and come back as null.  kept: id = component_id, so that of repeated
+    ids are smallest and come back as null, others are integers.  kept: id = component_id, so that of repeated
     rows all are kept or none; with ``row_col``, a column that tells the rows apart and
     is returned too, exactly one row of each class is kept (least id, then digest of its
     set, then row), and each row without words.  Texts are read twice, so df is written to
     the shared folder first unless ``stable`` says that it is a plain scan; ``row_col`` is
     read once and must say the same to the caller, as with_row_key() does.
     """
+    integer_ids(df, id_col)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     null = -(2**63)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import alike_scans, shuffle_width, stash
+from loomwork.llm.shared import alike_scans, integer_ids, shuffle_width, stash
 from loomwork.llm.wordhash import from_planes, pack, planes, unpack, window_checks, window_hashes, word_hashes, words_of
 
 #: Rows of a batch of short texts, bytes of text of any batch (a longer text is a batch of its own), and windows that a bucket should hold.
@@ -140,13 +140,14 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Earlier means a smaller id or, in the same document, an earlier start; of rows that
     repeat an id, the one read first.  Windows are judged on the input.  ``kept`` joins the
     words by one space.  Null texts have no words; null ids come before all others and
-    are returned as null; texts under ``width`` words stay whole.
+    are returned as null, other ids are integers; texts under ``width`` words stay whole.
 
     df is read twice and must give the same rows both times: it is written to the shared
     folder first unless ``stable`` says that it is a plain scan.  Both readings split the
     files alike, whatever executors there are, and the result is written.  ``finish`` is
     applied to the result before that, for callers that need less than the texts.
     """
+    integer_ids(df, id_col)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

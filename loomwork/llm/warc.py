@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shared import scratch, shuffle_width, stash, with_row_key
+from loomwork.llm.shared import integer_ids, scratch, shuffle_width, stash, with_row_key
 
 #: Bytes after which a writer begins another file, bytes read from a file at once.
 FILE_BYTES, READ_BYTES = 256 << 20, 1 << 18
@@ -110,11 +110,12 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", payload: Colum
 
     Of rows with equal payloads (SHA-256) of at least ``min_bytes``, that with the smallest
     id is the response and the others revisit it; of rows that repeat an id and a payload,
-    one is the response.  Null payloads count as empty.  Rows with null ids are responses,
+    one is the response.  Null payloads count as empty.  Ids are integers; rows with null ids are responses,
     which nothing revisits.  Other columns of df are not read, whatever their names.  df
     is read twice, so what is read of it is written to the shared folder first unless
     ``stable`` says that it is a plain scan of Parquet files.
     """
+    integer_ids(df, id_col)
     payload = F.coalesce(F.encode("html", "UTF-8") if payload is None else payload, F.lit(b""))
     taken = df.select(F.col(id_col).cast("long").alias("id"), (F.col("url") if uri is None else uri).alias("uri"), payload.alias("data"))
     rows = with_row_key(taken, "row", stable).withColumn("sha", F.sha2("data", 256))

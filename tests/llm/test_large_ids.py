@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, language, mixing, secrets, substrings, warc
+from loomwork.llm import chat, fingerprint, language, minhash, mixing, secrets, substrings, warc
 from loomwork.operators import pixels
 
 BIG = 2**60
@@ -86,3 +86,10 @@ def test_windows_are_judged_alike_when_cores_come_and_go(spark, tmp_path, monkey
         assert {tuple(r) for r in substrings.dedup_substrings(docs, stable=True).collect()} == whole
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_other_ids_are_refused(spark):
+    docs = spark.createDataFrame([("a", "u", "some text")], "doc_id string, url string, text string")
+    for make in (fingerprint.edited_fingerprints, substrings.dedup_substrings, minhash.near_duplicates, lambda df: warc.write_warc(df, "nowhere", id_col="doc_id")):
+        with pytest.raises(ValueError, match="ids must be integers"):
+            make(docs)
