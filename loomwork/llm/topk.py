@@ -2,9 +2,11 @@
 
 The file holds one byte a component: each block of vectors has its own grid of up to 256
 slices a dimension.  It is scanned first, block against block of queries; one matrix
-product over the codes gives a lower and an upper bound of every score.  The k-th lower
-bound over all blocks is the bar of a query.  Exact vectors are read only of candidates
-whose upper bound reaches it, and decide.
+product over the codes gives a lower and an upper bound of every score.  Blocks are
+scanned in rounds of one, two, four and so on; the k-th lower bound so far is the bar of a
+query, and a later round keeps only candidates whose upper bound reaches it, so what is
+kept grows with the logarithm of the blocks.  Exact vectors are read only of candidates
+that reach the last bar, and decide.
 """
 
 from __future__ import annotations
@@ -77,7 +79,8 @@ def _reachable(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int) -
 
 
 def _bounds(c, q, k: int):
-    """(query row, query id, candidate row, id, lower, upper) of the candidates of a cell that may be among the k best."""
+    """(query row, query id, candidate row, id, lower, upper) of the candidates of a cell that may be among the k best and reach the query's bar, if it has one."""
+    bars = {} if q.bar_rows is None else dict(zip(q.bar_rows, q.bars))
     d, ids, rows = c.dim, np.frombuffer(c.ids, np.int64), np.frombuffer(c.rows, np.int64)
     q_ids, q_rows = np.frombuffer(q.q_ids, np.int64), np.frombuffer(q.q_rows, np.int64)
     # exact either way: whole numbers in doubles, or Python's own
@@ -100,6 +103,8 @@ def _bounds(c, q, k: int):
             need = min(k, len(others))
             bar = (np.partition(mine, len(mine) - need) if kind is np.float64 else np.sort(mine))[len(mine) - need]
             near = mine >= bar - 2 * reach[j]
+            if (least := bars.get(q_rows[at + j])) is not None:
+                near &= mine >= 2 * int(least) - 1 - reach[j]
             for x, score in zip(others[near].tolist(), mine[near].tolist()):
                 lower, upper = int(score - reach[j]) // 2, -(-int(score + reach[j]) // 2)
                 yield q_rows[at + j], q_ids[at + j], rows[x], ids[x], max(lower, -LONG), min(upper, LONG)
@@ -136,23 +141,43 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
     # every block of codes meets every block of queries of its length; one entry a block
     names = lambda t, other: t.groupBy("dim").agg(F.collect_list("block").alias(other))
     left = file.join(names(asked, "others"), "dim").withColumn("q_block", F.explode("others")).drop("others")
-    right = asked.join(names(file, "others"), "dim").select("dim", F.col("block").alias("q_block"), F.explode("others").alias("block"), F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "vectors")
-    names_ = ["q_row", "query_id", "row", "vec_id", "lower", "upper"]
+    # blocks of a length in rounds of doubling size; one row a block
+    rounds = stash(file.select("dim", "block").withColumn("round", F.floor(F.log2(F.row_number().over(Window.partitionBy("dim").orderBy("block")))).cast("int")), "rounds")
+    names_ = ["dim", "q_block", "q_row", "query_id", "row", "vec_id", "lower", "upper"]
 
     def scan(frames):
         for pdf in frames:
             for cell in pdf.itertuples(index=False):
-                yield pd.DataFrame(_bounds(cell, cell, k), columns=names_)
-
-    near = stash(left.join(right, ["dim", "block", "q_block"]).mapInPandas(scan, ", ".join(f"{n} long" for n in names_)), "near")
-    kth = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row", "q_row")
-    bar = near.withColumn("nth", F.row_number().over(kth)).filter(F.col("nth") <= k).groupBy("query_id").agg(F.min("lower").alias("bar"), F.count("*").alias("n"))
-    bar = bar.select(F.col("query_id").alias("asker"), F.when(F.col("n") == k, F.col("bar")).alias("bar"))
+                yield pd.DataFrame(_bounds(cell, cell, k), columns=names_[2:]).assign(dim=cell.dim, q_block=cell.q_block)[names_]
+
+    def bar_of(near: DataFrame) -> DataFrame:
+        kth = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row", "q_row")
+        best = near.withColumn("nth", F.row_number().over(kth)).filter(F.col("nth") <= k).groupBy("query_id").agg(F.min("lower").alias("bar"), F.count("*").alias("n"))
+        return best.select(F.col("query_id").alias("asker"), F.when(F.col("n") == k, F.col("bar")).alias("bar"))
+
+    none = "cast(null AS array<long>)"
+    near, parts = None, []
+    for nth in range((rounds.agg(F.max("round")).first()[0] or 0) + 1):
+        told = asked.selectExpr("*", f"{none} AS bar_rows", f"{none} AS bars")
+        if near is not None:
+            # at most QUERIES bars beside a block of queries
+            known = near.select("dim", "q_block", "q_row", "query_id").distinct().join(bar_of(near), F.col("query_id") == F.col("asker")).filter("bar is not null")
+            held = known.groupBy("dim", F.col("q_block").alias("block")).agg(F.collect_list("q_row").alias("bar_rows"), F.collect_list("bar").alias("bars"))
+            told = asked.join(held, ["dim", "block"], "left")
+        mine = rounds.filter(F.col("round") == nth).select("dim", "block")
+        asks = told.select("dim", F.col("block").alias("q_block"), F.col("most").alias("q_most"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "vectors", "bar_rows", "bars")
+        right = asks.join(mine.groupBy("dim").agg(F.collect_list("block").alias("others")), "dim").withColumn("block", F.explode("others")).drop("others")
+        cells = left.join(mine, ["dim", "block"], "left_semi").join(right, ["dim", "block", "q_block"])
+        parts.append(stash(cells.mapInPandas(scan, ", ".join(f"{n} {'int' if n == 'dim' else 'long'}" for n in names_)), "near"))
+        near = parts[0]
+        for one in parts[1:]:
+            near = near.unionByName(one)
+    bar = bar_of(near)
     survivors = near.join(bar, F.col("query_id") == F.col("asker")).filter("bar is null or upper >= bar").select("q_row", "query_id", "row", "vec_id")
     pairs = survivors.join(exact.select("row", F.col("v").alias("c")), "row").join(exact.filter("asks").select(F.col("row").alias("q_row"), F.col("v").alias("q")), "q_row")
     score = F.aggregate(F.zip_with("c", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda x, y: x + y)
     scored = stash(pairs.select("query_id", "vec_id", "row", score.alias("score")), "scored")
-    discard(exact, file, asked, near)
+    discard(exact, file, asked, rounds, *parts)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
     read = scored.groupBy("query_id").agg(F.count("*").alias("n_read"))
     best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

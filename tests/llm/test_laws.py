@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomwork.llm import language, mixing
+from pyspark.sql import functions as F
+
+from loomwork.llm import language, mixing, topk
 
 
 def test_splitting_tree_follows_the_law():
@@ -61,3 +63,23 @@ def test_prototypes_and_cosines_by_definition(spark):
         best = max(cos, key=cos.get)
         assert (got[i].lang_pred, got[i].score) == (best, pytest.approx(max(cos[best], 0), abs=1e-6))
     assert (got[2].lang_pred, got[2].score) == ("und", 0)
+
+
+def test_top_k_in_rounds_keeps_few_bounds(spark, monkeypatch):
+    """Many small blocks: the same results as brute force, and bounds that grow with the logarithm of the blocks."""
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rng, kept = np.random.default_rng(3), []
+    vectors = rng.integers(-200, 200, (4000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<long>").repartition(2)
+    made = topk.stash
+    monkeypatch.setattr(topk, "stash", lambda df, name, *a: kept.append((name, made(df, name, *a))) or kept[-1][1])
+    counts = []
+    monkeypatch.setattr(topk, "discard", lambda *frames: counts.extend(f.count() for n, f in kept if n == "near"))
+    got = topk.top_k(rows, F.col("vec_id") % 100 == 0, 5).collect()
+    for q in range(0, 4000, 100):
+        scores = vectors @ vectors[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == best
+    # 64 blocks: five a block without bars would be 320 a query
+    assert len(counts) >= 6 and sum(counts) / 40 < 100
