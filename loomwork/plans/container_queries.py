@@ -88,14 +88,19 @@ SELECT doc_id, 'webp' AS kind, CASE WHEN bad THEN 'corrupt' ELSE 'ok' END AS out
 """
 
 
+def heic_of(payload: Column) -> Column:
+    """A HEIC file, in hex, with a payload in hex as Exif item before the picture."""
+    n = F.length(payload) / 2
+    items = F.concat(F.lit("0000002C696C6F63" "00000000" "44000002" "000100000001"), _be(n + 136, 4), F.lit("00000003" "00020000000100000088"), _be(n, 4))
+    entries = F.lit("0000003869696E66" "000000000002" "00000015696E6665" "02000000" "00010000" "6876633100" "00000015696E6665" "02000000" "00020000" "4578696600")
+    return F.concat(F.lit("00000010667479706865696300000000" "000000706D65746100000000"), items, entries, _be(n + 11, 4), F.lit("6D646174"), payload, F.lit("AABBCC"))
+
+
 def heic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each page: its whole html as an Exif item before the picture; every seventh holds tracks too."""
-    p = read(spark, sf_dir, "pages").select("page_id", F.hex(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("t")).withColumn("n", F.length("t") / 2)
-    items = F.concat(F.lit("0000002C696C6F63" "00000000" "44000002" "000100000001"), _be(F.col("n") + 136, 4), F.lit("00000003" "00020000000100000088"), _be(F.col("n"), 4))
-    entries = F.lit("0000003869696E66" "000000000002" "00000015696E6665" "02000000" "00010000" "6876633100" "00000015696E6665" "02000000" "00020000" "4578696600")
-    whole = F.concat(F.lit("00000010667479706865696300000000" "000000706D65746100000000"), items, entries, _be(F.col("n") + 11, 4), F.lit("6D646174"), F.col("t"), F.lit("AABBCC"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.hex(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("t"))
     tracks = F.when(F.col("page_id") % 7 == 0, "000000086D6F6F76").otherwise("")
-    return p.select("page_id", F.unhex(F.concat(whole, tracks)).alias("content"))
+    return p.select("page_id", F.unhex(F.concat(heic_of(F.col("t")), tracks)).alias("content"))
 
 
 def heic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,8 @@ def _ascii(text: Column, width: int) -> Column:
     return F.rpad(F.hex(F.encode(F.substring(text, 1, width - 1), "UTF-8")), 2 * width, "0")
 
 
-def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JPEG, PNG or WebP file of each customer with all fields that a preview reads; every fifth lists 600 entries."""
+def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, tiff): all fields that a preview reads, of each customer, in hex; every fifth lists 600 entries."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
     k = F.col("k")
     entry = lambda tag, kind, n, value: F.concat(F.lit(tag + kind), _le(n) if isinstance(n, Column) else F.lit(n.to_bytes(4, "little").hex()), value if isinstance(value, Column) else F.lit(value.to_bytes(4, "little").hex()))
@@ -67,6 +67,13 @@ def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("12010300" "01000000"), _le(k % 10), entry("6987", "0400", 1, exif_at), entry("2588", "0400", 1, gps_at), more, F.lit("00000000"),
     )
     tiff = F.concat(F.lit("49492A00"), F.lit(main_at.to_bytes(4, "little").hex()), data, exif, gps, main)
+    return c.select("k", tiff.alias("tiff"))
+
+
+def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JPEG, PNG or WebP file of each customer with those fields."""
+    c = previewed(spark, sf_dir)
+    k, tiff = F.col("k"), F.col("tiff")
     n = F.length(tiff) / 2
     jpeg = F.concat(F.lit("FFD8FFE1"), _be(n + 8, 2), F.lit("457869660000"), tiff, F.lit("FFDA000211FF0022FFD9"))
     png = F.concat(F.lit("89504E470D0A1A0A" "0000000D49484452"), F.repeat(F.lit("00"), 17), _be(n, 4), F.lit("65584966"), tiff, F.lit("00000000" "0000000049454E44AE426082"))
@@ -90,6 +97,20 @@ SELECT c_custkey, ['jpeg', 'png', 'webp'][CAST(k % 3 + 1 AS INTEGER)] AS kind, '
 """
 
 
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews of HEIC files whose Exif item begins with the fields, with a mark before them, or with how far away they are."""
+    c, t = previewed(spark, sf_dir), F.col("tiff")
+    lead = F.when(F.col("k") % 4 == 0, "").when(F.col("k") % 4 == 1, "457869660000").when(F.col("k") % 4 == 2, "00000006" "457869660000").otherwise("7FFFFFFF")
+    found = containers.clean(c.select("k", F.unhex(C.heic_of(F.concat(lead, t))).alias("content")))
+    p = F.col("preview")
+    return found.select(F.col("k").alias("c_custkey"), "outcome", F.element_at("strips", 1)["size"].alias("removed"), p["make"].alias("make"), p["original"].alias("original"), p["fields"].alias("fields"), "orientation")
+
+
+LOCATED_SQL = f"""SELECT c_custkey, 'ok' AS outcome, CAST([0, 6, 10, 4][CAST(c_custkey % 4 + 1 AS INTEGER)] + 238 + CASE WHEN c_custkey % 5 = 0 THEN {_ENTRIES} ELSE 7 END * 12 AS BIGINT) AS removed, CASE WHEN c_custkey % 4 < 3 THEN substr(c_name, 1, 23) END AS make,
+ CASE WHEN c_custkey % 4 < 3 THEN '2025:12:' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || ' 23:59:59' END AS original, CASE WHEN c_custkey % 4 < 3 THEN CAST(CASE WHEN c_custkey % 5 = 0 THEN {containers.ENTRY_CAP} ELSE 7 END + 5 AS INTEGER) END AS fields,
+ CAST(1 AS INTEGER) AS orientation FROM customer"""
+
+
 def heic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A HEIC file of each page: a picture in two parts with its html as Exif between them, its address as XMP, a thumbnail.
 
@@ -175,5 +196,5 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMPARED_SQL = "SELECT page_id, CAST(e.item AS BIGINT) AS item, e.extent AS extent, NOT (page_id % 12 = 0 AND e.item = 1 AND e.extent = 0) AS same FROM (SELECT page_id, unnest([{'item': 1, 'extent': 0}, {'item': 1, 'extent': 1}, {'item': 4, 'extent': 0}]) AS e FROM pages WHERE page_id % 6 = 0)"
 
-QUERIES = {"fmt2_parts": part_rows, "fmt6_previews": previews, "join4_places": places, "fmt10_references": references, "fmt12_gates": gates, "fmt14_joined": rewritten, "fmt15_compared": compared}
-ORACLES = {"fmt2_parts": PARTS_SQL, "fmt6_previews": PREVIEWS_SQL, "join4_places": PLACES_SQL, "fmt10_references": REFERENCES_SQL, "fmt12_gates": GATES_SQL, "fmt14_joined": REWRITTEN_SQL, "fmt15_compared": COMPARED_SQL}
+QUERIES = {"fmt2_parts": part_rows, "fmt6_previews": previews, "fmt13_located": located, "join4_places": places, "fmt10_references": references, "fmt12_gates": gates, "fmt14_joined": rewritten, "fmt15_compared": compared}
+ORACLES = {"fmt2_parts": PARTS_SQL, "fmt6_previews": PREVIEWS_SQL, "fmt13_located": LOCATED_SQL, "join4_places": PLACES_SQL, "fmt10_references": REFERENCES_SQL, "fmt12_gates": GATES_SQL, "fmt14_joined": REWRITTEN_SQL, "fmt15_compared": COMPARED_SQL}
