@@ -3,7 +3,6 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from loomwork.sources import feeds
