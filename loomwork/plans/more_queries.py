@@ -69,7 +69,7 @@ def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write(every, where)
     name = F.regexp_extract("path", "[^/]+$", 0)
     cleaned = containers.clean(files.scan(spark, where)).select(name.alias("name"), "length", "outcome", F.aggregate("strips", F.lit(0).cast("long"), lambda a, s: a + s["size"]).alias("removed"), F.octet_length("cleaned").cast("long").alias("left"))
-    told = headers.image_headers(spark, where).select(name.alias("name"), F.col("length").alias("listed"), "kind", "declared_pixels", "allowed", "bytes_read")
+    told = headers.image_headers(spark, where).select(name.alias("name"), F.col("length").alias("listed"), "kind", "declared_pixels", F.col("allowed").cast("string").alias("allowed"), "bytes_read")
     return cleaned.join(told, "name")
 
 
@@ -81,7 +81,7 @@ r AS (SELECT *, CASE WHEN k = 3 AND off THEN 'unsupported_layout' WHEN off THEN
  CASE WHEN NOT off THEN CASE k WHEN 0 THEN 36 + 4 + u + CASE WHEN third THEN 2 ELSE 0 END WHEN 1 THEN 12 + n + CASE WHEN page_id % 2 = 1 THEN 5 ELSE 0 END WHEN 2 THEN 8 + n + n % 2 ELSE n END END AS removed FROM s)
 SELECT page_id || '.' || ['jpg', 'png', 'webp', 'heic'][CAST(k + 1 AS INTEGER)] AS name, length, length AS listed, ['jpeg', 'png', 'webp', 'heif'][CAST(k + 1 AS INTEGER)] AS kind, outcome, CAST(removed AS BIGINT) AS removed,
  CAST(CASE WHEN NOT off THEN CASE k WHEN 0 THEN 18 + CASE WHEN turned THEN 36 ELSE 0 END WHEN 1 THEN 33 + 12 + 12 WHEN 2 THEN 12 + 18 + 12 ELSE 16 + 112 - 14 - 21 + 8 + 3 END END AS BIGINT) AS "left",
- CASE WHEN k IN (1, 3) THEN CAST(0 AS BIGINT) END AS declared_pixels, CASE WHEN k IN (1, 3) THEN false END AS allowed,
+ CASE WHEN k IN (1, 3) THEN CAST(0 AS BIGINT) END AS declared_pixels, CASE WHEN k IN (1, 3) THEN 'false' END AS allowed,
  -- the head, then four bytes of size and four of kind for each chunk or box behind it
  CAST(least(length, 512) + CASE k WHEN 1 THEN 0 WHEN 3 THEN CASE WHEN off AND 139 + n + 4 > 512 THEN 4 ELSE 0 END + CASE WHEN off AND 139 + n + 8 > 512 THEN 4 ELSE 0 END ELSE 0 END AS BIGINT) AS bytes_read
 FROM r
