@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators.prefix import running_totals
+from loomwork.operators.prefix import has_hot_key, running_totals
 
 MAX_BYTES, MAX_ENTRIES, MAX_NAME = 0xFFFF0000, 0xFFFF, 0xFFFF
 #: Bytes that a value of the engine holds at most; larger archives are files (sources/zips.py).
@@ -18,8 +18,8 @@ VALUE_BYTES = (1 << 31) - (1 << 16)
 
 
 def layout(entries: DataFrame, key: str, order: str, name_len: Column, data_len: Column) -> DataFrame:
-    """entries with ``header_at``: the offset of each local header. Many tasks share an archive."""
-    return running_totals(entries, [key], [order], {"header_at": (30 + name_len + data_len).cast("long")}, before=True)
+    """entries with ``header_at``: the offset of each local header. Many tasks share a hot archive."""
+    return running_totals(entries, [key], [order], {"header_at": (30 + name_len + data_len).cast("long")}, before=True, spread=has_hot_key(entries, [key]))
 
 
 def sizes(entries: DataFrame, key: str, name_len: Column, data_len: Column) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators.prefix import running_totals
+from loomwork.operators.prefix import has_hot_key, running_totals
 
 
 def merged(extents: DataFrame, key: str) -> DataFrame:
     """Union of touching or overlapping extents (start, len) of each key."""
     ends = extents.select(key, "start", (F.col("start") + F.col("len")).alias("end"))
-    seen = running_totals(ends, [key], ["start", "end"], {}, before=True, maxima={"reach": F.col("end")})
+    spread = has_hot_key(ends, [key])
+    seen = running_totals(ends, [key], ["start", "end"], {}, before=True, maxima={"reach": F.col("end")}, spread=spread)
     new = (F.col("start") > F.col("reach")).cast("int")
-    island = running_totals(seen, [key], ["start", "end"], {"island": F.coalesce(new, F.lit(0))})
+    island = running_totals(seen, [key], ["start", "end"], {"island": F.coalesce(new, F.lit(0))}, spread=spread)
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(key, "start", (F.col("end") - F.col("start")).alias("len"))
 
 
@@ -22,7 +23,8 @@ def removed_before(points: DataFrame, gone: DataFrame, key: str, at: str = "at")
     marks = points.select(key, F.col(at).alias("o"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("kind"), F.struct(*points.columns).alias("row"))
     cuts = gone.select(key, F.col("start").alias("o"), F.col("len").cast("long").alias("len"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["row"].dataType).alias("row"))
     # a point comes before an extent that starts at it
-    told = running_totals(marks.unionByName(cuts), [key], ["o", "kind"], {"removed": F.col("len")})
+    both = marks.unionByName(cuts)
+    told = running_totals(both, [key], ["o", "kind"], {"removed": F.col("len")}, spread=has_hot_key(both, [key]))
     return told.filter("kind = 0").select("row.*", "removed")
 
 
@@ -51,9 +53,10 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """
     every = _sides(left, right, key).filter("end > start")
     theirs = lambda c: F.when(~F.col("mine"), c)
-    reach = running_totals(every, [key], ["start", "mine"], {}, maxima={"reach": theirs(F.col("end"))})
+    spread = has_hot_key(every, [key])
+    reach = running_totals(every, [key], ["start", "mine"], {}, maxima={"reach": theirs(F.col("end"))}, spread=spread)
     # in the opposite order the greatest negative start is the least start
-    seen = running_totals(reach, [key], [F.desc("start"), F.desc("mine")], {}, before=True, maxima={"later": theirs(-F.col("start"))})
+    seen = running_totals(reach, [key], [F.desc("start"), F.desc("mine")], {}, before=True, maxima={"later": theirs(-F.col("start"))}, spread=spread)
     hit = (F.col("reach") > F.col("start")) | (-F.col("later") < F.col("end"))
     return seen.filter(F.col("mine") & hit).select("row.*")
 
@@ -64,5 +67,6 @@ def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     Of outer's extents that start no later, that with the greatest end holds the row if any
     does, so one running maximum tells; no range join, and many tasks share a key.
     """
-    seen = running_totals(_sides(inner, outer, key), [key], ["start", "mine"], {}, maxima={"reach": F.when(~F.col("mine"), F.col("end"))})
+    both = _sides(inner, outer, key)
+    seen = running_totals(both, [key], ["start", "mine"], {}, maxima={"reach": F.when(~F.col("mine"), F.col("end"))}, spread=has_hot_key(both, [key]))
     return seen.filter(F.col("mine") & (F.col("reach") >= F.col("end"))).select("row.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.binary import image_kind
 from loomwork.functions.names import MAX_PAGES
-from loomwork.operators.prefix import running_totals
+from loomwork.operators.prefix import has_hot_key, running_totals
 
 # Caps on inputs, A4 and its margin, the longest side of a page in points, and points a pixel.
 MAX_FILES, MAX_FILE = 20, 100 << 20
@@ -25,17 +25,17 @@ def capped(files: DataFrame, key: str, size: Column, most: int = MAX_FILES, byte
 
 
 def appended(*lists: DataFrame, key: str, order: str = "ord") -> DataFrame:
-    """Lists one after another under each key, duplicates kept; ``ord`` counts on and ``src`` numbers the list. Many tasks share a key."""
+    """Lists one after another under each key, duplicates kept; ``ord`` counts on and ``src`` numbers the list. Many tasks share a hot key."""
     both = None
     for k, rows in enumerate(lists):
         one = rows.withColumn("src", F.lit(k))
         both = one if both is None else both.unionByName(one)
-    return running_totals(both, [key], ["src", order], {"ord": F.lit(1).cast("long")})
+    return running_totals(both, [key], ["src", order], {"ord": F.lit(1).cast("long")}, spread=has_hot_key(both, [key]))
 
 
 def running_pages(files: DataFrame, key: str, pages: Column, order: str = "ord", most: int = MAX_PAGES) -> DataFrame:
     """files with ``pages`` up to each and ``many``: whether the total passes the cap there."""
-    total = running_totals(files, [key], [order], {"pages": pages.cast("long")})
+    total = running_totals(files, [key], [order], {"pages": pages.cast("long")}, spread=has_hot_key(files, [key]))
     return total.withColumn("many", F.col("pages") > most)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.matches import is_live, is_upcoming
-from loomwork.operators.prefix import running_totals
+from loomwork.operators.prefix import has_hot_key, running_totals
 
 
 def by_kickoff() -> list[Column]:
@@ -30,7 +30,7 @@ def days_in_order(matches: DataFrame, day: Column) -> DataFrame:
     """
     kick, ord_ = by_kickoff()
     keyed = matches.select(F.coalesce(day, F.lit("?")).alias("day"), kick.alias("k"), ord_.alias("o"), "id")
-    placed = running_totals(keyed, ["day"], ["k", "o", "id"], {"place": F.lit(1).cast("long")}, before=True)
+    placed = running_totals(keyed, ["day"], ["k", "o", "id"], {"place": F.lit(1).cast("long")}, before=True, spread=has_hot_key(keyed, ["day"]))
     days = running_totals(keyed.select("day").distinct(), [], ["day"], {"day_place": F.lit(1).cast("long")}, before=True)
     return placed.join(days, "day").select("day", "day_place", "place", "id")
 
@@ -57,5 +57,5 @@ def first_and_last(rows: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """rows with ``place``: the place of each in its key's order, from 1. Many tasks share a key."""
-    return running_totals(rows, [key], order, {"place": F.lit(1)})
+    """rows with ``place``: the place of each in its key's order, from 1. Many tasks share a hot key."""
+    return running_totals(rows, [key], order, {"place": F.lit(1)}, spread=has_hot_key(rows, [key]))

@@ -6,7 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from loomwork.operators import intervals
-from loomwork.operators.prefix import running_totals
+from loomwork.operators.prefix import FEW, has_hot_key, running_totals
 
 R = random.Random(3)
 ROWS = [(R.choice(["hot"] * 6 + ["a", "b", None]), i, R.choice([1, 2, None])) for i in range(3000)]
@@ -29,6 +29,10 @@ def test_running_totals(spark):
         rows = got.collect()
         assert {r.i: r.total for r in rows} == expected(ROWS, lambda r: r[0], lambda r: r[1], before) and len(rows) == len(ROWS)
         assert {r.i: r["rank"] for r in rows} == expected([(k, i, 1) for k, i, _ in ROWS], lambda r: r[0], lambda r: r[1], before)
+        # one window a key gives the same rows and schema
+        one = running_totals(df, ["k"], ["i"], {"total": F.col("n"), "rank": F.lit(1)}, before=before, maxima={"most": F.col("n")}, spread=False)
+        two = running_totals(df, ["k"], ["i"], {"total": F.col("n"), "rank": F.lit(1)}, slices=8, before=before, maxima={"most": F.col("n")})
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.dtypes == two.dtypes
     whole = running_totals(df, [], [F.desc("i")], {"total": F.col("n")}, slices=8).collect()
     assert {r.i: r.total for r in whole} == expected(ROWS, lambda r: 0, lambda r: -r[1], False)
 
@@ -43,6 +47,36 @@ def test_hot_key_is_shared_and_ties_count(spark):
     assert running_totals(df.limit(0), ["k"], ["i"], {"n": F.lit(1)}).count() == 0
 
 
+def test_hot_keys_are_told_by_their_share(spark):
+    even = spark.range(100_000).select((F.col("id") % 50).alias("k"))
+    hot = even.unionAll(spark.range(FEW * 10).select(F.lit(None).cast("long").alias("k")))
+    assert not has_hot_key(even, ["k"], 8)
+    # a null key is a key; a share that is larger than the key holds it
+    assert has_hot_key(hot, ["k"], 8) and not has_hot_key(hot, ["k"], 3)
+    # many slices make no small key hot
+    assert not has_hot_key(even, ["k"], 10_000)
+    assert has_hot_key(even, []) and not has_hot_key(even.limit(0), ["k"])
+
+
+def test_intervals_alike_with_and_without_a_hot_key(spark, monkeypatch):
+    """Every interval operator gives the same rows by the window and by the two levels."""
+    rows = [(R.choice([1, 2, 3, None]), i, R.randrange(400), R.randrange(1, 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "f int, item int, start long, len long")
+    left, right = df.filter("item % 2 = 0"), df.filter("item % 2 = 1").drop("item")
+
+    def every():
+        gone = intervals.merged(right, "f")
+        points = left.select("f", "item", F.col("start").alias("at"))
+        found = [gone, intervals.rebased(points, gone, "f", 7, cut=20), intervals.overlapping(left, right, "f"), intervals.contained(left, right, "f")]
+        return [sorted(map(str, d.collect())) for d in found]
+
+    told = []
+    for hot in (True, False):
+        monkeypatch.setattr(intervals, "has_hot_key", lambda *_, hot=hot: hot)
+        told.append(every())
+    assert told[0] == told[1] and all(told[0])
+
+
 def test_extents_of_one_key(spark):
     """A million extents under one key: contained, overlapping and merged by running maxima."""
     n = 1_000_000
