@@ -108,7 +108,7 @@ def segment_tests(images: DataFrame, id_col: str, data: Column, segments: int =
 
 
 def channel_verdicts(images: DataFrame, id_col: str, data: Column) -> DataFrame:
-    """(id, has_alpha, max_p, verdict, ratios): the greatest p of an image's channels, and each channel's share of odd values.
+    """(id, has_alpha, max_p, verdict, ratios, counts): the greatest p of an image's channels, and of each channel the share of odd values and (odd, n) that make it.
 
     Red, green and blue count, and alpha if one of its values is not 255; constant
     channels have p 0.  Images without a pixel have no row.
@@ -116,9 +116,9 @@ def channel_verdicts(images: DataFrame, id_col: str, data: Column) -> DataFrame:
     seen = channel_tests(images, id_col, data).filter("channel < 3 or full < n")
     told = seen.groupBy(id_col).agg(
         F.bool_or(F.col("channel") == 3).alias("has_alpha"), F.max("p").alias("max_p"),
-        F.transform(F.sort_array(F.collect_list(F.struct("channel", (F.col("odd") / F.col("n")).alias("ratio")))), lambda x: x["ratio"]).alias("ratios"),
+        F.transform(F.sort_array(F.collect_list(F.struct("channel", "odd", "n"))), lambda x: F.struct(x["odd"].alias("odd"), x["n"].alias("n"))).alias("counts"),
     )
-    return told.select(id_col, "has_alpha", "max_p", verdict(F.col("max_p")).alias("verdict"), "ratios")
+    return told.select(id_col, "has_alpha", "max_p", verdict(F.col("max_p")).alias("verdict"), F.transform("counts", lambda x: x["odd"] / x["n"]).alias("ratios"), "counts")
 
 
 def verdict(p: Column) -> Column:

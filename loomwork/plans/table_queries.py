@@ -241,7 +241,8 @@ def channel_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     opaque = F.unhex(F.regexp_replace(F.substring(h, F.lit(1), F.floor(F.length(h) / 8).cast("int") * 8), "(.{6})..", "$1FF"))
     made = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, opaque).otherwise(F.col("raw")).alias("data"))
     got = pixels.channel_verdicts(made, "doc_id", F.col("data"))
-    shown = F.array_join(F.transform("ratios", lambda r: F.round(r * 1000).cast("long").cast("string")), ",")
+    # from the counts: a share times 1000 falls below a half that odd * 1000 / n meets
+    shown = F.array_join(F.transform("counts", lambda x: F.round(x["odd"] * 1000 / x["n"]).cast("long").cast("string")), ",")
     return got.select("doc_id", "has_alpha", F.round("max_p", 7).alias("max_p"), pixels.verdict(F.round("max_p", 7)).alias("verdict"), shown.alias("odd_per_mille"))
 
 

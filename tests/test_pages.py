@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import gamma
 from loomwork.functions import matches as M
 from loomwork.operators import archives, containers, guards, intervals, pages, pixels
+from loomwork.plans import table_queries
 from loomwork.sources import feeds, files
 from loomwork.streaming import recorder
 from tests.test_guards import png
@@ -145,3 +146,12 @@ def test_channel_verdicts(spark, opaque, last):
     got = pixels.channel_verdicts(df, "i", F.col("b")).collect()
     assert [x.i for x in got] == [1] and got[0].has_alpha is (not opaque) and len(got[0].ratios) == (3 if opaque else 4)
     assert np.allclose(got[0].ratios, [(px[:, c] % 2).mean() for c in range(3 if opaque else 4)]) and 0 < got[0].max_p <= 1
+
+
+def test_per_mille_of_an_exact_half(spark, tmp_path):
+    """1,001 of 2,000 odd values are 500.5 per mille, though their share times 1000 is less."""
+    assert 1001 / 2000 * 1000 < 500.5
+    # green has 1,001 odd values, red and blue have 1,000
+    px = ["ba"[k % 2] + "ba"[k < 1001] + "ba"[k % 2] + "b" for k in range(2000)]
+    spark.createDataFrame([(1, "".join(px))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert table_queries.channel_verdicts(spark, str(tmp_path)).first().odd_per_mille == "500,501,500,0"
