@@ -14,7 +14,9 @@ def merged(extents: DataFrame, key: str) -> DataFrame:
     spread = has_hot_key(ends, [key])
     seen = running_totals(ends, [key], ["start", "end"], {}, before=True, maxima={"reach": F.col("end")}, spread=spread)
     new = (F.col("start") > F.col("reach")).cast("int")
-    island = running_totals(seen, [key], ["start", "end"], {"island": F.coalesce(new, F.lit(0))}, spread=spread)
+    # of equal extents the one that opens an island comes first, however the rows were sorted again
+    opened = seen.withColumn("new", F.coalesce(new, F.lit(0)))
+    island = running_totals(opened, [key], ["start", "end", F.desc("new")], {"island": F.col("new")}, spread=spread)
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(key, "start", (F.col("end") - F.col("start")).alias("len"))
 
 

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import intervals
@@ -89,3 +90,12 @@ def test_extents_of_one_key(spark):
     touched = intervals.overlapping(inner, outer, "f")
     assert touched.count() == n // 10 * 7 - 1
     assert intervals.merged(inner, "f").collect()[0][:] == (1, 0, 10 * (n - 1) + 15)
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_union_with_equal_extents(spark, monkeypatch, hot):
+    """Of many copies of an extent one opens its island; in which order the copies come to the second totals must not matter."""
+    monkeypatch.setattr(intervals, "has_hot_key", lambda *a: hot)
+    monkeypatch.setattr(intervals, "running_totals", lambda df, *a, **b: running_totals(df.repartition(5, F.rand(1)), *a, **b))
+    df = spark.createDataFrame([("k", k % 20 * 100, 10) for k in range(400)], "k string, start long, len long")
+    assert sorted(map(tuple, intervals.merged(df, "k").collect())) == [("k", k * 100, 10) for k in range(20)]
