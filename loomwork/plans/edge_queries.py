@@ -124,14 +124,15 @@ def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = schedule_queries._payloads(ev.filter("event_id % 3 = 0"), "event_id", F.struct(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.struct(F.struct(F.expr(schedule_queries.RAW_NAME).alias("name"), F.expr(schedule_queries.RAW_STATE).alias("state")).alias("type")).alias("status")))
     failed = spark.range(1).select(F.lit(None).cast("string").alias("payload"))
     ticks = [("two", 0, season_payloads(spark, sf_dir)), ("one", 60, third), ("one", 95, failed), ("one", 110, third), ("one", 120, third)]
-    landing = scratch(spark, "attempts")
-    for source, at, payloads in ticks:
-        payloads.select(F.lit(source).alias("source"), F.timestamp_seconds(F.lit(at)).alias("fetched"), "payload").coalesce(1).write.mode("append").json(landing)
+    landing, checkpoint = scratch(spark, "attempts"), scratch(spark, "refresh")
     columns = ("fetched", "source", "id", "status")
     sources = [Source("one", feeds.SCOREBOARD, lambda p: feeds.scoreboard(p).select(*columns)), Source("two", feeds.SEASON, lambda p: feeds.season(p).select(*columns))]
     table = LatestTable(spark, scratch(spark, "table"))
-    stream = spark.readStream.schema(ATTEMPT).option("maxFilesPerTrigger", 1).json(landing)
-    refresh(stream, table, sources, scratch(spark, "refresh")).trigger(availableNow=True).start().awaitTermination()
+    for source, at, payloads in ticks:
+        # as many files as the payloads have partitions; the trigger takes what the tick wrote, and all of it
+        payloads.select(F.lit(source).alias("source"), F.timestamp_seconds(F.lit(at)).alias("fetched"), "payload").write.mode("append").json(landing)
+        stream = spark.readStream.schema(ATTEMPT).json(landing)
+        refresh(stream, table, sources, checkpoint).trigger(availableNow=True).start().awaitTermination()
     return table.rows().select("id", "source", "status", F.unix_seconds("fetched").alias("fetched"))
 
 

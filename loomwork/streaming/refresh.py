@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from loomwork.shared import remove
+from loomwork.shared import remove, shuffle_width
 from loomwork.sources.feeds import available
 from loomwork.streaming.feed import latest
 
@@ -80,7 +80,9 @@ class LatestTable:
             before = self.rows(head, touched)
             every = new if before is None else before.unionByName(new)
             kept = latest(every, self.key, self.version).select(*new.columns).withColumn("bucket", bucket)
-            kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={batch}")
+            # a bucket is written by as many tasks as share the work alike, so that none holds a sixteenth of the rows
+            pieces = -(-shuffle_width(self.spark) // self.buckets)
+            kept.repartition("bucket", F.pmod(F.hash(self.key), F.lit(pieces))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={batch}")
             versions.update({str(b): batch for b in touched})
         record = json.dumps({"batch": batch, "due": due, "good": good if good is not None else head["good"], "versions": versions, "schema": kind})
         self.spark.range(1).select(F.lit(record).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/commits/batch={batch}")

@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomwork.plans import edge_queries
+from loomwork.shared import settings
 from loomwork.sources import feeds
 from loomwork.streaming import recorder
 from loomwork.streaming.refresh import ATTEMPT, LatestTable, Source, refresh, refresh_step
@@ -162,3 +164,13 @@ def test_many_ticks_in_one_batch(spark, tmp_path):
     table = LatestTable(spark, f"file://{tmp_path}/table")
     refresh_step(table, SOURCES)(given(spark, [a for tick in TICKS for a in tick]), 0)
     assert told(table) == WANT
+
+
+def test_no_task_holds_a_whole_attempt_or_bucket(spark, tmp_path, monkeypatch):
+    """Payloads of a tick are written by many tasks and taken in one trigger; a bucket is written by many tasks where the session is wide."""
+    monkeypatch.setattr(edge_queries, "scratch", lambda s, name: f"file://{tmp_path}/{name}")
+    with settings(spark, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}):
+        got = edge_queries.refreshed(spark, "/root/testdata/sf0.001")
+        assert got.groupBy("source").count().count() == 2 and got.count() == got.select("id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert len(list((tmp_path / "attempts").glob("*.json"))) > 40
+    assert len(list((tmp_path / "table" / "rows" / "batch=0").rglob("*.parquet"))) > 16
