@@ -9,7 +9,7 @@ from loomwork.operators import containers, heic_rows, parts
 from loomwork.plans import container_queries as C
 from loomwork.plans.container_queries import _be, _le
 from loomwork.plans.schedule_queries import read
-from loomwork.shared import stash
+from loomwork.shared import dealt, stash
 
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _ascii(text: Column, width: int) -> Column:
 
 def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, tiff): all fields that a preview reads, of each customer, in hex; every fifth lists 600 entries."""
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
+    c = dealt(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment"))
     k = F.col("k")
     entry = lambda tag, kind, n, value: F.concat(F.lit(tag + kind), _le(n) if isinstance(n, Column) else F.lit(n.to_bytes(4, "little").hex()), value if isinstance(value, Column) else F.lit(value.to_bytes(4, "little").hex()))
     ratio = lambda a, b: F.concat(_le(a), F.lit(b.to_bytes(4, "little").hex()))

@@ -150,5 +150,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df's rows over as many tasks as the session is wide: for tables of few bytes, one split of a scan, whose rows become much work."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
