@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import containers, guards
 from loomwork.plans.schedule_queries import read
+from loomwork.shared import dealt
 
 
 def _be(n: Column, width: int) -> Column:
@@ -131,7 +132,7 @@ SELECT doc_id, CAST(px AS BIGINT) AS declared_pixels, px BETWEEN 1 AND 64000000
 
 def tile_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a repeated mark over a rectangle for each part."""
-    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 20.0).alias("w"), F.col("p_retailprice").alias("h"))
+    p = dealt(read(spark, sf_dir, "part")).select("p_partkey", (F.col("p_size") * 20.0).alias("w"), F.col("p_retailprice").alias("h"))
     got = containers.tiles(p, F.col("w"), F.col("h"), F.lit(180.0), F.lit(6), F.lit(1.5))
     return got.select("p_partkey", "font", "tile_row", "tile_col", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 

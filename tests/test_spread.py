@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.plans import part_queries
+from loomwork.plans import container_queries, part_queries
 
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("made", [part_queries.previewed, part_queries.preview_files])
+@pytest.mark.parametrize("made", [part_queries.previewed, part_queries.preview_files, container_queries.tile_places])
 def test_files_of_a_small_table(spark, made):
     rows = made(spark, DIR).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(rows) >= 4 and max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 2
