@@ -17,6 +17,11 @@ from loomwork.shared import stash
 GATES = ("tracks", "groups", "layout", "no_place", "primary", "nothing_left", "outside", "shared", "early")
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """df, never broadcast: a written table is a few compressed bytes a row, so by its size Spark would collect millions of rows in the driver."""
+    return df.hint("merge")
+
+
 class Tables:
     """The written rows of boxes, items, extents, references and associations of some files, by ``f``."""
 
@@ -27,7 +32,7 @@ class Tables:
         #: metadata items, and places with a flag whether they go (items of entries meet places by id)
         self.gone = self.items.filter("label is not null").groupBy("f", "item").agg(F.max_by("label", "ord").alias("label"), F.bool_or("is_primary").alias("is_primary"))
         flags = self.gone.select("f", "item", F.lit(True).alias("goes"))
-        self.places = self.extents.filter("error is null").join(flags, ["f", "item"], "left").withColumn("goes", F.coalesce("goes", F.lit(False)))
+        self.places = self.extents.filter("error is null").join(wide(flags), ["f", "item"], "left").withColumn("goes", F.coalesce("goes", F.lit(False)))
 
     def mdats(self) -> DataFrame:
         return self.boxes.filter("depth = 0 and kind = 'mdat'")
@@ -46,27 +51,27 @@ def gates(t: Tables) -> DataFrame:
     found.append(flag(t.boxes.filter("depth = 1 and kind = 'grpl'"), "groups"))
     for table in (t.extents, t.references, t.associations):
         found.append(flag(table.filter("error is not null"), "layout"))
-    found.append(flag(items.without_place(t.gone, t.places, ["f", "item"]), "no_place"))
+    found.append(flag(items.without_place(t.gone, wide(t.places), ["f", "item"]), "no_place"))
     found.append(flag(t.gone.filter("is_primary"), "primary"))
     kept = t.places.filter("not goes")
-    found.append(flag(t.gone.select("f").distinct().join(kept, "f", "left_anti"), "nothing_left"))
+    found.append(flag(t.gone.select("f").distinct().join(wide(kept), "f", "left_anti"), "nothing_left"))
     mdats = t.mdats().select("f", F.col("data").alias("start"), (F.col("stop") - F.col("data")).alias("len"))
     payloads = t.payloads().withColumn("n", F.monotonically_increasing_id())
     payloads = stash(payloads, "payloads")
     inside = intervals.contained(payloads, mdats, "f")
-    found.append(flag(payloads.join(inside.select("n"), "n", "left_anti"), "outside"))
+    found.append(flag(payloads.join(wide(inside.select("n")), "n", "left_anti"), "outside"))
     # places doubled, so that an empty extent inside what goes is met as well
     removed = intervals.merged(payloads.drop("n"), "f").select("f", (2 * F.col("start") + 1).alias("start"), (2 * F.col("len") - 1).alias("len"))
     staying = kept.filter("extent is not null").select("f", (2 * F.col("begin")).alias("start"), F.greatest(2 * F.col("size"), F.lit(1)).alias("len"))
     found.append(flag(intervals.overlapping(staying, removed, "f"), "shared"))
     metas = t.boxes.filter("depth = 0 and kind = 'meta'").groupBy("f").agg(F.min_by("stop", "ord").alias("meta_stop"))
     early = (F.col("begin") < F.col("meta_stop")) | ((F.col("base_width") > 0) & (F.col("base") < F.col("meta_stop")))
-    found.append(flag(kept.join(metas, "f").filter(early), "early"))
+    found.append(flag(kept.join(wide(metas), "f").filter(early), "early"))
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)
     has = lambda name: F.coalesce(F.bool_or(F.col("gate") == name), F.lit(False))
-    files = t.boxes.select("f").distinct().join(every, "f", "left")
+    files = t.boxes.select("f").distinct().join(wide(every), "f", "left")
     return files.groupBy("f").agg(has("corrupt").alias("corrupt"), (~has("has")).alias("plain"), *[has(g).alias(g) for g in GATES])
 
 
@@ -81,19 +86,19 @@ def cuts(t: Tables) -> DataFrame:
     going = t.gone.select("f", "item")
     entries = t.items.filter("label is not null").select("f", "start", "stop")
     places = t.places.filter("goes").select("f", "start", "stop").distinct()
-    by = lambda df, c, name: df.join(going.select("f", F.col("item").alias(c), F.lit(True).alias(name)), ["f", c], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    by = lambda df, c, name: df.join(wide(going.select("f", F.col("item").alias(c), F.lit(True).alias(name))), ["f", c], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     told = by(by(t.references.filter("error is null"), "from_item", "source_goes"), "to_item", "target_goes")
     ref = told.groupBy("f", "ref").agg(F.min("start").alias("start"), F.min("stop").alias("stop"), F.bool_or("source_goes").alias("source_goes"), F.bool_and(F.col("target_goes") | F.col("slot").isNull()).alias("all_go")).withColumn("drops", F.col("source_goes") | F.col("all_go"))
     whole = ref.groupBy("f").agg(F.bool_and("drops").alias("none_left"))
     iref = t.boxes.filter("depth = 1 and kind = 'iref'").groupBy("f").agg(F.max_by(F.struct("start", "stop"), "ord").alias("x")).select("f", "x.start", "x.stop")
-    lists = iref.join(whole.filter("none_left").select("f"), "f")
-    dropped = ref.filter("drops").join(whole.filter("not none_left").select("f"), "f").select("f", "start", "stop")
-    lost = told.join(ref.filter("not drops").select("f", "ref"), ["f", "ref"]).filter("target_goes")
+    lists = iref.join(wide(whole.filter("none_left").select("f")), "f")
+    dropped = ref.filter("drops").join(wide(whole.filter("not none_left").select("f")), "f").select("f", "start", "stop")
+    lost = told.join(wide(ref.filter("not drops").select("f", "ref")), ["f", "ref"]).filter("target_goes")
     first = F.col("start") + 8 + F.col("width") + 2
     slots = lost.select("f", (first + F.col("width") * F.col("slot")).alias("start"), (first + F.col("width") * (F.col("slot") + 1)).alias("stop"))
-    linked = t.associations.filter("error is null").join(going, ["f", "item"]).select("f", "start", "stop")
+    linked = t.associations.filter("error is null").join(wide(going), ["f", "item"]).select("f", "start", "stop")
     union = intervals.merged(t.payloads(), "f").select("f", F.col("start").alias("x"), (F.col("start") + F.col("len")).alias("y"))
-    held = union.join(t.mdats().select("f", "data", "stop"), "f").select("f", F.greatest("x", "data").alias("start"), F.least("y", "stop").alias("stop")).filter("stop > start")
+    held = union.join(wide(t.mdats().select("f", "data", "stop")), "f").select("f", F.greatest("x", "data").alias("start"), F.least("y", "stop").alias("stop")).filter("stop > start")
     every = entries
     for one in (places, lists, dropped, slots, linked, held):
         every = every.unionByName(one)
@@ -108,22 +113,22 @@ def edits(t: Tables) -> DataFrame:
     put = lambda df, at, width, value: df.select("f", at.alias("start"), (at + width).alias("stop"), _be(value, width).alias("new"))
     # counts: entries, places, references, associations
     last = lambda kind: t.boxes.filter(f"depth = 1 and kind = '{kind}'").groupBy("f").agg(F.max_by("data", "ord").alias("data"))
-    entries = t.items.filter("error is null").groupBy("f").agg(F.min("count_width").alias("width"), F.count("*").alias("n"), F.count("label").alias("lost")).join(last("iinf"), "f")
+    entries = t.items.filter("error is null").groupBy("f").agg(F.min("count_width").alias("width"), F.count("*").alias("n"), F.count("label").alias("lost")).join(wide(last("iinf")), "f")
     out.append(put(entries, F.col("data") + 4, F.col("width"), F.col("n") - F.col("lost")))
-    places = t.places.groupBy("f").agg(F.count_distinct(F.when(~F.col("goes"), F.col("ord"))).alias("n")).join(last("iloc"), "f")
+    places = t.places.groupBy("f").agg(F.count_distinct(F.when(~F.col("goes"), F.col("ord"))).alias("n")).join(wide(last("iloc")), "f")
     out.append(put(places, F.col("data") + 6, F.lit(2), F.col("n")))
     goes = t.gone.select("f", F.col("item").alias("to_item"), F.lit(1).alias("lost"))
-    counted = t.references.filter("error is null").join(goes, ["f", "to_item"], "left").groupBy("f", "ref").agg(F.min("start").alias("start"), F.min("width").alias("width"), F.min("from_item").alias("item"), F.count("*").alias("n"), F.count("lost").alias("lost"))
-    partly = counted.filter("lost > 0 and lost < n").join(t.gone.select("f", "item"), ["f", "item"], "left_anti")
+    counted = t.references.filter("error is null").join(wide(goes), ["f", "to_item"], "left").groupBy("f", "ref").agg(F.min("start").alias("start"), F.min("width").alias("width"), F.min("from_item").alias("item"), F.count("*").alias("n"), F.count("lost").alias("lost"))
+    partly = counted.filter("lost > 0 and lost < n").join(wide(t.gone.select("f", "item")), ["f", "item"], "left_anti")
     out.append(put(partly, F.col("start") + 8 + F.col("width"), F.lit(2), F.col("n") - F.col("lost")))
-    linked = t.associations.filter("error is null").join(t.gone.select("f", "item", F.lit(1).alias("lost")), ["f", "item"], "left").groupBy("f", "box").agg(F.count("*").alias("n"), F.count("lost").alias("lost")).filter("lost > 0")
+    linked = t.associations.filter("error is null").join(wide(t.gone.select("f", "item", F.lit(1).alias("lost"))), ["f", "item"], "left").groupBy("f", "box").agg(F.count("*").alias("n"), F.count("lost").alias("lost")).filter("lost > 0")
     out.append(put(linked, F.col("box") + 12, F.lit(4), F.col("n") - F.col("lost")))
     # sizes of boxes: what is cut between their first and last byte
     sized = t.boxes.filter("error is null and sized").select("f", "ord", "start", "data", "stop", "wide")
     upto = lambda at: intervals.removed_before(sized.select("f", "ord", F.col(at).alias("at")), gone, "f").select("f", "ord", F.col("removed").alias(f"to_{at}"))
-    resized = sized.join(upto("data"), ["f", "ord"]).join(upto("stop"), ["f", "ord"]).withColumn("less", F.col("to_stop") - F.col("to_data")).filter("less > 0")
+    resized = sized.join(wide(upto("data")), ["f", "ord"]).join(wide(upto("stop")), ["f", "ord"]).withColumn("less", F.col("to_stop") - F.col("to_data")).filter("less > 0")
     # boxes inside a range that goes as a whole need no size
-    kept = resized.join(intervals.contained(resized.select("f", "ord", "start", (F.col("stop") - F.col("start")).alias("len")), gone, "f").select("f", "ord"), ["f", "ord"], "left_anti")
+    kept = resized.join(wide(intervals.contained(resized.select("f", "ord", "start", (F.col("stop") - F.col("start")).alias("len")), gone, "f").select("f", "ord")), ["f", "ord"], "left_anti")
     out.append(put(kept, F.col("start") + F.when(F.col("wide"), 8).otherwise(0), F.when(F.col("wide"), 8).otherwise(4), F.col("stop") - F.col("start") - F.col("less")))
     # places of what stays, re-based
     stays = t.places.filter("not goes")
@@ -131,7 +136,7 @@ def edits(t: Tables) -> DataFrame:
     moved = stash(intervals.rebased(based, gone, "f", 0), "bases")
     out.append(put(moved, F.col("base_at"), F.col("base_width"), F.col("moved")))
     held = stays.filter("extent is not null").select("f", "ord", F.col("at").alias("field"), F.col("offset_width").alias("width"), F.col("begin").alias("at"))
-    placed = intervals.rebased(held, gone, "f", 0).join(moved.select("f", "ord", F.col("moved").alias("new_base")), ["f", "ord"], "left")
+    placed = intervals.rebased(held, gone, "f", 0).join(wide(moved.select("f", "ord", F.col("moved").alias("new_base"))), ["f", "ord"], "left")
     out.append(put(placed, F.col("field"), F.col("width"), F.col("moved") - F.coalesce("new_base", F.lit(0))))
     every = out[0]
     for one in out[1:]:
@@ -154,23 +159,27 @@ def without_metadata(df: DataFrame, id_col: str, content_col: str = "content") -
     extent that stays holds the bytes that it held (compared()).
     """
     files = stash(df.select(F.col(id_col).alias("f"), F.coalesce(content_col, F.lit(b"")).alias("content")), "files")
-    t = Tables(files)
+    return rewritten(files, Tables(files)).withColumnRenamed("f", id_col)
+
+
+def rewritten(files: DataFrame, t: Tables) -> DataFrame:
+    """without_metadata() of written files (f, content), contents not null, and their tables."""
     told = stash(gates(t).withColumn("outcome", outcome()), "gates")
-    lists = edits(t).join(told.filter("outcome = 'ok' and not plain").select("f"), "f").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "new"))).alias("edits"))
+    lists = edits(t).join(wide(told.filter("outcome = 'ok' and not plain").select("f")), "f").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "new"))).alias("edits"))
     lost = t.payloads().groupBy("f").agg(F.sum("len").alias("removed"))
-    made = files.join(told.select("f", "outcome"), "f").join(lists, "f", "left").join(lost, "f", "left")
+    made = files.join(wide(told.select("f", "outcome")), "f").join(wide(lists), "f", "left").join(wide(lost), "f", "left")
     clean = F.when(F.col("outcome") == "ok", F.when(F.col("edits").isNull(), F.col("content")).otherwise(spliced(F.col("content"), F.col("edits"))))
     made = stash(made.select("f", "outcome", F.when(F.col("outcome") == "ok", F.coalesce("removed", F.lit(0))).alias("removed"), clean.alias("cleaned")), "cleaned")
     wrong = compared(t, files, made.filter("cleaned is not null").select("f", F.col("cleaned").alias("content"))).filter("not same").select("f").distinct().withColumn("bad", F.lit(True))
-    last = made.join(wrong, "f", "left").withColumn("outcome", F.when(F.col("bad"), "unsupported_layout").otherwise(F.col("outcome")))
+    last = made.join(wide(wrong), "f", "left").withColumn("outcome", F.when(F.col("bad"), "unsupported_layout").otherwise(F.col("outcome")))
     good = F.col("bad").isNull()
-    return last.select(F.col("f").alias(id_col), "outcome", F.when(good, F.col("removed")).alias("removed"), F.when(good, F.col("cleaned")).alias("cleaned"))
+    return last.select("f", "outcome", F.when(good, F.col("removed")).alias("removed"), F.when(good, F.col("cleaned")).alias("cleaned"))
 
 
 def compared(t: Tables, before: DataFrame, after: DataFrame) -> DataFrame:
     """(f, item, extent, same): for each extent that stays whether the written file has its bytes (full join of both files' places)."""
-    held = lambda rows, files: rows.filter("extent is not null").join(files, "f").select("f", "item", "extent", "size", F.sha2(F.substring("content", (F.col("begin") + 1).cast("int"), F.col("size").cast("int")), 256).alias("sha"), (F.col("begin") + F.col("size") <= F.octet_length("content")).alias("fits"))
-    then = held(t.places.filter("not goes"), before.join(after.select("f"), "f", "left_semi")).withColumnsRenamed({"size": "size_", "sha": "sha_", "fits": "fits_"})
+    held = lambda rows, files: rows.filter("extent is not null").join(wide(files), "f").select("f", "item", "extent", "size", F.sha2(F.substring("content", (F.col("begin") + 1).cast("int"), F.col("size").cast("int")), 256).alias("sha"), (F.col("begin") + F.col("size") <= F.octet_length("content")).alias("fits"))
+    then = held(t.places.filter("not goes"), before.join(wide(after.select("f")), "f", "left_semi")).withColumnsRenamed({"size": "size_", "sha": "sha_", "fits": "fits_"})
     now = held(parts.rows_of(after, parts.heif_extents, "f", "content").filter("error is null"), after)
     same = (F.col("size") == F.col("size_")) & (F.col("sha") == F.col("sha_")) & F.col("fits") & F.col("fits_")
-    return then.join(now, ["f", "item", "extent"], "full").select("f", "item", "extent", F.coalesce(same, F.lit(False)).alias("same"))
+    return then.join(wide(now), ["f", "item", "extent"], "full").select("f", "item", "extent", F.coalesce(same, F.lit(False)).alias("same"))

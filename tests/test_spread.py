@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.operators import heic_rows
 from loomwork.plans import container_queries, part_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -12,3 +13,9 @@ DIR = "/root/testdata/sf0.001"
 def test_files_of_a_small_table(spark, made):
     rows = made(spark, DIR).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(rows) >= 4 and max(r["count"] for r in rows) < sum(r["count"] for r in rows) / 2
+
+
+def test_tables_of_files_are_not_broadcast(spark):
+    files = part_queries.heic_files(spark, DIR).withColumnRenamed("page_id", "f")
+    plan = heic_rows.cuts(heic_rows.Tables(files))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
