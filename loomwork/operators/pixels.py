@@ -16,11 +16,15 @@ from loomwork.functions.gamma import chi_square_tails
 IMAGES = 512
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Ids and bytes of IMAGES images at a time. Ids stay in Arrow: a pandas column of ids with a null would be of doubles."""
+#: Rows of 256 counts that are tested at once: 4 MB, and some copies of them.
+TESTED_ROWS = 2_048
+
+
+def _parts(batches: Iterator[pa.RecordBatch], images: int = IMAGES) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and bytes of so many images at a time. Ids stay in Arrow: a pandas column of ids with a null would be of doubles."""
     for b in batches:
-        for at in range(0, b.num_rows, IMAGES):
-            part = b.slice(at, IMAGES)
+        for at in range(0, b.num_rows, images):
+            part = b.slice(at, images)
             yield part.column(0), [x or b"" for x in part.column(1).to_pylist()]
 
 
@@ -72,7 +76,7 @@ def _tests(images: DataFrame, id_col: str, data: Column, name: str, parts: int,
     rows = images.select(F.col(id_col).alias("id"), data.alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, held in _parts(batches):
+        for ids, held in _parts(batches, max(1, min(IMAGES, TESTED_ROWS // parts))):
             made = [count(np.frombuffer(raw, np.uint8)) for raw in held]
             some = [k for k, c in enumerate(made) if c is not None]
             if some:

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwork.operators import pixels
@@ -70,3 +71,8 @@ def test_dump(spark, tmp_path):
 def test_checksums(spark, tmp_path):
     got = {(r.kind, r.id): r.crc for r in Q.checksums(spark, tables(spark, tmp_path)).collect()}
     assert got == {(kind, k): None if t is None else zlib.crc32(t.encode()) for kind in ("document", "page") for k, t in enumerate(TEXTS)}
+
+
+def test_counts_held_at_once_are_few():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([b"x"] * 600)], names=["id", "data"])
+    assert [len(held) for _, held in pixels._parts(iter([batch]), pixels.TESTED_ROWS // 64)] == [32] * 18 + [24]
