@@ -10,7 +10,7 @@ from loomwork.operators import archives, containers, pages
 from loomwork.plans import container_queries as C
 from loomwork.plans.container_queries import _be
 from loomwork.plans.schedule_queries import read, season_payloads
-from loomwork.shared import scratch
+from loomwork.shared import scratch, settings, stash
 from loomwork.sources import feeds, files, headers
 from loomwork.streaming import recorder
 
@@ -69,6 +69,8 @@ def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write(every, where)
     name = F.regexp_extract("path", "[^/]+$", 0)
     cleaned = containers.clean(files.scan(spark, where)).select(name.alias("name"), "length", "outcome", F.aggregate("strips", F.lit(0).cast("long"), lambda a, s: a + s["size"]).alias("removed"), F.octet_length("cleaned").cast("long").alias("left"))
+    with settings(spark, files.MANY):
+        cleaned = stash(cleaned, "cleaned")
     told = headers.image_headers(spark, where).select(name.alias("name"), F.col("length").alias("listed"), "kind", "declared_pixels", F.col("allowed").cast("string").alias("allowed"), "bytes_read")
     return cleaned.join(told, "name")
 

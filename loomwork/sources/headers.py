@@ -13,7 +13,7 @@ from loomwork.functions.binary import image_kind, is_heif, starts
 from loomwork.operators.guards import PIXELS, heif_planes, png_planes
 
 #: Bytes that are read of every file; what opening a file counts beside them, and what a partition should count.
-HEAD, OPENING, PARTITION = 512, 1 << 20, 64 << 20
+HEAD, OPENING, PARTITION = 512, 1 << 16, 64 << 20
 
 
 class Ranges:

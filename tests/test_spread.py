@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import heic_rows
 from loomwork.plans import container_queries, part_queries
+from loomwork.shared import settings
+from loomwork.sources import files, headers
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,3 +21,12 @@ def test_tables_of_files_are_not_broadcast(spark):
     files = part_queries.heic_files(spark, DIR).withColumnRenamed("page_id", "f")
     plan = heic_rows.cuts(heic_rows.Tables(files))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.bin").write_bytes(b"x" * k)
+    with settings(spark, files.MANY):
+        scanned = files.scan(spark, f"file://{tmp_path}")
+        assert scanned.rdd.getNumPartitions() <= 16 and scanned.agg(F.sum("length"), F.count("content")).first() == (599 * 300, 599)
+    assert len(headers.HeaderReader({"path": f"file://{tmp_path}"}).partitions()) == 1
