@@ -7,6 +7,8 @@ running totals of cuts.  Only a file's list of edits meets its content again.
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,27 @@ def wide(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """The written rows of boxes, items, extents, references and associations of some files, by ``f``."""
+    """The written rows of boxes, items, extents, references and associations of some files, by ``f``.
+
+    Files are read once; what many steps ask for is written too, not joined again by each.
+    """
 
     def __init__(self, files: DataFrame):
-        read = lambda function: stash(parts.rows_of(files, function, "f", "content"), "rows")
-        self.boxes, self.items, self.extents = read(parts.heif_boxes), read(parts.heif_items), read(parts.heif_extents)
-        self.references, self.associations = read(parts.heif_references), read(parts.heif_associations)
+        rows = stash(parts.heif_rows(files, "f"), "rows", by="tbl")
+        read = lambda name, *more: rows.filter(F.col("tbl") == name).select("f", f"{name}.*", *more)
+        self.boxes, self.items, self.extents = read("boxes"), read("items"), read("extents", "fits", "sha")
+        self.references, self.associations = read("references"), read("associations")
         #: metadata items, and places with a flag whether they go (items of entries meet places by id)
-        self.gone = self.items.filter("label is not null").groupBy("f", "item").agg(F.max_by("label", "ord").alias("label"), F.bool_or("is_primary").alias("is_primary"))
+        self.gone = stash(self.items.filter("label is not null").groupBy("f", "item").agg(F.max_by("label", "ord").alias("label"), F.bool_or("is_primary").alias("is_primary")), "gone")
         flags = self.gone.select("f", "item", F.lit(True).alias("goes"))
-        self.places = self.extents.filter("error is null").join(wide(flags), ["f", "item"], "left").withColumn("goes", F.coalesce("goes", F.lit(False)))
+        self.places = stash(self.extents.filter("error is null").join(wide(flags), ["f", "item"], "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "places")
+
+    def only(self, files: DataFrame) -> Tables:
+        """The tables of some of the files, written."""
+        some = copy.copy(self)
+        for name in ("boxes", "items", "references", "associations", "gone", "places"):
+            setattr(some, name, stash(getattr(self, name).join(wide(files), "f", "left_semi"), name))
+        return some
 
     def mdats(self) -> DataFrame:
         return self.boxes.filter("depth = 0 and kind = 'mdat'")
@@ -125,8 +138,8 @@ def edits(t: Tables) -> DataFrame:
     out.append(put(linked, F.col("box") + 12, F.lit(4), F.col("n") - F.col("lost")))
     # sizes of boxes: what is cut between their first and last byte
     sized = t.boxes.filter("error is null and sized").select("f", "ord", "start", "data", "stop", "wide")
-    upto = lambda at: intervals.removed_before(sized.select("f", "ord", F.col(at).alias("at")), gone, "f").select("f", "ord", F.col("removed").alias(f"to_{at}"))
-    resized = sized.join(wide(upto("data")), ["f", "ord"]).join(wide(upto("stop")), ["f", "ord"]).withColumn("less", F.col("to_stop") - F.col("to_data")).filter("less > 0")
+    upto = lambda df, at: intervals.removed_before(df, gone, "f", at).withColumnRenamed("removed", f"to_{at}")
+    resized = stash(upto(upto(sized, "data"), "stop").withColumn("less", F.col("to_stop") - F.col("to_data")).filter("less > 0"), "resized")
     # boxes inside a range that goes as a whole need no size
     kept = resized.join(wide(intervals.contained(resized.select("f", "ord", "start", (F.col("stop") - F.col("start")).alias("len")), gone, "f").select("f", "ord")), ["f", "ord"], "left_anti")
     out.append(put(kept, F.col("start") + F.when(F.col("wide"), 8).otherwise(0), F.when(F.col("wide"), 8).otherwise(4), F.col("stop") - F.col("start") - F.col("less")))
@@ -165,21 +178,21 @@ def without_metadata(df: DataFrame, id_col: str, content_col: str = "content") -
 def rewritten(files: DataFrame, t: Tables) -> DataFrame:
     """without_metadata() of written files (f, content), contents not null, and their tables."""
     told = stash(gates(t).withColumn("outcome", outcome()), "gates")
-    lists = edits(t).join(wide(told.filter("outcome = 'ok' and not plain").select("f")), "f").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "new"))).alias("edits"))
+    lists = edits(t.only(told.filter("outcome = 'ok' and not plain").select("f"))).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "new"))).alias("edits"))
     lost = t.payloads().groupBy("f").agg(F.sum("len").alias("removed"))
     made = files.join(wide(told.select("f", "outcome")), "f").join(wide(lists), "f", "left").join(wide(lost), "f", "left")
     clean = F.when(F.col("outcome") == "ok", F.when(F.col("edits").isNull(), F.col("content")).otherwise(spliced(F.col("content"), F.col("edits"))))
     made = stash(made.select("f", "outcome", F.when(F.col("outcome") == "ok", F.coalesce("removed", F.lit(0))).alias("removed"), clean.alias("cleaned")), "cleaned")
-    wrong = compared(t, files, made.filter("cleaned is not null").select("f", F.col("cleaned").alias("content"))).filter("not same").select("f").distinct().withColumn("bad", F.lit(True))
+    wrong = compared(t, made.filter("cleaned is not null").select("f", F.col("cleaned").alias("content"))).filter("not same").select("f").distinct().withColumn("bad", F.lit(True))
     last = made.join(wide(wrong), "f", "left").withColumn("outcome", F.when(F.col("bad"), "unsupported_layout").otherwise(F.col("outcome")))
     good = F.col("bad").isNull()
     return last.select("f", "outcome", F.when(good, F.col("removed")).alias("removed"), F.when(good, F.col("cleaned")).alias("cleaned"))
 
 
-def compared(t: Tables, before: DataFrame, after: DataFrame) -> DataFrame:
+def compared(t: Tables, after: DataFrame) -> DataFrame:
     """(f, item, extent, same): for each extent that stays whether the written file has its bytes (full join of both files' places)."""
-    held = lambda rows, files: rows.filter("extent is not null").join(wide(files), "f").select("f", "item", "extent", "size", F.sha2(F.substring("content", (F.col("begin") + 1).cast("int"), F.col("size").cast("int")), 256).alias("sha"), (F.col("begin") + F.col("size") <= F.octet_length("content")).alias("fits"))
-    then = held(t.places.filter("not goes"), before.join(wide(after.select("f")), "f", "left_semi")).withColumnsRenamed({"size": "size_", "sha": "sha_", "fits": "fits_"})
-    now = held(parts.rows_of(after, parts.heif_extents, "f", "content").filter("error is null"), after)
+    held = lambda rows: rows.filter("extent is not null").select("f", "item", "extent", "size", "sha", "fits")
+    then = held(t.places.filter("not goes").join(wide(after.select("f")), "f", "left_semi")).withColumnsRenamed({"size": "size_", "sha": "sha_", "fits": "fits_"})
+    now = held(parts.heif_rows(after, "f", tables=("extents",)).select("f", "extents.*", "fits", "sha").filter("error is null"))
     same = (F.col("size") == F.col("size_")) & (F.col("sha") == F.col("sha_")) & F.col("fits") & F.col("fits_")
     return then.join(wide(now), ["f", "item", "extent"], "full").select("f", "item", "extent", F.coalesce(same, F.lit(False)).alias("same"))

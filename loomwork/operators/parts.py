@@ -8,10 +8,15 @@ file, not its content.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomwork.operators import containers, heic
 from loomwork.operators.heic import Unsuited, boxes, number
@@ -34,6 +39,7 @@ class _Parts:
             yield len(parts), len(b) - tail, len(b), "tail", len(b) - tail, b"", None
 
 
+@lru_cache(maxsize=1)  # the readers of one file's tables follow each other
 def _tables(b: bytes) -> tuple[list, heic.Box, list, dict]:
     """Top boxes, the meta box, its children, and of each kind of child the last."""
     tops = boxes(b, 0, len(b))
@@ -140,12 +146,49 @@ class _Associations(_HeifTable):
                 at = stop
 
 
+#: Columns of the tables of a HEIF file.
+HEIF = {
+    "boxes": "ord int, depth int, up int, start long, data long, stop long, kind string, wide boolean, sized boolean, error string",
+    "items": "ord int, item long, label string, start long, stop long, is_primary boolean, count_width int, error string",
+    "extents": "ord int, item long, start long, stop long, base_at long, base long, base_width int, offset_width int, extent int, at long, begin long, size long, error string",
+    "references": "ref int, start long, stop long, kind string, from_item long, to_item long, slot int, width int, error string",
+    "associations": "box long, item long, properties int, start long, stop long, error string",
+}
+_READERS = {"boxes": _Boxes, "items": _Items, "extents": _Extents, "references": _References, "associations": _Associations}
+
+
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_STRUCTS = {name: pa.struct([(column, _ARROW[kind]) for column, kind in (c.split() for c in columns.split(", "))]) for name, columns in HEIF.items()}
+
+
+def _structs(rows: list[tuple], kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(rows, kind)
+    except OverflowError:  # places beyond 63 bits are null
+        return pa.array([tuple(None if type(x) is int and x >> 63 else x for x in row) for row in rows], kind)
+
+
+def _read(batches: Iterator[pa.RecordBatch], tables: list[str], id_col: str) -> Iterator[pa.RecordBatch]:
+    """Of a batch of files the rows of each table."""
+    for b in batches:
+        found = {name: ([], [], [], []) for name in tables}
+        for k, content in enumerate(b.column(1).to_pylist()):
+            content = content or b""
+            for name in tables:
+                file, rows, fits, sha = found[name]
+                for row in _READERS[name]().eval(content):
+                    *_, begin, size, _ = row if name == "extents" else (None,) * 3
+                    inside = None if begin is None else begin + size <= len(content)
+                    file.append(k), rows.append(row), fits.append(inside)
+                    sha.append(hashlib.sha256(memoryview(content)[begin : begin + size]).hexdigest() if inside else None)
+        for name, (file, rows, fits, sha) in found.items():
+            structs = [_structs(rows, _STRUCTS[n]) if n == name else pa.nulls(len(rows), _STRUCTS[n]) for n in tables]
+            columns = [b.column(0).take(pa.array(file, pa.int64())), pa.array([name] * len(rows), pa.string()), *structs, pa.array(fits, pa.bool_()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "tbl", *tables, "fits", "sha"])
+
+
 container_parts = F.udtf(_Parts, returnType="ord int, start long, stop long, tag string, data long, head binary, error string")
-heif_boxes = F.udtf(_Boxes, returnType="ord int, depth int, up int, start long, data long, stop long, kind string, wide boolean, sized boolean, error string")
-heif_items = F.udtf(_Items, returnType="ord int, item long, label string, start long, stop long, is_primary boolean, count_width int, error string")
-heif_extents = F.udtf(_Extents, returnType="ord int, item long, start long, stop long, base_at long, base long, base_width int, offset_width int, extent int, at long, begin long, size long, error string")
-heif_references = F.udtf(_References, returnType="ref int, start long, stop long, kind string, from_item long, to_item long, slot int, width int, error string")
-heif_associations = F.udtf(_Associations, returnType="box long, item long, properties int, start long, stop long, error string")
+heif_boxes, heif_items, heif_extents, heif_references, heif_associations = (F.udtf(reader, returnType=HEIF[name]) for name, reader in _READERS.items())
 #: Names under which they can be registered for SQL (register_all).
 FUNCTIONS = {"container_parts": container_parts, "heif_boxes": heif_boxes, "heif_items": heif_items, "heif_extents": heif_extents, "heif_references": heif_references, "heif_associations": heif_associations}
 
@@ -162,6 +205,18 @@ def rows_of(files: DataFrame, function, id_col: str, *args: str) -> DataFrame:
     return slim.lateralJoin(function(*[F.col(a).outer() for a in args])).drop(*[a for a in args if a != id_col])
 
 
+def heif_rows(files: DataFrame, id_col: str, content_col: str = "content", tables: tuple[str, ...] = tuple(HEIF)) -> DataFrame:
+    """(id, tbl, a struct for each table, fits, sha): rows of some tables of HEIF files by one reading of each file.
+
+    A row's struct is that of its table, the others are null.  ``fits`` says of an extent
+    whether it lies inside the file, ``sha`` is then the SHA-256 of its bytes: taken here,
+    where the content is at hand, so that comparing extents shuffles no content.
+    """
+    names = [f"{name} struct<{re.sub('(?<=[a-z]) (?=[a-z])', ':', HEIF[name])}>" for name in tables]
+    schema = StructType([files.schema[id_col], *StructType.fromDDL(f"tbl string, {', '.join(names)}, fits boolean, sha string").fields])
+    return files.select(id_col, content_col).mapInArrow(lambda batches: _read(batches, list(tables), id_col), schema)
+
+
 def labelled_parts(files: DataFrame, id_col: str, content_col: str = "content") -> DataFrame:
     """(id, kind, ord, start, stop, tag, label, detail) of each part of JPEG, PNG and WebP files; label says why it goes, null if it stays.
 

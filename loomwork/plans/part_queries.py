@@ -118,7 +118,7 @@ def heic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     thumbnail that overlaps, tracks, a metadata item without a place, or one outside the data.
     """
     p = dealt(read(spark, sf_dir, "pages").select("page_id", "html", "url")).select("page_id", F.hex(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("t"), F.hex(F.encode("url", "UTF-8")).alias("x"))
-    v, n, u = F.pmod("page_id", F.lit(6)), F.length("t") / 2, F.length("x") / 2
+    v, n, u = F.pmod("page_id", F.lit(6)), F.octet_length("t") / 2, F.octet_length("x") / 2
     back = F.when(v == 4, 14).otherwise(0)
     place = lambda item, *extents: F.concat(F.lit(f"{item:04X}0000{len(extents):04X}"), *[F.concat(_be(at - back, 4), _be(size, 4)) for at, size in extents])
     exif = place(2, (F.lit(333), n + F.when(v == 5, 100_000).otherwise(0)))
@@ -192,7 +192,7 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = heic_rows.Tables(files)
     made = heic_rows.rewritten(files, t).filter("cleaned is not null")
     spoilt = F.when(F.col("f") % 12 == 0, F.unhex(F.overlay(F.hex("cleaned"), F.lit("00"), F.lit(2 * 220 + 1), F.lit(2)))).otherwise(F.col("cleaned"))
-    return heic_rows.compared(t, files, stash(made.select("f", spoilt.alias("content")), "spoilt")).withColumnRenamed("f", "page_id")
+    return heic_rows.compared(t, stash(made.select("f", spoilt.alias("content")), "spoilt")).withColumnRenamed("f", "page_id")
 
 
 COMPARED_SQL = "SELECT page_id, CAST(e.item AS BIGINT) AS item, e.extent AS extent, NOT (page_id % 12 = 0 AND e.item = 1 AND e.extent = 0) AS same FROM (SELECT page_id, unnest([{'item': 1, 'extent': 0}, {'item': 1, 'extent': 1}, {'item': 4, 'extent': 0}]) AS e FROM pages WHERE page_id % 6 = 0)"

@@ -49,15 +49,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
+    ``by`` names a column of few values, each in files of its own, so that a filter on it reads no others.
     The table stays until discard() or the end of the driver's Python.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     with arrow_batches(spark):
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).parquet(path, partitionBy=by)
     back = spark.read.schema(df.schema).parquet(path)
     back.stashed_at = path
     return back

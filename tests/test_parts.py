@@ -1,5 +1,6 @@
 """Parts of files as rows, and HEIC files rewritten by joins: the same bytes as file by file."""
 
+import hashlib
 import struct
 
 from pyspark.sql import functions as F
@@ -58,3 +59,19 @@ def test_heic_by_joins_is_heic_by_file(spark):
         want = by_file(b)
         assert got[k][:2] == want[:2], (k, got[k][:2], want[:2])
         assert got[k][2] == (want[2] or None), k
+
+
+def test_all_tables_by_one_reading(spark):
+    whole = heic_file()
+    cases = [whole, heic_file(1, True, True), heic_file(overlap=True), whole[:-3], whole[:60], b"", None]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, content binary").repartition(2)
+    every = parts.heif_rows(df, "k").cache()
+    for name in parts.HEIF:
+        got = every.filter(F.col("tbl") == name).select("k", f"{name}.*").collect()
+        assert got and sorted(map(str, got)) == sorted(map(str, parts.rows_of(df, parts.FUNCTIONS[f"heif_{name}"], "k", "content").collect()))
+    for r in every.filter("tbl = 'extents'").select("k", "extents.*", "fits", "sha").filter("begin is not null").collect():
+        b = cases[r.k]
+        assert r.fits == (r.begin + r.size <= len(b))
+        assert r.sha == (hashlib.sha256(b[r.begin : r.begin + r.size]).hexdigest() if r.fits else None)
+    far = parts._structs([(0, 1, 2, 3, None, 0, 0, 8, 0, 5, 2**63, 9, None)], parts._STRUCTS["extents"]).to_pylist()
+    assert far[0]["begin"] is None and far[0]["size"] == 9

@@ -23,6 +23,15 @@ def test_tables_of_files_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_tables_of_files_are_read_and_joined_once(spark):
+    t = heic_rows.Tables(part_queries.heic_files(spark, DIR).withColumnRenamed("page_id", "f"))
+    tables = (t.boxes, t.items, t.extents, t.references, t.associations)
+    assert len({path.split("/tbl=")[0] for table in tables for path in table.inputFiles()}) == 1
+    for df in (t.gone, t.places):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_many_small_files_share_tasks(spark, tmp_path):
     for k in range(600):
         (tmp_path / f"{k}.bin").write_bytes(b"x" * k)
