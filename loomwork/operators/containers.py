@@ -12,6 +12,7 @@ import re
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,21 @@ PART = "struct<start:bigint,stop:bigint,tag:string,data:bigint>"
 PREVIEW = "struct<make:string,model:string,software:string,taken:string,original:string,orientation:int,lat:double,lon:double,fields:int>"
 STRIP = "struct<label:string,detail:string,size:bigint>"
 SCANNED = f"struct<parts:array<{PART}>,tail:bigint,preview:{PREVIEW},orientation:int,outcome:string,strips:array<{STRIP}>,cleaned:binary>"
+_PART = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("tag", pa.string()), ("data", pa.int64())])
+_PREVIEW = pa.struct([*((name, pa.string()) for name in ("make", "model", "software", "taken", "original")), ("orientation", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("fields", pa.int32())])
+_STRIP = pa.struct([("label", pa.string()), ("detail", pa.string()), ("size", pa.int64())])
+_SCANNED = pa.struct([("parts", pa.list_(_PART)), ("tail", pa.int64()), ("preview", _PREVIEW), ("orientation", pa.int32()), ("outcome", pa.string()), ("strips", pa.list_(_STRIP)), ("cleaned", pa.binary())])
 _HEAD = re.compile(rb"\xff+([^\xff])", re.S)
 _ALONE = re.compile(rb"[\x01\xd0-\xd7\xd9]", re.S)
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
 
 
+#: What tiff_preview() looks up in a directory.
+_READ = frozenset((0x010F, 0x0110, 0x0112, 0x0131, 0x0132, 0x8769, 0x8825, 0x9003, 1, 2, 3, 4))
+_ENTRY = {order: struct.Struct(order + "HHII") for order in "<>"}
+_SHOWN = bytes(b if 32 <= b < 127 else 32 for b in range(256))
+
+
 def tiff_preview(t: bytes) -> dict | None:
     """Fields of the main, Exif and GPS directories that tell of a person or place; null if ``t`` is no TIFF."""
     order = {b"II": "<", b"MM": ">"}.get(t[:2])
@@ -46,16 +57,16 @@ def tiff_preview(t: bytes) -> dict | None:
         (stated,) = struct.unpack_from(order + "H", t, at)
         n = min(stated, ENTRY_CAP, (len(t) - at - 2) // 12)
         found = {}
-        for p in range(at + 2, at + 2 + 12 * n, 12):
-            tag, kind, count, value = struct.unpack_from(order + "HHII", t, p)
-            found[tag] = (kind, count, p + 8 if TYPE_BYTES.get(kind, 1) * count <= 4 else value, value)
+        for k, (tag, kind, count, value) in enumerate(_ENTRY[order].iter_unpack(t[at + 2 : at + 2 + 12 * n])):
+            if tag in _READ:
+                found[tag] = (kind, count, at + 10 + 12 * k if TYPE_BYTES.get(kind, 1) * count <= 4 else value, value)
         return found, n
 
     def text(entry) -> str | None:
         if not entry or entry[0] != 2:
             return None
         raw = t[entry[2] : entry[2] + entry[1]].partition(b"\0")[0]
-        return " ".join("".join(chr(b) if 32 <= b < 127 else " " for b in raw).split()) or None
+        return " ".join(raw.translate(_SHOWN).decode("ascii").split()) or None
 
     def degrees(entry) -> float:
         total = 0.0
@@ -165,21 +176,20 @@ def _heic(b: bytes) -> tuple:
     return None, None, preview, 1, "ok", [{"label": label, "detail": None, "size": size} for label, size in strips], out
 
 
-def _scan(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+def _scan(kinds: pa.Array, contents: pa.Array) -> pa.Array:
     rows = []
-    for kind, content in zip(kinds, contents):
+    for kind, content in zip(kinds.to_pylist(), contents.to_pylist()):
         if kind == "heic":
-            rows.append(_heic(bytes(content)))
+            rows.append(_heic(content))
             continue
-        found = _SCANNERS[kind](bytes(content)) if kind in _SCANNERS else None
+        found = _SCANNERS[kind](content) if kind in _SCANNERS else None
         if found is None:
             rows.append((None,) * 7)
             continue
         parts, tail = found
-        seen = [x for x in _previews(kind, bytes(content), parts) if x]
-        named = [dict(zip(("start", "stop", "tag", "data"), p)) for p in parts]
-        rows.append((named, tail, seen[0] if seen else None, seen[-1]["orientation"] if seen and kind == "jpeg" else 1, None, None, None))
-    return pd.DataFrame(rows, columns=["parts", "tail", "preview", "orientation", "outcome", "strips", "cleaned"]).astype({"tail": "Int64", "orientation": "Int64"})
+        seen = [x for x in _previews(kind, content, parts) if x]
+        rows.append((parts, tail, seen[0] if seen else None, seen[-1]["orientation"] if seen and kind == "jpeg" else 1, None, None, None))
+    return pa.array(rows, _SCANNED)
 
 
 def container_kind(content: Column) -> Column:
@@ -248,7 +258,7 @@ def clean(df: DataFrame, content_col: str = "content") -> DataFrame:
     strips and cleaned bytes, as have HEIC files that can't be rewritten without loss (``unsupported_layout``).  Rows repeat as they are; extra columns stay.
     """
     content = F.coalesce(F.col(content_col), F.lit(b""))
-    scan = F.pandas_udf(_scan, SCANNED)
+    scan = F.arrow_udf(_scan, SCANNED)
     found = df.withColumn("kind", container_kind(content)).withColumn("__s", scan(F.col("kind"), content))
     parts, kind = F.col("__s.parts"), F.col("kind")
 

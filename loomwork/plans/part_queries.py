@@ -74,11 +74,11 @@ def preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JPEG, PNG or WebP file of each customer with those fields."""
     c = previewed(spark, sf_dir)
     k, tiff = F.col("k"), F.col("tiff")
-    n = F.length(tiff) / 2
+    n = F.octet_length(tiff) / 2
     jpeg = F.concat(F.lit("FFD8FFE1"), _be(n + 8, 2), F.lit("457869660000"), tiff, F.lit("FFDA000211FF0022FFD9"))
     png = F.concat(F.lit("89504E470D0A1A0A" "0000000D49484452"), F.repeat(F.lit("00"), 17), _be(n, 4), F.lit("65584966"), tiff, F.lit("00000000" "0000000049454E44AE426082"))
     body = F.concat(F.lit("57454250" "5650382003000000AABBCC00" "45584946"), _le(n), tiff)
-    webp = F.concat(F.lit("52494646"), _le(F.length(body) / 2), body)
+    webp = F.concat(F.lit("52494646"), _le(F.lit(24) + n), body)
     return c.select("k", F.unhex(F.when(k % 3 == 0, jpeg).when(k % 3 == 1, png).otherwise(webp)).alias("content"))
 
 

@@ -1,6 +1,7 @@
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwork.operators import containers as C
@@ -104,3 +105,24 @@ def test_tiles(spark):
             x += 11
         y, row = y + 20, row + 1
     assert {(t.tile_row, round(t.x, 6), round(t.y, 6)) for t in got} == want and {t.font for t in got} == {10.0}
+
+
+def test_preview_of_long_directories():
+    """Of 600 entries 512 count; of equal tags the last tells; short values stand in the entry, others where it points to."""
+    entry = lambda tag, kind, count, value: struct.pack("<HHII", tag, kind, count, value)
+    entries = [entry(0x010F, 2, 20, 8)] + [entry(0x9999, 3, 1, 7)] * 598 + [entry(0x0110, 2, 3, 0x0041)]
+    entries[100:102] = [entry(0x0112, 3, 1, 3), entry(0x0112, 3, 1, 6)]
+    entries[200] = entry(0x0131, 2, 3, 0x007A01)
+    t = b"II*\0" + struct.pack("<I", 28) + b"A\x01\xff b\0rest".ljust(20, b"\0") + struct.pack("<H", 600) + b"".join(entries)
+    got = C.tiff_preview(t)
+    assert (got["make"], got["model"], got["software"], got["orientation"], got["fields"]) == ("A b", None, "z", 6, 512)
+    for cut in range(len(t) - 100, len(t)):
+        assert C.tiff_preview(t[:cut])["fields"] == 512
+    assert C.tiff_preview(t[: 30 + 12 * 9 + 5])["fields"] == 9
+
+
+def test_scan_reads_arrow():
+    """Files go through the scan as Arrow arrays, null kinds and broken files included."""
+    whole = b"\xff\xd8" + SCAN + b"\xff\xd9"
+    got = C._scan(pa.array(["jpeg", None, "png"]), pa.array([whole, b"", b"\x89PNG"], pa.binary())).to_pylist()
+    assert len(got[0]["parts"]) == 3 and got[0]["tail"] == 0 and got[1]["parts"] is None and got[2]["parts"] is None
