@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.shared import stash
+from loomwork.llm.shared import arrow_batches, stash
 from loomwork.operators.prefix import running_totals
 
 #: Rows and bytes of text of a block; a longer text is a block of its own.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
+#: Bytes of a row group of the written matrix. They grow about threefold when decoded, and a task holds one group.
+GROUP_BYTES = 4 << 20
 #: Words whose buckets a worker remembers; bounds its memory only.
 REMEMBERED = 500_000
 #: Anything but digits, letters and bytes of other scripts becomes a space, A-Z become a-z.
@@ -85,20 +87,21 @@ def count_matrix(df: DataFrame, id_col: str, text_col: str = "text", buckets: in
         number = TaskContext.get().partitionId() << 32
         ids, n_words, hashed, size = [], [], [], 0
         for b in batches:
+            own = b.column(0).take(np.arange(b.num_rows))  # a slice of the batch's own would hold its texts as well
             for at in range(b.num_rows):
                 words = words_of(b.column(1)[at].as_py())
                 found = feature_hashes(words, *runs)
                 if hashed and (len(hashed) >= BLOCK_ROWS or size + len(found) * 8 > BLOCK_BYTES):
                     yield block(number, ids, n_words, hashed)
                     number, ids, n_words, hashed, size = number + 1, [], [], [], 0
-                ids.append(b.column(0).slice(at, 1))
+                ids.append(own.slice(at, 1))
                 n_words.append(len(words))
                 hashed.append(found.astype(np.int64))
                 size += len(found) * 8
         if hashed:
             yield block(number, ids, n_words, hashed)
 
-    return stash(base.mapInArrow(run, schema), "matrix")
+    return stash(base.mapInArrow(run, schema), "matrix", group=GROUP_BYTES)
 
 
 def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[list[np.ndarray]]:
@@ -125,7 +128,9 @@ def column_sums(matrix: DataFrame) -> DataFrame:
 
 def _sums(matrix: DataFrame, buckets: int) -> list[int]:
     out = [0] * buckets
-    for r in column_sums(matrix).collect():  # one row a bucket at most
+    with arrow_batches(matrix.sparkSession):
+        found = column_sums(matrix).collect()  # one row a bucket at most
+    for r in found:
         out[r.bucket] = r.n
     return out
 

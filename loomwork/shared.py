@@ -49,16 +49,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None, group: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``by`` names a column of few values, each in files of its own, so that a filter on it reads no others.
+    ``group`` gives the bytes of a row group, or one row: for rows of MBs, as a reader decodes thousands of rows of a group at once.
     The table stays until discard() or the end of the driver's Python.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
+    # sizes are looked at after each row, by default after a hundred
+    groups = {"parquet.block.size": group, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1} if group else {}
     with arrow_batches(spark):
-        df.write.option("compression", codec).parquet(path, partitionBy=by)
+        df.write.options(compression=codec, **groups).parquet(path, partitionBy=by)
     back = spark.read.schema(df.schema).parquet(path)
     back.stashed_at = path
     return back

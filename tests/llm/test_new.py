@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,15 @@ def test_importance_of_nothing(spark):
     goal = spark.createDataFrame([], "item_id long, text string")
     assert importance.resample(none, goal).count() == 0
     assert importance.resample(some, goal, percent=100).first()["rank"] == 1
+
+
+def test_a_row_group_of_the_matrix_is_small_whatever_a_task_writes(spark, monkeypatch):
+    monkeypatch.setattr(importance, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(importance, "GROUP_BYTES", 20_000, raising=False)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.md5(F.concat(k.cast("string"), F.col("id").cast("string")))), " ")
+    matrix = importance.count_matrix(spark.range(0, 2000, 1, 1).select("id", text.alias("text")), "id")
+    assert matrix.count() == 40 and sum(importance._sums(matrix, 10_000)) == 200_000
+    for path in matrix.inputFiles():
+        held = pq.ParquetFile(path.removeprefix("file://")).metadata
+        sizes = [held.row_group(i).total_byte_size for i in range(held.num_row_groups)]
+        assert len(sizes) > 5 and max(sizes) < 40_000
